@@ -30,7 +30,9 @@ from geolode.llm.common import saved
 
 CAPACITY = 2048
 #: Words kept by a Python worker, and the longest of them.
-KEPT, KEPT_CHARS = 400_000, 40
+KEPT, KEPT_CHARS = 600_000, 40
+#: Texts whose new words are encoded together.
+TOGETHER = 64
 #: Pieces of one length that one task numbers.
 RANKED = 200_000
 
@@ -38,28 +40,62 @@ PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("pie
 
 
 class WordTokenizer:
-    """Little-endian ids of texts. White space only separates words for this kind of tokenizer, so words are encoded once and kept."""
+    """Little-endian ids of texts. White space only separates words for this kind of tokenizer, so words are encoded once and kept.
+
+    A word of ASCII letters has the ids of its lower case, and ``,`` or ``.`` behind its letters is a word of its own.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        kept = self.kept
-        parts = text.replace("\n", " ").split(" ")
-        if new := list({w for w in parts if w not in kept}):
-            if len(kept) + len(new) > KEPT:
-                kept.clear()
-                kept[""] = b""
-                new = list(set(parts) - {""})
-            coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(new, coded, strict=True)}
-            kept.update((w, ids) for w, ids in known.items() if len(w) <= KEPT_CHARS)
-            return b"".join([kept[w] if w in kept else known[w] for w in parts])
-        return b"".join(map(kept.__getitem__, parts))
+        pieces = self.tokenizer.get_vocab()
+        #: whether an id ends a word
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
+        self.kept: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.kept.clear()
+        self.kept.update(zip(("", ",", "."), self.each(["", ",", "."]), strict=True))
+
+    def each(self, words: list[str]) -> list[bytes]:
+        return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, new: set[str]) -> None:
+        """Adds the words to kept; those of letters are encoded together, as each then ends with one id that ends a word."""
+        kept, core = self.kept, {}
+        for w in new:
+            stem = w[:-1] if w[-1] in ",." and w[-2:-1].isalpha() and len(w[-2].lower()) == 1 else w
+            core[w] = stem.lower() if stem.isascii() and stem.isalpha() else stem
+        missing = set(core.values()).difference(kept)
+        letters = [w for w in missing if w.isalpha()]
+        if letters:
+            ids = np.frombuffer(self.each([" ".join(letters)])[0], "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(letters):
+                raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+                kept.update(zip(letters, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+            else:  # some letter falls into several when it is normalised
+                kept.update(zip(letters, self.each(letters), strict=True))
+        others = list(missing.difference(kept))
+        kept.update(zip(others, self.each(others), strict=True))
+        kept.update((w, kept[c] + kept[w[-1]] if len(c) < len(w) else kept[c]) for w, c in core.items() if w != c)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.kept) > KEPT:
+            self.clear()
+        if new := set().union(*parts).difference(self.kept):
+            self.learn(new)
+        got = self.kept.__getitem__
+        out = [b"".join(map(got, p)) for p in parts]
+        for w in new:
+            if len(w) > KEPT_CHARS:
+                self.kept.pop(w, None)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -75,11 +111,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         coder, end = word_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = coder.encode(text or "") + end
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    rows.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                for doc_id, ids in zip(some.column(0).to_pylist(), coder.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                    ids += end
+                    for k in range(0, len(ids), 4 * capacity):
+                        part = ids[k : k + 4 * capacity]
+                        rows.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], PIECES.names)
 
