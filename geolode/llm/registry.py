@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolode.llm import chat_format, packing, quality_rules, secret_scan, sentencepiece_bpe
+from geolode.llm import chat_format, jaccard_join, packing, quality_rules, secret_scan, sentencepiece_bpe
 from geolode.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -45,7 +49,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_quality_rules, op5_secret_scan, op8_best_fit_packing, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_chat_format, op3_quality_rules, op5_secret_scan, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
