@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolode.llm import chat_format, jaccard_join, packing, quality_rules, secret_scan, sentencepiece_bpe
+from geolode.llm import chat_format, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe
 from geolode.llm.common import table
 
 
@@ -30,6 +30,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scan.scan(table(spark, sf_dir, "documents"))
     return secret_scan.summary(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -49,7 +53,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_quality_rules, op5_secret_scan, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_chat_format, op3_quality_rules, op4_quality_classifier, op5_secret_scan, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
