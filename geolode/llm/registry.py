@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolode.llm import chat_format, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe
+from geolode.llm import chat_format, jaccard_join, packing, progressive_jpeg, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe
 from geolode.llm.common import table
 
 
@@ -39,6 +39,20 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = progressive_jpeg.media_columns(table(spark, sf_dir, "documents"), keep_rgb=False)
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("jpeg").cast("long").alias("media_bytes"),
+        F.sha2("jpeg", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -53,7 +67,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_quality_rules, op4_quality_classifier, op5_secret_scan, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_chat_format, op3_quality_rules, op4_quality_classifier, op5_secret_scan, op6_progressive_jpeg, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
