@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolode.llm import chat_format, jaccard_join, packing, progressive_jpeg, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe
+from geolode.llm import chat_format, jaccard_join, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe
 from geolode.llm.common import table
 
 
@@ -66,9 +66,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_quality_rules, op4_quality_classifier, op5_secret_scan, op6_progressive_jpeg, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_chat_format, op3_quality_rules, op4_quality_classifier, op5_secret_scan, op6_progressive_jpeg, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_chat_format": chat_format.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
