@@ -1,15 +1,59 @@
-"""Corpus pipeline: quality classifier, line dedup, near duplicates, secrets, packing."""
+"""Corpus pipeline over ``documents``: quality classifier, line dedup, near duplicates, secrets, packing.
+
+Each stage works on all rows that the one before kept and acts on its decisions: documents that the classifier rejects go,
+recurring lines go (and documents that lose all their words with them), one document of each group of near duplicates stays,
+secrets are replaced by a mark, and what is left is packed into sequences. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geolode.llm import jaccard_join, line_dedup, packing, quality_classifier, secret_scan
+from geolode.llm.common import table, written
+from geolode.llm.registry import tokenizer_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality_classifier.fit(quality_classifier.with_statistics(docs), table(spark, sf_dir, "labels"))
+    return quality_classifier.accepted(docs, model)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(docs).filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class the row of its smallest doc_id; rows without a doc_id are linked with nothing and stay."""
+    first = jaccard_join.classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    stay = docs.join(first.hint("merge"), F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.unionByName(docs.filter("doc_id is null"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secrets),
+    ("best-fit packing", packed),
+]
+#: SQL expresses neither the classifier nor the packing; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages over documents, each written as Parquet to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolode.llm import chat_format, jaccard_join, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe
+from geolode.llm import chat_format, jaccard_join, license_scan, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe
 from geolode.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.examples(turns.unionByName(more)))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(license_scan.paths(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "path", "own_license", "score", "license", "license_from")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -71,8 +76,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_quality_rules, op4_quality_classifier, op5_secret_scan, op6_progressive_jpeg, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_rules, op4_quality_classifier, op5_secret_scan, op6_progressive_jpeg, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_chat_format": chat_format.ORACLE_SQL, "op2_license_scan": license_scan.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
