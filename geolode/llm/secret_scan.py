@@ -81,7 +81,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, key: str = "doc_i
         unseen = unseen.join(ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
     unseen = saved(unseen.withColumnRenamed("blob", "wanted"))
     # each blob once: the rows of its first key, of which repeated ones are folded below
-    rows = addressed.join(small_side(unseen, unseen.count(), 100), F.col("key").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("wanted")), "left_semi")
+    rows = addressed.join(unseen.hint("merge"), F.col("key").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("wanted")), "left_semi")
     new = _scanned(rows).dropDuplicates(["blob"]).select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans")
     new = saved(new)
     whole = new if ledger is None else ledger.unionByName(new)
