@@ -12,7 +12,7 @@ execution splits.
 
 Null texts count as empty and have no license of their own. Ties go to the smaller template name. Of several licence files in a
 directory the one with the smallest license name counts. Repeated rows each give a row; rows with a null path have no directory;
-an empty table gives no rows; further columns are ignored.
+an empty table gives no rows; further columns pass through, unless a result column has their name.
 """
 
 from __future__ import annotations
@@ -95,7 +95,8 @@ def ancestors(folder: Column) -> Column:
 
 def scan(files: DataFrame) -> DataFrame:
     """files (path, text and others) with own_license, score, license and license_from (the directory; null if its own or none)."""
-    own = own_licenses(files).withColumnsRenamed({"license": "own_license", "path": "__path"})
+    files = files.select(*[c for c in files.columns if c not in ("own_license", "score", "license", "license_from")])
+    own = own_licenses(files.select("path", "text")).withColumnsRenamed({"license": "own_license", "path": "__path"})
     named = own.filter(F.lower(F.regexp_extract("__path", "([^/]*)$", 1)).rlike(LICENCE_FILES))
     given = named.groupBy(directory(F.col("__path")).alias("above")).agg(F.min("own_license").alias("given"))
     folders = files.select(directory(F.col("path")).alias("folder")).filter("folder is not null").distinct()

@@ -70,16 +70,18 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     return gone.groupBy("doc_id", "copy").agg(F.array_distinct(F.collect_list("i")).alias("i"))
 
 
-def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with recurring lines dropped from text; n_lines (before) and n_dropped are added."""
+def dedup(docs: DataFrame, text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """docs with recurring lines dropped from text; n_lines (before) and n_dropped are added, or replace columns of these names."""
     gone = recurring(docs, text).select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"), F.col("i").alias("__gone"))
     whole = F.coalesce(F.col(text), F.lit(""))
     # the texts are dealt by document in every case, so that one plan holds at any size
     joined = docs.withColumn("__own", F.xxhash64(whole)).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__copy")), "left")
     parts = F.split(whole, "\n")
     kept = F.array_join(F.filter(parts, lambda x, k: ~F.array_contains("__gone", k)), "\n")
-    out = joined.withColumns({"n_lines": F.size(parts).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), text: F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(text))})
-    return out.select(*docs.columns, "n_lines", F.greatest("n_dropped", F.lit(0)).alias("n_dropped"))
+    dropped = F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0)
+    new = {text: F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(text)), n_lines: F.size(parts).cast("long"), n_dropped: dropped.cast("long")}
+    rest = [F.col(c) for c in docs.columns if c not in new]
+    return joined.select(*rest, *[c.alias(k) for k, c in new.items()])
 
 
 def summary(docs: DataFrame) -> DataFrame:
