@@ -1 +1,181 @@
-LEAST_SAMPLES = 25
+"""Heightmaps of patches: triangulation and interpolation of sparse samples, a patch per group.
+
+A patch's context has some dozens to hundreds of samples (one point in 50,000 of a 960 m window), so a group is small
+by construction; ``lim_points_patch`` bounds it where that doesn't hold. Within a group everything is numpy arrays; Spark deals
+patches out and joins their contexts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from geolode.functions import columns as C
+
+LEAST_SAMPLES, UNSEEN, OUTSIDE = 25, -2, -1
+#: Corners that close the hull; their values are unknown.
+CORNERS = np.array([(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)])
+
+Model = Callable[[dict[str, np.ndarray]], np.ndarray]
+
+
+def grid_points(extent: float, resolution: int) -> np.ndarray:
+    """resolution x resolution points from -extent / 2 on, rows of one y after another."""
+    at = -extent / 2 + np.arange(resolution) * (extent / resolution)
+    x, y = np.meshgrid(at, at)
+    return np.column_stack([x.ravel(), y.ravel()])
+
+
+def triangulate(points: np.ndarray) -> np.ndarray:
+    """Delaunay faces (vertex numbers, counter-clockwise, sorted) by insertion into an enclosing triangle.
+
+    Points are inserted in the order of their coordinates, so a permutation of the input gives the same faces. Of equal points the first counts.
+    """
+    n = len(points)
+    order = np.lexsort((points[:, 1], points[:, 0]))
+    far = 1e4 * max(1.0, float(np.abs(points).max(initial=1.0)))
+    p = np.vstack([points, [(-far, -far), (far, -far), (0.0, far)]])
+    faces = np.array([(n, n + 1, n + 2)])
+    centres, radii = _circles(p[faces])
+    last = None
+    for k in order:
+        if last is not None and (points[k] == last).all():
+            continue
+        last = points[k]
+        d = centres - p[k]
+        bad = (d * d).sum(1) < radii * (1 + 1e-12)
+        # the hole's border: edges that only one face of it has
+        hole = faces[bad]
+        edges = np.vstack([hole[:, [0, 1]], hole[:, [1, 2]], hole[:, [2, 0]]])
+        code, back = edges[:, 0] * (n + 3) + edges[:, 1], edges[:, 1] * (n + 3) + edges[:, 0]
+        border = edges[~np.isin(code, back)]
+        new = np.column_stack([border, np.full(len(border), k)])
+        c, r = _circles(p[new])
+        faces, centres, radii = np.vstack([faces[~bad], new]), np.vstack([centres[~bad], c]), np.concatenate([radii[~bad], r])
+    faces = faces[(faces < n).all(1)]
+    # each face from its smallest vertex on, the faces in order
+    first = faces.argmin(1)[:, None]
+    faces = np.take_along_axis(faces, (first + np.arange(3)) % 3, 1)
+    return faces[np.lexsort(faces.T[::-1])]
+
+
+def _circles(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and squared radii of the circles around triangles (n, 3, 2)."""
+    a, b, c = t[:, 0], t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
+    d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
+    d = np.where(np.abs(d) < 1e-300, 1e-300, d)
+    bb, cc = (b * b).sum(1), (c * c).sum(1)
+    u = np.column_stack([(c[:, 1] * bb - b[:, 1] * cc) / d, (b[:, 0] * cc - c[:, 0] * bb) / d])
+    return a + u, (u * u).sum(1)
+
+
+def locate(points: np.ndarray, faces: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest face that holds each point of at (OUTSIDE if none) and the three weights there."""
+    found, weights = np.full(len(at), OUTSIDE), np.zeros((len(at), 3))
+    for number, f in enumerate(faces):
+        a, b, c = points[f]
+        box = ((at >= np.min((a, b, c), 0) - 1e-9) & (at <= np.max((a, b, c), 0) + 1e-9)).all(1) & (found == OUTSIDE)
+        near = np.flatnonzero(box)
+        if not len(near):
+            continue
+        q = at[near]
+        whole = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
+        if whole == 0:
+            continue
+        u = ((b[1] - c[1]) * (q[:, 0] - c[0]) + (c[0] - b[0]) * (q[:, 1] - c[1])) / whole
+        v = ((c[1] - a[1]) * (q[:, 0] - c[0]) + (a[0] - c[0]) * (q[:, 1] - c[1])) / whole
+        w = np.column_stack([u, v, 1 - u - v])
+        inside = (w >= -1e-9).all(1)
+        found[near[inside]], weights[near[inside]] = number, w[inside]
+    return found, weights
+
+
+def nearest(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Number of the nearest point, the first of equals."""
+    return np.concatenate([((part[:, None] - points[None]) ** 2).sum(2).argmin(1) for part in np.array_split(at, max(1, len(at) // 1024))])
+
+
+def interpolate(points: np.ndarray, values: np.ndarray, resolution: int, extent: float = 1.0) -> dict[str, np.ndarray]:
+    """Rasters of values (n, k): nearest, linear (nearest where no face of known corners is) and mask (0 or OUTSIDE)."""
+    at = grid_points(extent, resolution)
+    near = values[nearest(points, at)]
+    padded = np.vstack([points, CORNERS])
+    faces = triangulate(padded)
+    found, weights = locate(padded, faces, at)
+    touches = (faces >= len(points)).any(1)
+    mask = np.where((found == OUTSIDE) | touches[found], OUTSIDE, 0)
+    linear = near.copy()
+    known = mask == 0
+    linear[known] = (values[faces[found[known]]] * weights[known][:, :, None]).sum(1)
+    return {"nearest": near, "linear": linear, "mask": mask, "face": found}
+
+
+def model_input(rasters: dict[str, np.ndarray], resolution: int) -> dict[str, np.ndarray]:
+    """What a learned model gets: height (1 x n x n) and colour (3 x n x n) maps of both interpolations."""
+    out = {}
+    for kind in ("nearest", "linear"):
+        image = rasters[kind].reshape(resolution, resolution, -1)
+        out[f"patch_hm_{kind}"], out[f"patch_rgb_{kind}"] = image[None, :, :, 0], np.moveaxis(image[:, :, 1:], 2, 0)
+    return out
+
+
+def crop(raster: np.ndarray, resolution: int, to: int) -> np.ndarray:
+    edge = (resolution - to) // 2
+    return raster.reshape(resolution, resolution, -1)[edge : edge + to, edge : edge + to].reshape(to * to, -1)
+
+
+MAPS = "px int, py int, n int, blank boolean, height array<double>, rgb array<array<double>>, mask array<int>"
+
+
+def heightmaps(context: DataFrame, resolution: int = C.CONTEXT_TEXELS, learned: int = C.TEXELS, method: str = "linear", model: Model | None = None) -> DataFrame:
+    """A row per patch of context (px, py, lx, ly, lz, r, g, b): its central learned x learned raster of heights and colours.
+
+    Fewer than LEAST_SAMPLES samples make a blank patch. Samples are normalised around the patch's centre and mean height; model, if any, maps the
+    input maps to height (and colour) maps of the learned size, in normalised heights.
+    """
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        px, py, n = int(part["px"].iloc[0]), int(part["py"].iloc[0]), len(part)
+        if n < LEAST_SAMPLES:
+            return pd.DataFrame([(px, py, n, True, None, None, None)], columns=NAMES)
+        part = part.sort_values(["lx", "ly", "lz", "r", "g", "b"])
+        centre, base = (np.array([px, py]) + 0.5) * C.PATCH, part["lz"].mean()
+        xy = (part[["lx", "ly"]].to_numpy() - centre) / C.RADIUS * C.STRETCH
+        values = np.column_stack([(part["lz"].to_numpy() - base) / C.RADIUS * 10, part[["r", "g", "b"]].to_numpy() / 256.0])
+        xy, first = np.unique(xy, axis=0, return_index=True)
+        rasters = interpolate(xy, values[first], resolution)
+        picture = crop(rasters[method], resolution, learned)
+        radius = C.RADIUS
+        if model is not None:
+            made = model(model_input(rasters, resolution))
+            picture = np.column_stack([made.reshape(len(made), -1).T, picture[:, len(made) :]])
+            radius = C.RADIUS_OUT
+        mask = crop(rasters["mask"][:, None], resolution, learned)[:, 0]
+        return pd.DataFrame([(px, py, n, False, picture[:, 0] / 10 * radius + base, picture[:, 1:].tolist(), mask)], columns=NAMES)
+
+    return context.select("px", "py", "lx", "ly", "lz", "r", "g", "b").groupBy("px", "py").applyInPandas(one, MAPS)
+
+
+NAMES = ["px", "py", "n", "blank", "height", "rgb", "mask"]
+
+
+def faces(context: DataFrame) -> DataFrame:
+    """px, py, face and its vertices v0, v1, v2: numbers of the patch's distinct samples in order of lx, ly; corners come last."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        px, py = int(part["px"].iloc[0]), int(part["py"].iloc[0])
+        xy = np.unique((part[["lx", "ly"]].to_numpy() - (np.array([px, py]) + 0.5) * C.PATCH) / C.RADIUS * C.STRETCH, axis=0)
+        found = triangulate(np.vstack([xy, CORNERS]))
+        return pd.DataFrame({"px": px, "py": py, "face": np.arange(len(found)), **{f"v{k}": found[:, k] for k in range(3)}, "padded": (found >= len(xy)).any(1)})
+
+    return context.select("px", "py", "lx", "ly").groupBy("px", "py").applyInPandas(one, "px int, py int, face int, v0 int, v1 int, v2 int, padded boolean")
+
+
+def exploded(maps: DataFrame, size: int = C.TEXELS) -> DataFrame:
+    """px, py, i, j, height and mask of every texel."""
+    cells = maps.filter("NOT blank").select("px", "py", F.posexplode(F.arrays_zip("height", "mask")).alias("k", "cell"))
+    return cells.select("px", "py", (F.col("k") % size).alias("i"), F.floor(F.col("k") / size).cast("int").alias("j"), "cell.height", "cell.mask")

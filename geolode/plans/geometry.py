@@ -1 +1,125 @@
-"""Placeholder."""
+"""Triangulation, interpolation and meshes."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from geolode.functions import columns as C
+from geolode.operators import heightmap
+from geolode.plans.joins import _CONTEXT, contexts, patches
+from geolode.plans.registry import number, query
+
+c = F.col
+
+
+@query("geo_grid", "SELECT i, j, -0.5e0 + i * (1e0 / 96e0) AS x, -0.5e0 + j * (1e0 / 96e0) AS y FROM (SELECT unnest(range(96)) AS i) a CROSS JOIN (SELECT unnest(range(96)) AS j) b")
+def geo_grid(t):
+    cells = t.spark.range(96 * 96).select((c("id") % 96).alias("i"), F.floor(c("id") / 96).alias("j"))
+    return cells.select("i", "j", *[(-0.5 + c(k) * (1.0 / 96.0)).alias(a) for a, k in (("x", "i"), ("y", "j"))])
+
+
+_DISTINCT = "SELECT px, py, count(*) AS n FROM (SELECT DISTINCT px, py, lx, ly FROM ctx) q GROUP BY px, py"
+
+
+@query("geo_delaunay", f"{_CONTEXT};; SELECT px, py, 2 * n + 2 AS faces FROM ({_DISTINCT}) q")
+def geo_delaunay(t):
+    """A triangulation of n points in a convex hull of four padding corners has 2 n + 2 faces."""
+    return heightmap.faces(contexts(t)).groupBy("px", "py").agg(F.count("*").alias("faces"))
+
+
+@query("geo_pad", f"{_CONTEXT};; SELECT px, py, n, n + 4 AS padded FROM ({_DISTINCT}) q")
+def geo_pad(t):
+    found = heightmap.faces(contexts(t)).select("px", "py", F.explode(F.array("v0", "v1", "v2")).alias("v")).groupBy("px", "py").agg(F.count_distinct("v").alias("padded"))
+    return found.select("px", "py", (c("padded") - 4).alias("n"), "padded")
+
+
+@query("geo_mask_pad")
+def geo_mask_pad(t):
+    return heightmap.faces(contexts(t)).groupBy("px", "py").agg(F.sum(c("padded").cast("int")).alias("padded"), F.count("*").alias("faces"))
+
+
+@query("geo_raster_faces")
+def geo_raster_faces(t):
+    return heightmap.exploded(heightmap.heightmaps(contexts(t), 32, 32), 32).groupBy("px", "py").agg(F.count("*").alias("texels"), F.sum((c("mask") == 0).cast("int")).alias("inside"))
+
+
+_NEAR = f"""near AS (SELECT px, py, lz, (lx - (px + 0.5e0) * 640e0) / {number(C.RADIUS)} * {number(C.STRETCH)} AS nx, (ly - (py + 0.5e0) * 640e0) / {number(C.RADIUS)} * {number(C.STRETCH)} AS ny FROM ctx),
+ big AS (SELECT px, py FROM near GROUP BY px, py HAVING count(*) >= 25), cells AS (SELECT * FROM big CROSS JOIN (SELECT unnest(range(8))::INT AS i) a CROSS JOIN (SELECT unnest(range(8))::INT AS j) b)"""
+
+
+@query("geo_interp_nearest", f"""{_CONTEXT}, {_NEAR};; SELECT px, py, i, j, round(lz, 6) AS height FROM (SELECT c.px, c.py, i, j, lz, row_number() OVER (PARTITION BY c.px, c.py, i, j
+  ORDER BY (-0.5e0 + i * 0.125e0 - nx) * (-0.5e0 + i * 0.125e0 - nx) + (-0.5e0 + j * 0.125e0 - ny) * (-0.5e0 + j * 0.125e0 - ny)) AS k FROM cells c JOIN near USING (px, py)) q WHERE k = 1""")
+def geo_interp_nearest(t):
+    return heightmap.exploded(heightmap.heightmaps(contexts(t), 8, 8, "nearest"), 8).select("px", "py", "i", "j", F.round("height", 6).alias("height"))
+
+
+@query("geo_interp_linear")
+def geo_interp_linear(t):
+    return heightmap.exploded(heightmap.heightmaps(contexts(t), 32, 32), 32).select("px", "py", "i", "j", F.round("height", 6).alias("height"))
+
+
+@query("geo_pts2hm", f"{_CONTEXT};; SELECT px, py, CAST(count(*) AS INT) AS n, count(*) < 25 AS blank, CASE WHEN count(*) >= 25 THEN 1024 END AS texels FROM ctx GROUP BY px, py")
+def geo_pts2hm(t):
+    return heightmap.heightmaps(contexts(t), 32, 32).select("px", "py", "n", "blank", F.when(c("height").isNotNull(), F.size("height")).alias("texels"))
+
+
+@query("geo_linear_map")
+def geo_linear_map(t):
+    return heightmap.heightmaps(contexts(t), C.CONTEXT_TEXELS, C.CONTEXT_TEXELS).select("px", "py", "n", F.round(F.array_max("height"), 6).alias("top"))
+
+
+@query("geo_crop", "SELECT i - 16 AS i, j - 16 AS j FROM (SELECT unnest(range(96)) AS i) a CROSS JOIN (SELECT unnest(range(96)) AS j) b WHERE i BETWEEN 16 AND 79 AND j BETWEEN 16 AND 79")
+def geo_crop(t):
+    cells = t.spark.range(96 * 96).select((c("id") % 96).alias("i"), F.floor(c("id") / 96).alias("j"))
+    return cells.filter(c("i").between(16, 79) & c("j").between(16, 79)).select((c("i") - 16).alias("i"), (c("j") - 16).alias("j"))
+
+
+@query("geo_gen_rgb")
+def geo_gen_rgb(t):
+    maps = heightmap.heightmaps(contexts(t))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v, lambda s: F.round(s / (C.TEXELS * C.TEXELS), 4))
+    return maps.select("px", "py", "n", "blank", mean(c("height")).alias("height"), *[mean(F.transform("rgb", lambda p: p[k])).alias(a) for k, a in enumerate("rgb")])  # noqa: B023
+
+
+@query("geo_gen_h")
+def geo_gen_h(t):
+    return heightmap.heightmaps(contexts(t)).select("px", "py", "n", F.round(F.array_min("height"), 6).alias("low"), F.round(F.array_max("height"), 6).alias("high"))
+
+
+def mean_filter(maps: dict[str, np.ndarray]) -> np.ndarray:
+    """A stand-in for a learned model: the 3 x 3 mean of the linear heights, cropped to the learned size."""
+    h = np.pad(maps["patch_hm_linear"][0], 1, mode="edge")
+    n = len(h) - 2
+    mean = sum(h[a : a + n, b : b + n] for a in range(3) for b in range(3)) / 9
+    edge = (n - C.TEXELS) // 2
+    return mean[None, edge : edge + C.TEXELS, edge : edge + C.TEXELS]
+
+
+@query("ml_infer")
+def ml_infer(t):
+    return heightmap.heightmaps(contexts(t), model=mean_filter).select("px", "py", "n", F.round(F.array_max("height"), 6).alias("top"))
+
+
+@query("geo_voxel_mesh", "SELECT CAST(count(*) * 6 AS BIGINT) AS faces, count(*) AS voxels FROM (SELECT DISTINCT floor(x / 320e0), floor(y / 320e0), floor(z / 320e0) FROM ch) q")
+def geo_voxel_mesh(t):
+    from geolode.operators import raster
+
+    voxels = t.chunk_points.select(*[C.cell(c(a), 320.0).alias(f"v{a}") for a in "xyz"]).distinct()
+    low, high = ([(c(f"v{a}") + F.lit(at)) * 320.0 for a in "xyz"] for at in (0.02, 0.98))
+    cubes = raster.box_triangles(voxels, low, high)
+    return cubes.agg((F.count("*") / 2).cast("long").alias("faces"), F.count_distinct("vx", "vy", "vz").alias("voxels"))
+
+
+@query("geo_tri_mesh", f"{_CONTEXT};; SELECT count(DISTINCT (px, py)) AS patches FROM ctx")
+def geo_tri_mesh(t):
+    return heightmap.faces(contexts(t)).agg(F.count_distinct("px", "py").alias("patches"))
+
+
+@query("jn_point_in_tri")
+def jn_point_in_tri(t):
+    """Which texels of each patch lie in a face of known corners."""
+    return heightmap.exploded(heightmap.heightmaps(contexts(t), 16, 16), 16).select("px", "py", "i", "j", "mask")
+
+
+@query("patches", "SELECT px, py, count(*) AS n FROM chl GROUP BY px, py")
+def all_patches(t):
+    return patches(t)
