@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 8 << 20
 
 
+#: Texts that a Python worker holds as objects at once.
+TOGETHER = 256
+
+
+def few(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that a worker's memory doesn't hang on the batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

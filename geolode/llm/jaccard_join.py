@@ -35,14 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geolode.llm.common import saved, small_side
+from geolode.llm.common import few, saved, small_side
 from geolode.llm.components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Documents of a group of the matrix; documents and n-grams of a task's block.
 GROUP, BLOCK_DOCS, BLOCK_SHINGLES = 16, 1500, 1_500_000
 #: Words kept by a Python worker.
-KEPT = 600_000
+KEPT = 200_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -116,7 +116,7 @@ def features(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, de
     """A row per document: doc_id, n_shingles, digest of the set (null if empty) and its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             sets = [shingles(t, width) if t else np.zeros(0, np.uint64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             taken = [rows(s, numerator, denominator) for s in sets]
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in taken])]).astype(np.int32)

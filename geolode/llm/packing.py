@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolode.llm.common import saved
+from geolode.llm.common import few, saved
 
 CAPACITY = 2048
-#: Words kept by a Python worker, and the longest of them.
-KEPT, KEPT_CHARS = 600_000, 40
+#: Words that a Python worker keeps (up to twice as many), and the longest of them.
+KEPT, KEPT_CHARS = 200_000, 40
 #: Texts whose new words are encoded together.
 TOGETHER = 64
 #: Pieces of one length that one task numbers.
@@ -55,10 +55,12 @@ class WordTokenizer:
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
         self.ends[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
-        self.clear()
+        #: words of the generation before, which come back when they are seen again
+        self.before: dict[str, bytes] = {}
+        self.renew()
 
-    def clear(self) -> None:
-        self.kept.clear()
+    def renew(self) -> None:
+        self.before, self.kept = self.kept, {}
         self.kept.update(zip(("", ",", "."), self.each(["", ",", "."]), strict=True))
 
     def each(self, words: list[str]) -> list[bytes]:
@@ -66,11 +68,14 @@ class WordTokenizer:
 
     def learn(self, new: set[str]) -> None:
         """Adds the words to kept; those of letters are encoded together, as each then ends with one id that ends a word."""
-        kept, core = self.kept, {}
-        for w in new:
+        kept, before, core = self.kept, self.before, {}
+        kept.update((w, before[w]) for w in new if w in before)
+        for w in new.difference(before):
             stem = w[:-1] if w[-1] in ",." and w[-2:-1].isalpha() and len(w[-2].lower()) == 1 else w
             core[w] = stem.lower() if stem.isascii() and stem.isalpha() else stem
         missing = set(core.values()).difference(kept)
+        kept.update((w, before[w]) for w in missing if w in before)
+        missing = missing.difference(before)
         letters = [w for w in missing if w.isalpha()]
         if letters:
             ids = np.frombuffer(self.each([" ".join(letters)])[0], "<u4")
@@ -87,7 +92,7 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.kept) > KEPT:
-            self.clear()
+            self.renew()
         if new := set().union(*parts).difference(self.kept):
             self.learn(new)
         got = self.kept.__getitem__
@@ -109,15 +114,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = word_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in few(batches, TOGETHER):
             rows = []
-            for at in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(at, TOGETHER)
-                for doc_id, ids in zip(some.column(0).to_pylist(), coder.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    for k in range(0, len(ids), 4 * capacity):
-                        part = ids[k : k + 4 * capacity]
-                        rows.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids += end
+                for k in range(0, len(ids), 4 * capacity):
+                    part = ids[k : k + 4 * capacity]
+                    rows.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], PIECES.names)
 

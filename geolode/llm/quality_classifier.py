@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolode.llm.common import saved
+from geolode.llm.common import few, saved
 from geolode.llm.quality_rules import STOP_WORDS
 
 COSINES, RIDGE, SEED, BINS = 128, 1e-3, 7, 1000
@@ -67,7 +67,7 @@ def with_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """doc_id and its vector f."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             f = pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), f], ["doc_id", "f"])
 
@@ -190,7 +190,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             f = np.array([statistics(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(NAMES))
             yield batch.filter(pa.array(model.score(f) >= THRESHOLD))
 

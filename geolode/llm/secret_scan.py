@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolode.llm.common import saved, small_side
+from geolode.llm.common import few, saved, small_side
 
 #: Kinds in the order in which equal starts are listed: pattern, group that is measured, its least length (fixed values).
 BASE = {
@@ -62,7 +62,7 @@ def _scanned(blobs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t or "")] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["blob", "spans"])
 

@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from geolode.llm.common import few
+
 MARK = "▁"
 #: Chunks kept by a Python worker, and the longest of them.
-KEPT, KEPT_CHARS = 400_000, 40
+KEPT, KEPT_CHARS = 300_000, 40
 
 
 class Encoder:
@@ -188,7 +190,7 @@ def encode_decode(docs: DataFrame, model_path: str, key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model_path)
         begin, end = (np.array([i], "<u4").tobytes() for i in (coder.begin, coder.end))
-        for batch in batches:
+        for batch in few(batches):
             ids = [begin + coder.encode(t or "") + end for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([coder.decode(i) for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
