@@ -1 +1,66 @@
-"""Placeholder."""
+"""Streams: events play the points, users the files."""
+
+from pyspark.sql import functions as F
+
+from geolode.plans.registry import query
+from geolode.plans.storage import folder
+from geolode.streaming import ingest
+
+c = F.col
+
+
+def stream(t):
+    # a pattern, as the stream source takes a plain path for a folder
+    return ingest.read_stream(t.spark, f"{t.sf_dir}/[e]vents.parquet", t.read("events").schema)
+
+
+@query("st_source", "SELECT event_id, user_id, value FROM events")
+def st_source(t):
+    return ingest.finish(stream(t).select("event_id", "user_id", "value"), folder(t.spark, "source")).drop("batch")
+
+
+_FILES = "files AS (SELECT user_id AS id, count(*) AS expected FROM events GROUP BY user_id)"
+
+
+def files(t):
+    return t.read("events").groupBy("user_id").agg(F.count("*").alias("expected"))
+
+
+@query("st_headers_once", f"{_FILES};; SELECT event_id, user_id, expected FROM events JOIN files ON user_id = id")
+def st_headers_once(t):
+    return ingest.finish(ingest.with_files(stream(t), files(t), "user_id").select("event_id", "user_id", "expected"), folder(t.spark, "headers")).drop("batch")
+
+
+@query("st_tables", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def st_tables(t):
+    return ingest.finish(stream(t).groupBy("event_type").agg(F.count("*").alias("n")), folder(t.spark, "tables"), "complete").drop("batch")
+
+
+@query("st_patch_state", "SELECT user_id % 50 AS patch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total, min(event_id) AS low, max(event_id) AS high FROM events GROUP BY 1")
+def st_patch_state(t):
+    points = stream(t).select((c("user_id") % 50).alias("patch"), "event_id")
+    return ingest.finish(ingest.accumulate(points, ["patch"], "event_id"), folder(t.spark, "patches"), "complete").drop("batch")
+
+
+@query("st_complete", f"{_FILES};; SELECT id AS user_id, expected AS n, expected FROM files")
+def st_complete(t):
+    return ingest.finish(ingest.complete(stream(t), files(t), "user_id"), folder(t.spark, "complete"), "complete").drop("batch")
+
+
+@query("st_early_buffer", "SELECT user_id, event_id AS id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'click')")
+def st_early_buffer(t):
+    rows = stream(t).select("user_id", c("event_id").alias("id"), c("event_type").alias("kind"))
+    return ingest.finish(ingest.held_back(rows, "user_id", "click", "user_id bigint, id bigint"), folder(t.spark, "early")).drop("batch")
+
+
+@query("st_priority", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 100")
+def st_priority(t):
+    each = lambda batch, _: ingest.prioritised(batch, "value", ["event_id"])
+    return ingest.finish(stream(t).select("event_id", "value"), folder(t.spark, "priority"), each=each).drop("batch")
+
+
+@query("st_windows")
+def st_windows(t):
+    events = stream(t).withColumn("time", c("ts").cast("timestamp"))
+    counted = ingest.windowed(events, "time", "10 minutes", "1 day", "event_type")
+    return ingest.finish(counted, folder(t.spark, "windows"), "complete").select("event_type", c("window.start").cast("string").alias("day"), "n")

@@ -1,0 +1,351 @@
+"""LAS and LAZ files: headers, chunk tables, chunk points and ranges of points.
+
+``read_header`` and its like work on byte ranges that a callable fetches, so a header costs 4 KB, a chunk table its own size and a chunk point one
+record, whatever the file's size. The ``las`` data source deals files, and ranges of large ones, out to tasks.
+Compressed chunks beyond their first record need a codec that isn't here; asking for them raises an error.
+"""
+
+from __future__ import annotations
+
+import os
+import struct
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from geolode.sources.arithmetic import decode_sizes, encode_sizes
+
+Fetch = Callable[[int, int], bytes]
+#: Bytes read at first; id of the compressor's record; bytes of a variable record's head; colours by point format (fixed values).
+FIRST, LASZIP, VLR_HEAD = 4096, 22204, 54
+COLOUR_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
+CHUNK = 50_000
+
+
+@dataclass(frozen=True)
+class Header:
+    version: int
+    point_format: int
+    compressed: bool
+    record_length: int
+    data_offset: int
+    n_points: int
+    scale: tuple[float, float, float]
+    offset: tuple[float, float, float]
+    low: tuple[float, float, float]
+    high: tuple[float, float, float]
+    chunk_size: int
+
+    @property
+    def n_chunks(self) -> int:
+        return -(-self.n_points // self.chunk_size) if self.chunk_size else 0
+
+
+def read_header(fetch: Fetch, size: int) -> Header:
+    b = fetch(0, min(FIRST, size))
+    if len(b) < 227 or b[:4] != b"LASF":
+        raise ValueError("not a LAS file")
+    version, header_size, data_offset, n_vlrs = b[25], *struct.unpack_from("<HII", b, 94)
+    kind, record_length = b[104], struct.unpack_from("<H", b, 105)[0]
+    n_points = struct.unpack_from("<Q", b, 247)[0] if version >= 4 else struct.unpack_from("<I", b, 107)[0]
+    extent = struct.unpack_from("<6d", b, 179)
+    chunk, at = CHUNK, header_size
+    for _ in range(n_vlrs):
+        head = fetch(at, VLR_HEAD + 16) if at + VLR_HEAD + 16 > len(b) else b[at : at + VLR_HEAD + 16]
+        record, length = struct.unpack_from("<HH", head, 18)
+        if record == LASZIP:
+            chunk = struct.unpack_from("<I", head, VLR_HEAD + 12)[0]
+            break
+        at += VLR_HEAD + length
+    return Header(version, kind % 128, kind >= 128, record_length, data_offset, n_points, struct.unpack_from("<3d", b, 131), struct.unpack_from("<3d", b, 155), extent[1::2], extent[0::2], chunk)
+
+
+def read_chunk_sizes(fetch: Fetch, size: int, header: Header) -> list[int]:
+    """Byte sizes of a compressed file's chunks, from its chunk table."""
+    start = struct.unpack("<q", fetch(header.data_offset, 8))[0]
+    table = fetch(start, size - start)
+    _, n = struct.unpack_from("<II", table)
+    return decode_sizes(table[8:], n)
+
+
+def record_type(header: Header) -> np.dtype:
+    fields, at = ["x", "y", "z"], [0, 4, 8]
+    kinds = ["<i4"] * 3
+    if (colour := COLOUR_AT.get(header.point_format)) is not None:
+        fields, at, kinds = [*fields, "r", "g", "b"], [*at, colour, colour + 2, colour + 4], [*kinds, *["<u2"] * 3]
+    return np.dtype({"names": fields, "formats": kinds, "offsets": at, "itemsize": header.record_length})
+
+
+def decode_points(raw: bytes, header: Header, index: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns point_idx, xi to zi, x to z, r, g, b and a of whole records; files without colours are white."""
+    records = np.frombuffer(raw, record_type(header))
+    out = {"point_idx": index.astype(np.int64)} | {f"{a}i": records[a].astype(np.int32) for a in "xyz"}
+    out |= {a: records[a] * header.scale[k] + header.offset[k] for k, a in enumerate("xyz")}
+    for c in "rgb":
+        v = records[c].astype(np.int32) if c in records.dtype.names else np.full(len(records), 255, np.int32)
+        out[c] = np.where(v > 255, v // 256, v)
+    return out | {"a": np.full(len(records), 255, np.int32)}
+
+
+def read_chunk_points(fetch: Fetch, size: int, header: Header) -> dict[str, np.ndarray]:
+    """The first point of each chunk; compressed files keep it as a plain record."""
+    n, width = header.n_chunks, header.record_length
+    if header.compressed:
+        sizes = read_chunk_sizes(fetch, size, header)
+        n = min(n, len(sizes))
+        starts = header.data_offset + 8 + np.concatenate([[0], np.cumsum(sizes)])[:n]
+    else:
+        starts = header.data_offset + np.arange(n) * header.chunk_size * width
+    return decode_points(b"".join(fetch(int(s), width) for s in starts), header, np.arange(n) * header.chunk_size)
+
+
+def read_points(fetch: Fetch, header: Header, first: int, n: int) -> dict[str, np.ndarray]:
+    """Points first to first + n of an uncompressed file."""
+    if header.compressed:
+        raise NotImplementedError("points inside compressed chunks need an LAZ codec; chunk points can be read")
+    n = max(0, min(n, header.n_points - first))
+    return decode_points(fetch(header.data_offset + first * header.record_length, n * header.record_length), header, first + np.arange(n))
+
+
+def write_las(points: pd.DataFrame, scale: float = 0.01, version: int = 2, point_format: int = 2, chunk: int = CHUNK, compressed: bool = False, sizes: list[int] | None = None) -> bytes:
+    """A file of points (xi, yi, zi, r16, g16, b16). A compressed one has a chunk table and each chunk's first record; the rest of a chunk is left blank."""
+    colour = COLOUR_AT.get(point_format)
+    length = {0: 20, 2: 26, 3: 34, 5: 63, 7: 36, 8: 38, 10: 67}[point_format]
+    header_size, n = (375 if version >= 4 else 227), len(points)
+    vlr = struct.pack("<H16sHH32s", 0, b"laszip encoded", LASZIP, 46, b"") + struct.pack("<HHBBHII", 2, 0, 2, 2, 0, 0, chunk) + bytes(30) if compressed else b""
+    data = header_size + len(vlr)
+    h = bytearray(header_size)
+    h[:4], h[24], h[25] = b"LASF", 1, version
+    struct.pack_into("<HII", h, 94, header_size, data, 1 if compressed else 0)
+    struct.pack_into("<BH", h, 104, point_format + 128 * compressed, length)
+    struct.pack_into("<I", h, 107, 0 if version >= 4 else n)
+    if version >= 4:
+        struct.pack_into("<Q", h, 247, n)
+    struct.pack_into("<6d", h, 131, *[scale] * 3, 0, 0, 0)
+    raw = np.ascontiguousarray(points[["xi", "yi", "zi"]].to_numpy())
+    struct.pack_into("<6d", h, 179, *[float(v) * scale for k in range(3) for v in ((raw[:, k].max(), raw[:, k].min()) if n else (0, 0))])
+    records = np.zeros((n, length), np.uint8)
+    records[:, :12] = np.ascontiguousarray(raw.astype("<i4")).view(np.uint8).reshape(n, 12)
+    if colour is not None:
+        records[:, colour : colour + 6] = np.ascontiguousarray(points[["r16", "g16", "b16"]].to_numpy().astype("<u2")).view(np.uint8).reshape(n, 6)
+    if not compressed:
+        return bytes(h) + records.tobytes()
+    firsts = records[::chunk]
+    sizes = sizes or [length + 7 * (k % 5) for k in range(len(firsts))]
+    body = b"".join(f.tobytes().ljust(s, b"\0") for f, s in zip(firsts, sizes, strict=True))
+    return bytes(h) + vlr + struct.pack("<q", data + 8 + len(body)) + body + struct.pack("<II", 0, len(sizes)) + encode_sizes(sizes)
+
+
+HEADERS = "path string, version int, point_format int, compressed boolean, record_length int, data_offset bigint, n_points bigint, scale_x double, scale_y double, scale_z double, offset_x double, offset_y double, offset_z double, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, chunk_size bigint, n_chunks bigint, file_size bigint"
+TABLE = "path string, chunk_idx bigint, byte_size bigint"
+POINTS = "path string, point_idx bigint, xi int, yi int, zi int, x double, y double, z double, r int, g int, b int, a int"
+
+
+def header_row(path: str, size: int, h: Header) -> tuple:
+    return (path, h.version, h.point_format, h.compressed, h.record_length, h.data_offset, h.n_points, *h.scale, *h.offset, *h.low, *h.high, h.chunk_size, h.n_chunks, size)
+
+
+def _from_bytes(content: bytes) -> Fetch:
+    return lambda at, n: content[at : at + n]
+
+
+def _each(files: DataFrame, make: Callable[[str, bytes], pd.DataFrame], schema: str) -> DataFrame:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                yield make(path, content)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def headers_of(files: DataFrame) -> DataFrame:
+    """Headers of files (path, content), as the binaryFile source reads small ones."""
+    names = [c.split()[0] for c in HEADERS.split(", ")]
+    return _each(files, lambda p, b: pd.DataFrame([header_row(p, len(b), read_header(_from_bytes(b), len(b)))], columns=names), HEADERS)
+
+
+def chunk_tables_of(files: DataFrame) -> DataFrame:
+    def one(path: str, b: bytes) -> pd.DataFrame:
+        sizes = read_chunk_sizes(_from_bytes(b), len(b), read_header(_from_bytes(b), len(b)))
+        return pd.DataFrame({"path": path, "chunk_idx": np.arange(len(sizes)), "byte_size": sizes})
+
+    return _each(files, one, TABLE)
+
+
+def chunk_points_of(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The first point of every chunk; files that aren't compressed have no chunks of their own and get some of this size."""
+
+    def one(path: str, b: bytes) -> pd.DataFrame:
+        header = read_header(_from_bytes(b), len(b))
+        header = header if header.compressed else replace(header, chunk_size=chunk)
+        return pd.DataFrame({"path": path, **read_chunk_points(_from_bytes(b), len(b), header)})
+
+    return _each(files, one, POINTS)
+
+
+def points_of(files: DataFrame, first: int = 0, n: int = 1 << 62) -> DataFrame:
+    return _each(files, lambda p, b: pd.DataFrame({"path": p, **read_points(_from_bytes(b), read_header(_from_bytes(b), len(b)), first, n)}), POINTS)
+
+
+def chunk_offsets(sizes: DataFrame, key: list[str], data_offset: Column) -> DataFrame:
+    """byte_offset of each chunk (key, chunk_idx, byte_size): the data's offset, 8 bytes and the chunks before."""
+    before = Window.partitionBy(*key).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("byte_offset", (data_offset + 8 + F.coalesce(F.sum("byte_size").over(before), F.lit(0))).cast("long"))
+
+
+def even_chunks(headers: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Chunks of uncompressed files (n_points, data_offset, record_length): first point and byte_offset."""
+    firsts = F.sequence(F.lit(0).cast("long"), F.col("n_points") - 1, F.lit(chunk).cast("long"))
+    return headers.filter("n_points > 0").withColumn("first", F.explode(firsts)).withColumn("byte_offset", F.col("data_offset") + F.col("first") * F.col("record_length"))
+
+
+def encode_tiles(points: DataFrame, key: str = "tile_id", **options) -> DataFrame:
+    """A file (path, content) for each tile of points."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("point_idx")
+        return pd.DataFrame([(f"tile_{part[key].iloc[0]}.las", write_las(part, **options))], columns=["path", "content"])
+
+    return points.select(key, "point_idx", "xi", "yi", "zi", "r16", "g16", "b16").groupBy(key).applyInPandas(one, "path string, content binary")
+
+
+def is_point_file(path: Column) -> Column:
+    return F.lower(path).rlike("[.](las|laz)$")
+
+
+def list_files(spark: SparkSession, folder: str, recursive: bool = False, pattern: str = "*") -> DataFrame:
+    """path and length of files; their content isn't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(folder).select("path", "length")
+
+
+@dataclass
+class Part(InputPartition):
+    path: str
+    first: int = 0
+    n: int = -1
+
+
+class LasReader(DataSourceReader):
+    """what: headers, chunks, chunk_points or points; files of more than points_per_task points are read by several tasks."""
+
+    def __init__(self, options: dict[str, str]):
+        self.what = options.get("what", "points")
+        self.step = int(options.get("points_per_task", 5_000_000))
+        self.paths = self._paths(options["path"], options.get("recursive", "true") == "true")
+
+    @staticmethod
+    def _paths(path: str, recursive: bool) -> list[str]:
+        if os.path.isfile(path):
+            return [path]
+        found = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if recursive or d == path]
+        return sorted(f for f in found if f.lower().endswith((".las", ".laz")))
+
+    def partitions(self) -> list[Part]:
+        if self.what != "points":
+            return [Part(p) for p in self.paths]
+        parts = []
+        for p in self.paths:  # a header is 4 KB; the driver reads one per file to cut the large ones
+            with open(p, "rb") as f:
+                n = read_header(lambda at, k: (f.seek(at), f.read(k))[1], os.path.getsize(p)).n_points  # noqa: B023
+            parts += [Part(p, first, self.step) for first in range(0, max(n, 1), self.step)]
+        return parts
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        size = os.path.getsize(part.path)
+        with open(part.path, "rb") as f:
+
+            def fetch(at: int, n: int) -> bytes:
+                f.seek(at)
+                return f.read(n)
+
+            header = read_header(fetch, size)
+            if self.what == "headers":
+                rows = pd.DataFrame([header_row(part.path, size, header)], columns=[c.split()[0] for c in HEADERS.split(", ")])
+            elif self.what == "chunks":
+                sizes = read_chunk_sizes(fetch, size, header) if header.compressed else [min(header.chunk_size, header.n_points - k) * header.record_length for k in range(0, header.n_points, header.chunk_size)]
+                rows = pd.DataFrame({"path": part.path, "chunk_idx": np.arange(len(sizes)), "byte_size": np.array(sizes, np.int64)})
+            else:
+                found = read_chunk_points(fetch, size, header) if self.what == "chunk_points" else read_points(fetch, header, part.first, part.n)
+                rows = pd.DataFrame({"path": part.path, **found})
+            yield from pa.Table.from_pandas(rows, preserve_index=False).to_batches(max_chunksize=100_000)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    paths: list[str]
+
+
+class FilesWriter(DataSourceWriter):
+    """Writes rows of path and content as files below the option path."""
+
+    def __init__(self, options: dict[str, str]):
+        self.folder = options["path"]
+
+    def write(self, rows) -> Written:
+        done = []
+        for row in rows:
+            target = os.path.join(self.folder, row.path)
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(f"{target}.part", "wb") as f:  # a task that runs twice replaces its file as a whole
+                f.write(row.content)
+            os.replace(f"{target}.part", target)
+            done.append(target)
+        return Written(done)
+
+    def commit(self, messages) -> None:
+        pass
+
+    def abort(self, messages) -> None:
+        pass
+
+
+class LasSource(DataSource):
+    """``spark.read.format("las").option("what", ...).load(path)``: LAS and LAZ files of a folder that every task can open."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "las"
+
+    def schema(self) -> str:
+        return {"headers": HEADERS, "chunks": TABLE}.get(self.options.get("what", "points"), POINTS)
+
+    def reader(self, schema) -> LasReader:
+        return LasReader(self.options)
+
+
+class FilesSink(DataSource):
+    """``df.write.format("files").option("path", folder)``: rows of path and content become files."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "files"
+
+    def schema(self) -> str:
+        return "path string, content binary"
+
+    def writer(self, schema, overwrite) -> FilesWriter:
+        return FilesWriter(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    for source in (LasSource, FilesSink):
+        spark.dataSource.register(source)
+
+
+def read_chunk_point_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunk points of all files below a folder."""
+    register(spark)
+    return spark.read.format("las").option("what", "chunk_points").load(folder)
+
+
+def with_bounds(chunk_points: DataFrame) -> DataFrame:
+    """Chunk points with the number of points, the bounds and the mean colour that they give their file."""
+    bounds = [f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in "xyz"]
+    means = [F.floor(F.sum(k) / F.count("*")).cast("int").alias(f"mean_{k}") for k in "rgb"]
+    return chunk_points.join(chunk_points.groupBy("path").agg(*bounds, *means), "path")
