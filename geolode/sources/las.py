@@ -147,6 +147,13 @@ TABLE = "path string, chunk_idx bigint, byte_size bigint"
 POINTS = "path string, point_idx bigint, xi int, yi int, zi int, x double, y double, z double, r int, g int, b int, a int"
 
 
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in schema.split(", ")])
+
+
 def header_row(path: str, size: int, h: Header) -> tuple:
     return (path, h.version, h.point_format, h.compressed, h.record_length, h.data_offset, h.n_points, *h.scale, *h.offset, *h.low, *h.high, h.chunk_size, h.n_chunks, size)
 
@@ -273,7 +280,8 @@ class LasReader(DataSourceReader):
             else:
                 found = read_chunk_points(fetch, size, header) if self.what == "chunk_points" else read_points(fetch, header, part.first, part.n)
                 rows = pd.DataFrame({"path": part.path, **found})
-            yield from pa.Table.from_pandas(rows, preserve_index=False).to_batches(max_chunksize=100_000)
+            schema = arrow_schema({"headers": HEADERS, "chunks": TABLE}.get(self.what, POINTS))
+            yield from pa.Table.from_pandas(rows, schema, preserve_index=False).to_batches(max_chunksize=100_000)
 
 
 @dataclass
