@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,9 +30,9 @@ from pyspark.sql import types as T
 
 from geolode.llm.common import few
 
-MARK = "▁"
-#: Chunks kept by a Python worker, and the longest of them.
-KEPT, KEPT_CHARS = 300_000, 40
+MARK, NEVER, NONE, PAIR = "▁", float("-inf"), -(1 << 30), 4_000_000
+#: Chunks that a Python worker keeps, the longest of them, and pairs of pieces; up to twice as many stay.
+KEPT, KEPT_CHARS, KEPT_PAIRS = 250_000, 40, 400_000
 
 
 class Encoder:
@@ -58,16 +59,36 @@ class Encoder:
                 self.raw[i] = piece.replace(MARK, " ").encode()
         self.raw[self.unknown] = model.decode([self.unknown]).encode()
         self.text = {i: p for p, i in self.ids.items()}
+        self.sizes = [len(self.text.get(i, "")) for i in range(n)]
+        #: pieces that merging their characters gives; of each, the next shorter one that begins it
+        whole = {p: i for p, i in self.ids.items() if self.merged(p) == [i]}
+        self.shorter = [NONE] * n
         self.finder = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
+        for piece, i in whole.items():
+            self.shorter[i] = next((whole[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in whole), NONE)
             self.finder.add_word(piece, (len(piece), i))
         self.finder.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: what is known of pairs and chunks; the generation before comes back when it is asked for again
+        self.fits: dict[int, bool] = {}
+        self.fits_before: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
+        self.kept_before: dict[str, bytes] = {}
         assert not any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in self.ids), "pieces reach over chunk borders"
 
     def merged(self, chars: str) -> list[int]:
-        """Ids by merging neighbours, the highest score first."""
+        """Ids by merging neighbours, the highest score first, the leftmost of equals."""
+        if len(chars) <= 24:  # short ones without a heap
+            left = list(chars)
+            scores = [self.score.get(a + b, NEVER) for a, b in zip(left, left[1:], strict=False)]
+            while scores and (most := max(scores)) > NEVER:
+                k = scores.index(most)
+                left[k : k + 2] = [left[k] + left[k + 1]]
+                del scores[k]
+                if k:
+                    scores[k - 1] = self.score.get(left[k - 1] + left[k], NEVER)
+                if k < len(scores):
+                    scores[k] = self.score.get(left[k] + left[k + 1], NEVER)
+            return [self.ids.get(p, -1 - ord(p[0]) if len(p) == 1 else self.unknown) for p in left]
         parts: list[str | None] = list(chars)
         before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -92,58 +113,62 @@ class Encoder:
         return [self.ids.get(p, -1 - ord(p[0]) if len(p) == 1 else self.unknown) for p in parts if p is not None]
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging the characters of both pieces gives both again."""
-        known = self.fits.get((a, b))
+        """Whether merging the characters of both pieces gives both again; negative ids are characters without a piece."""
+        pair = a * PAIR + b
+        known = self.fits.get(pair)
         if known is None:
-            spell = lambda i: self.text[i] if i >= 0 else chr(-1 - i)
-            known = self.fits[a, b] = self.merged(spell(a) + spell(b)) == [a, b]
-            if len(self.fits) > 600_000:
-                self.fits.clear()
+            known = self.fits_before.get(pair)
+            if known is None:
+                spell = lambda i: self.text[i] if i >= 0 else chr(-1 - i)
+                known = self.merged(spell(a) + spell(b)) == [a, b]
+            if len(self.fits) >= KEPT_PAIRS:
+                self.fits_before, self.fits = self.fits, {}
+            self.fits[pair] = known
         return known
 
-    @functools.lru_cache(maxsize=100_000)  # noqa: B019  one encoder lives in a worker
-    def stable(self, piece: int) -> bool:
-        """Whether merging a piece's characters gives that piece."""
-        return self.merged(self.text[piece]) == [piece]
-
     def walked(self, chunk: str) -> list[int]:
         """Ids of a chunk by backtracking."""
-        # the pieces that start at each place; the longest is tried first
-        starts: list[list[tuple[int, int]]] = [[] for _ in chunk]
-        for last, (size, piece) in self.finder.iter(chunk):
-            starts[last + 1 - size].append((size, piece))
-        open_ends = bytearray(b"\1") * (len(chunk) + 1)
-        path: list[tuple[int, int]] = []
-        place, tried = 0, -1
-        while place < len(chunk):
-            options = starts[place] or [(1, -1 - ord(chunk[place]))]
-            before = path[-1][1] if path else None
-            k = len(options) - 1 if tried < 0 else tried
-            while k >= 0:
-                size, piece = options[k]
-                if open_ends[place + size] and (piece < 0 or self.stable(piece)) and (before is None or self.compatible(before, piece)):
-                    break
-                k -= 1
-            if k >= 0:
-                path.append((k, piece))
-                place, tried = place + size, -1
-            else:
+        n, fits, sizes, shorter = len(chunk), self.fits, self.sizes, self.shorter
+        longest = [NONE] * n
+        for last, (size, piece) in self.finder.iter(chunk):  # of one start, the longer come later
+            longest[last + 1 - size] = piece
+        open_ends = bytearray(b"\1") * (n + 1)
+        path: list[int] = []
+        place, piece = 0, longest[0]
+        if piece == NONE:
+            piece = -1 - ord(chunk[0])
+        while True:
+            if piece == NONE:
                 if not path:
                     return self.merged(chunk)
                 open_ends[place] = 0
-                tried, piece = path.pop()
-                place -= len(self.text[piece]) if piece >= 0 else 1
-        return [piece for _, piece in path]
+                piece = path.pop()
+                place -= sizes[piece] if piece >= 0 else 1
+            else:
+                end = place + (sizes[piece] if piece >= 0 else 1)
+                if open_ends[end]:
+                    fit = not path or fits.get(path[-1] * PAIR + piece)
+                    if fit is None:
+                        fit, fits = self.compatible(path[-1], piece), self.fits
+                    if fit:
+                        path.append(piece)
+                        if end == n:
+                            return path
+                        place, piece = end, longest[end]
+                        if piece == NONE:
+                            piece = -1 - ord(chunk[end])
+                        continue
+            piece = shorter[piece] if piece >= 0 else NONE
 
     def chunk(self, chunk: str) -> bytes:
         """Little-endian ids of a chunk."""
-        ids = self.merged(chunk) if MARK * 2 in chunk else self.walked(chunk)
-        if min(ids) < 0:  # characters without a piece: their bytes
-            ids = [x for i in ids for x in ([i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode()])]
-        packed = np.array(ids, "<u4").tobytes()
+        packed = self.kept_before.get(chunk)
+        if packed is None:
+            ids = self.merged(chunk) if MARK * 2 in chunk else self.walked(chunk)
+            if min(ids) < 0:  # characters without a piece: their bytes
+                ids = [x for i in ids for x in ([i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode()])]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= KEPT_CHARS:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
             self.kept[chunk] = packed
         return packed
 
@@ -151,8 +176,9 @@ class Encoder:
         """Little-endian ids of a text, without begin and end."""
         if not text:
             return b""
-        kept = self.kept
-        out = []
+        if len(self.kept) >= KEPT:
+            self.kept_before, self.kept = self.kept, {}
+        kept, out = self.kept, []
         for line in (MARK + text.replace(" ", MARK)).split("\n"):
             out.append(self.newline)
             # each chunk: a run of space marks and what follows up to the next
