@@ -47,9 +47,12 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: the same merges for words that normalising and splitting would leave as they are
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         pieces = self.tokenizer.get_vocab()
         #: whether an id ends a word
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
@@ -63,11 +66,22 @@ class WordTokenizer:
         self.before, self.kept = self.kept, {}
         self.kept.update(zip(("", ",", "."), self.each(["", ",", "."]), strict=True))
 
-    def each(self, words: list[str]) -> list[bytes]:
-        return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def each(self, words: list[str], plain: bool = False) -> list[bytes]:
+        coder = self.plain if plain else self.tokenizer
+        return [np.array(c.ids, "<u4").tobytes() for c in coder.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn_letters(self, words: list[str], plain: bool) -> None:
+        """Words of letters alone are encoded together, as each then ends with one id that ends a word."""
+        some = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)]
+        raw = b"".join(self.each(some, plain))
+        cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
+        if len(cuts) == len(words):
+            self.kept.update(zip(words, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        else:  # some letter falls into several when it is normalised
+            self.kept.update(zip(words, self.each(words), strict=True))
 
     def learn(self, new: set[str]) -> None:
-        """Adds the words to kept; those of letters are encoded together, as each then ends with one id that ends a word."""
+        """Adds the words to kept."""
         kept, before, core = self.kept, self.before, {}
         kept.update((w, before[w]) for w in new if w in before)
         for w in new.difference(before):
@@ -76,15 +90,9 @@ class WordTokenizer:
         missing = set(core.values()).difference(kept)
         kept.update((w, before[w]) for w in missing if w in before)
         missing = missing.difference(before)
-        letters = [w for w in missing if w.isalpha()]
-        if letters:
-            ids = np.frombuffer(self.each([" ".join(letters)])[0], "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(letters):
-                raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-                kept.update(zip(letters, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-            else:  # some letter falls into several when it is normalised
-                kept.update(zip(letters, self.each(letters), strict=True))
+        for plain in (True, False):
+            if letters := [w for w in missing if w.isascii() == plain and w.isalpha()]:
+                self.learn_letters(letters, plain)
         others = list(missing.difference(kept))
         kept.update(zip(others, self.each(others), strict=True))
         kept.update((w, kept[c] + kept[w[-1]] if len(c) < len(w) else kept[c]) for w, c in core.items() if w != c)
