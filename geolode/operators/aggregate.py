@@ -5,20 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolode.functions import columns as C
+
 
 def mean_colour(df: DataFrame, *keys: str) -> DataFrame:
     """Whole-number mean of r, g and b and the number of rows by keys."""
     return df.groupBy(*keys).agg(*[F.floor(F.sum(c) / F.count("*")).cast("int").alias(c) for c in "rgb"], F.count("*").alias("n"))
 
 
-def depth_buffer(fragments: DataFrame, depth: str = "depth", colour: str = "colour", keys: tuple[str, ...] = ("ix", "iy")) -> DataFrame:
-    """Of each pixel the nearest fragment's depth and colour; equal depths take the smaller colour."""
-    return fragments.groupBy(*keys).agg(F.min(F.struct(depth, colour)).alias("f")).select(*keys, f"f.{depth}", f"f.{colour}")
+#: Pixels of a picture whose least depths may be broadcast (some 30 bytes each).
+BROADCAST_PIXELS = 1 << 20
+
 
+def depth_buffer(fragments: DataFrame, keys: tuple[str, ...] = ("ix", "iy")) -> DataFrame:
+    """Of each pixel the nearest fragment's depth (in thousandths, below 2 million) and colour (32 bits); equal depths take the smaller colour.
+
+    Both are packed into one long, so the minimum is a hash aggregate that combines before the shuffle.
+    """
+    both = F.round(F.col("depth") * 1000).cast("long") * C.U32 + F.col("colour").cast("long")
+    packed = fragments.groupBy(*keys).agg(F.min(both).alias("p"))
+    colour = F.pmod("p", F.lit(C.U32))
+    return packed.select(*keys, ((F.col("p") - colour) / F.lit(C.U32) / 1000.0).alias("depth"), colour.alias("colour"))
 
-def smooth_colours(fragments: DataFrame, tolerance: float = 1.01, keys: tuple[str, ...] = ("ix", "iy")) -> DataFrame:
-    """Of each pixel the mean colour of the fragments at up to tolerance times the least depth."""
+
+def smooth_colours(fragments: DataFrame, pixels: int, tolerance: float = 1.01, keys: tuple[str, ...] = ("ix", "iy")) -> DataFrame:
+    """Of each pixel the mean colour of the fragments at up to tolerance times the least depth.
+
+    The least depths are at most one row per pixel of the picture, which is broadcast if the picture is not too large; then no fragment is
+    shuffled, and a pixel with very many of them is no skew.
+    """
     front = fragments.groupBy(*keys).agg(F.min("depth").alias("front"))
+    front = F.broadcast(front) if pixels <= BROADCAST_PIXELS else front
     near = fragments.join(front, list(keys)).filter(F.col("depth") < F.col("front") * tolerance)
     return mean_colour(near, *keys)
 

@@ -73,30 +73,33 @@ def _circles(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a + u, (u * u).sum(1)
 
 
-def locate(points: np.ndarray, faces: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lowest face that holds each point of at (OUTSIDE if none) and the three weights there."""
-    found, weights = np.full(len(at), OUTSIDE), np.zeros((len(at), 3))
-    for number, f in enumerate(faces):
-        a, b, c = points[f]
-        box = ((at >= np.min((a, b, c), 0) - 1e-9) & (at <= np.max((a, b, c), 0) + 1e-9)).all(1) & (found == OUTSIDE)
-        near = np.flatnonzero(box)
-        if not len(near):
-            continue
-        q = at[near]
+def locate(points: np.ndarray, faces: np.ndarray, extent: float, resolution: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest face that holds each grid point (OUTSIDE if none) and the three weights there. Each face looks only at the grid points of its box."""
+    step, low = extent / resolution, -extent / 2
+    at = low + np.arange(resolution) * step
+    found, weights = np.full((resolution, resolution), OUTSIDE), np.zeros((resolution, resolution, 3))
+    corners = points[faces]
+    first = np.clip(np.ceil((corners.min(1) - low) / step - 1e-6), 0, resolution).astype(int)
+    last = np.clip(np.floor((corners.max(1) - low) / step + 1e-6) + 1, 0, resolution).astype(int)
+    for number, (a, b, c) in enumerate(corners):
+        (i0, j0), (i1, j1) = first[number], last[number]
         whole = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
-        if whole == 0:
+        if i0 >= i1 or j0 >= j1 or whole == 0:
             continue
-        u = ((b[1] - c[1]) * (q[:, 0] - c[0]) + (c[0] - b[0]) * (q[:, 1] - c[1])) / whole
-        v = ((c[1] - a[1]) * (q[:, 0] - c[0]) + (a[0] - c[0]) * (q[:, 1] - c[1])) / whole
-        w = np.column_stack([u, v, 1 - u - v])
-        inside = (w >= -1e-9).all(1)
-        found[near[inside]], weights[near[inside]] = number, w[inside]
-    return found, weights
+        x, y = at[None, i0:i1] - c[0], at[j0:j1, None] - c[1]
+        u = ((b[1] - c[1]) * x + (c[0] - b[0]) * y) / whole
+        v = ((c[1] - a[1]) * x + (a[0] - c[0]) * y) / whole
+        w = 1 - u - v
+        inside = (u >= -1e-9) & (v >= -1e-9) & (w >= -1e-9) & (found[j0:j1, i0:i1] == OUTSIDE)
+        found[j0:j1, i0:i1][inside] = number
+        weights[j0:j1, i0:i1][inside] = np.stack([u[inside], v[inside], w[inside]], 1)
+    return found.ravel(), weights.reshape(-1, 3)
 
 
 def nearest(points: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Number of the nearest point, the first of equals."""
-    return np.concatenate([((part[:, None] - points[None]) ** 2).sum(2).argmin(1) for part in np.array_split(at, max(1, len(at) // 1024))])
+    dx, dy = at[:, :1] - points[:, 0], at[:, 1:] - points[:, 1]
+    return (dx * dx + dy * dy).argmin(1)
 
 
 def interpolate(points: np.ndarray, values: np.ndarray, resolution: int, extent: float = 1.0) -> dict[str, np.ndarray]:
@@ -105,7 +108,7 @@ def interpolate(points: np.ndarray, values: np.ndarray, resolution: int, extent:
     near = values[nearest(points, at)]
     padded = np.vstack([points, CORNERS])
     faces = triangulate(padded)
-    found, weights = locate(padded, faces, at)
+    found, weights = locate(padded, faces, extent, resolution)
     touches = (faces >= len(points)).any(1)
     mask = np.where((found == OUTSIDE) | touches[found], OUTSIDE, 0)
     linear = near.copy()
@@ -128,7 +131,7 @@ def crop(raster: np.ndarray, resolution: int, to: int) -> np.ndarray:
     return raster.reshape(resolution, resolution, -1)[edge : edge + to, edge : edge + to].reshape(to * to, -1)
 
 
-MAPS = "px int, py int, n int, blank boolean, height array<double>, rgb array<array<double>>, mask array<int>"
+MAPS = "px int, py int, n int, blank boolean, height array<double>, red array<double>, green array<double>, blue array<double>, mask array<int>"
 
 
 def heightmaps(context: DataFrame, resolution: int = C.CONTEXT_TEXELS, learned: int = C.TEXELS, method: str = "linear", model: Model | None = None) -> DataFrame:
@@ -141,7 +144,7 @@ def heightmaps(context: DataFrame, resolution: int = C.CONTEXT_TEXELS, learned:
     def one(part: pd.DataFrame) -> pd.DataFrame:
         px, py, n = int(part["px"].iloc[0]), int(part["py"].iloc[0]), len(part)
         if n < LEAST_SAMPLES:
-            return pd.DataFrame([(px, py, n, True, None, None, None)], columns=NAMES)
+            return pd.DataFrame([(px, py, n, True, None, None, None, None, None)], columns=NAMES)
         part = part.sort_values(["lx", "ly", "lz", "r", "g", "b"])
         centre, base = (np.array([px, py]) + 0.5) * C.PATCH, part["lz"].mean()
         xy = (part[["lx", "ly"]].to_numpy() - centre) / C.RADIUS * C.STRETCH
@@ -155,12 +158,12 @@ def heightmaps(context: DataFrame, resolution: int = C.CONTEXT_TEXELS, learned:
             picture = np.column_stack([made.reshape(len(made), -1).T, picture[:, len(made) :]])
             radius = C.RADIUS_OUT
         mask = crop(rasters["mask"][:, None], resolution, learned)[:, 0]
-        return pd.DataFrame([(px, py, n, False, picture[:, 0] / 10 * radius + base, picture[:, 1:].tolist(), mask)], columns=NAMES)
+        return pd.DataFrame([(px, py, n, False, picture[:, 0] / 10 * radius + base, *picture[:, 1:].T, mask.astype(np.int32))], columns=NAMES)
 
     return context.select("px", "py", "lx", "ly", "lz", "r", "g", "b").groupBy("px", "py").applyInPandas(one, MAPS)
 
 
-NAMES = ["px", "py", "n", "blank", "height", "rgb", "mask"]
+NAMES = [c.split()[0] for c in MAPS.split(", ")]
 
 
 def faces(context: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def geo_crop(t):
 def geo_gen_rgb(t):
     maps = heightmap.heightmaps(contexts(t))
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v, lambda s: F.round(s / (C.TEXELS * C.TEXELS), 4))
-    return maps.select("px", "py", "n", "blank", mean(c("height")).alias("height"), *[mean(F.transform("rgb", lambda p: p[k])).alias(a) for k, a in enumerate("rgb")])  # noqa: B023
+    return maps.select("px", "py", "n", "blank", *[mean(c(a)).alias(a) for a in ("height", "red", "green", "blue")])
 
 
 @query("geo_gen_h")

@@ -156,7 +156,7 @@ def agg_hq_depth(t):
 @query("agg_hq_color", _FRAG + """;; SELECT ix, iy, CAST(floor(sum(r) / count(*)) AS INT) AS r, CAST(floor(sum(g) / count(*)) AS INT) AS g, CAST(floor(sum(b) / count(*)) AS INT) AS b, count(*) AS n
   FROM (SELECT *, min(depth) OVER (PARTITION BY ix, iy) AS front FROM fr) q WHERE depth < front * 1.01e0 GROUP BY ix, iy""")
 def agg_hq_color(t):
-    return aggregate.smooth_colours(fragments(t))
+    return aggregate.smooth_colours(fragments(t), CAMERA.width * CAMERA.height)
 
 
 def edges(t):

@@ -42,7 +42,7 @@ def test_linear_fields_come_back_and_weights_sum_to_one():
     assert known.mean() > 0.7 and np.allclose(out["linear"][known][:, 0], 2 * at[known][:, 0] - 3 * at[known][:, 1] + 1)
     assert np.allclose(out["linear"][~known], out["nearest"][~known])
     faces = H.triangulate(np.vstack([p, H.CORNERS]))
-    found, weights = H.locate(np.vstack([p, H.CORNERS]), faces, at)
+    found, weights = H.locate(np.vstack([p, H.CORNERS]), faces, 1.0, 48)
     assert np.allclose(weights[found >= 0].sum(1), 1) and (weights[found >= 0] >= -1e-8).all()
     touching = (faces[found] >= len(p)).any(1)
     assert ((out["mask"] == H.OUTSIDE) == (touching | (found == H.OUTSIDE))).all()
@@ -62,7 +62,7 @@ def frame(spark, n, dx=0.0):
 def test_patches_of_few_samples_are_blank_and_moves_change_nothing(spark):
     assert H.heightmaps(frame(spark, 24), 16, 16).first().blank
     here, there = (H.heightmaps(frame(spark, 90, dx), 16, 16).first() for dx in (0, 3))
-    assert np.allclose(here.height, there.height) and here.mask == there.mask and np.allclose(here.rgb, [[100 / 256, 50 / 256, 25 / 256]] * 256)
+    assert np.allclose(here.height, there.height) and here.mask == there.mask and np.allclose(here.red, 100 / 256) and np.allclose(here.blue, 25 / 256)
 
 
 def test_models_see_both_maps(spark):
