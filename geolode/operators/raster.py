@@ -14,10 +14,20 @@ EDGES = [(a, b) for a in range(8) for b in range(8) if a < b and (a ^ b) in (1,
 SIDES = [(0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5)]
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once for each row.
+
+    A filter on projected columns is pushed below the projection, which repeats its long expressions in every comparison; it
+    stays above a generator, here of a single row.
+    """
+    one = F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
+    return df.select("*", one)
+
+
 def point_fragments(points: DataFrame, camera: Camera, colour: Column) -> DataFrame:
     """Fragments ix, iy, depth, colour of the points that the picture shows; depth is rounded to a thousandth."""
-    px, py, w = camera.screen(F.col("x"), F.col("y"), F.col("z"))
-    at = points.select(px.alias("fx"), py.alias("fy"), w.alias("w"), colour.alias("colour"), *[c for c in "rgb" if c in points.columns])
+    names = [c for c in "rgb" if c in points.columns]
+    at = _once(points.select(*"xyz", colour.alias("colour"), *names), dict(zip(("fx", "fy", "w"), camera.screen(F.col("x"), F.col("y"), F.col("z")), strict=True))).select("fx", "fy", "w", "colour", *names)
     shown = at.filter(camera.in_picture(F.col("fx"), F.col("fy"), F.col("w")))
     return shown.withColumns({"ix": F.floor("fx").cast("int"), "iy": F.floor("fy").cast("int"), "depth": F.round("w", 3)}).drop("fx", "fy", "w")
 
