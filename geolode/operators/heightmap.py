@@ -134,6 +134,16 @@ def crop(raster: np.ndarray, resolution: int, to: int) -> np.ndarray:
 MAPS = "px int, py int, n int, blank boolean, height array<double>, red array<double>, green array<double>, blue array<double>, mask array<int>"
 
 
+def by_patch(context: DataFrame):
+    """context grouped by patch, over all shuffle partitions.
+
+    A patch is little data and much work. Adaptive execution would put many into one task for their size, but for a number of
+    partitions that is asked for, by a key of its own: the join before has dealt by px and py already.
+    """
+    parts = int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return context.withColumn("deal", F.xxhash64("px", "py")).repartition(parts, "deal").groupBy("deal", "px", "py")
+
+
 def heightmaps(context: DataFrame, resolution: int = C.CONTEXT_TEXELS, learned: int = C.TEXELS, method: str = "linear", model: Model | None = None) -> DataFrame:
     """A row per patch of context (px, py, lx, ly, lz, r, g, b): its central learned x learned raster of heights and colours.
 
@@ -160,7 +170,7 @@ def heightmaps(context: DataFrame, resolution: int = C.CONTEXT_TEXELS, learned:
         mask = crop(rasters["mask"][:, None], resolution, learned)[:, 0]
         return pd.DataFrame([(px, py, n, False, picture[:, 0] / 10 * radius + base, *picture[:, 1:].T, mask.astype(np.int32))], columns=NAMES)
 
-    return context.select("px", "py", "lx", "ly", "lz", "r", "g", "b").groupBy("px", "py").applyInPandas(one, MAPS)
+    return by_patch(context.select("px", "py", "lx", "ly", "lz", "r", "g", "b")).applyInPandas(one, MAPS)
 
 
 NAMES = [c.split()[0] for c in MAPS.split(", ")]
@@ -175,7 +185,7 @@ def faces(context: DataFrame) -> DataFrame:
         found = triangulate(np.vstack([xy, CORNERS]))
         return pd.DataFrame({"px": px, "py": py, "face": np.arange(len(found)), **{f"v{k}": found[:, k] for k in range(3)}, "padded": (found >= len(xy)).any(1)})
 
-    return context.select("px", "py", "lx", "ly").groupBy("px", "py").applyInPandas(one, "px int, py int, face int, v0 int, v1 int, v2 int, padded boolean")
+    return by_patch(context.select("px", "py", "lx", "ly")).applyInPandas(one, "px int, py int, face int, v0 int, v1 int, v2 int, padded boolean")
 
 
 def exploded(maps: DataFrame, size: int = C.TEXELS) -> DataFrame:
