@@ -148,3 +148,18 @@ def inside(values: list[Column], lows: list[Column], highs: list[Column]) -> Col
 def overlaps(low_a: list[Column], high_a: list[Column], low_b: list[Column], high_b: list[Column]) -> Column:
     """Boxes that touch or overlap."""
     return reduce(lambda a, b: a & b, [(la <= hb) & (lb <= ha) for la, ha, lb, hb in zip(low_a, high_a, low_b, high_b, strict=True)])
+
+
+def shaded(channel_value: Column, diffuse: float = 1.0) -> Column:
+    """Channel of a lit fragment; light is even by default."""
+    return F.floor(channel_value * F.lit(diffuse)).cast("int")
+
+
+def drawn(alpha: Column, least: int = 150) -> Column:
+    """Whether a fragment of that alpha is drawn at all."""
+    return alpha >= least
+
+
+def animation(time: Column, start: float, duration: float) -> Column:
+    """Progress of an animation, 0 to 1."""
+    return clamp((time - start) / duration, 0.0, 1.0)

@@ -155,12 +155,8 @@ def heightmaps(context: DataFrame, resolution: int = C.CONTEXT_TEXELS, learned:
         px, py, n = int(part["px"].iloc[0]), int(part["py"].iloc[0]), len(part)
         if n < LEAST_SAMPLES:
             return pd.DataFrame([(px, py, n, True, None, None, None, None, None)], columns=NAMES)
-        part = part.sort_values(["lx", "ly", "lz", "r", "g", "b"])
-        centre, base = (np.array([px, py]) + 0.5) * C.PATCH, part["lz"].mean()
-        xy = (part[["lx", "ly"]].to_numpy() - centre) / C.RADIUS * C.STRETCH
-        values = np.column_stack([(part["lz"].to_numpy() - base) / C.RADIUS * 10, part[["r", "g", "b"]].to_numpy() / 256.0])
-        xy, first = np.unique(xy, axis=0, return_index=True)
-        rasters = interpolate(xy, values[first], resolution)
+        xy, values, base = _samples(part)
+        rasters = interpolate(xy, values, resolution)
         picture = crop(rasters[method], resolution, learned)
         radius = C.RADIUS
         if model is not None:
@@ -192,3 +188,44 @@ def exploded(maps: DataFrame, size: int = C.TEXELS) -> DataFrame:
     """px, py, i, j, height and mask of every texel."""
     cells = maps.filter("NOT blank").select("px", "py", F.posexplode(F.arrays_zip("height", "mask")).alias("k", "cell"))
     return cells.select("px", "py", (F.col("k") % size).alias("i"), F.floor(F.col("k") / size).cast("int").alias("j"), "cell.height", "cell.mask")
+
+
+def _samples(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Normalised places and values (height, r, g, b) of a patch's distinct samples, and their mean height."""
+    part = part.sort_values(["lx", "ly", "lz", "r", "g", "b"])
+    centre, base = (part[["px", "py"]].iloc[0].to_numpy(float) + 0.5) * C.PATCH, part["lz"].mean()
+    xy, first = np.unique((part[["lx", "ly"]].to_numpy() - centre) / C.RADIUS * C.STRETCH, axis=0, return_index=True)
+    values = np.column_stack([(part["lz"].to_numpy() - base) / C.RADIUS * 10, part[["r", "g", "b"]].to_numpy() / 256.0])
+    return xy, values[first], base
+
+
+INPUTS = "px int, py int, base double, patch_hm_nearest array<double>, patch_hm_linear array<double>, patch_rgb_nearest array<double>, patch_rgb_linear array<double>"
+
+
+def model_inputs(context: DataFrame, resolution: int = C.CONTEXT_TEXELS) -> DataFrame:
+    """The input maps of each patch that has enough samples, flat, channel by channel."""
+    names = [c.split()[0] for c in INPUTS.split(", ")]
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) < LEAST_SAMPLES:
+            return pd.DataFrame(columns=names)
+        xy, values, base = _samples(part)
+        maps = model_input(interpolate(xy, values, resolution), resolution)
+        return pd.DataFrame([(part["px"].iloc[0], part["py"].iloc[0], base, *[maps[n].ravel() for n in names[3:]])], columns=names)
+
+    return by_patch(context.select("px", "py", "lx", "ly", "lz", "r", "g", "b")).applyInPandas(one, INPUTS)
+
+
+def infer(inputs: DataFrame, model: Model, batch: int = 16, resolution: int = C.CONTEXT_TEXELS) -> DataFrame:
+    """px, py and the heights that a model of stacked maps (batch x channels x n x n) gives, however many it gets at once."""
+
+    def run(parts):
+        for part in parts:
+            for at in range(0, len(part), batch):
+                some = part.iloc[at : at + batch]
+                maps = {n: np.stack(some[n].to_numpy()).reshape(len(some), -1, resolution, resolution) for n in some.columns[3:]}
+                made = model(maps)[:, 0].reshape(len(some), -1)
+                heights = made / 10 * C.RADIUS_OUT + some["base"].to_numpy()[:, None]
+                yield pd.DataFrame({"px": some["px"], "py": some["py"], "height": list(heights)})
+
+    return inputs.mapInPandas(run, "px int, py int, height array<double>")

@@ -38,7 +38,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from geolode.plans import aggregations, geometry, incremental, joins, projections, scans, views  # noqa: F401
+    from geolode.plans import aggregations, details, geometry, incremental, joins, projections, scans, views  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
