@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -39,76 +41,70 @@ RANKED = 200_000
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
-class WordTokenizer:
-    """Little-endian ids of texts. White space only separates words for this kind of tokenizer, so words are encoded once and kept.
+def _byte_letters() -> dict[int, str]:
+    """Letters up to ÿ -> how a byte-level tokenizer writes their lower case: printable bytes as themselves, others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    written = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(written[b] for b in chr(c).lower().encode()) for c in range(256) if chr(c).isalpha() and chr(c) not in "ªµº"}
+
+
+LETTERS = _byte_letters()
+#: Letters and ASCII punctuation behind them, which is split off; an apostrophe may begin a word of its own.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+
 
-    A word of ASCII letters has the ids of its lower case, and ``,`` or ``.`` behind its letters is a word of its own.
+class _Words(dict):
+    """Little-endian ids of words, found as they are asked for; up to twice KEPT stay.
+
+    A word of Latin letters has the ids of its lower case, and the punctuation behind its letters is a word of its own. Such
+    letters are left by normalising and never split, so their bytes go straight to the merges.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: the same merges for words that normalising and splitting would leave as they are
-        self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        pieces = self.tokenizer.get_vocab()
-        #: whether an id ends a word
-        self.ends = np.zeros(max(pieces.values()) + 1, bool)
-        self.ends[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
-        self.kept: dict[str, bytes] = {}
-        #: words of the generation before, which come back when they are seen again
+        self.merges = self.tokenizer.model.tokenize
+        #: words of the generation before, which come back when they are asked for again
         self.before: dict[str, bytes] = {}
-        self.renew()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            if m := _WORD.fullmatch(word):
+                letters, tail = m[1].lower(), m[2]
+                if tail or letters != word:
+                    ids = self[letters] + (self[tail] if tail else b"")
+                else:
+                    found = [t.id for t in self.merges(word.translate(LETTERS))]
+                    ids = _PACKED[len(found)](*found) if len(found) < len(_PACKED) else np.array(found, "<u4").tobytes()
+            else:
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= KEPT_CHARS:
+            self[word] = ids
+        return ids
 
     def renew(self) -> None:
-        self.before, self.kept = self.kept, {}
-        self.kept.update(zip(("", ",", "."), self.each(["", ",", "."]), strict=True))
-
-    def each(self, words: list[str], plain: bool = False) -> list[bytes]:
-        coder = self.plain if plain else self.tokenizer
-        return [np.array(c.ids, "<u4").tobytes() for c in coder.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn_letters(self, words: list[str], plain: bool) -> None:
-        """Words of letters alone are encoded together, as each then ends with one id that ends a word."""
-        some = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)]
-        raw = b"".join(self.each(some, plain))
-        cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
-        if len(cuts) == len(words):
-            self.kept.update(zip(words, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
-        else:  # some letter falls into several when it is normalised
-            self.kept.update(zip(words, self.each(words), strict=True))
-
-    def learn(self, new: set[str]) -> None:
-        """Adds the words to kept."""
-        kept, before, core = self.kept, self.before, {}
-        kept.update((w, before[w]) for w in new if w in before)
-        for w in new.difference(before):
-            stem = w[:-1] if w[-1] in ",." and w[-2:-1].isalpha() and len(w[-2].lower()) == 1 else w
-            core[w] = stem.lower() if stem.isascii() and stem.isalpha() else stem
-        missing = set(core.values()).difference(kept)
-        kept.update((w, before[w]) for w in missing if w in before)
-        missing = missing.difference(before)
-        for plain in (True, False):
-            if letters := [w for w in missing if w.isascii() == plain and w.isalpha()]:
-                self.learn_letters(letters, plain)
-        others = list(missing.difference(kept))
-        kept.update(zip(others, self.each(others), strict=True))
-        kept.update((w, kept[c] + kept[w[-1]] if len(c) < len(w) else kept[c]) for w, c in core.items() if w != c)
+        if len(self) > KEPT:
+            self.before = dict(self)
+            self.clear()
+
+
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
+class WordTokenizer:
+    """Little-endian ids of texts. White space only separates words for this kind of tokenizer, so words are encoded once and kept."""
+
+    def __init__(self, path: str):
+        self.words = _Words(path)
+        self.tokenizer = self.words.tokenizer
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.kept) > KEPT:
-            self.renew()
-        if new := set().union(*parts).difference(self.kept):
-            self.learn(new)
-        got = self.kept.__getitem__
-        out = [b"".join(map(got, p)) for p in parts]
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                self.kept.pop(w, None)
-        return out
+        self.words.renew()
+        found = self.words.__getitem__
+        return [b"".join(map(found, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 @functools.lru_cache(maxsize=2)
