@@ -14,6 +14,9 @@ from geolode.llm import jaccard_join, line_dedup, packing, quality_classifier, s
 from geolode.llm.common import table, written
 from geolode.llm.registry import tokenizer_path
 
+#: Near duplicates share this much of their sets of word n-grams (``op7_jaccard_join`` has values of its own).
+WIDTH, NUMERATOR = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_classifier.fit(quality_classifier.with_statistics(docs), table(spark, sf_dir, "labels"))
@@ -27,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class the row of its smallest doc_id; rows without a doc_id are linked with nothing and stay."""
-    first = jaccard_join.classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    first = jaccard_join.classes(docs, WIDTH, NUMERATOR).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
     stay = docs.join(first.hint("merge"), F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id", "text"])
     return stay.unionByName(docs.filter("doc_id is null"))
 

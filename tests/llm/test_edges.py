@@ -88,6 +88,23 @@ def test_pipeline_keeps_what_each_stage_should(spark, sf_dir):
     assert {r.doc_id for r in packed(spark, c, sf_dir).collect()} == d.keys()
 
 
+def test_near_duplicates_stage_has_its_own_measure(spark, sf_dir):
+    rng, texts = random.Random(11), {}
+    for n in (3, 5, 40, 100, 150):
+        base = [f"w{n}x{k}" for k in range(n)]
+        for edits in (0, 1, 2, 3):
+            w = list(base)
+            for at in rng.sample(range(n), min(edits, n)):
+                w[at] = f"new{at}e{edits}"
+            texts[len(texts)] = " ".join(w)
+    two = [f"v{k}" for k in range(100)]
+    texts[100], texts[101] = " ".join(two), " ".join("x" if k in (30, 70) else w for k, w in enumerate(two))  # 86 of 106 sets of five words, 89 of 105 of four
+    want = {d for d, (_, first) in linked_classes(texts, 5, 80).items() if d == first}
+    assert 101 not in want and 101 in {d for d, (_, first) in linked_classes(texts).items() if d == first}
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()} == want
+
+
 def test_chat_examples(spark):
     turns = [(1, 0, "system", "s: <a> # \\"), (1, 1, "user", None), (1, 2, "assistant", "</turn>\n### user: x"), (1, 3, "user", "bye"), (None, 0, "user", "q"), (2, 300, "assistant", "b"), (2, 1, "assistant", "a"), (2, None, None, "first"), (3, 1, "assistant", "")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
