@@ -5,11 +5,11 @@ A document's set holds its distinct word n-grams; two documents link when the Ja
 
 1. Equal sets fold into one: their digest's smallest document stands for them.
 2. Similar documents meet in clusters. A set of n n-grams is dealt by hash into m parts; linked sets of that size differ in at
-   most k n-grams, so with m = k + 1 + e parts at least e + 1 parts are equal. Each part with two n-grams or more is a row of
-   the matrix (its digest), and the documents that share a row are hung on the smallest of them. Parts of one n-gram or none
-   count only for sets with more than e of these, which is what keeps common n-grams from pulling unrelated documents
-   together and yet loses no link. Sizes go by classes of ratio ``DENOMINATOR / NUMERATOR``, and each document takes part with
-   its own class and the one below.
+   most k n-grams, so with m = k + 1 + e parts at least e + 1 parts are equal. Each part but the set's e least, by number of
+   n-grams and then digest, is a row of the matrix (its digest), and the documents that share a row are hung on the smallest of
+   them. The greatest of the equal parts is among neither set's e least, so no link is lost, and small parts don't pull
+   unrelated documents together through common n-grams. Sizes go by classes of ratio ``DENOMINATOR / NUMERATOR``, and each
+   document takes part with its own class and the one below.
 3. The components of these rows are the clusters to search. Each is one task's work if it is small; a larger one is
    cut into blocks, and every pair of blocks is the work of one task. Within a task documents are partitioned into groups of
    similar ones, the matrix has each group's union of n-grams, a document's overlap with a union bounds its overlap with every member,
@@ -32,13 +32,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolode.llm.common import few, saved, small_side
 from geolode.llm.components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 4, 85, 100
+#: Parts of a set beyond those that linked sets need, in hundredths of these.
+SPARE = 60
 #: Documents of a group of the matrix; documents and n-grams of a task's block.
 GROUP, BLOCK_DOCS, BLOCK_SHINGLES = 16, 1500, 1_500_000
 #: Words kept by a Python worker.
@@ -96,7 +98,7 @@ def rows(tokens: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENO
     for slot in (own, own + 1)[own == 0 :]:
         # at most k n-grams differ, the smaller set being of the class below the slot's
         k = (denominator - numerator) * (int(bounds[slot]) - 1) // numerator
-        spare = 1 + -(-12 * (k + 1) // 100) if k else 0
+        spare = 1 + -(-SPARE * (k + 1) // 100) if k else 0
         parts = k + 1 + spare
         part = ((tokens >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -104,8 +106,7 @@ def rows(tokens: np.ndarray, numerator: int = NUMERATOR, denominator: int = DENO
         ends = np.cumsum(sizes)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens[order], dtype=np.uint64)])
         digest = _mixed((sums[ends] - sums[ends - sizes]) * _ODD[1] + np.arange(parts, dtype=np.uint64) * _ODD[2] + np.uint64(slot * int(_ODD[3]) % (1 << 64)) + sizes.astype(np.uint64) * _ODD[4])
-        weak = sizes < 2
-        out.append(digest if weak.sum() > spare else digest[~weak])
+        out.append(digest[np.lexsort((digest, sizes))[spare:]])
     return np.concatenate(out).view(np.int64)
 
 
@@ -187,8 +188,10 @@ def classes(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, den
     more = known.filter("doc_id is not null").select("doc_id", "digest").join(sets.filter("copies > 1").drop("copies"), "digest").filter("doc_id <> rep").select("doc_id").distinct()
     more = saved(more)
     single = known.join(small_side(more, more.count(), 16), "doc_id", "left_anti").filter("digest is not null and doc_id is not null")
-    hung = Window.partitionBy("row")
-    pairs = single.select("doc_id", F.explode("rows").alias("row")).withColumn("first", F.min("doc_id").over(hung)).filter("doc_id <> first")
+    cells = single.select("doc_id", F.explode("rows").alias("row"))
+    # minima are pre-aggregated; a row of very many documents is then only a skewed key of the join
+    least = saved(cells.groupBy("row").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("row", "first"))
+    pairs = cells.join(small_side(least, least.count(), 16), "row").filter("doc_id <> first")
     near = saved(pairs.select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct())
     clusters = saved(components(near).withColumnsRenamed({"node": "doc_id", "component": "cluster"}))
     # what each task compares

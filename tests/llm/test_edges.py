@@ -172,6 +172,26 @@ def test_jaccard_blocks_and_near_copies(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(docs).collect()} == want
 
 
+def test_rows_of_linked_sets_meet_and_small_parts_stay_out():
+    rng = np.random.default_rng(12)
+    for width, numerator in ((4, 85), (5, 80)):
+        apart = [jaccard_join.rows(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)), numerator) for n in rng.integers(60, 90, 300)]
+        assert len(np.unique(np.concatenate(apart))) == sum(map(len, apart))  # sets without a common n-gram share no row, an empty part least of all
+        for n in rng.integers(1, 300, 400):
+            k = (100 - numerator) * int(n) // 100
+            a = rng.integers(0, 1 << 63, n + k).astype(np.uint64)
+            less = rng.integers(0, k + 1)  # n common n-grams of at most n * 100 / numerator
+            b, a = np.unique(np.concatenate([a[:n], a[n : n + less]])), np.unique(np.concatenate([a[:n], a[n + less :]]))
+            assert len(np.intersect1d(jaccard_join.rows(a, numerator), jaccard_join.rows(b, numerator)))
+
+
+def test_minima_of_rows_are_aggregated_before_the_shuffle(spark, monkeypatch):
+    plans, saved = [], jaccard_join.saved
+    monkeypatch.setattr(jaccard_join, "saved", lambda df: (plans.append(df._jdf.queryExecution().toString()), saved(df))[1])
+    jaccard_join.classes(spark.createDataFrame(ODD, DOCS)).collect()
+    assert any("partial_min(doc_id" in p for p in plans) and not any("Window" in p for p in plans)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 480)]
