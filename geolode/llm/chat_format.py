@@ -6,11 +6,14 @@ stay in the output. A turn is written as ``### role: text</turn>`` and a line en
 and ``#`` (in roles ``:`` too) become a backslash and a letter, so no text can hold a control string, and reading back
 undoes it.
 
-Conversations are handled in blocks of 256 turn numbers: an example is written as one part for each block up to its own,
-and parts are dealt out over all tasks, so a very long conversation neither meets in one task nor in one row.
+Conversations are handled in blocks of 256 turn numbers; where so many rows have neighbouring or equal turn numbers (or none) that a
+block would hold over ``CROWDED`` of them, these are sorted over all tasks and cut into blocks of 256 rows. An example is
+written as one part for each block up to its own, and parts are dealt out over all tasks, so a very long conversation neither meets in
+one task nor in one row. The part of an example's own block is made where the block is; only conversations of several blocks are joined with
+the blocks before. (``digests`` needs all turns of a conversation in one row, as they are one input of a hash; a row holds up to 2 GB.)
 
 Turns are ordered by turn number (nulls first), then role and text. Null role or text counts as empty, and rows with a null
-conv_id form one conversation. Repeated rows are turns of their own, in one block. An empty table gives no examples. Further
+conv_id form one conversation. Repeated rows are turns of their own. An empty table gives no examples. Further
 columns are ignored.
 """
 
@@ -21,7 +24,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 256
+from geolode.llm.common import saved, small_side
+
+#: Turn numbers of a block, and rows beyond which a block is cut by rows.
+BLOCK, CROWDED = 256, 1024
 OPEN, BETWEEN, CLOSE = "### ", ": ", "</turn>\n"
 #: What is escaped, backslash first, and by which letter.
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
@@ -42,33 +48,59 @@ def _written(turn: Column) -> Column:
 
 
 def blocks(turns: DataFrame) -> DataFrame:
-    """conv_id, block and its turns in order."""
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """Key (conv, none: whether conv_id is null), block (number, cut) and its turns in order."""
     number = F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-(1 << 62)))
-    return turns.select("conv_id", number.alias("block"), turn.alias("t")).groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    keyed = turns.select(
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"),
+        F.col("conv_id").isNull().alias("none"),
+        number.alias("number"),
+        F.col("turn").cast("long").alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    key = ["conv", "none", "number"]
+    crowded = saved(keyed.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).drop("n"))
+    n = crowded.count()
+    cut = keyed.withColumn("cut", F.lit(0).cast("long"))
+    if n:
+        order = [*key, "turn", "role", "text"]
+        many = keyed.join(small_side(crowded, n, 32), key).repartitionByRange(*order).sortWithinPartitions(*order)
+        # the running number rises over the sorted tasks
+        many = many.withColumn("cut", F.floor(F.monotonically_increasing_id() / BLOCK).cast("long"))
+        cut = cut.join(small_side(crowded, n, 32), key, "left_anti").unionByName(many)
+    turn = F.struct("turn", "role", "text")
+    grouped = cut.withColumn("block", F.struct("number", "cut")).groupBy("conv", "none", "block").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    return grouped
 
 
 def examples(turns: DataFrame) -> DataFrame:
-    """A row per example and part: conv_id, block and place (of the example's last turn), part, text, loss_start, loss_end.
+    """A row per example and part: conv_id, block and place (of the example's last turn), part, text, complete, loss_start, loss_end.
 
-    The example's text is its parts in order; the code points from loss_start to loss_end (exclusive) of its last part are
-    trainable. Both are null in other parts and in examples without a trainable part.
+    The example's text is its parts in order; complete says that the part has all turns of its block. The code points from loss_start to
+    loss_end (exclusive) of its last part are trainable. Both are null in other parts and in examples without a trainable part.
     """
-    grouped = blocks(turns)
-    places = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: F.col("turns")[i]["role"] == ASSISTANT)
-    targets = grouped.select("conv_id", "block", F.explode(places).alias("place"), F.lit(True).alias("trained"))
+    grouped, key = blocks(turns), ["conv", "none"]
     last = F.max(F.struct("block", (F.size("turns") - 1).alias("place"), F.element_at("turns", -1)["role"].alias("role")))
-    tails = grouped.groupBy("conv_id").agg(last.alias("last")).filter(F.col("last.role") != ASSISTANT)
-    ends = targets.unionByName(tails.select("conv_id", "last.block", "last.place", F.lit(False).alias("trained")))
-    parts = grouped.select(F.col("conv_id").alias("of"), F.col("block").alias("part"), "turns")
-    joined = ends.join(parts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("part") <= F.col("block")))
-    own = F.col("part") == F.col("block")
-    text = F.array_join(F.transform(F.when(own, F.slice("turns", F.lit(1), F.col("place") + 1)).otherwise(F.col("turns")), _written), "")
+    ends = grouped.groupBy(*key).agg(last.alias("last"), F.count("*").alias("blocks"))
+    tails = ends.filter(F.col("last.role") != ASSISTANT).select(*key, F.col("last.block").alias("block"), F.col("last.place").alias("tail"))
+    places = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: F.col("turns")[i]["role"] == ASSISTANT)
+    places = F.when(F.col("tail").isNotNull(), F.concat(places, F.array("tail"))).otherwise(places)
+    # grouped stays where it is, dealt by conversation and block
+    own = grouped.join(tails, [*key, "block"], "left").withColumn("place", F.explode(places))
+    conv_id = F.when(~F.col("none"), F.col("conv")).alias("conv_id")
+    target = F.col("turns")[F.col("place")]
+    own = own.withColumns({"text": F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("place") + 1), _written), ""), "size": F.when(target["role"] == ASSISTANT, F.length(escaped(target["text"], ESCAPES)))})
     end = F.length("text") - len(CLOSE)
-    target = F.col("turns")[F.col("place")]["text"]
-    trained = own & F.col("trained")
-    df = joined.select("conv_id", "block", "place", "part", text.alias("text"), F.when(trained, F.length(escaped(target, ESCAPES))).alias("size"))
-    return df.select("conv_id", "block", "place", "part", "text", (end - F.col("size")).cast("long").alias("loss_start"), F.when(F.col("size").isNotNull(), end).cast("long").alias("loss_end"))
+    first = own.select(conv_id, "block", "place", F.col("block").alias("part"), "text", (F.col("place") + 1 == F.size("turns")).alias("complete"), (end - F.col("size")).cast("long").alias("loss_start"), F.when(F.col("size").isNotNull(), end).cast("long").alias("loss_end"))
+    long = saved(ends.filter("blocks > 1").select(*key))
+    n = long.count()
+    if not n:
+        return first
+    long = small_side(long, n, 16)
+    parts = grouped.join(long, key).select(*key, F.col("block").alias("part"), F.array_join(F.transform("turns", _written), "").alias("text"))
+    whole = own.join(long, key).select(*key, "block", "place").join(parts, key).filter(F.col("part") < F.col("block"))
+    none = F.lit(None).cast("long")
+    return first.unionByName(whole.select(conv_id, "block", "place", "part", "text", F.lit(True).alias("complete"), none.alias("loss_start"), none.alias("loss_end")))
 
 
 def read_turns(text: Column) -> Column:
@@ -85,18 +117,12 @@ def read_loss(text: Column, start: Column, end: Column) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """A row per conversation, read back from its examples: the last one holds all turns, and each one its own trainable text."""
+    """A row per conversation, read back from its examples: complete parts hold all turns, and each example its own trainable text."""
     loss = F.when(F.col("loss_end").isNotNull(), read_loss(F.col("text"), F.col("loss_start"), F.col("loss_end")))
-    whole = (
-        formatted.groupBy("conv_id", "block", "place")
-        .agg(F.array_join(F.sort_array(F.collect_list(F.struct("part", "text")))["text"], "").alias("text"), F.max(loss).alias("loss"))
-        .withColumn("at", F.struct("block", "place"))
-    )
-    df = whole.groupBy("conv_id").agg(
-        F.sum(F.length("text")).cast("long").alias("formatted_chars"),
-        F.max_by("text", "at").alias("text"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("at", "loss"))))["loss"], "").alias("loss"),
-    )
+    # what is measured and read before the shuffle: lengths, trainable texts, and one copy of each complete part in a task
+    read = formatted.select("conv_id", F.length("text").alias("chars"), F.when(F.col("complete"), F.struct("part", "text")).alias("whole"), F.when(loss.isNotNull(), F.struct("block", "place", loss.alias("loss"))).alias("loss"))
+    joined = lambda parts, field: F.array_join(F.sort_array(parts)[field], "")
+    df = read.groupBy("conv_id").agg(F.sum("chars").cast("long").alias("formatted_chars"), joined(F.collect_set("whole"), "text").alias("text"), joined(F.collect_list("loss"), "loss").alias("loss"))
     df = df.withColumn("turns", read_turns(F.col("text")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return df.select(
