@@ -62,29 +62,32 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     n_lines and n_dup_lines count lines that have a word; n_repeat_words counts the words inside three-word windows that
     occur twice or more in the text, the first occurrence included.
     """
-    w, h, s, p = (F.col(f"__{k}") for k in "whsp")
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    w, h, s, p = (F.col(f"{mark}{k}") for k in "whsp")
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumns({"__w": words(F.col(text)), "__l": F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    df = df.withColumns({"n_words": F.size("__w").cast("long"), "__j": F.array_join("__w", ""), "__h": F.when(F.size("__w") >= 3, F.transform(F.sequence(F.lit(0), F.size("__w") - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))).otherwise(F.array().cast("array<bigint>"))})
+    df = docs.withColumns({f"{mark}w": words(F.col(text)), f"{mark}l": F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    df = df.withColumns({"n_words": F.size(f"{mark}w").cast("long"), f"{mark}j": F.array_join(f"{mark}w", ""), f"{mark}h": F.when(F.size(f"{mark}w") >= 3, F.transform(F.sequence(F.lit(0), F.size(f"{mark}w") - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))).otherwise(F.array().cast("array<bigint>"))})
     df = df.withColumns(
         {
-            "word_chars": F.length("__j").cast("long"),
-            "n_symbols": F.regexp_count("__j", F.lit(f"[{SYMBOLS}]")).cast("long"),
-            "n_shouts": F.regexp_count("__j", F.lit("!!")).cast("long"),
-            "n_stop_words": F.size(F.filter("__w", lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long"),
-            "n_lines": F.size("__l").cast("long"),
-            "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
+            "word_chars": F.length(f"{mark}j").cast("long"),
+            "n_symbols": F.regexp_count(f"{mark}j", F.lit(f"[{SYMBOLS}]")).cast("long"),
+            "n_shouts": F.regexp_count(whole, F.lit("!!")).cast("long"),
+            "n_stop_words": F.size(F.filter(f"{mark}w", lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long"),
+            "n_lines": F.size(f"{mark}l").cast("long"),
+            "n_dup_lines": (F.size(f"{mark}l") - F.size(F.array_distinct(f"{mark}l"))).cast("long"),
             # windows by hash and place, only where some hash occurs twice
-            "__s": F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.sort_array(F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))),
+            f"{mark}s": F.when(F.size(F.array_distinct(f"{mark}h")) < F.size(f"{mark}h"), F.sort_array(F.transform(f"{mark}h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))),
         }
     )
-    last = F.size("__s") - 1
+    last = F.size(f"{mark}s") - 1
     twice = lambda k: (F.when(k > 0, s[k].h == s[k - 1].h).otherwise(False)) | (F.when(k < last, s[k].h == s[k + 1].h).otherwise(False))
-    df = df.withColumn("__p", F.when(s.isNotNull(), F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), last), twice), lambda k: s[k].i))))
+    df = df.withColumn(f"{mark}p", F.when(s.isNotNull(), F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), last), twice), lambda k: s[k].i))))
     # the k-th window adds the words that the one before doesn't reach
-    covered = F.aggregate(F.sequence(F.lit(0), F.size("__p") - 1), F.lit(0), lambda n, k: n + F.when(k == 0, 3).otherwise(F.least(F.lit(3), p[k] - p[k - 1])))
+    covered = F.aggregate(F.sequence(F.lit(0), F.size(f"{mark}p") - 1), F.lit(0), lambda n, k: n + F.when(k == 0, 3).otherwise(F.least(F.lit(3), p[k] - p[k - 1])))
     df = df.withColumn("n_repeat_words", F.when(p.isNotNull(), covered).otherwise(0).cast("long"))
-    return df.drop("__w", "__l", "__j", "__h", "__s", "__p")
+    return df.drop(f"{mark}w", f"{mark}l", f"{mark}j", f"{mark}h", f"{mark}s", f"{mark}p")
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -105,7 +108,7 @@ def _rules_sql() -> str:
 
 ORACLE_SQL = rf"""
 WITH t AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+  SELECT doc_id, coalesce(text, '') AS whole, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 win AS (
@@ -117,7 +120,7 @@ rep AS (
 c AS (
   SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(array_to_string(ws, ''), '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(len(regexp_extract_all(array_to_string(ws, ''), '!!')) AS BIGINT) AS n_shouts,
+         CAST(len(regexp_extract_all(whole, '!!')) AS BIGINT) AS n_shouts,
          CAST(len(list_filter(ws, lambda w: list_contains([{", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))}], lower(w)))) AS BIGINT) AS n_stop_words,
          CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
