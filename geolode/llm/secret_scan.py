@@ -5,7 +5,8 @@ scanned and what was found. A scan takes one representative of each blob that th
 cost nothing, and joins the findings back to all paths that hold the blob.
 
 Only addresses are grouped, never texts of one blob: a group of copies, however large, is folded before the shuffle. Texts move
-once, to the join with the blobs to scan. Null text counts as empty; an empty text has no findings. Repeated rows each get the findings of
+once, to the join with the blobs to scan; with a ledger of most blobs these are few and go to the texts instead, if their measured size allows.
+Repeated rows of one key and blob arrive next to each other and are scanned once. Null text counts as empty; an empty text has no findings. Repeated rows each get the findings of
 their blob; rows with a null key too. An empty table gives no rows. Further columns are ignored.
 """
 
@@ -62,13 +63,25 @@ def _scanned(blobs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in few(batches):
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t or "")] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["blob", "spans"])
+            found, spans = [], []
+            for blob, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if blob != last:
+                    last = blob
+                    found.append(blob)
+                    spans.append([{"kind": k, "start": a, "end": b} for k, a, b in find_spans(text.as_py() or "")])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(spans, kind)], ["blob", "spans"])
 
     return blobs.select("blob", "text").mapInArrow(run, f"blob binary, spans {SPANS}")
 
 
+def _hits_side(hits: DataFrame) -> DataFrame:
+    """hits, with a broadcast hint if its measured size allows."""
+    n, spans = hits.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    return small_side(hits, 80 * n + 40 * (spans or 0), 1)
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Findings (key, blob, spans; a row per version) and the ledger (blob, rule_version, spans) with the new scans.
 
@@ -80,13 +93,14 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, key: str = "doc_i
     if ledger is not None:
         unseen = unseen.join(ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
     unseen = saved(unseen.withColumnRenamed("blob", "wanted"))
-    # each blob once: the rows of its first key, of which repeated ones are folded below
-    rows = addressed.join(unseen.hint("merge"), F.col("key").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("wanted")), "left_semi")
+    # each blob once: the rows of its first key
+    wanted = unseen.hint("merge") if ledger is None else small_side(unseen, unseen.count(), 60)
+    rows = addressed.join(wanted, F.col("key").eqNullSafe(F.col("first")) & (F.col("blob") == F.col("wanted")), "left_semi")
     new = _scanned(rows).dropDuplicates(["blob"]).select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans")
     new = saved(new)
     whole = new if ledger is None else ledger.unionByName(new)
     hits = whole.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
-    found = paths.join(small_side(hits, hits.count(), 500), "blob", "left")
+    found = paths.join(_hits_side(hits), "blob", "left")
     none = F.array().cast(SPANS)
     return found.select(F.col("key").alias(key), "blob", F.coalesce("spans", none).alias("spans")), whole
 
@@ -104,24 +118,37 @@ def summary(found: DataFrame) -> DataFrame:
     return found.withColumns(counts | {"base_sha256": F.sha2(listed(base), 256)}).withColumn("spans", listed(F.col("spans")))
 
 
+MARK = "[secret]"
+
+
+def cleaned(text: str, spans: list[dict]) -> str:
+    """text with MARK for each run of spans that overlap; spans by start. One pass, whatever their number."""
+    out, at = [], 0
+    for k, span in enumerate(spans):
+        if k and span["start"] < at:
+            at = max(at, span["end"])
+            continue
+        out += [text[at : span["start"]], MARK]
+        at = span["end"]
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets in text replaced by a mark and n_chars set anew where the text changed; all columns and rows stay."""
     found, _ = scan(docs)
-    hits = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("__key"), F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__key", "__blob"])
-    hits = saved(hits)
-    joined = docs.join(small_side(hits, hits.count(), 500), F.col("doc_id").eqNullSafe(F.col("__key")) & (address(F.col("text")) == F.col("__blob")), "left")
-    # built-in functions rebuild the text: what stands between the merged spans, with the mark in between
-    merged = F.aggregate(
-        "__spans",
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(
-            F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-        ),
-    )
-    joined = joined.withColumn("__merged", F.when(F.col("__spans").isNotNull(), merged))
-    m = F.col("__merged")
-    piece = lambda i: F.substring(F.col("text"), F.when(i == 0, 1).otherwise(m[i - 1]["end"] + 1).cast("int"), (m[i]["start"] - F.when(i == 0, 0).otherwise(m[i - 1]["end"])).cast("int"))
-    cleaned = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.concat(piece(i), F.lit("[secret]"))), ""), F.substring(F.col("text"), (F.element_at(m, -1)["end"] + 1).cast("int"), F.length("text")))
-    text = F.when(m.isNotNull(), cleaned).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(m.isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast("long")} if "n_chars" in docs.columns else {})
-    return joined.withColumns(changed).select(*docs.columns)
+    hits = saved(found.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]))
+    hits = hits.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    joined = docs.join(_hits_side(hits.withColumnRenamed("__spans", "spans")).withColumnRenamed("spans", "__spans"), address(F.col("text")) == F.col("__blob"), "left").select(*docs.columns, "__spans")
+    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches):
+            spans, rest = batch.column(batch.num_columns - 1), batch.columns[:-1]
+            if spans.null_count < len(spans):
+                texts = [cleaned(t.as_py(), s.as_py()) if s.is_valid else t.as_py() for t, s in zip(rest[at], spans, strict=True)]
+                if count is not None:
+                    rest[count] = pa.array([len(t) if s.is_valid else n.as_py() for n, t, s in zip(rest[count], texts, spans, strict=True)], rest[count].type)
+                rest[at] = pa.array(texts, rest[at].type)
+            yield pa.RecordBatch.from_arrays(rest, docs.columns)
+
+    return joined.mapInArrow(run, docs.schema)
