@@ -1,9 +1,11 @@
 """Line dedup by a log-template tree, with built-in expressions only.
 
 A line falls through a tree of fixed depth: number of tokens, then the leading tokens. Tokens with a digit are fields and
-count as ``<*>`` everywhere. In a leaf, a position whose most frequent token stands in more than half of the leaf's distinct lines is
-constant, every other one is a field: that is the leaf's template, if enough of it is constant. Lines that agree with it in
-``AGREE`` of their positions belong to it, and other lines are templates of their own. A template that
+count as ``<*>`` everywhere. A leaf holds several templates, which ``LEVELS`` more levels of the tree tell apart. In a group of a leaf's
+distinct lines, a position behind the leading tokens is constant if one token stands there in more than half of them. If enough of these positions
+are constant, that is a template, and the lines that have all its constants belong to it; the rest of the group goes on to the next level. Otherwise the
+group is split at the position where the most lines have a token that at least a ``SHARE``-th of the group has there: each such token begins a
+group of the next level, and lines with other tokens form one more. Lines that no template has taken in the end are templates of their own. A template that
 occurs in ``LEAST_DOCS`` or more different texts is recurring; its lines stay in the text that has it first (by doc_id, and
 in exact copies of that text) and are dropped elsewhere.
 
@@ -25,8 +27,10 @@ from geolode.llm.common import saved, small_side
 
 #: Leading tokens of the tree; texts that make a template recurring; tokens of a line that may be dropped.
 DEPTH, LEAST_DOCS, LEAST_TOKENS = 3, 3, 3
-#: Constant tokens of a template at least, as a number and in tenths of the line; positions that agree, in tenths.
-CONSTANT, CONSTANT_TENTHS, AGREE_TENTHS = 4, 5, 8
+#: Constant tokens behind the leading ones that make a template: at least so many, and so many tenths of the tokens there.
+CONSTANT, CONSTANT_TENTHS = 2, 6
+#: Levels of the tree below the leading tokens; a token that a group may be split by stands in this share of its lines.
+LEVELS, SHARE = 4, 16
 FIELD = "<*>"
 
 
@@ -43,16 +47,41 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"leaf": F.xxhash64("n", _masked(F.substring_index("line", " ", DEPTH))), "full": F.xxhash64(_masked(F.col("line")))})
 
 
+def _level(lines: DataFrame, level: int) -> DataFrame:
+    """lines (grp, full, w) with template (null: none yet) and next, their group of the next level (null: they leave the tree)."""
+    total = lines.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.size("w")).alias("m")).filter("n > 1")
+    words = lines.select("grp", F.posexplode("w").alias("at", "word")).groupBy("grp", "at", "word").agg(F.count("*").alias("c")).filter("c > 1")
+    often = words.join(total, "grp").filter(SHARE * F.col("c") >= F.col("n"))
+    # at most SHARE tokens a position
+    places = often.groupBy("grp", "at").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("c").alias("lines"), F.max(F.struct("c", "word")).alias("top"), F.collect_list("word").alias("words"))
+    fixed = 2 * F.col("top.c") > F.col("n")
+    shape = places.groupBy("grp").agg(
+        F.first("m").alias("m"),
+        F.collect_list(F.when(fixed, F.struct("at", F.col("top.word").alias("word")))).alias("constants"),
+        F.max(F.when(~fixed, F.struct("lines", (-F.col("at")).alias("before"), "words"))).alias("split"),
+    )
+    size = F.size("constants")
+    shape = saved(shape.withColumn("general", (size >= CONSTANT) & (10 * size >= CONSTANT_TENTHS * F.col("m"))))
+    weight = shape.agg(F.count("*"), F.sum(F.size("constants") + F.coalesce(F.size("split.words"), F.lit(0)))).first()
+    joined = lines.join(small_side(shape, 60 * weight[0] + 40 * (weight[1] or 0), 1), "grp", "left")
+    own = F.col("w")[-F.col("split.before")]
+    rest = F.xxhash64("grp", F.lit("rest"), F.lit(level))
+    following = F.when(F.col("general"), rest).when(F.array_contains("split.words", own), F.xxhash64("grp", F.col("split.before"), own)).when(F.col("split").isNotNull(), rest)
+    belongs = F.col("general") & F.forall("constants", lambda x: F.col("w")[x["at"]] == x["word"])
+    return joined.select("full", "w", F.when(belongs, F.xxhash64("grp", F.lit("template"))).alias("template"), following.alias("next"))
+
+
 def templates(distinct: DataFrame) -> DataFrame:
     """full and template (a hash) of distinct masked lines (leaf, full, line)."""
-    words = distinct.select("leaf", F.posexplode(F.split("line", " ")).alias("at", "word")).groupBy("leaf", "at", "word").agg(F.count("*").alias("c"))
-    top = words.groupBy("leaf", "at").agg(F.max(F.struct("c", "word")).alias("top"), F.sum("c").alias("all"))
-    shape = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", F.when(2 * F.col("top.c") > F.col("all"), F.col("top.word")).alias("word"))))["word"].alias("shape"))
-    own = F.split("line", " ")
-    constant = F.size(F.filter("shape", lambda w: w.isNotNull()))
-    agree = F.size(F.filter(F.zip_with(own, "shape", lambda a, b: b.isNull() | (a == b)), lambda x: x))
-    general = (constant >= CONSTANT) & (10 * constant >= CONSTANT_TENTHS * F.size(own)) & (10 * agree >= AGREE_TENTHS * F.size(own))
-    return distinct.join(shape, "leaf").select("full", F.when(general, F.col("leaf")).otherwise(F.col("full")).alias("template"))
+    at = distinct.select(F.col("leaf").alias("grp"), "full", F.slice(F.split("line", " "), DEPTH + 1, 1 << 30).alias("w"))
+    found = at.filter(F.size("w") == 0).select("full", F.col("full").alias("template"))
+    at = at.filter(F.size("w") > 0)
+    for level in range(LEVELS):
+        done = saved(_level(at, level))
+        last = F.lit(level == LEVELS - 1) | F.col("next").isNull() | F.col("template").isNotNull()
+        found = found.unionByName(done.filter(last).select("full", F.coalesce("template", "full").alias("template")))
+        at = done.filter(~last).select(F.col("next").alias("grp"), "full", "w")
+    return found
 
 
 def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -67,7 +96,7 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
     often = tagged.groupBy("template", "copy").agg(F.min(F.struct("doc_id", "copy")).alias("first")).groupBy("template").agg(F.count("*").alias("c"), F.min("first").alias("first"))
     often = saved(often.filter(F.col("c") >= LEAST_DOCS).select("template", F.col("first.copy").alias("keeps")))
     gone = tagged.join(small_side(often, often.count(), 24), "template").filter(F.col("copy") != F.col("keeps"))
-    return gone.groupBy("doc_id", "copy").agg(F.array_distinct(F.collect_list("i")).alias("i"))
+    return gone.groupBy("doc_id", "copy").agg(F.collect_set("i").alias("i"))  # repeated rows fold before the shuffle
 
 
 def dedup(docs: DataFrame, text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
@@ -77,11 +106,12 @@ def dedup(docs: DataFrame, text: str = "text", n_lines: str = "n_lines", n_dropp
     # the texts are dealt by document in every case, so that one plan holds at any size
     joined = docs.withColumn("__own", F.xxhash64(whole)).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__copy")), "left")
     parts = F.split(whole, "\n")
-    kept = F.array_join(F.filter(parts, lambda x, k: ~F.array_contains("__gone", k)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    kept = F.array_join(F.transform(stay, lambda k: F.col("__parts")[k]), "\n")
     dropped = F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0)
     new = {text: F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(text)), n_lines: F.size(parts).cast("long"), n_dropped: dropped.cast("long")}
     rest = [F.col(c) for c in docs.columns if c not in new]
-    return joined.select(*rest, *[c.alias(k) for k, c in new.items()])
+    return joined.withColumn("__parts", parts).select(*rest, *[c.alias(k) for k, c in new.items()])
 
 
 def summary(docs: DataFrame) -> DataFrame:
@@ -90,6 +120,26 @@ def summary(docs: DataFrame) -> DataFrame:
     return dedup(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def _level_sql(k: int) -> str:
+    """Level k of the tree, from l{k} (grp, leaf, line, w) to r{k} with template and next."""
+    return rf"""
+n{k} AS (SELECT grp, count(*) AS n, max(len(w)) AS m FROM l{k} GROUP BY grp HAVING count(*) > 1),
+c{k} AS (SELECT grp, pos, w[pos] AS word, count(*) AS c FROM (SELECT grp, w, unnest(range(1, len(w) + 1)) AS pos FROM l{k}) q GROUP BY 1, 2, 3 HAVING count(*) > 1),
+o{k} AS (SELECT c.*, n, m FROM c{k} c JOIN n{k} n ON c.grp = n.grp WHERE {SHARE} * c >= n),
+p{k} AS (SELECT grp, pos, any_value(n) AS n, any_value(m) AS m, sum(c) AS lines, max(c) AS top, arg_max(word, c) AS word, list(word) AS words FROM o{k} GROUP BY grp, pos),
+g{k} AS (SELECT grp, count(*) AS size FROM p{k} WHERE 2 * top > n GROUP BY grp HAVING count(*) >= {CONSTANT} AND 10 * count(*) >= {CONSTANT_TENTHS} * any_value(m)),
+s{k} AS (SELECT grp, pos, words FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY lines DESC, pos) AS rank FROM p{k} WHERE 2 * top <= n) q WHERE rank = 1),
+b{k} AS (SELECT l.grp, l.leaf, l.line FROM l{k} l JOIN g{k} g ON l.grp = g.grp JOIN p{k} p ON l.grp = p.grp AND 2 * p.top > p.n
+         GROUP BY l.grp, l.leaf, l.line HAVING bool_and(l.w[p.pos] = p.word)),
+r{k} AS (
+  SELECT l.leaf, l.line, l.w, CASE WHEN b.line IS NOT NULL THEN 'template ' || l.grp END AS template,
+         CASE WHEN g.grp IS NOT NULL THEN l.grp || ' rest' WHEN list_contains(s.words, l.w[s.pos]) THEN l.grp || ' ' || s.pos || '=' || l.w[s.pos] WHEN s.grp IS NOT NULL THEN l.grp || ' rest' END AS next
+  FROM l{k} l LEFT JOIN g{k} g ON l.grp = g.grp LEFT JOIN s{k} s ON l.grp = s.grp LEFT JOIN b{k} b ON l.grp = b.grp AND l.line = b.line),
+l{k + 1} AS (SELECT next AS grp, leaf, line, w FROM r{k} WHERE template IS NULL AND next IS NOT NULL)"""
+
+
+_LEVELS_SQL = ",".join(_level_sql(k) for k in range(LEVELS))
+_FOUND_SQL = " UNION ALL ".join(f"SELECT leaf, line, coalesce(template, 'line ' || line) AS template FROM r{k}{' WHERE template IS NOT NULL OR next IS NULL' if k < LEVELS - 1 else ''}" for k in range(LEVELS))
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 e AS (SELECT doc_id, text, i, trim(ls[i], ' ') AS line FROM (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) q),
@@ -99,18 +149,9 @@ l AS (
 m AS (SELECT *, n || '/' || array_to_string(string_split(line, ' ')[1:{DEPTH}], ' ') AS leaf FROM l),
 hot AS (SELECT leaf FROM m GROUP BY leaf HAVING count(DISTINCT text) >= {LEAST_DOCS}),
 u AS (SELECT DISTINCT leaf, line FROM m WHERE leaf IN (SELECT leaf FROM hot)),
-w AS (SELECT leaf, p, string_split(line, ' ')[p] AS word FROM (SELECT leaf, line, unnest(range(1, len(string_split(line, ' ')) + 1)) AS p FROM u) q),
-c AS (SELECT leaf, p, word, count(*) AS c FROM w GROUP BY leaf, p, word),
-t AS (
-  SELECT leaf, p, word, c, row_number() OVER (PARTITION BY leaf, p ORDER BY c DESC, word DESC) AS k, sum(c) OVER (PARTITION BY leaf, p) AS a FROM c),
-s AS (SELECT leaf, p, CASE WHEN 2 * c > a THEN word END AS word FROM t WHERE k = 1),
-v AS (
-  SELECT u.leaf, u.line, count(s.word) AS constant, count(*) AS n,
-         count(*) FILTER (WHERE s.word IS NULL OR s.word = string_split(u.line, ' ')[s.p]) AS agree
-  FROM u JOIN s ON u.leaf = s.leaf GROUP BY u.leaf, u.line),
-k AS (
-  SELECT leaf, line, CASE WHEN constant >= {CONSTANT} AND 10 * constant >= {CONSTANT_TENTHS} * n AND 10 * agree >= {AGREE_TENTHS} * n
-                          THEN 'leaf ' || leaf ELSE 'line ' || line END AS template FROM v),
+v AS (SELECT leaf, line, string_split(line, ' ')[{DEPTH + 1}:] AS w FROM u),
+l0 AS (SELECT leaf AS grp, leaf, line, w FROM v WHERE len(w) > 0),{_LEVELS_SQL},
+k AS ({_FOUND_SQL} UNION ALL SELECT leaf, line, 'line ' || line AS template FROM v WHERE len(w) = 0),
 g AS (SELECT m.doc_id, m.text, m.i, k.template FROM m JOIN k ON m.leaf = k.leaf AND m.line = k.line),
 f AS (
   SELECT template, arg_min(text, doc_id) AS keeps FROM g GROUP BY template HAVING count(DISTINCT text) >= {LEAST_DOCS}),
