@@ -9,12 +9,14 @@ sequence up by its length and its rank, which is a running number that Spark dea
 
 Documents of more than the capacity are cut into pieces; no others are. Null text counts as empty, and an empty text
 is one piece of the end id alone. Repeated rows are packed once each; an empty table gives no rows; further columns are ignored. Pieces of equal length
-are interchangeable: which of them goes first follows a hash of document and piece.
+are interchangeable: which of them goes first follows a hash of document, piece, ids and place in the written table, so
+repeated rows of one doc_id spread like others.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -39,6 +41,7 @@ TOGETHER = 64
 RANKED = 200_000
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+NUMBERED = T.StructType([*PIECES, T.StructField("place", T.LongType())])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,6 +56,21 @@ LETTERS = _byte_letters()
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
+#: How a vocabulary must normalise and split for words to be encoded one by one (fixed values of its file).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def known_settings(tokenizer) -> bool:
+    """Whether white space only separates words, letters are lower-cased and split off, and no added token has white space or normalised text."""
+    about = json.loads(tokenizer.to_str())
+    steps = (about.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = len(steps) == 2 and steps[0].get("pattern") == {"Regex": SPLIT} and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+    bytes_ = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    plain = all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])) and not t["content"][:1].isalpha() for t in about.get("added_tokens") or [])
+    return bool(about.get("normalizer") == NORMALIZER and split and bytes_ and plain and about["model"]["type"] == "BPE" and not about.get("truncation"))
+
+
 class _Words(dict):
     """Little-endian ids of words, found as they are asked for; up to twice KEPT stay.
 
@@ -66,6 +84,8 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
+        #: whether the shortcuts below hold for this vocabulary
+        self.known = known_settings(self.tokenizer)
         #: words of the generation before, which come back when they are asked for again
         self.before: dict[str, bytes] = {}
 
@@ -95,13 +115,15 @@ _PACKED = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 class WordTokenizer:
-    """Little-endian ids of texts. White space only separates words for this kind of tokenizer, so words are encoded once and kept."""
+    """Little-endian ids of texts. If white space only separates words for the tokenizer, words are encoded once and kept; else texts are encoded whole."""
 
     def __init__(self, path: str):
         self.words = _Words(path)
         self.tokenizer = self.words.tokenizer
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.words.known:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         self.words.renew()
         found = self.words.__getitem__
         return [b"".join(map(found, t.replace("\n", " ").split(" "))) for t in texts]
@@ -114,10 +136,11 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length and the crc32 of its ids; the end id follows each document."""
+    """A row per piece: doc_id, piece, start, length, the crc32 of its ids and its place in its task's rows; the end id follows each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = word_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        place = 0
         for batch in few(batches, TOGETHER):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -125,10 +148,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
                     rows.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], PIECES.names)
+            columns = [*(list(zip(*rows, strict=True)) or [[]] * 5), range(place, place + len(rows))]
+            place += len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], NUMBERED.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(run, NUMBERED)
 
 
 class Capacities:
@@ -202,13 +226,13 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> lis
 
 
 def ranked(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """cut with rank, from 0 without gaps within each length. A length of many pieces is numbered by many tasks."""
+    """cut (a written table) with rank, from 0 without gaps within each length. A length of many pieces is numbered by many tasks."""
     spark = cut.sparkSession
     shares = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()] or [(0, 1)], "length long, shares long")
-    dealt = cut.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shares"))).drop("shares")  # at most one row for each length
+    dealt = cut.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "place"), F.col("shares"))).drop("shares")  # at most one row for each length
     sums = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("length", "share").count().withColumn("base", F.coalesce(F.sum("count").over(sums), F.lit(0))).drop("count")
-    numbered = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "piece")) - 1)
+    numbered = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "piece", "ids_crc32", "place")) - 1)
     return numbered.join(bases, ["length", "share"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "share")
 
 
