@@ -73,6 +73,9 @@ class Encoder:
         self.fits_before: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
         self.kept_before: dict[str, bytes] = {}
+        # texts stay as they are, but for spaces as marks and one in front
+        for text in ("ﬁ Ａ  x ", "\u00a0e\u0301 \n\t y", " a"):
+            assert model.normalize(text) == MARK + text.replace(" ", MARK), "the model normalises texts"
         assert not any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in self.ids), "pieces reach over chunk borders"
 
     def merged(self, chars: str) -> list[int]:
