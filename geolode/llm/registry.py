@@ -45,7 +45,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = progressive_jpeg.media_columns(table(spark, sf_dir, "documents"), keep_rgb=False)
+    media = progressive_jpeg.media_columns(table(spark, sf_dir, "documents"))
     return media.select(
         "doc_id",
         "n_bytes",
@@ -55,6 +55,10 @@ def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("jpeg").cast("long").alias("media_bytes"),
         F.sha2("jpeg", 256).alias("media_sha256"),
         "feature",
+        "height",
+        "width",
+        F.octet_length("rgb").cast("long").alias("rgb_bytes"),
+        F.sha2("rgb", 256).alias("rgb_sha256"),
     )
 
 
