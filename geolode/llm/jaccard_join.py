@@ -13,8 +13,8 @@ A document's set holds its distinct word n-grams; two documents link when the Ja
    documents that it has on the smallest of them itself, some thousands at a time, so that only one of these takes a row to the shuffle. Sizes go
    by classes of ratio ``DENOMINATOR / NUMERATOR``, and each document takes part with its own class and the one below.
 3. The components of these rows are the clusters to search. A small one is one task's work. A larger one is cut into blocks, each
-   a task of its own together with the cluster's few pivots, so that copies of one text are linked through these and the work
-   grows with the cluster, not with its square. Then only documents outside the cluster's largest class so far are taken further,
+   a task of its own together with the cluster's few pivots, the documents that have most in common with the others, so that copies of one text are linked
+   through these and the work grows with the cluster, not with its square. Then only documents outside the cluster's largest class so far are taken further,
    each to the blocks in which it shares a row with a document of another class. Within a task documents are partitioned into groups of
    similar ones, the matrix has each group's union of n-grams, a document's overlap with a union bounds its overlap with every member,
    and only groups whose bound reaches the threshold are opened and compared. Documents that are already linked
@@ -193,23 +193,26 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], numerator: int = NUMERATOR,
     split: side of each set; then only links between different sides are looked for. label: class of each set that is known so far.
     """
     n = np.array([len(s) for s in sets])
-    number = np.arange(len(sets))
-    label = np.array(label) if label is not None else number.copy()
+    label = np.array(label) if label is not None else np.arange(len(sets))
     tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(n)])
     own = [inverse[a:b] for a, b in zip(starts, starts[1:], strict=False)]
     # groups: neighbours in the order of their smallest hash, which similar sets mostly share
     order = np.lexsort((n, [s[0] for s in sets]))
     group = np.empty(len(sets), np.int64)
-    group[order] = number // GROUP
+    group[order] = np.arange(len(sets)) // GROUP
     n_groups = int(group.max()) + 1
     # the matrix by token: the groups whose union has it
     cells = np.unique(inverse * n_groups + np.repeat(group, n))
     columns, first = cells % n_groups, np.searchsorted(cells // n_groups, np.arange(len(tokens) + 1))
     marked = np.zeros(len(tokens), bool)
     found = []
-    for q in range(len(sets)):
-        open_ = (label != label[q]) & (number > q) & (denominator * np.minimum(n, n[q]) >= numerator * np.maximum(n, n[q]))
+    # those with most in common with all come first, as they link most
+    turn = np.empty(len(sets), np.int64)
+    visits = np.argsort(-np.add.reduceat(np.bincount(inverse)[inverse], starts[:-1]) / n, kind="stable")
+    turn[visits] = np.arange(len(sets))
+    for q in visits.tolist():
+        open_ = (label != label[q]) & (turn > turn[q]) & (denominator * np.minimum(n, n[q]) >= numerator * np.maximum(n, n[q]))
         if split is not None:
             open_ &= split != split[q]
         if not open_.any():
@@ -269,7 +272,6 @@ def compared(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Links (u, v) of the sets of each task."""
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("side", kind="stable")
         side, label = part["side"].to_numpy(), part["label"].to_numpy()
         arrays = [np.frombuffer(t, np.uint64) for t in part["tokens"]]
         links = linked(part["doc_id"].to_numpy(), arrays, numerator, denominator, *((side, label) if (side == 2).any() else ()))
@@ -278,6 +280,27 @@ def compared(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     return sets.groupBy("cluster", "task").applyInPandas(compare, "u bigint, v bigint")
 
 
+def hubs(sets: DataFrame) -> DataFrame:
+    """Of each task's sets some (PIVOTS at most) that have the most in common with all, and less than half with each other: rank, score and set."""
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        arrays = [np.frombuffer(t, np.uint64) for t in part["tokens"]]
+        _, inverse, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+        n = np.array([len(a) for a in arrays])
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        score, taken, chosen = np.add.reduceat(counts[inverse] / len(n), starts) / n, np.zeros(len(counts), bool), []
+        open_ = np.ones(len(n), bool)
+        while len(chosen) < PIVOTS and open_.any():
+            best = int(np.argmax(np.where(open_, score, -1.0)))
+            chosen.append(best)
+            taken[inverse[starts[best] : starts[best] + n[best]]] = True
+            open_ &= 2 * np.add.reduceat(taken[inverse].astype(np.int64), starts) < n
+        out = part.iloc[chosen][["cluster", "task", "doc_id", "digest"]]
+        return out.assign(rank=np.arange(len(chosen)), score=score[chosen])[["cluster", "task", "rank", "score", "doc_id", "digest"]]
+
+    return sets.groupBy("cluster", "task").applyInPandas(choose, "cluster bigint, task bigint, rank bigint, score double, doc_id bigint, digest binary")
+
+
 def _shares() -> Column:
     return F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long")
 
@@ -287,20 +310,22 @@ def links_of(docs: DataFrame, sets: DataFrame, clusters: DataFrame, width: int,
     sized = clusters.join(sets, "doc_id")
     blocks = sized.groupBy("cluster").agg(_shares().alias("blocks"), F.count("*").alias("sets")).filter("sets > 1").drop("sets")  # not copies of one set alone
     work = saved(sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
-    # the pivots of a large cluster stand in each of its blocks, first of all
-    large = work.filter("blocks > 1")
-    pivots = large.groupBy("cluster", "blocks", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PIVOTS))).agg(F.min(F.struct("digest", "doc_id", "block")).alias("p"))
-    more = pivots.select("cluster", "p.digest", "p.doc_id", F.col("p.block").alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("task"))
     columns = ["digest", "doc_id", "cluster", "task", "side", "label"]
-    same = (F.lit(1).alias("side"), F.lit(0).cast("long").alias("label"))
-    placed = work.select("digest", "doc_id", "cluster", F.col("block").alias("task"), *same)
-    more = more.filter("task <> home").select("digest", "doc_id", "cluster", "task", F.lit(0).alias("side"), F.lit(0).cast("long").alias("label"))
-    links = saved(compared(members(docs, placed.select(*columns).unionByName(more.select(*columns)), width), numerator, denominator))
-    if large.isEmpty():
+    placed = work.withColumns({"task": F.col("block"), "side": F.lit(1), "label": F.lit(0).cast("long")})
+    large = placed.filter("blocks > 1")
+    any_large = not large.isEmpty()
+    if any_large:
+        # the pivots of a large cluster, those with most in common in any of its blocks, stand in each of its blocks
+        best = hubs(members(docs, large.select(*columns), width)).groupBy("cluster", "rank").agg(F.max(F.struct("score", "digest", "doc_id", "task")).alias("p"))
+        best = saved(best.join(large.select("cluster", "blocks").distinct(), "cluster"))
+        pivots = best.select("p.digest", "p.doc_id", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("task"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("label"), F.col("p.task").alias("home"))
+        placed = placed.select(*columns).unionByName(pivots.filter("task <> home").select(*columns))
+    links = saved(compared(members(docs, placed.select(*columns), width), numerator, denominator))
+    if not any_large:
         return links
     # what is outside the largest class of its cluster goes on
     known = components(links).withColumnsRenamed({"node": "doc_id", "component": "label"})
-    labelled = saved(large.join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
+    labelled = saved(large.drop("label", "task", "side").join(known, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")))
     main = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     rest = saved(labelled.join(main, "cluster").filter("label <> main").drop("main"))
     if rest.isEmpty():

@@ -4,8 +4,8 @@ A line falls through a tree of fixed depth: number of tokens, then the leading t
 count as ``<*>`` everywhere. A leaf holds several templates, which ``LEVELS`` more levels of the tree tell apart. In a group of a leaf's
 distinct lines, a position behind the leading tokens is constant if one token stands there in more than half of them. If enough of these positions
 are constant, that is a template, and the lines that have all its constants belong to it; the rest of the group goes on to the next level. Otherwise the
-group is split at the position where the most lines have a token that at least a ``SHARE``-th of the group has there: each such token begins a
-group of the next level, and lines with other tokens form one more. Lines that no template has taken in the end are templates of their own. A template that
+group is split at the position whose frequent tokens, which at least a ``SHARE``-th of the group has there, have the
+largest sum of squared counts: each such token begins a group of the next level, and lines with other tokens form one more. Lines that no template has taken in the end are templates of their own. A template that
 occurs in ``LEAST_DOCS`` or more different texts is recurring; its lines stay in the text that has it first (by doc_id, and
 in exact copies of that text) and are dropped elsewhere.
 
@@ -53,12 +53,12 @@ def _level(lines: DataFrame, level: int) -> DataFrame:
     words = lines.select("grp", F.posexplode("w").alias("at", "word")).groupBy("grp", "at", "word").agg(F.count("*").alias("c")).filter("c > 1")
     often = words.join(total, "grp").filter(SHARE * F.col("c") >= F.col("n"))
     # at most SHARE tokens a position
-    places = often.groupBy("grp", "at").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("c").alias("lines"), F.max(F.struct("c", "word")).alias("top"), F.collect_list("word").alias("words"))
+    places = often.groupBy("grp", "at").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum(F.col("c") * F.col("c")).alias("weight"), F.max(F.struct("c", "word")).alias("top"), F.collect_list("word").alias("words"))
     fixed = 2 * F.col("top.c") > F.col("n")
     shape = places.groupBy("grp").agg(
         F.first("m").alias("m"),
         F.collect_list(F.when(fixed, F.struct("at", F.col("top.word").alias("word")))).alias("constants"),
-        F.max(F.when(~fixed, F.struct("lines", (-F.col("at")).alias("before"), "words"))).alias("split"),
+        F.max(F.when(~fixed, F.struct("weight", (-F.col("at")).alias("before"), "words"))).alias("split"),
     )
     size = F.size("constants")
     shape = saved(shape.withColumn("general", (size >= CONSTANT) & (10 * size >= CONSTANT_TENTHS * F.col("m"))))
@@ -126,9 +126,9 @@ def _level_sql(k: int) -> str:
 n{k} AS (SELECT grp, count(*) AS n, max(len(w)) AS m FROM l{k} GROUP BY grp HAVING count(*) > 1),
 c{k} AS (SELECT grp, pos, w[pos] AS word, count(*) AS c FROM (SELECT grp, w, unnest(range(1, len(w) + 1)) AS pos FROM l{k}) q GROUP BY 1, 2, 3 HAVING count(*) > 1),
 o{k} AS (SELECT c.*, n, m FROM c{k} c JOIN n{k} n ON c.grp = n.grp WHERE {SHARE} * c >= n),
-p{k} AS (SELECT grp, pos, any_value(n) AS n, any_value(m) AS m, sum(c) AS lines, max(c) AS top, arg_max(word, c) AS word, list(word) AS words FROM o{k} GROUP BY grp, pos),
+p{k} AS (SELECT grp, pos, any_value(n) AS n, any_value(m) AS m, sum(c * c) AS weight, max(c) AS top, arg_max(word, c) AS word, list(word) AS words FROM o{k} GROUP BY grp, pos),
 g{k} AS (SELECT grp, count(*) AS size FROM p{k} WHERE 2 * top > n GROUP BY grp HAVING count(*) >= {CONSTANT} AND 10 * count(*) >= {CONSTANT_TENTHS} * any_value(m)),
-s{k} AS (SELECT grp, pos, words FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY lines DESC, pos) AS rank FROM p{k} WHERE 2 * top <= n) q WHERE rank = 1),
+s{k} AS (SELECT grp, pos, words FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY weight DESC, pos) AS rank FROM p{k} WHERE 2 * top <= n) q WHERE rank = 1),
 b{k} AS (SELECT l.grp, l.leaf, l.line FROM l{k} l JOIN g{k} g ON l.grp = g.grp JOIN p{k} p ON l.grp = p.grp AND 2 * p.top > p.n
          GROUP BY l.grp, l.leaf, l.line HAVING bool_and(l.w[p.pos] = p.word)),
 r{k} AS (

@@ -139,7 +139,8 @@ def redact(docs: DataFrame) -> DataFrame:
     hits = saved(found.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]))
     hits = hits.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     joined = docs.join(_hits_side(hits.withColumnRenamed("__spans", "spans")).withColumnRenamed("spans", "__spans"), address(F.col("text")) == F.col("__blob"), "left").select(*docs.columns, "__spans")
-    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = docs.columns
+    at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
@@ -149,6 +150,6 @@ def redact(docs: DataFrame) -> DataFrame:
                 if count is not None:
                     rest[count] = pa.array([len(t) if s.is_valid else n.as_py() for n, t, s in zip(rest[count], texts, spans, strict=True)], rest[count].type)
                 rest[at] = pa.array(texts, rest[at].type)
-            yield pa.RecordBatch.from_arrays(rest, docs.columns)
+            yield pa.RecordBatch.from_arrays(rest, names)
 
     return joined.mapInArrow(run, docs.schema)
