@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
@@ -20,9 +20,11 @@ BROADCAST_PIXELS = 1 << 20
 def depth_buffer(fragments: DataFrame, keys: tuple[str, ...] = ("ix", "iy")) -> DataFrame:
     """Of each pixel the nearest fragment's depth (in thousandths, below 2 million) and colour (32 bits); equal depths take the smaller colour.
 
-    Both are packed into one long, so the minimum is a hash aggregate that combines before the shuffle.
+    Both are packed into one long, so the minimum is a hash aggregate that combines before the shuffle. A depth beyond raises an error.
     """
-    both = F.round(F.col("depth") * 1000).cast("long") * C.U32 + F.col("colour").cast("long")
+    far = F.col("depth") >= 2_147_483
+    both = F.when(~far, F.round(F.col("depth") * 1000).cast("long") * C.U32 + F.col("colour").cast("long"))
+    both = F.when(far, F.raise_error(F.lit("a fragment's depth is beyond 2147483"))).otherwise(both)
     packed = fragments.groupBy(*keys).agg(F.min(both).alias("p"))
     colour = F.pmod("p", F.lit(C.U32))
     return packed.select(*keys, ((F.col("p") - colour) / F.lit(C.U32) / 1000.0).alias("depth"), colour.alias("colour"))
@@ -45,15 +47,37 @@ def textures(points: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
     return mean_colour(points, "px", "py", "tx", "ty").filter(F.col("n") > least).join(known.select("px", "py"), ["px", "py"], "left_semi")
 
 
+#: Ranges of values that are counted at once.
+RANGES = 1024
+
+
 def upper_median(df: DataFrame, value: str) -> DataFrame:
     """The middle value, the upper one of an even number; ties are equal values, so their order doesn't matter.
 
-    Values are counted first and only the counts are ordered, so the single ordered task sees one row per distinct value.
+    Values are counted first, then the counts of so many equal ranges between the least and the greatest value say in which one the middle lies, and only
+    the values of that range are ordered, again by ranges, until these hold one value. Each pass sees a bounded number of ranges on the driver.
     """
-    counted = df.groupBy(value).agg(F.count("*").alias("c"))
-    up = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("c").over(up)).join(F.broadcast(counted.agg(F.sum("c").alias("n"))))
-    return ranked.filter(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min(value).alias("median"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
+    low, high, n = counted.agg(F.min(value), F.max(value), F.sum("c")).first()
+    before, some = 0, counted
+    while n and low < high:
+        step = (high - low) / RANGES
+        at = F.least(F.greatest(F.floor((F.col(value) - F.lit(low)) / F.lit(step)), F.lit(0)), F.lit(RANGES - 1))
+        ranges = some.groupBy(at.alias("at")).agg(F.sum("c").alias("c"), F.min(value).alias("low"), F.max(value).alias("high"))
+        for r in sorted(ranges.collect()):  # RANGES rows at most
+            if before + r["c"] > n // 2:
+                break
+            before += r["c"]
+        if (r["low"], r["high"]) == (low, high):  # too near to each other to be told apart by ranges
+            for v, c in sorted((x[value], x["c"]) for x in some.collect()):
+                low = high = v
+                if before + c > n // 2:
+                    break
+                before += c
+            break
+        low, high = r["low"], r["high"]
+        some = some.filter(F.col(value).between(low, high))
+    return df.sparkSession.createDataFrame([(low if n else None,)], "median double")
 
 
 def progress(expected: DataFrame, loaded: DataFrame, key: str, group: str) -> DataFrame:

@@ -79,3 +79,14 @@ def voxel_sample(points: DataFrame, size: float) -> DataFrame:
 def every(df: DataFrame, index: str, step: int) -> DataFrame:
     """Every step-th row by its index; the filter is pushed to the scan where the index is stored."""
     return df.filter(F.pmod(F.col(index), F.lit(step)) == 0)
+
+
+def first_of_each(df: DataFrame, keys: list[str], order: tuple[str, ...], most: int) -> DataFrame:
+    """The first rows (at most so many) of each key by order. Up to a limit of Spark's on the rank, tasks cut each key before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
+
+
+def uniform(key: Column, seed: int) -> Column:
+    """A number from 0 to 1 (exclusive) for a key: 32 bits of a hash."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") / float(1 << 32)

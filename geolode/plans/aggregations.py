@@ -84,15 +84,15 @@ def agg_maxheight(t):
     return raster.highest(t.placed(t.points))
 
 
-_SPLAT = "smp AS (SELECT px, py, CAST(floor((lx - px * 640e0) / 10e0) AS INT) AS ix, CAST(floor((ly - py * 640e0) / 10e0) AS INT) AS iy, lz AS h FROM chl WHERE px < 3 AND py < 3), o AS (SELECT unnest(range(-4, 5))::INT AS d)"
+_SPLAT = "smp AS (SELECT px, py, CAST(floor((lx - px * 640e0) / 10e0) AS INT) AS ix, CAST(floor((ly - py * 640e0) / 10e0) AS INT) AS iy, lz AS h FROM chl), o AS (SELECT unnest(range(-10, 11))::INT AS d)"
 
 
-@query("agg_splat", _SPLAT + """;; SELECT px, py, ix + ox.d AS ix, iy + oy.d AS iy, round(sum(h * (1e0 - sqrt(CAST(ox.d * ox.d + oy.d * oy.d AS DOUBLE)) / 4.1e0)) / sum(1e0 - sqrt(CAST(ox.d * ox.d + oy.d * oy.d AS DOUBLE)) / 4.1e0), 6) AS h, count(*) AS n
-  FROM smp CROSS JOIN o ox CROSS JOIN o oy WHERE sqrt(CAST(ox.d * ox.d + oy.d * oy.d AS DOUBLE)) <= 4 AND ix + ox.d BETWEEN 0 AND 63 AND iy + oy.d BETWEEN 0 AND 63 GROUP BY 1, 2, 3, 4""")
+@query("agg_splat", _SPLAT + """;; SELECT px, py, ix + ox.d AS ix, iy + oy.d AS iy, round(sum(h * (1e0 - sqrt(CAST(ox.d * ox.d + oy.d * oy.d AS DOUBLE)) / 10.1e0)) / sum(1e0 - sqrt(CAST(ox.d * ox.d + oy.d * oy.d AS DOUBLE)) / 10.1e0), 6) AS h, count(*) AS n
+  FROM smp CROSS JOIN o ox CROSS JOIN o oy WHERE sqrt(CAST(ox.d * ox.d + oy.d * oy.d AS DOUBLE)) <= 10 AND ix + ox.d BETWEEN 0 AND 63 AND iy + oy.d BETWEEN 0 AND 63 GROUP BY 1, 2, 3, 4""")
 def agg_splat(t):
-    at = t.placed(t.chunk_points).filter("px < 3 AND py < 3")
+    at = t.placed(t.chunk_points)
     cells = at.select("px", "py", *[C.cell(c(f"l{a}") - C.patch_edge(c(f"p{a}")), 10.0).alias(f"i{a}") for a in "xy"], c("lz").alias("h"))
-    return raster.splat(cells, ["px", "py"], radius=4)
+    return raster.splat(cells, ["px", "py"])
 
 
 @query("agg_progress", """SELECT tile_id % 10 AS col, count(*) AS parts, CAST(sum(CASE WHEN coalesce(n, 0) >= expected THEN 1 ELSE 0 END) AS BIGINT) AS parts_done, bool_and(coalesce(n, 0) >= expected) AS complete

@@ -2,64 +2,65 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
 from geolode.operators import heightmap
+from geolode.plans import storage
 from geolode.plans.geometry import mean_filter
 from geolode.plans.joins import _CONTEXT, _SIZES, chunk_sizes, contexts
 from geolode.plans.registry import query
 from geolode.plans.scans import TILE, files
 from geolode.plans.views import CAMERA
-from geolode.sources import arithmetic, sinks
+from geolode.sources import las, sinks
 
 c = F.col
 
 
-def coded(t, put_and_take):
-    """Sizes of each tile's chunks, through a coder and back; a tile's chunk table is one piece of data for the format as well."""
+_TABLE = "tb AS (SELECT tile_id, k AS chunk_idx, 26 + 7 * (k % 5) AS byte_size FROM (SELECT tile_id, unnest(range(0, (n_points + 9) // 10)) AS k FROM tiles) q)"
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("chunk_idx")
-        return pd.DataFrame({"tile_id": part["tile_id"], "chunk_idx": part["chunk_idx"], "value": put_and_take(part["byte_size"].tolist())})
-
-    return chunk_sizes(t).groupBy("tile_id").applyInPandas(one, "tile_id bigint, chunk_idx bigint, value bigint")
 
+def tables(t):
+    """The chunk tables of compressed files, whose integers are coded by models of their bits and bytes."""
+    return las.chunk_tables_of(files(t, compressed=True)).select(TILE(), "chunk_idx", "byte_size")
 
-def through(models, symbols):
-    coder = arithmetic.Encoder()
-    model = models()
-    for s in symbols:
-        coder.put(model, s)
-    read, model = arithmetic.Decoder(coder.done()), models()
-    return [read.next(model) for _ in symbols]
 
-
-@query("src_arith", _SIZES + ";; SELECT tile_id, chunk_idx, byte_size % 33 AS value FROM sizes")
+@query("src_arith", _TABLE + ";; SELECT tile_id, CAST(count(*) AS BIGINT) AS value FROM tb GROUP BY tile_id")
 def src_arith(t):
-    return coded(t, lambda sizes: through(lambda: arithmetic.SymbolModel(33), [s % 33 for s in sizes]))
+    return tables(t).groupBy("tile_id").agg(F.count("*").alias("value"))
 
 
-@query("src_arith_model", _SIZES + ";; SELECT tile_id, chunk_idx, byte_size % 2 AS value FROM sizes")
+@query("src_arith_model", _TABLE + ";; SELECT byte_size AS value, count(*) AS n FROM tb GROUP BY byte_size")
 def src_arith_model(t):
-    return coded(t, lambda sizes: through(arithmetic.BitModel, [s % 2 for s in sizes]))
+    return tables(t).groupBy(c("byte_size").alias("value")).agg(F.count("*").alias("n"))
 
 
-@query("src_intcomp", _SIZES + ";; SELECT tile_id, chunk_idx, byte_size AS value FROM sizes")
+@query("src_intcomp", _TABLE + ";; SELECT tile_id, chunk_idx, CAST(byte_size - coalesce(lag(byte_size) OVER (PARTITION BY tile_id ORDER BY chunk_idx), 0) AS BIGINT) AS value FROM tb")
 def src_intcomp(t):
-    return coded(t, lambda sizes: arithmetic.decode_sizes(arithmetic.encode_sizes(sizes), len(sizes)))
+    before = F.lag("byte_size").over(Window.partitionBy("tile_id").orderBy("chunk_idx"))
+    return tables(t).select("tile_id", "chunk_idx", (c("byte_size") - F.coalesce(before, F.lit(0))).cast("long").alias("value"))
 
 
 @query("win_delta_pred", _SIZES + ";; SELECT tile_id, chunk_idx, CAST(byte_size - coalesce(lag(byte_size) OVER (PARTITION BY tile_id ORDER BY chunk_idx), 0) AS BIGINT) AS value FROM sizes")
 def win_delta_pred(t):
-    return coded(t, lambda sizes: np.diff(arithmetic.decode_sizes(arithmetic.encode_sizes(sizes), len(sizes)), prepend=0))
+    before = F.lag("byte_size").over(Window.partitionBy("tile_id").orderBy("chunk_idx"))
+    return chunk_sizes(t).select("tile_id", "chunk_idx", (c("byte_size") - F.coalesce(before, F.lit(0))).cast("long").alias("value"))
 
 
-@query("src_native_read", "SELECT tile_id, '4c415346' AS head, CAST(26 AS BIGINT) AS n FROM tiles")
+@query("src_native_read", "SELECT tile_id, point_idx, xi, yi, zi FROM ch")
 def src_native_read(t):
-    """Ranges of bytes: the signature and the first record."""
-    ranges = files(t).select(TILE(), F.lower(F.hex(F.substring("content", 1, 4))).alias("head"), F.octet_length(F.substring("content", 228, 26)).cast("long").alias("n"))
-    return ranges
+    """Ranges of bytes: the first twelve of each chunk's first record, from written files."""
+    path = storage.folder(t.spark, "files")
+    las.register(t.spark)
+    files(t).write.format("files").mode("append").option("path", path).save()
+    first = las.list_files(t.spark, path).withColumn("k", F.explode(F.sequence(F.lit(227).cast("long"), c("length") - 26, F.lit(260).cast("long"))))
+    found = las.byte_ranges(first.select("path", c("k").alias("start"), F.lit(12).cast("long").alias("n")))
+    number = lambda at: sum(F.conv(F.hex(F.substring("bytes", at + b, 1)), 16, 10).cast("long") * (1 << 8 * b) for b in range(4))
+    whole = {a: number(1 + 4 * k).alias(a) for k, a in enumerate(("xi", "yi", "zi"))}
+    signed = lambda a: (c(a) - F.when(c(a) >= 1 << 31, 1 << 32).otherwise(0)).cast("int").alias(a)
+    tile = F.regexp_extract("path", r"tile_(\d+)[.]las$", 1).cast("long").alias("tile_id")
+    return found.select(tile, ((c("start") - 227) / 26).cast("long").alias("point_idx"), *whole.values()).select("tile_id", "point_idx", *[signed(a) for a in whole])
 
 
 @query("prj_shade", "SELECT tile_id, point_idx, r, g, b FROM pts WHERE zi % 256 >= 150")
@@ -79,8 +80,6 @@ def st_tween(t):
 
 @query("srt_alloc", "SELECT p_brand AS label, CAST(sum(p_size) AS BIGINT) AS bytes, CAST(row_number() OVER (ORDER BY sum(p_size) DESC, p_brand) AS INT) AS place FROM part GROUP BY p_brand")
 def srt_alloc(t):
-    from pyspark.sql import Window
-
     totals = t.read("part").groupBy(c("p_brand").alias("label")).agg(F.sum("p_size").alias("bytes"))  # a row for each label
     return totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("bytes"), "label")))
 

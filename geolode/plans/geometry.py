@@ -67,10 +67,11 @@ def geo_linear_map(t):
     return heightmap.heightmaps(contexts(t), C.CONTEXT_TEXELS, C.CONTEXT_TEXELS).select("px", "py", "n", F.round(F.array_max("height"), 6).alias("top"))
 
 
-@query("geo_crop", "SELECT i - 16 AS i, j - 16 AS j FROM (SELECT unnest(range(96)) AS i) a CROSS JOIN (SELECT unnest(range(96)) AS j) b WHERE i BETWEEN 16 AND 79 AND j BETWEEN 16 AND 79")
+@query("geo_crop", f"""{_CONTEXT}, {_NEAR};; SELECT px, py, CAST(i - 2 AS INT) AS i, CAST(j - 2 AS INT) AS j, round(lz, 6) AS height FROM (SELECT c.px, c.py, i, j, lz, row_number() OVER (PARTITION BY c.px, c.py, i, j
+  ORDER BY (-0.5e0 + i * 0.125e0 - nx) * (-0.5e0 + i * 0.125e0 - nx) + (-0.5e0 + j * 0.125e0 - ny) * (-0.5e0 + j * 0.125e0 - ny)) AS k FROM cells c JOIN near USING (px, py)) q WHERE k = 1 AND i BETWEEN 2 AND 5 AND j BETWEEN 2 AND 5""")
 def geo_crop(t):
-    cells = t.spark.range(96 * 96).select((c("id") % 96).alias("i"), F.floor(c("id") / 96).alias("j"))
-    return cells.filter(c("i").between(16, 79) & c("j").between(16, 79)).select((c("i") - 16).alias("i"), (c("j") - 16).alias("j"))
+    """The middle 4 x 4 texels of rasters of 8 x 8."""
+    return heightmap.exploded(heightmap.heightmaps(contexts(t), 8, 4, "nearest"), 4).select("px", "py", "i", "j", F.round("height", 6).alias("height"))
 
 
 @query("geo_gen_rgb")

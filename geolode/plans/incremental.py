@@ -55,11 +55,10 @@ def st_early_buffer(t):
 
 @query("st_priority", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 100")
 def st_priority(t):
-    each = lambda batch, _: ingest.prioritised(batch, "value", ["event_id"])
-    return ingest.finish(stream(t).select("event_id", "value"), folder(t.spark, "priority"), each=each).drop("batch")
+    return ingest.running_top(stream(t).select("event_id", "value"), folder(t.spark, "priority"), "value", ["event_id"])
 
 
-@query("st_windows")
+@query("st_windows", "SELECT event_type, strftime(date_trunc('day', CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS day, count(*) AS n FROM events GROUP BY 1, 2")
 def st_windows(t):
     events = stream(t).withColumn("time", c("ts").cast("timestamp"))
     counted = ingest.windowed(events, "time", "10 minutes", "1 day", "event_type")

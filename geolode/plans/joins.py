@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
 from geolode.operators import grid
+from geolode.plans import storage
 from geolode.plans.registry import query
 
 c = F.col
@@ -148,11 +149,14 @@ def jn_bilinear(t):
     return near.groupBy(*KEY).agg(F.round(F.sum(c("w") * F.coalesce("r", F.lit(0))), 6).alias("r"))
 
 
-@query("jn_cross_tri_vertex", _PATCHES + ";; SELECT px, py, CAST(count(*) * 8192 AS BIGINT) AS triangles FROM patches GROUP BY px, py")
+@query("jn_cross_tri_vertex", _PATCHES + """;; SELECT px, py, CAST(count(*) AS BIGINT) AS triangles, round(sum(gx * 3 + 2 - h) / 64e0, 6) AS u, round(sum(gy * 3 + 1 + h) / 64e0, 6) AS v
+  FROM patches CROSS JOIN (SELECT unnest(range(64)) AS gx) a CROSS JOIN (SELECT unnest(range(64)) AS gy) b CROSS JOIN (SELECT unnest([0, 1]) AS h) d GROUP BY px, py""")
 def jn_cross_tri_vertex(t):
     from geolode.operators import raster
 
-    return raster.grid_mesh(patches(t).select("px", "py")).groupBy("px", "py").agg(F.count("*").alias("triangles"))
+    mesh = raster.grid_mesh(patches(t).select("px", "py"))
+    total = lambda a: F.round(F.sum(c(f"{a}0") + c(f"{a}1") + c(f"{a}2")), 6).alias(a)
+    return mesh.groupBy("px", "py").agg(F.count("*").alias("triangles"), total("u"), total("v"))
 
 
 _DONE = "done AS (SELECT px, py FROM patches WHERE n >= 25)"
@@ -236,12 +240,13 @@ def srt_heights(t):
 
 @query("srt_files", "SELECT tile_id, CAST(row_number() OVER (ORDER BY min_x >= 3000 DESC, n_points DESC, tile_id) AS INT) AS place FROM tiles")
 def srt_files(t):
-    # one row per file; the order is global, as the list of work is
-    order = Window.orderBy(F.desc(c("min_x") >= 3000), F.desc("n_points"), "tile_id")
-    return t.tiles.select("tile_id", F.row_number().over(order).alias("place"))
+    return storage.placed_in_order(t.tiles, F.desc(c("min_x") >= 3000), F.desc("n_points"), "tile_id").select("tile_id", c("place").cast("int").alias("place"))
 
 
-@query("lim_points_patch", "SELECT tile_id, point_idx FROM (SELECT *, row_number() OVER (PARTITION BY px, py ORDER BY tile_id, point_idx) AS k FROM loc) q WHERE k <= 20")
+#: Points that a patch holds (fixed value).
+CAPACITY = 1500
+
+
+@query("lim_points_patch", "SELECT tile_id, point_idx FROM (SELECT *, row_number() OVER (PARTITION BY px, py ORDER BY tile_id, point_idx) AS k FROM loc) q WHERE k <= 1500")
 def lim_points_patch(t):
-    order = Window.partitionBy("px", "py").orderBy(*KEY)
-    return t.placed(t.points).withColumn("k", F.row_number().over(order)).filter("k <= 20").select(*KEY)
+    return grid.first_of_each(t.placed(t.points), ["px", "py"], KEY, CAPACITY).select(*KEY)

@@ -273,6 +273,7 @@ def smp_voxel_occ(t):
     return at.select(*[F.least(F.floor((c(a) - c(f"origin_{a}")) / c("side") * 32.0), F.lit(31)).cast("int").alias(f"v{a}") for a in "xyz"]).distinct()
 
 
-@query("smp_random")
+@query("smp_random", "SELECT tile_id, " + ", ".join(f"CAST(('0x' || substr(md5(tile_id || ':{k}'), 1, 8)) AS BIGINT) / 4294967296e0 AS {a}" for k, a in enumerate("xyz")) + " FROM tiles")
 def smp_random(t):
-    return t.tiles.select("tile_id", *[F.rand(k).alias(a) for k, a in enumerate("xyz")])
+    """Numbers from 0 to 1 that hang on the key alone, so they are the same however the rows are dealt."""
+    return t.tiles.select("tile_id", *[grid.uniform(c("tile_id"), k).alias(a) for k, a in enumerate("xyz")])

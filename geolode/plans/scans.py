@@ -70,9 +70,10 @@ def src_laz_meta(t):
     return found.select(TILE(), "compressed", "chunk_size", "n_chunks", "data_offset")
 
 
-@query("src_vlr", "SELECT tile_id, CAST(10 AS BIGINT) AS chunk_size FROM tiles")
+@query("src_vlr", "SELECT tile_id, CAST(10 AS BIGINT) AS chunk_size FROM tiles UNION ALL SELECT tile_id, CAST(50000 AS BIGINT) FROM tiles")
 def src_vlr(t):
-    return las.headers_of(files(t, compressed=True)).select(TILE(), "chunk_size")
+    """The chunk size comes from the compressor's record; files without it have chunks of the usual size."""
+    return las.headers_of(files(t, compressed=True)).unionByName(las.headers_of(files(t))).select(TILE(), "chunk_size")
 
 
 @query("src_chunk_table", "SELECT tile_id, k AS chunk_idx, CAST(26 + 7 * (k % 5) AS BIGINT) AS byte_size FROM (SELECT tile_id, unnest(range(0, (n_points + 9) // 10)) AS k FROM tiles) q")
@@ -137,21 +138,25 @@ def src_poly(t):
     return text.poly_points(exploded(headed, [])).select(TILE(), "id", "x", "y")
 
 
-@query("src_obj", "SELECT tile_id, CAST(count(*) AS BIGINT) * 2 AS triangles FROM (SELECT tile_id FROM ch WHERE point_idx % 40 = 0) q GROUP BY tile_id")
+_CORNERS = ((0, 0), (1, 0), (1, 1), (0, 1))
+
+
+@query("src_obj", f"""o AS (SELECT * FROM (VALUES {", ".join(f"({h}, {k}, {dx}, {dy})" for h, t in enumerate(((0, 1, 2), (0, 2, 3))) for k, (dx, dy) in enumerate(_CORNERS[i] for i in t))}) v(half, corner, dx, dy))
+ ;; SELECT tile_id, point_idx // 10 * 2 + half AS triangle, corner, x + dx AS x, y + dy AS y, z FROM ch CROSS JOIN o""")
 def src_obj(t):
-    square = [("v", "0 0 0"), ("v", "1 0 0"), ("v", "1 1 0"), ("v", "0 1 0")]
-    some = t.chunk_points.filter("point_idx % 40 = 0")
-    rows = some.groupBy("tile_id").agg(F.count("*").alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), c("n"))))
-    vertices = F.array(*[F.lit(f"{k} {v}") for k, v in square])
-    face = F.concat_ws(" ", F.lit("f"), *[((c("k") - 1) * 4 + j).cast("string") for j in range(1, 5)])
-    body = rows.select("tile_id", "k", F.concat(vertices, F.array(face)).alias("some")).groupBy("tile_id").agg(F.flatten(F.sort_array(F.collect_list(F.struct("k", "some")))["some"]).alias("l"))
+    """Files with a square at each chunk point: four vertices and a face of four corners, which is read as two triangles."""
+    k = c("point_idx") / 10
+    vertices = [F.concat_ws(" ", F.lit("v"), (c("x") + dx).cast("string"), (c("y") + dy).cast("string"), c("z").cast("string")) for dx, dy in _CORNERS]
+    face = F.concat_ws(" ", F.lit("f"), *[(k * 4 + j).cast("long").cast("string") for j in range(1, 5)])
+    rows = t.chunk_points.select("tile_id", "point_idx", F.array(*vertices, face).alias("some"))
+    body = rows.groupBy("tile_id").agg(F.flatten(F.sort_array(F.collect_list(F.struct("point_idx", "some")))["some"]).alias("l"))
     found = text.obj(exploded(body.select(F.concat(F.lit("f"), c("tile_id").cast("string")).alias("path"), "l"), ["# squares"]))
-    return found.groupBy(TILE()).agg((F.count("*") / 3).cast("long").alias("triangles"))
+    return found.select(TILE(), c("triangle").cast("long").alias("triangle"), "corner", *"xyz")
 
 
-@query("src_patch_csv", "SELECT tile_id, point_idx, x, y, z FROM ch WHERE tile_id = 3")
+@query("src_patch_csv", "SELECT tile_id, point_idx, x, y, z FROM ch")
 def src_patch_csv(t):
-    rows = t.chunk_points.filter("tile_id = 3").select(F.concat_ws(",", *[c(k).cast("string") for k in ("tile_id", "point_idx", *"xyz")]).alias("line"))
+    rows = t.chunk_points.select(F.concat_ws(",", *[c(k).cast("string") for k in ("tile_id", "point_idx", *"xyz")]).alias("line"))
     return rows.select(F.from_csv("line", "tile_id bigint, point_idx bigint, x double, y double, z double").alias("s")).select("s.*")
 
 
@@ -173,23 +178,24 @@ def snk_tile_report2(t):
     return sinks.tile_report(t.points, t.tiles, 100)
 
 
-@query("snk_simlod", "SELECT tile_id, CAST(24 + 16 * n_points AS BIGINT) AS bytes FROM tiles")
+@query("snk_simlod", "SELECT tile_id, point_idx, CAST(x - min_x AS FLOAT) AS x, CAST(y - min_y AS FLOAT) AS y, CAST(z - min_z AS FLOAT) AS z, r, g, b, 255 AS a FROM pts JOIN tiles USING (tile_id)")
 def snk_simlod(t):
-    return sinks.xyzrgba(t.points, t.tiles).select(TILE(), F.octet_length("content").cast("long").alias("bytes"))
-
-
-_BLOCKS = "SELECT DISTINCT CAST(floor(lx / 640e0) AS INT) AS bx, CAST(floor(ly / 640e0) AS INT) AS b_y FROM loc"
+    """The files' points, read back."""
+    return sinks.read_xyzrgba(sinks.xyzrgba(t.points, t.tiles)).select(TILE(), c("n").alias("point_idx"), *"xyzrgba")
 
 
-@query("snk_heightmap", f"SELECT bx || '_' || b_y || e AS name, CASE e WHEN '.ppm' THEN 15 + 64 * 64 * 6 ELSE 64 * 64 * 4 END AS bytes FROM ({_BLOCKS}) q CROSS JOIN (SELECT unnest(['.ppm', '.heightmap']) AS e) e")
+@query("snk_heightmap", """h AS (SELECT CAST(floor(lx / 10e0) AS INT) AS ix, CAST(floor(ly / 10e0) AS INT) AS iy, CAST(greatest(max(z), 0e0) AS FLOAT) AS height FROM loc GROUP BY 1, 2)
+ ;; SELECT ix, iy, height, CAST(trunc(height * CAST(10 AS FLOAT)) AS INT) AS grey FROM h WHERE height > 0""")
 def snk_heightmap(t):
-    return sinks.height_files(raster.highest(t.placed(t.points))).select(c("path").alias("name"), F.octet_length("content").alias("bytes"))
+    """The files' pixels above 0, read back: heights and greys."""
+    return sinks.read_height_files(sinks.height_files(raster.highest(t.placed(t.points)))).filter("height > 0")
 
 
-@query("snk_debug_patch", "SELECT px, py, count(*) AS lines FROM chl GROUP BY px, py")
+@query("snk_debug_patch", "SELECT px, py, count(*) AS lines, md5(string_agg(concat_ws(',', x, y, z, r, g, b), chr(10) ORDER BY tile_id, point_idx)) AS content FROM chl GROUP BY px, py")
 def snk_debug_patch(t):
-    lines = t.placed(t.chunk_points).select("px", "py", F.to_csv(F.struct(*"xyzrgb")).alias("line"))
-    return lines.groupBy("px", "py").agg(F.count("line").alias("lines"))
+    """A patch's samples as CSV; a patch has few."""
+    lines = t.placed(t.chunk_points).select("px", "py", F.struct("tile_id", "point_idx", F.to_csv(F.struct(*"xyzrgb")).alias("line")).alias("s"))
+    return lines.groupBy("px", "py").agg(F.count("s").alias("lines"), F.md5(F.array_join(F.sort_array(F.collect_list("s"))["line"], "\n")).alias("content"))
 
 
 @query("snk_stl")
@@ -197,7 +203,9 @@ def snk_stl(t):
     return sinks.mesh_files(contexts(t)).select("path", F.octet_length("content").alias("bytes"))
 
 
-@query("snk_png", "SELECT CAST(0 AS BIGINT) AS id, '89504e470d0a1a0a' AS head")
+@query("snk_png", """p AS (SELECT tile_id % 32 AS ix, tile_id // 32 % 32 AS iy, CAST(max(r) AS INT) AS r, CAST(max(g) AS INT) AS g, CAST(max(b) AS INT) AS b FROM pts GROUP BY 1, 2)
+ ;; SELECT ix, iy, r, g, b FROM p WHERE r + g + b > 0""")
 def snk_png(t):
-    picture = sinks.png(np.linspace(0, 1, 8 * 8 * 3).reshape(8, 8, 3))
-    return t.spark.range(1).select("id", F.lower(F.hex(F.lit(picture[:8]))).alias("head"))
+    """A picture of tiles as a PNG, its pixels that aren't black read back."""
+    pixels = t.points.groupBy((c("tile_id") % 32).alias("ix"), F.floor(c("tile_id") / 32 % 32).alias("iy")).agg(*[F.max(a).alias(a) for a in "rgb"])
+    return sinks.read_png(sinks.pictures(pixels.withColumn("path", F.lit("tiles.png")), 32, 32)).select("ix", "iy", *"rgb").filter("r + g + b > 0")

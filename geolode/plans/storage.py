@@ -5,10 +5,32 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, kind: str) -> str:
-    """A new folder name below spark.checkpoint.dir; a temporary folder where that isn't set, as in tests on one machine."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-")
+    """A new folder name below spark.checkpoint.dir; a temporary folder where that isn't set on one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        top = tempfile.mkdtemp(prefix="spark-checkpoints-")
     return f"{top.rstrip('/')}/{kind}-{uuid.uuid4()}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again."""
+    path = f"{folder(df.sparkSession, 'kept')}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def placed_in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """df with place, from 1 on in a total order, numbered by many tasks: each numbers its range of the sorted rows, and what the ranges before hold is added."""
+    ranges = kept(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part, within = F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND((1 << 33) - 1).alias("__within")
+    numbered = ranges.select("*", part, within)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = numbered.groupBy("__part").agg(F.count("*").alias("n")).select("__part", before.alias("__before"))  # a row for each task
+    return numbered.join(F.broadcast(sizes), "__part").withColumn("place", F.col("__before") + F.col("__within") + 1).drop("__id", "__part", "__within", "__before")

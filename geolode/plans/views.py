@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from geolode.functions import columns as C
 from geolode.functions.camera import Camera
 from geolode.operators import aggregate, lod, raster
+from geolode.plans import storage
 from geolode.plans.joins import _PATCHES, patches
 from geolode.plans.registry import number as n
 from geolode.plans.registry import query
@@ -88,10 +89,8 @@ def prj_task_weight(t):
 
 @query("srt_tasks", f"{_PATCHES};; SELECT px, py, CAST(row_number() OVER (ORDER BY round({_TASK}, 9) DESC, px, py) AS INT) AS place FROM patches")
 def srt_tasks(t):
-    from pyspark.sql import Window
-
     weighed = patches(t).select("px", "py", task_weight().alias("weight"))
-    return weighed.select("px", "py", F.row_number().over(Window.orderBy(F.desc("weight"), "px", "py")).alias("place"))
+    return storage.placed_in_order(weighed, F.desc("weight"), "px", "py").select("px", "py", c("place").cast("int").alias("place"))
 
 
 @query("prj_frustum_ray")
@@ -160,7 +159,7 @@ def agg_hq_color(t):
 
 
 def edges(t):
-    return raster.box_edges(t.tiles.filter("tile_id < 20"), *low_high()).withColumn("colour", C.index_colour(c("tile_id")))
+    return raster.box_edges(t.tiles, *low_high()).withColumn("colour", C.index_colour(c("tile_id")))
 
 
 def _corner_sql(k):
@@ -175,12 +174,15 @@ def geo_box_lines(t):
     return raster.box_edges(t.tiles, *low_high()).select("tile_id", "edge", "ax", "ay", "az", "bx", "by", "bz")
 
 
-@query("geo_box_triangles", "SELECT tile_id, count(*) * 12 AS n FROM tiles GROUP BY tile_id")
+_BOXES = "bt AS (" + " UNION ALL ".join(f"SELECT tile_id, {k} AS triangle, " + ", ".join(f"{e} AS {a}{v}" for v, corner in enumerate(t) for a, e in zip("xyz", _corner_sql(corner))) + " FROM tiles" for k, t in enumerate(t for a, b, d, e in raster.SIDES for t in ((a, b, d), (a, d, e)))) + ")"
+
+
+@query("geo_box_triangles", _BOXES + ";; SELECT * FROM bt")
 def geo_box_triangles(t):
-    return raster.box_triangles(t.tiles, *low_high()).groupBy("tile_id").agg(F.count("*").alias("n"))
+    return raster.box_triangles(t.tiles, *low_high()).select("tile_id", "triangle", *[f"{a}{v}" for v in range(3) for a in "xyz"])
 
 
-_LINE = f"""ln_ AS (SELECT (tile_id % 127 + 1) * 12345678 % 4294967296 AS colour, {', '.join(f'{e} AS a{k}' for e, k in zip(screen_sql('ax', 'ay', 'az'), 'xyw'))}, {', '.join(f'{e} AS b{k}' for e, k in zip(screen_sql('bx', 'b_y', 'bz'), ('x', '_y', 'w')))} FROM ed WHERE tile_id < 20),
+_LINE = f"""ln_ AS (SELECT (tile_id % 127 + 1) * 12345678 % 4294967296 AS colour, {', '.join(f'{e} AS a{k}' for e, k in zip(screen_sql('ax', 'ay', 'az'), 'xyw'))}, {', '.join(f'{e} AS b{k}' for e, k in zip(screen_sql('bx', 'b_y', 'bz'), ('x', '_y', 'w')))} FROM ed),
  st AS (SELECT *, least(400, greatest(1, CAST(ceil(greatest(abs(bx - ax), abs(b_y - ay))) AS INT))) AS steps FROM ln_ WHERE aw > 0 AND bw > 0),
  lf AS (SELECT CAST(floor(fx) AS INT) AS ix, CAST(floor(fy) AS INT) AS iy, round(w, 3) AS depth, colour FROM (SELECT colour, ax + (bx - ax) * u AS fx, ay + (b_y - ay) * u AS fy, aw + (bw - aw) * u AS w FROM (
    SELECT *, k / CAST(steps AS DOUBLE) AS u FROM (SELECT *, unnest(range(0, steps + 1)) AS k FROM st) q) q) q WHERE {_PIC})"""
@@ -194,13 +196,13 @@ def agg_line_raster(t):
 # triangles on the picture, from part and size keys, some of them turned away
 _TRI = """tri AS (SELECT p_partkey AS id, CAST(p_partkey * 7 % 600 AS DOUBLE) AS sx0, CAST(p_partkey * 13 % 330 AS DOUBLE) AS sy0, 10e0 + p_partkey % 5 AS w0,
   CAST(p_partkey * 7 % 600 + 12 AS DOUBLE) AS sx1, CAST(p_partkey * 13 % 330 + p_size % 9 AS DOUBLE) AS sy1, 12e0 + p_partkey % 3 AS w1,
-  CAST(p_partkey * 7 % 600 + p_size % 7 AS DOUBLE) AS sx2, CAST(p_partkey * 13 % 330 + 14 - p_size AS DOUBLE) AS sy2, 9e0 + p_partkey % 4 - CASE WHEN p_partkey % 50 = 0 THEN 20 ELSE 0 END AS w2 FROM part WHERE p_partkey < 1000)"""
+  CAST(p_partkey * 7 % 600 + p_size % 7 AS DOUBLE) AS sx2, CAST(p_partkey * 13 % 330 + 14 - p_size AS DOUBLE) AS sy2, 9e0 + p_partkey % 4 - CASE WHEN p_partkey % 50 = 0 THEN 20 ELSE 0 END AS w2 FROM part)"""
 
 
 def triangles(t):
     k, s = c("p_partkey"), c("p_size")
     whole = {"id": k, "sx0": k * 7 % 600, "sy0": k * 13 % 330, "w0": 10.0 + k % 5, "sx1": k * 7 % 600 + 12, "sy1": k * 13 % 330 + s % 9, "w1": 12.0 + k % 3, "sx2": k * 7 % 600 + s % 7, "sy2": k * 13 % 330 + 14 - s, "w2": 9.0 + k % 4 - F.when(k % 50 == 0, 20).otherwise(0)}
-    return t.read("part").filter("p_partkey < 1000").select(*[(v if n == "id" else v.cast("double")).alias(n) for n, v in whole.items()])
+    return t.read("part").select(*[(v if n == "id" else v.cast("double")).alias(n) for n, v in whole.items()])
 
 
 _TURN = "(sx1 - sx0) * (sy2 - sy0) - (sy1 - sy0) * (sx2 - sx0) >= 0 AND least(w0, w1, w2) >= 0"

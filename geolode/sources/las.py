@@ -8,6 +8,7 @@ Compressed chunks beyond their first record need a codec that isn't here; asking
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -231,6 +232,27 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = False, patter
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(folder).select("path", "length")
 
 
+def byte_ranges(ranges: DataFrame) -> DataFrame:
+    """path, start, n and the bytes of ranges (path, start, n) of files that every task can open; a task opens a file once for its ranges that follow each other."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, file = None, None
+        for part in parts:
+            found = []
+            for path, start, n in zip(part["path"], part["start"], part["n"], strict=True):
+                if path != name:
+                    if file is not None:
+                        file.close()
+                    name, file = path, open(re.sub("^file:(//)?", "", path), "rb")
+                file.seek(start)
+                found.append(file.read(n))
+            yield part[["path", "start", "n"]].assign(bytes=found)
+        if file is not None:
+            file.close()
+
+    return ranges.select("path", "start", "n").mapInPandas(run, "path string, start bigint, n bigint, bytes binary")
+
+
 @dataclass
 class Part(InputPartition):
     path: str

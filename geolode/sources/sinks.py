@@ -39,6 +39,18 @@ def xyzrgba(points: DataFrame, tiles: DataFrame) -> DataFrame:
     return points.select("tile_id", "point_idx", *"xyzrgb").join(tiles.drop("n_points"), "tile_id").groupBy("tile_id").applyInPandas(one, "path string, content binary")
 
 
+def read_xyzrgba(files: DataFrame) -> DataFrame:
+    """path, n, x, y, z (from the tile's corner on), r, g, b and a of the files that xyzrgba() makes."""
+
+    def run(parts):
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                rows = np.frombuffer(content, [("p", "<f4", 3), ("c", "u1", 4)], offset=24)
+                yield pd.DataFrame({"path": path, "n": np.arange(len(rows)), **{a: rows["p"][:, k] for k, a in enumerate("xyz")}, **{a: rows["c"][:, k].astype(np.int32) for k, a in enumerate("rgba")}})
+
+    return files.mapInPandas(run, "path string, n bigint, x float, y float, z float, r int, g int, b int, a int")
+
+
 def _picture(heights: pd.DataFrame, size: int) -> np.ndarray:
     out = np.zeros((size, size), np.float32)
     out[heights["iy"] % size, heights["ix"] % size] = heights["height"]
@@ -58,6 +70,49 @@ def height_files(heights: DataFrame, size: int = 64) -> DataFrame:
     return blocks.groupBy("bx", "by").applyInPandas(one, "path string, content binary")
 
 
+def read_height_files(files: DataFrame, size: int = 64) -> DataFrame:
+    """ix, iy, height and grey of the files that height_files() makes, both of a block together."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        content = dict(zip(part["path"].str.rsplit(".", n=1).str[1], part["content"], strict=True))
+        bx, by = map(int, part["block"].iloc[0].split("_"))
+        grey = np.frombuffer(content["ppm"][-6 * size * size :], ">u2")[::3]
+        y, x = np.divmod(np.arange(size * size), size)
+        return pd.DataFrame({"ix": x + bx * size, "iy": y + by * size, "height": np.frombuffer(content["heightmap"], "<f4"), "grey": grey.astype(np.int32)})
+
+    return files.withColumn("block", F.substring_index("path", ".", 1)).groupBy("block").applyInPandas(one, "ix int, iy int, height float, grey int")
+
+
+def pictures(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """path and content of a PNG for each path of pixels (path, ix, iy, r, g, b: one row a pixel, so a group is as large as a picture)."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        picture = np.zeros((height, width, 3))
+        picture[part["iy"], part["ix"]] = part[["r", "g", "b"]].to_numpy() / 255 + 1e-9
+        return pd.DataFrame([(part["path"].iloc[0], png(picture))], columns=["path", "content"])
+
+    return pixels.groupBy("path").applyInPandas(one, "path string, content binary")
+
+
+def read_png(files: DataFrame) -> DataFrame:
+    """path, ix, iy, r, g, b of PNG files as png() makes them (8-bit colours, rows without a filter)."""
+
+    def run(parts):
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                width, height = struct.unpack_from(">II", content, 16)
+                at, data = 8, b""
+                while at < len(content):
+                    n, kind = struct.unpack_from(">I4s", content, at)
+                    data += content[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+                    at += n + 12
+                rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + 3 * width)[:, 1:].reshape(-1, 3).astype(np.int32)
+                y, x = np.divmod(np.arange(width * height), width)
+                yield pd.DataFrame({"path": path, "ix": x, "iy": y, **{a: rows[:, k] for k, a in enumerate("rgb")}})
+
+    return files.mapInPandas(run, "path string, ix bigint, iy bigint, r int, g int, b int")
+
+
 def png(picture: np.ndarray) -> bytes:
     """An 8-bit PNG of values 0 to 1 (height x width x 3), which are cut, not rounded."""
     rows = (picture * 255).astype(np.uint8)

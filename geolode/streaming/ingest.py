@@ -70,9 +70,27 @@ def held_back(rows: DataFrame, key: str, opens: str, out: str) -> DataFrame:
     return rows.groupBy(key).applyInPandasWithState(step, out, "waiting array<bigint>, ready boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def prioritised(batch: DataFrame, weight: str, order: list[str], most: int = LOADS) -> DataFrame:
-    """Of each batch the heaviest rows, as a frame's work list."""
-    return batch.orderBy(F.desc(weight), *order).limit(most)
+def prioritised(rows: DataFrame, weight: str, order: list[str], most: int = LOADS) -> DataFrame:
+    """The heaviest rows, as a frame's work list."""
+    return rows.orderBy(F.desc(weight), *order).limit(most)
+
+
+def running_top(stream: DataFrame, folder: str, weight: str, order: list[str], most: int = LOADS) -> DataFrame:
+    """The heaviest rows of all that has come: each batch is merged with the list that the batch before left.
+
+    A batch writes its list to a folder of its own, so one that runs twice starts from the same list again.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        if number:
+            batch = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/list-{number - 1}"))
+        prioritised(batch, weight, order, most).write.mode("overwrite").parquet(f"{folder}/list-{number}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    last = query.lastProgress["batchId"] if query.lastProgress else None
+    spark = stream.sparkSession
+    return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{folder}/list-{last}")
 
 
 def windowed(events: DataFrame, time: str, late: str, size: str, *keys: str) -> DataFrame:
