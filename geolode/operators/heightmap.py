@@ -1,7 +1,7 @@
 """Heightmaps of patches: triangulation and interpolation of sparse samples, a patch per group.
 
-A patch's context has some dozens to hundreds of samples (one point in 50,000 of a 960 m window), so a group is small
-by construction; ``lim_points_patch`` bounds it where that doesn't hold. Within a group everything is numpy arrays; Spark deals
+A patch's context has some dozens to hundreds of samples (one point in 50,000 of a 960 m window); where it has more, the first
+``CAPACITY`` in order of their places count, as a patch holds no more. So a group is small. Within a group everything is numpy arrays; Spark deals
 patches out and joins their contexts.
 """
 
@@ -15,11 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
+from geolode.operators import grid
 
 LEAST_SAMPLES, UNSEEN, OUTSIDE = 25, -2, -1
 #: Corners that close the hull; their values are unknown.
 CORNERS = np.array([(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)])
 
+#: Grid points of faces' boxes, and distances to samples, that are handled at once; samples that a patch holds (fixed value).
+CELLS, DISTANCES, CAPACITY = 1 << 18, 1 << 20, 1500
+
 Model = Callable[[dict[str, np.ndarray]], np.ndarray]
 
 
@@ -34,78 +38,90 @@ def triangulate(points: np.ndarray) -> np.ndarray:
     """Delaunay faces (vertex numbers, counter-clockwise, sorted) by insertion into an enclosing triangle.
 
     Points are inserted in the order of their coordinates, so a permutation of the input gives the same faces. Of equal points the first counts.
+    A face whose circle lies wholly before the point that is inserted is final, so each insertion looks at the few faces near the front only.
     """
     n = len(points)
-    order = np.lexsort((points[:, 1], points[:, 0]))
     far = 1e4 * max(1.0, float(np.abs(points).max(initial=1.0)))
-    p = np.vstack([points, [(-far, -far), (far, -far), (0.0, far)]])
-    faces = np.array([(n, n + 1, n + 2)])
-    centres, radii = _circles(p[faces])
-    last = None
-    for k in order:
-        if last is not None and (points[k] == last).all():
+    p = [*map(tuple, points.tolist()), (-far, -far), (far, -far), (0.0, far)]
+    front, final, last = [((n, n + 1, n + 2), *_circle(*p[n:]))], [], None
+    for k in np.lexsort((points[:, 1], points[:, 0])).tolist():
+        if p[k] == last:
             continue
-        last = points[k]
-        d = centres - p[k]
-        bad = (d * d).sum(1) < radii * (1 + 1e-12)
+        last = x, y = p[k]
+        stay, hole = [], set()
+        for entry in front:
+            face, cx, cy, r = entry
+            dx, dy = x - cx, y - cy
+            if dx * dx + dy * dy < r:
+                hole |= {(face[0], face[1]), (face[1], face[2]), (face[2], face[0])}
+            elif dx > 0 and dx * dx > r:
+                final.append(face)
+            else:
+                stay.append(entry)
         # the hole's border: edges that only one face of it has
-        hole = faces[bad]
-        edges = np.vstack([hole[:, [0, 1]], hole[:, [1, 2]], hole[:, [2, 0]]])
-        code, back = edges[:, 0] * (n + 3) + edges[:, 1], edges[:, 1] * (n + 3) + edges[:, 0]
-        border = edges[~np.isin(code, back)]
-        new = np.column_stack([border, np.full(len(border), k)])
-        c, r = _circles(p[new])
-        faces, centres, radii = np.vstack([faces[~bad], new]), np.vstack([centres[~bad], c]), np.concatenate([radii[~bad], r])
-    faces = faces[(faces < n).all(1)]
+        stay += [((a, b, k), *_circle(p[a], p[b], p[k])) for a, b in hole if (b, a) not in hole]
+        front = stay
+    faces = np.array([f for f in [*final, *(e[0] for e in front)] if max(f) < n], int).reshape(-1, 3)
     # each face from its smallest vertex on, the faces in order
     first = faces.argmin(1)[:, None]
     faces = np.take_along_axis(faces, (first + np.arange(3)) % 3, 1)
     return faces[np.lexsort(faces.T[::-1])]
 
 
-def _circles(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and squared radii of the circles around triangles (n, 3, 2)."""
-    a, b, c = t[:, 0], t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
-    d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
-    d = np.where(np.abs(d) < 1e-300, 1e-300, d)
-    bb, cc = (b * b).sum(1), (c * c).sum(1)
-    u = np.column_stack([(c[:, 1] * bb - b[:, 1] * cc) / d, (b[:, 0] * cc - c[:, 0] * bb) / d])
-    return a + u, (u * u).sum(1)
+def _circle(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float]) -> tuple[float, float, float]:
+    """Centre and squared radius, a hair more, of the circle around a triangle."""
+    bx, by, cx, cy = b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]
+    d = 2 * (bx * cy - by * cx)
+    d = d if abs(d) >= 1e-300 else 1e-300
+    bb, cc = bx * bx + by * by, cx * cx + cy * cy
+    ux, uy = (cy * bb - by * cc) / d, (bx * cc - cx * bb) / d
+    return a[0] + ux, a[1] + uy, (ux * ux + uy * uy) * (1 + 1e-12)
 
 
 def locate(points: np.ndarray, faces: np.ndarray, extent: float, resolution: int) -> tuple[np.ndarray, np.ndarray]:
     """The lowest face that holds each grid point (OUTSIDE if none) and the three weights there. Each face looks only at the grid points of its box."""
     step, low = extent / resolution, -extent / 2
     at = low + np.arange(resolution) * step
-    found, weights = np.full((resolution, resolution), OUTSIDE), np.zeros((resolution, resolution, 3))
+    found, weights = np.full(resolution * resolution, OUTSIDE), np.zeros((resolution * resolution, 3))
     corners = points[faces]
     first = np.clip(np.ceil((corners.min(1) - low) / step - 1e-6), 0, resolution).astype(int)
     last = np.clip(np.floor((corners.max(1) - low) / step + 1e-6) + 1, 0, resolution).astype(int)
-    for number, (a, b, c) in enumerate(corners):
-        (i0, j0), (i1, j1) = first[number], last[number]
-        whole = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
-        if i0 >= i1 or j0 >= j1 or whole == 0:
-            continue
-        x, y = at[None, i0:i1] - c[0], at[j0:j1, None] - c[1]
-        u = ((b[1] - c[1]) * x + (c[0] - b[0]) * y) / whole
-        v = ((c[1] - a[1]) * x + (a[0] - c[0]) * y) / whole
+    a, b, c = corners[:, 0], corners[:, 1], corners[:, 2]
+    whole = (b[:, 1] - c[:, 1]) * (a[:, 0] - c[:, 0]) + (c[:, 0] - b[:, 0]) * (a[:, 1] - c[:, 1])
+    wide = np.maximum(last - first, 0)
+    size = np.where(whole != 0, wide[:, 0] * wide[:, 1], 0)
+    # faces one after another, as many at once as have so many grid points in their boxes
+    upto = np.cumsum(size)
+    some = np.flatnonzero(size)
+    for part in np.split(some, np.flatnonzero(np.diff(upto[some] // CELLS)) + 1) if len(some) else []:
+        f = np.repeat(part, size[part])
+        k = np.arange(len(f)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+        i, j = first[f, 0] + k % wide[f, 0], first[f, 1] + k // wide[f, 0]
+        x, y = at[i] - c[f, 0], at[j] - c[f, 1]
+        u = ((b[f, 1] - c[f, 1]) * x + (c[f, 0] - b[f, 0]) * y) / whole[f]
+        v = ((c[f, 1] - a[f, 1]) * x + (a[f, 0] - c[f, 0]) * y) / whole[f]
         w = 1 - u - v
-        inside = (u >= -1e-9) & (v >= -1e-9) & (w >= -1e-9) & (found[j0:j1, i0:i1] == OUTSIDE)
-        found[j0:j1, i0:i1][inside] = number
-        weights[j0:j1, i0:i1][inside] = np.stack([u[inside], v[inside], w[inside]], 1)
-    return found.ravel(), weights.reshape(-1, 3)
+        cell = j * resolution + i
+        inside = np.flatnonzero((u >= -1e-9) & (v >= -1e-9) & (w >= -1e-9) & (found[cell] == OUTSIDE))
+        cells, lowest = np.unique(cell[inside], return_index=True)
+        inside = inside[lowest]
+        found[cells] = f[inside]
+        weights[cells] = np.stack([u[inside], v[inside], w[inside]], 1)
+    return found, weights
 
 
-def nearest(points: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Number of the nearest point, the first of equals."""
-    dx, dy = at[:, :1] - points[:, 0], at[:, 1:] - points[:, 1]
-    return (dx * dx + dy * dy).argmin(1)
+def nearest(points: np.ndarray, extent: float, resolution: int) -> np.ndarray:
+    """Number of the nearest point for each grid point, the first of equals; some rows of the grid at a time."""
+    at = -extent / 2 + np.arange(resolution) * (extent / resolution)
+    dx, dy = at[:, None] - points[:, 0], at[:, None] - points[:, 1]
+    dx, dy = dx * dx, dy * dy
+    some = max(1, DISTANCES // (resolution * max(1, len(points))))
+    return np.concatenate([(dx[None] + dy[k : k + some, None]).argmin(2).ravel() for k in range(0, resolution, some)])
 
 
 def interpolate(points: np.ndarray, values: np.ndarray, resolution: int, extent: float = 1.0) -> dict[str, np.ndarray]:
     """Rasters of values (n, k): nearest, linear (nearest where no face of known corners is) and mask (0 or OUTSIDE)."""
-    at = grid_points(extent, resolution)
-    near = values[nearest(points, at)]
+    near = values[nearest(points, extent, resolution)]
     padded = np.vstack([points, CORNERS])
     faces = triangulate(padded)
     found, weights = locate(padded, faces, extent, resolution)
@@ -140,21 +156,22 @@ def by_patch(context: DataFrame):
     A patch is little data and much work. Adaptive execution would put many into one task for their size, but for a number of
     partitions that is asked for, by a key of its own: the join before has dealt by px and py already.
     """
+    context = grid.first_of_each(context, ["px", "py"], tuple(c for c in context.columns if c not in ("px", "py")), CAPACITY)
     parts = int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return context.withColumn("deal", F.xxhash64("px", "py")).repartition(parts, "deal").groupBy("deal", "px", "py")
 
 
-def heightmaps(context: DataFrame, resolution: int = C.CONTEXT_TEXELS, learned: int = C.TEXELS, method: str = "linear", model: Model | None = None) -> DataFrame:
+def heightmaps(context: DataFrame, resolution: int = C.CONTEXT_TEXELS, learned: int = C.TEXELS, method: str = "linear", model: Model | None = None, means: bool = False) -> DataFrame:
     """A row per patch of context (px, py, lx, ly, lz, r, g, b): its central learned x learned raster of heights and colours.
 
     Fewer than LEAST_SAMPLES samples make a blank patch. Samples are normalised around the patch's centre and mean height; model, if any, maps the
-    input maps to height (and colour) maps of the learned size, in normalised heights.
+    input maps to height (and colour) maps of the learned size, in normalised heights. With means, the means of the rasters stand for them.
     """
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         px, py, n = int(part["px"].iloc[0]), int(part["py"].iloc[0]), len(part)
         if n < LEAST_SAMPLES:
-            return pd.DataFrame([(px, py, n, True, None, None, None, None, None)], columns=NAMES)
+            return pd.DataFrame([(px, py, n, True, *[None] * (4 if means else 5))], columns=NAMES[: 8 if means else 9])
         xy, values, base = _samples(part)
         rasters = interpolate(xy, values, resolution)
         picture = crop(rasters[method], resolution, learned)
@@ -163,10 +180,13 @@ def heightmaps(context: DataFrame, resolution: int = C.CONTEXT_TEXELS, learned:
             made = model(model_input(rasters, resolution))
             picture = np.column_stack([made.reshape(len(made), -1).T, picture[:, len(made) :]])
             radius = C.RADIUS_OUT
+        if means:
+            return pd.DataFrame([(px, py, n, False, float(picture[:, 0].mean() / 10 * radius + base), *map(float, picture[:, 1:].mean(0)))], columns=NAMES[:8])
         mask = crop(rasters["mask"][:, None], resolution, learned)[:, 0]
         return pd.DataFrame([(px, py, n, False, picture[:, 0] / 10 * radius + base, *picture[:, 1:].T, mask.astype(np.int32))], columns=NAMES)
 
-    return by_patch(context.select("px", "py", "lx", "ly", "lz", "r", "g", "b")).applyInPandas(one, MAPS)
+    schema = ", ".join(MAPS.split(", ")[:8]).replace("array<double>", "double") if means else MAPS
+    return by_patch(context.select("px", "py", "lx", "ly", "lz", "r", "g", "b")).applyInPandas(one, schema)
 
 
 NAMES = [c.split()[0] for c in MAPS.split(", ")]

@@ -76,9 +76,8 @@ def geo_crop(t):
 
 @query("geo_gen_rgb")
 def geo_gen_rgb(t):
-    maps = heightmap.heightmaps(contexts(t))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v, lambda s: F.round(s / (C.TEXELS * C.TEXELS), 4))
-    return maps.select("px", "py", "n", "blank", *[mean(c(a)).alias(a) for a in ("height", "red", "green", "blue")])
+    maps = heightmap.heightmaps(contexts(t), means=True)
+    return maps.select("px", "py", "n", "blank", *[F.round(a, 4).alias(a) for a in ("height", "red", "green", "blue")])
 
 
 @query("geo_gen_h")

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geolode.plans.tables import POINTS_SQL, Tables
+from geolode.plans.tables import POINTS_SQL, LasTables, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_BUILDS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -18,6 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
     def add(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         _QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        _BUILDS[name] = build
         if sql is not None:
             more, body = sql.split(";;") if ";;" in sql else ("", sql)
             _SQL[name] = f"WITH {POINTS_SQL}{', ' + more if more else ''} {body}"
@@ -46,6 +48,12 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+def on_files(name: str, spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """A query that needs points, chunk points, tiles or patches, over a folder of LAS files."""
+    _load()
+    return _BUILDS[name](LasTables(spark, folder, **options))
+
+
 def oracle_sql() -> dict[str, str]:
     _load()
     return dict(_SQL)

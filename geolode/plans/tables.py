@@ -1,7 +1,7 @@
 """The tables of the engine: points, chunk points, tiles and patches.
 
-Points come from a LAS source or, for the queries that are checked against SQL, from the order lines: a supplier is a tile of one square
-kilometre and each line a point, with raw integers as a LAS file has them.
+Points come from a folder of LAS files (``LasTables``) or, for the queries that are checked against SQL, from the order lines: a supplier is a tile of
+one square kilometre and each line a point, with raw integers as a LAS file has them.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
+from geolode.sources import las
 
 #: Points of a chunk here; small tables would hardly have chunks of 50,000.
 CHUNK = 10
@@ -62,6 +63,38 @@ class Tables:
         return at.withColumns({"px": C.cell(F.col("lx")), "py": C.cell(F.col("ly"))})
 
 
+class LasTables(Tables):
+    """The same tables of a folder of LAS files: tiles and world come from the headers, so no point is read for them.
+
+    options are those of the ``las`` source, as box, which leaves out files outside. A tile's id is the number in its file's name, or else a hash of its path.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, **options: str):
+        super().__init__(spark, folder)
+        self.options = options
+        las.register(spark)
+
+    def read(self, name: str) -> DataFrame:
+        raise ValueError(f"a folder of LAS files has no table {name}")
+
+    def _from(self, what: str) -> DataFrame:
+        number = F.regexp_extract("path", r"(\d+)[.][lL][aA][sSzZ]$", 1)
+        found = self.spark.read.format("las").options(**self.options).option("what", what).load(self.sf_dir)
+        return found.withColumn("tile_id", F.when(number != "", F.expr("try_cast(regexp_extract(path, '([0-9]+)[.][^.]*$', 1) AS BIGINT)")).otherwise(F.xxhash64("path")))
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return self._from("points").drop("path", "a")
+
+    @cached_property
+    def chunk_points(self) -> DataFrame:
+        return self._from("chunk_points").drop("path", "a")
+
+    @cached_property
+    def tiles(self) -> DataFrame:
+        return self._from("headers").select("tile_id", "n_points", *[f"{n}_{a}" for n in ("min", "max") for a in "xyz"])
+
+
 #: The same tables in SQL.
 POINTS_SQL = """
 pts AS (

@@ -27,6 +27,8 @@ Fetch = Callable[[int, int], bytes]
 FIRST, LASZIP, VLR_HEAD = 4096, 22204, 54
 COLOUR_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 CHUNK = 50_000
+#: Points that a task reads at once.
+READ = 100_000
 
 
 @dataclass(frozen=True)
@@ -261,11 +263,16 @@ class Part(InputPartition):
 
 
 class LasReader(DataSourceReader):
-    """what: headers, chunks, chunk_points or points; files of more than points_per_task points are read by several tasks."""
+    """what: headers, chunks, chunk_points or points; files of more than points_per_task points are read by several tasks.
+
+    chunk is the number of points of a chunk of uncompressed files. box (x0,y0,x1,y1) leaves out files whose header's bounds lie outside, before any task starts, and points outside in the others.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.what = options.get("what", "points")
         self.step = int(options.get("points_per_task", 5_000_000))
+        self.chunk = int(options.get("chunk", 0))
+        self.box = [float(v) for v in options["box"].split(",")] if "box" in options else None
         self.paths = self._paths(options["path"], options.get("recursive", "true") == "true")
 
     @staticmethod
@@ -276,15 +283,27 @@ class LasReader(DataSourceReader):
         return sorted(f for f in found if f.lower().endswith((".las", ".laz")))
 
     def partitions(self) -> list[Part]:
-        if self.what != "points":
+        if self.what != "points" and self.box is None:
             return [Part(p) for p in self.paths]
         parts = []
-        for p in self.paths:  # a header is 4 KB; the driver reads one per file to cut the large ones
+        for p in self.paths:  # a header is 4 KB; the driver reads one per file to cut the large ones and to leave out those outside
             with open(p, "rb") as f:
-                n = read_header(lambda at, k: (f.seek(at), f.read(k))[1], os.path.getsize(p)).n_points  # noqa: B023
-            parts += [Part(p, first, self.step) for first in range(0, max(n, 1), self.step)]
+                header = read_header(lambda at, k: (f.seek(at), f.read(k))[1], os.path.getsize(p))  # noqa: B023
+            if self.box and not all(header.low[k] <= self.box[k + 2] and header.high[k] >= self.box[k] for k in range(2)):
+                continue
+            step = self.step if self.what == "points" else max(header.n_points, 1)
+            parts += [Part(p, first, step) for first in range(0, max(header.n_points, 1), step)]
         return parts
 
+    def _batches(self, fetch: Fetch, size: int, header: Header, part: Part) -> Iterator[pd.DataFrame]:
+        """Points of a part, READ at a time."""
+        if self.what == "chunk_points":
+            yield pd.DataFrame({"path": part.path, **read_chunk_points(fetch, size, header)})
+            return
+        end = part.first + part.n if part.n >= 0 else header.n_points
+        for first in range(part.first, min(end, header.n_points), READ):
+            yield pd.DataFrame({"path": part.path, **read_points(fetch, header, first, min(READ, end - first))})
+
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         size = os.path.getsize(part.path)
         with open(part.path, "rb") as f:
@@ -294,16 +313,18 @@ class LasReader(DataSourceReader):
                 return f.read(n)
 
             header = read_header(fetch, size)
+            if self.chunk and not header.compressed:
+                header = replace(header, chunk_size=self.chunk)
             if self.what == "headers":
                 rows = pd.DataFrame([header_row(part.path, size, header)], columns=[c.split()[0] for c in HEADERS.split(", ")])
             elif self.what == "chunks":
                 sizes = read_chunk_sizes(fetch, size, header) if header.compressed else [min(header.chunk_size, header.n_points - k) * header.record_length for k in range(0, header.n_points, header.chunk_size)]
                 rows = pd.DataFrame({"path": part.path, "chunk_idx": np.arange(len(sizes)), "byte_size": np.array(sizes, np.int64)})
-            else:
-                found = read_chunk_points(fetch, size, header) if self.what == "chunk_points" else read_points(fetch, header, part.first, part.n)
-                rows = pd.DataFrame({"path": part.path, **found})
             schema = arrow_schema({"headers": HEADERS, "chunks": TABLE}.get(self.what, POINTS))
-            yield from pa.Table.from_pandas(rows, schema, preserve_index=False).to_batches(max_chunksize=100_000)
+            for rows in [rows] if self.what in ("headers", "chunks") else self._batches(fetch, size, header, part):
+                if self.box and "x" in rows:
+                    rows = rows[rows["x"].between(self.box[0], self.box[2]) & rows["y"].between(self.box[1], self.box[3])]
+                yield from pa.Table.from_pandas(rows, schema, preserve_index=False).to_batches(max_chunksize=READ)
 
 
 @dataclass
@@ -332,7 +353,9 @@ class FilesWriter(DataSourceWriter):
         pass
 
     def abort(self, messages) -> None:
-        pass
+        for path in (p for m in messages if m is not None for p in m.paths):
+            if os.path.exists(path):
+                os.remove(path)
 
 
 class LasSource(DataSource):

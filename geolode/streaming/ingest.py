@@ -83,14 +83,13 @@ def running_top(stream: DataFrame, folder: str, weight: str, order: list[str], m
 
     def put(batch: DataFrame, number: int) -> None:
         if number:
-            batch = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/list-{number - 1}"))
-        prioritised(batch, weight, order, most).write.mode("overwrite").parquet(f"{folder}/list-{number}")
+            batch = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/list/batch={number - 1}"))
+        prioritised(batch, weight, order, most).write.mode("overwrite").parquet(f"{folder}/list/batch={number}")
 
     query = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else None
-    spark = stream.sparkSession
-    return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(f"{folder}/list-{last}")
+    lists = stream.sparkSession.read.parquet(f"{folder}/list")
+    return lists.filter(F.col("batch") == lists.agg(F.max("batch")).first()[0]).drop("batch")
 
 
 def windowed(events: DataFrame, time: str, late: str, size: str, *keys: str) -> DataFrame:
