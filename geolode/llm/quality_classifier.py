@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolode.llm.common import few, saved
+from geolode.llm.common import BROADCAST_BYTES, few, saved
 from geolode.llm.quality_rules import STOP_WORDS
 
 COSINES, RIDGE, SEED, BINS = 128, 1e-3, 7, 1000
@@ -103,6 +103,13 @@ class Model:
         return np.clip(np.interp(self.raw(f), self.knots, self.levels), 0.0, 1.0)
 
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that fit() would use, if the labels are few enough to be broadcast; else all of them."""
+    keys = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    n = keys.count()
+    return docs.join(F.broadcast(keys), "doc_id", "left_semi") if 16 * n <= BROADCAST_BYTES else docs
+
+
 def isotonic(x: np.ndarray, total: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots and levels of the rising means, by pooling neighbours that fall. x rises; total is the sum of labels."""
     pools: list[list[float]] = []
