@@ -19,7 +19,8 @@ WIDTH, NUMERATOR = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_classifier.fit(quality_classifier.with_statistics(docs), table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(quality_classifier.with_statistics(quality_classifier.labelled(docs, labels)), labels)
     return quality_classifier.accepted(docs, model)
 
 
