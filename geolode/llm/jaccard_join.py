@@ -12,10 +12,11 @@ A document's set holds its distinct word n-grams; two documents link when the Ja
    aren't empty is dealt once more by another hash, as a set that is linked with it through empty parts alone would be. A task hangs the
    documents that it has on the smallest of them itself, some thousands at a time, so that only one of these takes a row to the shuffle. Sizes go
    by classes of ratio ``DENOMINATOR / NUMERATOR``, and each document takes part with its own class and the one below.
-3. The components of these rows are the clusters to search. A small one is one task's work. A larger one is cut into blocks, each
+3. The components of these rows are the clusters to search. A small one is one task's work. Those of a larger one meet once more, by
+   the rarest of their n-grams in it, which takes apart what a passage of many documents has brought together. What stays large is cut into blocks, each
    a task of its own together with the cluster's few pivots, the documents that have most in common with the others, so that copies of one text are linked
    through these and the work grows with the cluster, not with its square. Then only documents outside the cluster's largest class so far are taken further,
-   each to the blocks in which it shares a row with a document of another class. Within a task documents are partitioned into groups of
+   each to the blocks in which it meets a document of another class. Within a task documents are partitioned into groups of
    similar ones, the matrix has each group's union of n-grams, a document's overlap with a union bounds its overlap with every member,
    and only groups whose bound reaches the threshold are opened and compared. Documents that are already linked
    through others are not compared again, and a task returns a spanning tree of its links rather than all pairs.
@@ -147,10 +148,10 @@ def folded(ids: np.ndarray, taken: list[np.ndarray]) -> tuple[pa.ListArray, pa.L
     return _lists(owner[head][kept], row[head][kept], n), _lists(hung[0], hung[1], n)
 
 
-def features(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, fold: bool = True) -> DataFrame:
+def features(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """A row per document: doc_id, n_shingles, digest of the set (null if empty), its rows and links.
 
-    With fold, rows that a smaller document of the same task has as well are left out, and links has that document; equal sets have rows once.
+    Rows that a smaller document of the same task has as well are left out, and links has that document; equal sets have rows once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,17 +160,12 @@ def features(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, de
         def flushed() -> pa.RecordBatch:
             ids, sizes, digests, taken = zip(*held, strict=True)
             number = np.array([-1 if i is None else i for i in ids], np.int64)
-            if fold:
-                first: dict[bytes, int] = {}
-                for k, d in enumerate(digests):
-                    if d is not None and ids[k] is not None and (d not in first or ids[k] < ids[first[d]]):
-                        first[d] = k
-                own = set(first.values())
-                taken = [t if k in own else none for k, t in enumerate(taken)]
-                rows_, links = folded(number, taken)
-            else:
-                owner = np.repeat(np.arange(len(ids)), [len(t) for t in taken])
-                rows_, links = _lists(owner, np.concatenate([*taken, none]), len(ids)), _lists(none, none, len(ids))
+            first: dict[bytes, int] = {}
+            for k, d in enumerate(digests):
+                if d is not None and ids[k] is not None and (d not in first or ids[k] < ids[first[d]]):
+                    first[d] = k
+            own = set(first.values())
+            rows_, links = folded(number, [t if k in own else none for k, t in enumerate(taken)])
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), rows_, links], ["doc_id", "n_shingles", "digest", "rows", "links"])
 
         for batch in few(batches):
@@ -305,11 +301,55 @@ def _shares() -> Column:
     return F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long")
 
 
-def links_of(docs: DataFrame, sets: DataFrame, clusters: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """A spanning forest (u, v) of the links within clusters (doc_id, cluster); sets has digest, doc_id and n_shingles."""
+def rare(docs: DataFrame, large: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """Of the sets of large clusters (digest, doc_id, cluster, block) the n-grams by which linked ones must meet: doc_id, of (cluster) and row (n-gram).
+
+    In an order of all n-grams of a cluster, two linked sets have one in common among each one's first n - ceil(threshold * n) + 1. The rarest
+    come first, so a passage that very many documents share brings none of them together.
+    """
+    placed = large.select("digest", "doc_id", "cluster", F.col("block").alias("task"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("label"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches):
+            sets = [np.frombuffer(t, np.int64) for t in batch.column(3).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in sets])]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], tokens], ["of", "doc_id", "digest", "tokens"])
+
+    sets = members(docs, placed, width).select("cluster", "doc_id", "digest", "tokens")
+    lists = saved(sets.mapInArrow(listed, "of bigint, doc_id bigint, digest binary, tokens array<bigint>"))
+    cells = lists.select("of", "doc_id", "digest", F.size("tokens").alias("n"), F.explode("tokens").alias("row"))
+    counts = cells.groupBy("of", "row").agg(F.count("*").alias("c")).filter("c > 1")
+    common = cells.join(counts.hint("merge"), ["of", "row"]).groupBy("of", "doc_id", "digest", "n").agg(F.sort_array(F.collect_list(F.struct("c", "row"))).alias("common"))
+    n = F.col("n")
+    first = n - F.ceil(n * numerator / denominator) + 1 - (n - F.size("common"))  # behind the n-grams that no other set has
+    taken = common.select("doc_id", "of", F.explode(F.slice("common", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("x"))
+    return saved(taken.select("doc_id", "of", F.col("x.row").alias("row")).distinct())
+
+
+def hung_on_smallest(cells: DataFrame, *row: str) -> DataFrame:
+    """u, v: each document of cells (doc_id and row) and the smallest that has the row, by one exchange."""
+    dealt = cells.repartition(*row)
+    least = dealt.groupBy(*row).agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).filter("v < last").select(*row, "v")
+    return dealt.join(least.hint("merge"), list(row)).filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
+
+
+def _blocks(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """digest, doc_id, n_shingles, cluster, blocks and block of the sets of clusters (doc_id, cluster) that have several."""
     sized = clusters.join(sets, "doc_id")
     blocks = sized.groupBy("cluster").agg(_shares().alias("blocks"), F.count("*").alias("sets")).filter("sets > 1").drop("sets")  # not copies of one set alone
-    work = saved(sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
+    return saved(sized.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
+
+
+def links_of(docs: DataFrame, sets: DataFrame, clusters: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """A spanning forest (u, v) of the links within clusters (doc_id, cluster); sets has digest, doc_id and n_shingles."""
+    work = _blocks(clusters, sets)
+    large = work.filter("blocks > 1")
+    if not large.isEmpty():
+        # large clusters fall apart by what their documents have in common but for frequent n-grams
+        cells = rare(docs, large, width, numerator, denominator)
+        parts = components(hung_on_smallest(cells, "of", "row")).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+        work = saved(work.filter("blocks = 1").unionByName(_blocks(parts, sets)))
     columns = ["digest", "doc_id", "cluster", "task", "side", "label"]
     placed = work.withColumns({"task": F.col("block"), "side": F.lit(1), "label": F.lit(0).cast("long")})
     large = placed.filter("blocks > 1")
@@ -330,14 +370,10 @@ def links_of(docs: DataFrame, sets: DataFrame, clusters: DataFrame, width: int,
     rest = saved(labelled.join(main, "cluster").filter("label <> main").drop("main"))
     if rest.isEmpty():
         return links
-    # a row of the matrix says which blocks hold documents of which classes
-    asked = labelled.join(rest.select("cluster").distinct(), "cluster", "left_semi").select("doc_id").distinct()
-    texts = docs.join(small_side(asked, asked.count(), 16), "doc_id", "left_semi")
-    cells = saved(features(texts, width, numerator, denominator, fold=False).select("doc_id", F.explode("rows").alias("row")).distinct())
-    having = cells.join(labelled.select("doc_id", "cluster", "block", "label"), "doc_id")
-    having = having.groupBy("row", "cluster", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    # an n-gram that linked documents must meet by says which blocks hold documents of which classes
+    having = cells.join(labelled.select("doc_id", "cluster", "block", "label"), "doc_id").groupBy("of", "row", "cluster", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     own = cells.join(rest.select("doc_id", F.col("block").alias("home"), "label"), "doc_id")
-    meets = own.join(having, "row").filter("block <> home and (least <> label or most <> label)").select("doc_id", "cluster", "block").distinct()
+    meets = own.join(having, ["of", "row"]).filter("block <> home and (least <> label or most <> label)").select("doc_id", "cluster", "block").distinct()
     wanted = saved(meets.join(rest.select("doc_id", "digest", "n_shingles", "label"), "doc_id"))
     chunks = wanted.groupBy("cluster", "block").agg(_shares().alias("chunks"))
     task = F.xxhash64("block", "chunk")
@@ -352,10 +388,8 @@ def classes(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, den
     known = saved(features(docs, width, numerator, denominator))
     some = known.filter("digest is not null and doc_id is not null")
     sets = saved(some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")))
-    # one exchange serves the smallest document of a row and the others, of which there is one for some thousand documents at most
-    cells = some.select("doc_id", F.explode("rows").alias("row")).repartition("row")
-    least = cells.groupBy("row").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).filter("v < last").select("row", "v")
-    met = cells.join(least.hint("merge"), "row").filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
+    # of the documents that take a row to the shuffle there is one for some thousand at most
+    met = hung_on_smallest(some.select("doc_id", F.explode("rows").alias("row")), "row")
     hung = some.select(F.col("doc_id").alias("u"), F.explode("links").alias("v"))
     clusters = saved(components(met.unionByName(hung)).withColumnsRenamed({"node": "doc_id", "component": "cluster"}))
     links = links_of(docs, sets, clusters, width, numerator, denominator)

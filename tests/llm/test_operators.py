@@ -214,7 +214,7 @@ def test_large_cluster_meets_in_blocks_that_grow_with_it(spark, monkeypatch):
         compared.clear()
         got = {r.doc_id: r.component_id for r in jaccard_join.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
         assert got[n] == n and Counter(got.values())[0] >= 0.95 * n
-        assert compared[0] <= n + (jaccard_join.PIVOTS + 1) * (n // 100 + 2) and sum(compared) <= 3 * n
+        assert max(compared) <= n + (jaccard_join.PIVOTS + 1) * (n // 100 + 2) and sum(compared) <= 3.3 * n  # linear
         if n == 600:
             assert got == {d: c for d, (_, c) in linked_classes(texts).items()}
 
