@@ -101,17 +101,21 @@ def recurring(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def dedup(docs: DataFrame, text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """docs with recurring lines dropped from text; n_lines (before) and n_dropped are added, or replace columns of these names."""
-    gone = recurring(docs, text).select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy"), F.col("i").alias("__gone"))
+    # columns of the join that no column of docs is named like
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    gone = recurring(docs, text).select(F.col("doc_id").alias(f"{mark}doc"), F.col("copy").alias(f"{mark}copy"), F.col("i").alias(f"{mark}gone"))
     whole = F.coalesce(F.col(text), F.lit(""))
     # the texts are dealt by document in every case, so that one plan holds at any size
-    joined = docs.withColumn("__own", F.xxhash64(whole)).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__copy")), "left")
+    joined = docs.withColumn(f"{mark}own", F.xxhash64(whole)).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(f"{mark}doc")) & (F.col(f"{mark}own") == F.col(f"{mark}copy")), "left")
     parts = F.split(whole, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(stay, lambda k: F.col("__parts")[k]), "\n")
-    dropped = F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0)
-    new = {text: F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col(text)), n_lines: F.size(parts).cast("long"), n_dropped: dropped.cast("long")}
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(f"{mark}gone"))
+    kept = F.array_join(F.transform(stay, lambda k: F.col(f"{mark}parts")[k]), "\n")
+    dropped = F.when(F.col(f"{mark}gone").isNotNull(), F.size(f"{mark}gone")).otherwise(0)
+    new = {text: F.when(F.col(f"{mark}gone").isNotNull(), kept).otherwise(F.col(text)), n_lines: F.size(parts).cast("long"), n_dropped: dropped.cast("long")}
     rest = [F.col(c) for c in docs.columns if c not in new]
-    return joined.withColumn("__parts", parts).select(*rest, *[c.alias(k) for k, c in new.items()])
+    return joined.withColumn(f"{mark}parts", parts).select(*rest, *[c.alias(k) for k, c in new.items()])
 
 
 def summary(docs: DataFrame) -> DataFrame:

@@ -137,8 +137,12 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets in text replaced by a mark and n_chars set anew where the text changed; all columns and rows stay."""
     found, _ = scan(docs)
     hits = saved(found.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]))
-    hits = hits.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    joined = docs.join(_hits_side(hits.withColumnRenamed("__spans", "spans")).withColumnRenamed("spans", "__spans"), address(F.col("text")) == F.col("__blob"), "left").select(*docs.columns, "__spans")
+    # columns of the join that no column of docs is named like
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    side = _hits_side(hits).withColumnsRenamed({"blob": f"{mark}blob", "spans": f"{mark}spans"})
+    joined = docs.join(side, address(F.col("text")) == F.col(f"{mark}blob"), "left").select(*docs.columns, f"{mark}spans")
     names = docs.columns
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 

@@ -110,7 +110,7 @@ def test_further_secrets_and_their_redaction(spark):
     text = f"é {key} and {token} or ghp_{'a1' * 20}, password=abcdef12 end"
     kinds = [k for k, *_ in secret_scan.find_spans(text)]
     assert {"private_key", "web_token", "prefixed", "assign"} <= set(kinds)
-    docs = spark.createDataFrame([(1, text, 5), (1, text, 5), (2, "clean", 5), (None, f"x {token}", None), (3, None, None), (4, "", 0)], "doc_id long, text string, n_chars long").withColumns({"__spans": F.lit(1), "__blob": F.lit(2), "spans": F.lit(3), "blob": F.lit(4)}).drop("__spans", "__blob")
+    docs = spark.createDataFrame([(1, text, 5), (1, text, 5), (2, "clean", 5), (None, f"x {token}", None), (3, None, None), (4, "", 0)], "doc_id long, text string, n_chars long").withColumns({"__spans": F.lit(1), "__blob": F.lit(2), "spans": F.lit(3), "blob": F.lit(4)})
     rows = secret_scan.redact(docs).collect()
     clean = "é [secret] and [secret] or [secret], [secret] end"
     assert Counter((r.doc_id, r.text, r.n_chars) for r in rows) == Counter([(1, clean, len(clean)), (1, clean, len(clean)), (2, "clean", 5), (None, "x [secret]", 10), (3, None, None), (4, "", 0)])
