@@ -5,8 +5,8 @@ are runs of a-z and 0-9 in lower case, weighted by their number in the piece tim
 term. The best template at ``COSINE`` or more over all pieces is the file's own license. A file without one takes the license of the
 nearest directory at or above its own that holds a licence file with a license of its own.
 
-Two exact bounds keep most pieces out. A piece that reaches ``COSINE`` with a template has at least one of its terms of most weight, the
-anchors: the others together are too light. And the weight of a piece is at least that of the terms that templates have,
+Two exact bounds keep most pieces out. A piece that reaches ``COSINE`` with a template has at least one of the template's rarer terms, the
+anchors: the template's most frequent terms together are too light. And the weight of a piece is at least that of the terms that templates have,
 with the least possible weight for each further term. Anchors and weights come from the templates, so their number is bounded by these, whatever the
 corpus; the frequencies of all terms are counted with pre-aggregation and joined by shuffles. Pieces and texts are scored once, however
 many files have them. Directories are resolved once each, by joins of their ancestors' paths with the directories of licence
@@ -59,15 +59,16 @@ def _weights(n: int, df: dict[str, int]) -> dict[str, float]:
 
 
 def anchors(idf: dict[str, float]) -> list[str]:
-    """Terms of which a piece needs one: of each template, the heaviest, until the rest can't reach COSINE any more."""
+    """Terms of which a piece needs one: of each template all but its most frequent terms, as far as these can't reach COSINE by themselves."""
     out = set()
     for *_, counts in COUNTS:
-        squares = sorted(((c * idf[t]) ** 2, t) for t, c in counts.items())
-        light, rest = SLACK**2 * sum(s for s, _ in squares), 0.0
-        for k, (s, _) in enumerate(squares):
+        by_idf = sorted(counts, key=lambda t: (idf[t], t))
+        squares = [(counts[t] * idf[t]) ** 2 for t in by_idf]
+        light, rest = SLACK**2 * sum(squares), 0.0
+        for k, s in enumerate(squares):
             rest += s
             if rest >= light:
-                out |= {t for _, t in squares[k:]}
+                out |= set(by_idf[k:])
                 break
     return sorted(out)
 
