@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolode.plans.storage import without_clash
+
 #: ASCII white space, between words; as a class for Java's and RE2's regular expressions.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of a table that may be broadcast, at up to this many bytes altogether.
@@ -37,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
+        if not folder and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context.getCheckpointDir()

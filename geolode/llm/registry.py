@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolode.llm import chat_format, jaccard_join, license_scan, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe
+from geolode.llm import chat_format, importance, jaccard_join, license_scan, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe
 from geolode.llm.common import table
 
 
@@ -79,9 +79,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = importance.scored(docs, importance.learned(docs, table(spark, sf_dir, "benchmark")), keep=["doc_id"])
+    return importance.ranked(scores).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_rules, op4_quality_classifier, op5_secret_scan, op6_progressive_jpeg, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_rules, op4_quality_classifier, op5_secret_scan, op6_progressive_jpeg, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE_SQL, "op2_license_scan": license_scan.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_chat_format": chat_format.ORACLE_SQL, "op2_license_scan": license_scan.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op11_importance_resampling": importance.ORACLE_SQL}
