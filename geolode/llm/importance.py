@@ -204,7 +204,7 @@ def resample(docs: DataFrame, target: DataFrame, width: int = 1, buckets: int =
     return fit.filter(F.coalesce(above, F.lit(False))).unionByName(ties)
 
 
-_CRC_TABLE = "(SELECT list(list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) r(b))"
+CRC_TABLE = "(SELECT list(list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) r(b))"
 
 
 def crc_sql(value: str) -> str:
@@ -217,7 +217,7 @@ def _words_sql(text: str) -> str:
 
 
 ORACLE_SQL = rf"""
-WITH crc AS {_CRC_TABLE},
+WITH crc AS {CRC_TABLE},
 d AS (SELECT doc_id, {_words_sql("coalesce(text, '')")} AS w FROM documents),
 b AS (SELECT unnest({_words_sql("coalesce(text, '')")}) AS word FROM benchmark),
 u AS (SELECT doc_id, unnest(w) AS word FROM d),

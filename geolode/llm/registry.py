@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolode.llm import chat_format, importance, jaccard_join, license_scan, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe, warc
+from geolode.llm import chat_format, conversation_repair, importance, jaccard_join, license_scan, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe, warc
 from geolode.llm.common import table
 
 
@@ -89,9 +89,13 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_rules, op4_quality_classifier, op5_secret_scan, op6_progressive_jpeg, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup, op11_importance_resampling, op12_warc)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_quality_rules, op4_quality_classifier, op5_secret_scan, op6_progressive_jpeg, op7_jaccard_join, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup, op11_importance_resampling, op12_warc, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.ORACLE_SQL, "op2_license_scan": license_scan.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op11_importance_resampling": importance.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL}
+    return {"op1_chat_format": chat_format.ORACLE_SQL, "op2_license_scan": license_scan.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op11_importance_resampling": importance.ORACLE_SQL, "op12_warc": warc.ORACLE_SQL, "op13_conversation_repair": conversation_repair.ORACLE_SQL}
