@@ -1,7 +1,7 @@
 """Resampling towards a target distribution by hashed word n-grams, with word tries inside partitions.
 
-Each task counts its texts in a trie: a node is a run of words and holds how often it was seen and the state of the CRC of its words, joined by one
-space, so a longer run continues the state of the shorter one. A trie that reaches ``NODES`` is added to the task's bucket totals and begun anew, which changes nothing but
+Each task counts its texts in a trie: a node is a run of words and holds the state of the CRC of its words, joined by one space, and how often each word
+followed it; a longer run continues the state of the shorter one. A trie that reaches ``NODES`` is added to the task's bucket totals and begun anew, which changes nothing but
 memory. Tasks give one row per bucket; these are summed by bucket, for the documents and for the target. A bucket's gain is
 the logarithm of the target's share over the documents' share. Documents are then scored by walking trie paths whose nodes have the gains attached,
 and Gumbel noise from a hash of the key turns taking the highest scores into sampling without replacement.
@@ -43,78 +43,123 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-class WordTrie:
-    """Runs of up to width words. A node is [number, CRC state, children by word]; what the number is says new(CRC state).
+class Node:
+    """A run of words: the CRC state behind it, the numbers of the runs that are one word longer, by that word, and the nodes of those that go on from there."""
 
-    When loose, no path is being walked, and the trie may be cleared.
-    """
+    __slots__ = ("state", "numbers", "below")
+
+    def __init__(self, state: int | None, numbers: dict[bytes, int]) -> None:
+        self.state, self.numbers, self.below = state, numbers, {}
+
+    def after(self, word: bytes) -> int:
+        return zlib.crc32(word) if self.state is None else zlib.crc32(word, zlib.crc32(b" ", self.state))
+
+
+class Gains(dict):
+    """Gains by the word that follows a node, found by the CRC state where a word comes first."""
+
+    def __init__(self, by_bucket: list[int], before: int | None) -> None:
+        self.by_bucket, self.node = by_bucket, Node(before, self)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = self.by_bucket[self.node.after(word) % len(self.by_bucket)]
+        return found
 
-    def __init__(self, width: int, new: Callable[[int], int]) -> None:
-        self.width, self.new, self.loose, self.n_words = width, new, True, 0
+
+class WordTrie:
+    """Runs of up to width words, with the numbers that numbers(state) begins for a node. When it has grown beyond NODES, full says so, and it may be cleared between two texts or pieces."""
+
+    def __init__(self, width: int, numbers: Callable[[int | None], dict[bytes, int]]) -> None:
+        self.width, self.numbers = width, numbers
         self.clear()
 
     def clear(self) -> None:
-        self.top, self.size = {}, 0
-
-    def child(self, node: list | None, word: bytes) -> list:
-        under = self.top if node is None else node[2]
-        found = under.get(word)
-        if found is None:
-            state = zlib.crc32(word) if node is None else zlib.crc32(word, zlib.crc32(b" ", node[1]))
-            found = under[word] = [self.new(state), state, {}]
-            self.size += 1
-        return found
+        self.top, self.inner = Node(None, self.numbers(None)), 0
 
-    def runs(self, text: bytes) -> Iterator[tuple[list, int]]:
-        """The node of every run of words in text and how often it is met there, a piece of the text after another; n_words counts the words."""
-        recent: list[bytes] = []
-        self.n_words = 0
-        for words in _pieces(text):
-            self.n_words += len(words)
-            if self.width == 1:
-                for word, n in Counter(words).items():
-                    yield self.child(None, word), n
-                continue
-            # every run that begins in this piece and ends in it or, for the last words, in the next one
-            words = recent + words
-            recent = words[max(0, len(words) - self.width + 1) :]
-            yield from self._from(words, len(words) - len(recent))
-        yield from self._from(recent, len(recent))
-
-    def _from(self, words: list[bytes], starts: int) -> Iterator[tuple[list, int]]:
+    def full(self) -> bool:
+        return len(self.top.numbers) + self.inner > NODES
+
+    def runs(self, words: list[bytes], starts: int) -> Iterator[tuple[dict[bytes, int], bytes]]:
+        """The numbers and the last word of every run that begins at one of the first starts words."""
         for at in range(starts):
-            node = None
-            for k, word in enumerate(words[at : at + self.width], 1):
-                node = self.child(node, word)
-                self.loose = k == self.width
-                yield node, 1
-            self.loose = True
-
-    def nodes(self) -> Iterator[list]:
-        waiting = list(self.top.values())
+            node = self.top
+            for word in words[at : at + self.width - 1]:
+                yield node.numbers, word
+                under = node.below.get(word)
+                if under is None:
+                    state = node.after(word)
+                    under = node.below[word] = Node(state, self.numbers(state))
+                    self.inner += 1
+                node = under
+            if at + self.width <= len(words):
+                self.inner += words[at + self.width - 1] not in node.numbers
+                yield node.numbers, words[at + self.width - 1]
+
+    def nodes(self) -> Iterator[Node]:
+        waiting = [self.top]
         while waiting:
             node = waiting.pop()
-            waiting += node[2].values()
+            waiting += node.below.values()
             yield node
 
 
+def _windows(text: bytes, width: int) -> Iterator[tuple[list[bytes], int]]:
+    """The words of a text a piece at a time, with the last ones of the piece before that begin longer runs, and how many of them begin a run now."""
+    rest: list[bytes] = []
+    for words in _pieces(text):
+        words = rest + words
+        starts = max(0, len(words) - width + 1)
+        rest = words[starts:]
+        yield words, starts
+    if rest:
+        yield rest, len(rest)
+
+
+def count(trie: WordTrie, text: bytes, settle: Callable[[], None]) -> None:
+    """Adds the runs of a text to a trie of Counters; settle takes the counts over and clears it."""
+    for words, starts in _windows(text, trie.width):
+        if trie.width == 1:
+            trie.top.numbers.update(words)
+        else:
+            for numbers, word in trie.runs(words, starts):
+                numbers[word] += 1
+        if trie.full():
+            settle()
+
+
+def walk(trie: WordTrie, text: bytes) -> tuple[int, int, int]:
+    """Words, runs and sum of gains of a text, along the paths of a trie of Gains."""
+    n_words = n_runs = weight = 0
+    for words, starts in _windows(text, trie.width):
+        n_words += starts
+        if trie.width == 1:
+            n_runs += starts
+            weight += sum(map(trie.top.numbers.__getitem__, words))
+        else:
+            for numbers, word in trie.runs(words, starts):
+                n_runs += 1
+                weight += numbers[word]
+        if trie.full():
+            trie.clear()
+    return n_words, n_runs, weight
+
+
 def bucket_totals(df: DataFrame, text: str = "text", width: int = 1, buckets: int = 10_000) -> np.ndarray:
     """How many features of all texts fall into each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, totals = WordTrie(width, lambda state: 0), np.zeros(buckets, np.int64)
+        trie, totals = WordTrie(width, lambda state: Counter()), np.zeros(buckets, np.int64)
 
         def settle() -> None:
-            counts = np.array([(node[1] % buckets, node[0]) for node in trie.nodes()], np.int64).reshape(-1, 2)
-            np.add.at(totals, counts[:, 0], counts[:, 1])
+            for node in trie.nodes():
+                n = len(node.numbers)
+                at = np.fromiter((node.after(word) % buckets for word in node.numbers), np.int64, n)
+                np.add.at(totals, at, np.fromiter(node.numbers.values(), np.int64, n))
             trie.clear()
 
         for batch in few(batches):
             for value in batch.column(0):
-                for node, n in trie.runs(value.as_py() or b""):
-                    node[0] += n
-                    if trie.size > NODES and trie.loose:
-                        settle()
+                count(trie, value.as_py() or b"", settle)
         settle()
         at = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], ["bucket", "n"])
@@ -143,21 +188,15 @@ def scored(docs: DataFrame, gain: np.ndarray, width: int = 1, seed: str = "2024"
     new = ["n_words", "n_features", "weight", "score"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     mark = without_clash(docs)
-    buckets = len(gain)
     by_bucket = gain.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = WordTrie(width, lambda state: by_bucket[state % buckets])
+        trie = WordTrie(width, lambda state: Gains(by_bucket, state))
         for batch in few(batches):
             rows = []
             for name, value in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
-                n, weight = 0, 0
-                for node, times in trie.runs(value.as_py() or b""):
-                    n += times
-                    weight += node[0] * times
-                    if trie.size > NODES and trie.loose:
-                        trie.clear()
-                rows.append((trie.n_words, n, weight, weight + noise(name.as_py(), seed)))
+                n_words, n_runs, weight = walk(trie, value.as_py() or b"")
+                rows.append((n_words, n_runs, weight, weight + noise(name.as_py(), seed)))
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], [*keep, *new])
 
