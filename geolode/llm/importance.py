@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolode.llm.common import few, without_clash
+from geolode.llm.common import few, saved, without_clash
 from geolode.plans.storage import placed_in_order
 
 #: Nodes of a trie, and bytes of a text that are cut into words at once.
@@ -212,7 +212,7 @@ def learned(docs: DataFrame, target: DataFrame, width: int = 1, buckets: int = 1
 
 
 def ranked(scores: DataFrame, key: str = "doc_id", least_words: int = 20, percent: int = 10) -> DataFrame:
-    """scores (key, n_words, n_features, weight, score) with rank: 1, 2, 3 ... of the floor(percent * N / 100) highest scores of the N documents with at least least_words words, ties to the smaller key; null for the rest."""
+    """scores (key, n_words, n_features, weight, score) with rank: 1, 2, 3 ... of the floor(percent * N / 100) highest scores of the N documents with at least least_words words, ties to the smaller key; null for the rest. Scores are read several times; pass a saved table."""
     fit = F.col("n_words") >= least_words
     placed = placed_in_order(scores.filter(fit), F.desc("score"), F.asc(key), "n_words", "weight")
     drawn = percent * placed.count() // 100
@@ -227,7 +227,8 @@ def resample(docs: DataFrame, target: DataFrame, width: int = 1, buckets: int =
     """
     gain = learned(docs, target, width, buckets, text)
     fit = scored(docs, gain, width, seed, key, text).filter(F.col("n_words") >= least_words)
-    placed = placed_in_order(scored(docs, gain, width, seed, key, text, [key]).filter(F.col("n_words") >= least_words).select("score", key), F.desc("score"), F.asc(key))
+    scores = saved(scored(docs, gain, width, seed, key, text, [key]).filter(F.col("n_words") >= least_words).select("score", key))
+    placed = placed_in_order(scores, F.desc("score"), F.asc(key))
     drawn = percent * placed.count() // 100
     last = placed.filter(F.col("place") == drawn).select("score", key).first()
     if last is None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolode.llm import chat_format, conversation_repair, importance, jaccard_join, license_scan, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secret_scan, sentencepiece_bpe, warc
-from geolode.llm.common import table
+from geolode.llm.common import saved, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scores = importance.scored(docs, importance.learned(docs, table(spark, sf_dir, "benchmark")), keep=["doc_id"])
-    return importance.ranked(scores).select("doc_id", "n_features", "weight", "score", "rank")
+    return importance.ranked(saved(scores)).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
