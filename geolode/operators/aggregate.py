@@ -51,24 +51,25 @@ def textures(points: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
 RANGES = 1024
 
 
-def upper_median(df: DataFrame, value: str) -> DataFrame:
-    """The middle value, the upper one of an even number; ties are equal values, so their order doesn't matter.
+def upper_median(df: DataFrame, value: str, weight: Column | None = None) -> DataFrame:
+    """The middle value, the upper one of an even number, each value counted weight times; ties are equal values, so their order doesn't matter.
 
     Values are counted first, then the counts of so many equal ranges between the least and the greatest value say in which one the middle lies, and only
     the values of that range are ordered, again by ranges, until these hold one value. Each pass sees a bounded number of ranges on the driver.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg((F.count("*") if weight is None else F.sum(weight)).cast("long").alias("c"))
     low, high, n = counted.agg(F.min(value), F.max(value), F.sum("c")).first()
     before, some = 0, counted
     while n and low < high:
-        step = (high - low) / RANGES
-        at = F.least(F.greatest(F.floor((F.col(value) - F.lit(low)) / F.lit(step)), F.lit(0)), F.lit(RANGES - 1))
+        # halves, as the difference of far values is no double
+        step = (high / 2 - low / 2) / RANGES
+        at = F.least(F.greatest(F.floor((F.col(value) / 2 - F.lit(low / 2)) / F.lit(step)), F.lit(0)), F.lit(RANGES - 1))
         ranges = some.groupBy(at.alias("at")).agg(F.sum("c").alias("c"), F.min(value).alias("low"), F.max(value).alias("high"))
         for r in sorted(ranges.collect()):  # RANGES rows at most
             if before + r["c"] > n // 2:
                 break
             before += r["c"]
-        if (r["low"], r["high"]) == (low, high):  # too near to each other to be told apart by ranges
+        if (r["low"], r["high"]) == (low, high):  # some RANGES doubles at most lie between them, too near to each other to be told apart by ranges
             for v, c in sorted((x[value], x["c"]) for x in some.collect()):
                 low = high = v
                 if before + c > n // 2:

@@ -15,10 +15,11 @@ from geolode.functions import columns as C
 AROUND = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
 
-def covered_cells(boxes: DataFrame, low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: float = C.PATCH, beyond: bool = False) -> DataFrame:
-    """boxes, repeated for each cell px, py that they cover; with beyond also the cells after them, as the loader makes them."""
+def covered_cells(boxes: DataFrame, low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: float = C.PATCH, beyond: bool = False, closed: bool = False) -> DataFrame:
+    """boxes, repeated for each cell px, py that they cover; with beyond also the cells after them, as the loader makes them, and closed with the cells whose far edge they touch."""
     end = (lambda v: F.ceil(v / size).cast("int")) if beyond else (lambda v: C.cell(v, size))
-    xs, ys = F.sequence(C.cell(low_x, size), end(high_x)), F.sequence(C.cell(low_y, size), end(high_y))
+    begin = (lambda v: (F.ceil(v / size) - 1).cast("int")) if closed else (lambda v: C.cell(v, size))
+    xs, ys = F.sequence(begin(low_x), end(high_x)), F.sequence(begin(low_y), end(high_y))
     return boxes.withColumn("px", F.explode(xs)).withColumn("py", F.explode(ys))
 
 

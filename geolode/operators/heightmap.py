@@ -1,8 +1,7 @@
 """Heightmaps of patches: triangulation and interpolation of sparse samples, a patch per group.
 
-A patch's context has some dozens to hundreds of samples (one point in 50,000 of a 960 m window); where it has more, the first
-``CAPACITY`` in order of their places count, as a patch holds no more. So a group is small. Within a group everything is numpy arrays; Spark deals
-patches out and joins their contexts.
+A patch's context has some dozens to hundreds of samples (one point in 50,000 of a 960 m window), so a group is small; however many it has, all of them count. Within a
+group everything is numpy arrays, in blocks of bounded size beside the samples themselves; Spark deals patches out and joins their contexts.
 """
 
 from __future__ import annotations
@@ -15,14 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
-from geolode.operators import grid
-
 LEAST_SAMPLES, UNSEEN, OUTSIDE = 25, -2, -1
 #: Corners that close the hull; their values are unknown.
 CORNERS = np.array([(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)])
 
-#: Grid points of faces' boxes, and distances to samples, that are handled at once; samples that a patch holds (fixed value).
-CELLS, DISTANCES, CAPACITY = 1 << 18, 1 << 20, 1500
+#: Grid points of faces' boxes, and distances to samples, that are handled at once.
+CELLS, DISTANCES = 1 << 18, 1 << 20
 
 Model = Callable[[dict[str, np.ndarray]], np.ndarray]
 
@@ -116,7 +113,18 @@ def nearest(points: np.ndarray, extent: float, resolution: int) -> np.ndarray:
     dx, dy = at[:, None] - points[:, 0], at[:, None] - points[:, 1]
     dx, dy = dx * dx, dy * dy
     some = max(1, DISTANCES // (resolution * max(1, len(points))))
-    return np.concatenate([(dx[None] + dy[k : k + some, None]).argmin(2).ravel() for k in range(0, resolution, some)])
+    many = max(1, DISTANCES // resolution)
+    best, found = np.full(resolution * resolution, np.inf), np.zeros(resolution * resolution, int)
+    for k in range(0, resolution, some):
+        rows = slice(k * resolution, min(k + some, resolution) * resolution)
+        for first in range(0, len(points), many):
+            part = slice(first, first + many)
+            d2 = (dx[None, :, part] + dy[k : k + some, None, part]).reshape(-1, len(points[part]))
+            at = d2.argmin(1)
+            least = d2[np.arange(len(at)), at]
+            nearer = least < best[rows]
+            best[rows], found[rows] = np.where(nearer, least, best[rows]), np.where(nearer, at + first, found[rows])
+    return found
 
 
 def interpolate(points: np.ndarray, values: np.ndarray, resolution: int, extent: float = 1.0) -> dict[str, np.ndarray]:
@@ -156,7 +164,6 @@ def by_patch(context: DataFrame):
     A patch is little data and much work. Adaptive execution would put many into one task for their size, but for a number of
     partitions that is asked for, by a key of its own: the join before has dealt by px and py already.
     """
-    context = grid.first_of_each(context, ["px", "py"], tuple(c for c in context.columns if c not in ("px", "py")), CAPACITY)
     parts = int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return context.withColumn("deal", F.xxhash64("px", "py")).repartition(parts, "deal").groupBy("deal", "px", "py")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,11 +89,14 @@ def highest(points: DataFrame, size: float = 10.0) -> DataFrame:
     return points.groupBy(C.cell(F.col("lx"), size).alias("ix"), C.cell(F.col("ly"), size).alias("iy")).agg(F.greatest(F.max("z"), F.lit(0.0)).alias("height"))
 
 
-def splat(samples: DataFrame, keys: list[str], radius: int = 10, size: int = 64) -> DataFrame:
-    """Heights of a raster as weighted means of the samples (ix, iy, h) within the radius, by keys."""
-    offsets = F.sequence(F.lit(-radius), F.lit(radius))
-    spread = samples.withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets)).withColumn("d", F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double"))).filter(F.col("d") <= radius)
-    spread = spread.select(*keys, (F.col("ix") + F.col("dx")).alias("ix"), (F.col("iy") + F.col("dy")).alias("iy"), "h", (1.0 - F.col("d") / (radius + 0.1)).alias("w"))
+def splat(samples: DataFrame, keys: list[str], size: int, radius: int = 10) -> DataFrame:
+    """Heights of a size x size raster as weighted means of the samples (ix, iy, h) within the radius, by keys.
+
+    The weight falls with the distance and is none from the radius on, so only offsets with a weight are made, from one literal array.
+    """
+    offsets = [(dx, dy, 1.0 - (dx * dx + dy * dy) ** 0.5 / radius) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1)]
+    near = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(1.0 - math.exp(-d / (radius + 0.1))).alias("w")) for dx, dy, d in offsets if d > 0])
+    spread = samples.select(*keys, "ix", "iy", "h", F.inline(near)).select(*keys, (F.col("ix") + F.col("dx")).alias("ix"), (F.col("iy") + F.col("dy")).alias("iy"), "h", "w")
     inside = spread.filter(F.col("ix").between(0, size - 1) & F.col("iy").between(0, size - 1))
     return inside.groupBy(*keys, "ix", "iy").agg(F.round(F.sum(F.col("h") * F.col("w")) / F.sum("w"), 6).alias("h"), F.count("*").alias("n"))
 

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
-from geolode.operators import aggregate, raster
-from geolode.plans.joins import _CONTEXT, _PATCHES, contexts, patches
+from geolode.operators import aggregate, lod, raster
+from geolode.plans.joins import _CONTEXT, _PATCHES, chunk_state, contexts, patches
 from geolode.plans.registry import query
 
 c = F.col
@@ -28,9 +28,9 @@ def agg_file_color(t):
     return aggregate.mean_colour(t.chunk_points, "tile_id")
 
 
-@query("agg_file_color_atomic", f"SELECT t.tile_id, coalesce(q.r, 0) AS r, coalesce(q.g, 0) AS g, coalesce(q.b, 0) AS b FROM tiles t LEFT JOIN (SELECT tile_id, {_MEANS} FROM ch WHERE point_idx >= 50 GROUP BY tile_id) q ON t.tile_id = q.tile_id")
+@query("agg_file_color_atomic", f"SELECT t.tile_id, coalesce(q.r, 0) AS r, coalesce(q.g, 0) AS g, coalesce(q.b, 0) AS b FROM tiles t LEFT JOIN (SELECT tile_id, {_MEANS} FROM ch GROUP BY tile_id) q ON t.tile_id = q.tile_id")
 def agg_file_color_atomic(t):
-    seen = aggregate.mean_colour(t.chunk_points.filter("point_idx >= 50"), "tile_id")
+    seen = aggregate.mean_colour(t.chunk_points, "tile_id")
     return t.tiles.select("tile_id").join(seen, "tile_id", "left").select("tile_id", *[F.coalesce(a, F.lit(0)).alias(a) for a in "rgb"])
 
 
@@ -74,9 +74,16 @@ def agg_patch_minmaxz(t):
     return contexts(t).groupBy("px", "py").agg(F.min("lz").alias("low"), F.max("lz").alias("high"))
 
 
-@query("agg_median_height", """SELECT mid AS median FROM (SELECT (min_z + max_z) * 0.5e0 AS mid, row_number() OVER (ORDER BY (min_z + max_z) * 0.5e0) AS k, count(*) OVER () AS n FROM tiles) q WHERE k = n // 2 + 1""")
+_COVERED = "unnest(range(CAST(floor((min_{a} - origin_{a}) / 640e0) AS INT), CAST(ceil((max_{a} - origin_{a}) / 640e0) AS INT) + 1))"
+
+
+@query("agg_median_height", f"""SELECT mid AS median FROM (SELECT mid, row_number() OVER (ORDER BY mid) AS k, count(*) OVER () AS n FROM (
+  SELECT mid, {_COVERED.format(a='y')} AS py FROM (SELECT *, (min_z + max_z) * 0.5e0 AS mid, {_COVERED.format(a='x')} AS px FROM tiles CROSS JOIN world) q) q) q WHERE k = n // 2 + 1""")
 def agg_median_height(t):
-    return aggregate.upper_median(t.tiles.select(((c("min_z") + c("max_z")) * 0.5).alias("mid")), "mid")
+    """The middle of the tiles' mean heights, each counted for every patch that the tile covers (and one beyond, as the loader makes them)."""
+    at = t.tiles.join(F.broadcast(t.world))
+    n = [F.ceil((c(f"max_{a}") - c(f"origin_{a}")) / C.PATCH) - F.floor((c(f"min_{a}") - c(f"origin_{a}")) / C.PATCH) + 1 for a in "xy"]
+    return aggregate.upper_median(at.select(((c("min_z") + c("max_z")) * 0.5).alias("mid"), (n[0] * n[1]).alias("n")), "mid", c("n"))
 
 
 @query("agg_maxheight", "SELECT CAST(floor(lx / 10e0) AS INT) AS ix, CAST(floor(ly / 10e0) AS INT) AS iy, greatest(max(z), 0e0) AS height FROM loc GROUP BY 1, 2")
@@ -84,22 +91,26 @@ def agg_maxheight(t):
     return raster.highest(t.placed(t.points))
 
 
-_SPLAT = "smp AS (SELECT px, py, CAST(floor((lx - px * 640e0) / 10e0) AS INT) AS ix, CAST(floor((ly - py * 640e0) / 10e0) AS INT) AS iy, lz AS h FROM chl), o AS (SELECT unnest(range(-10, 11))::INT AS d)"
+_SPLAT = """smp AS (SELECT px, py, CAST(floor(greatest(0e0, least(95e0, (lx - (px + 0.5e0) * 640e0 + 480e0) / 10e0))) AS INT) AS ix, CAST(floor(greatest(0e0, least(95e0, (ly - (py + 0.5e0) * 640e0 + 480e0) / 10e0))) AS INT) AS iy, 100e0 + lz / 2e0 AS h FROM ctx),
+ o AS (SELECT unnest(range(-10, 11))::INT AS d), w AS (SELECT ox.d AS dx, oy.d AS dy, 1e0 - exp(-greatest(0e0, least(1e0, 1e0 - sqrt(CAST(ox.d * ox.d + oy.d * oy.d AS DOUBLE)) / 10e0)) / 10.1e0) AS w FROM o ox CROSS JOIN o oy)"""
 
 
-@query("agg_splat", _SPLAT + """;; SELECT px, py, ix + ox.d AS ix, iy + oy.d AS iy, round(sum(h * (1e0 - sqrt(CAST(ox.d * ox.d + oy.d * oy.d AS DOUBLE)) / 10.1e0)) / sum(1e0 - sqrt(CAST(ox.d * ox.d + oy.d * oy.d AS DOUBLE)) / 10.1e0), 6) AS h, count(*) AS n
-  FROM smp CROSS JOIN o ox CROSS JOIN o oy WHERE sqrt(CAST(ox.d * ox.d + oy.d * oy.d AS DOUBLE)) <= 10 AND ix + ox.d BETWEEN 0 AND 63 AND iy + oy.d BETWEEN 0 AND 63 GROUP BY 1, 2, 3, 4""")
+@query("agg_splat", f"{_CONTEXT}, {_SPLAT};; SELECT px, py, ix + dx AS ix, iy + dy AS iy, round(sum(h * w) / sum(w), 6) AS h, count(*) AS n FROM smp CROSS JOIN w WHERE w > 0 AND ix + dx BETWEEN 0 AND 95 AND iy + dy BETWEEN 0 AND 95 GROUP BY 1, 2, 3, 4")
 def agg_splat(t):
-    at = t.placed(t.chunk_points)
-    cells = at.select("px", "py", *[C.cell(c(f"l{a}") - C.patch_edge(c(f"p{a}")), 10.0).alias(f"i{a}") for a in "xy"], c("lz").alias("h"))
-    return raster.splat(cells, ["px", "py"])
+    """Heights (100 and half the height) of a patch's context splatted over its 96 x 96 texels."""
+    texel = lambda a: F.floor(C.clamp((c(f"l{a}") - C.patch_edge(c(f"p{a}"), 0.5) + 480.0) / 10.0, 0.0, 95.0)).cast("int")
+    return raster.splat(contexts(t).select("px", "py", texel("x").alias("ix"), texel("y").alias("iy"), (100.0 + c("lz") / 2).alias("h")), ["px", "py"], C.CONTEXT_TEXELS)
 
 
-@query("agg_progress", """SELECT tile_id % 10 AS col, count(*) AS parts, CAST(sum(CASE WHEN coalesce(n, 0) >= expected THEN 1 ELSE 0 END) AS BIGINT) AS parts_done, bool_and(coalesce(n, 0) >= expected) AS complete
-  FROM (SELECT tile_id, (n_points + 9) // 10 AS expected FROM tiles) t LEFT JOIN (SELECT tile_id AS id, count(*) AS n FROM ch WHERE xi % 997 > 0 GROUP BY 1) l ON t.tile_id = l.id GROUP BY 1""")
+@query("agg_progress", """SELECT px, py, count(*) AS parts, CAST(sum(CASE WHEN coalesce(n, 0) >= expected THEN 1 ELSE 0 END) AS BIGINT) AS parts_done, bool_and(coalesce(n, 0) >= expected) AS complete
+  FROM (SELECT px, py, tile_id, count(*) AS expected FROM chl GROUP BY px, py, tile_id) t LEFT JOIN (SELECT px AS x, py AS y, tile_id AS id, count(*) AS n FROM chl WHERE (tile_id * 7 + point_idx // 10) % 4 = 2 GROUP BY 1, 2, 3) l
+  ON t.tile_id = l.id AND px = x AND py = y GROUP BY px, py""")
 def agg_progress(t):
-    expected = t.tiles.select("tile_id", C.chunk_count(c("n_points"), 10).alias("expected"), (c("tile_id") % 10).alias("col"))
-    return aggregate.progress(expected, t.chunk_points.filter("xi % 997 > 0").select("tile_id"), "tile_id", "col")
+    """By patch: how many of its tiles have all their chunk points there loaded."""
+    at = t.placed(t.chunk_points).withColumn("key", F.struct("px", "py", "tile_id"))
+    expected = at.groupBy("key").agg(F.count("*").alias("expected")).select("key", "expected", F.struct("key.px", "key.py").alias("patch"))
+    loaded = at.filter(chunk_state(c("tile_id"), F.floor(c("point_idx") / 10)) == lod.LOADED).select("key")
+    return aggregate.progress(expected, loaded, "key", "patch").select("patch.px", "patch.py", "parts", "parts_done", "complete")
 
 
 @query("agg_stats_table", "SELECT (SELECT CAST(sum(n_points) AS BIGINT) FROM tiles) AS points, (SELECT count(*) FROM tiles) AS tiles, (SELECT count(*) FROM ch) AS chunks, (SELECT count(*) FROM (SELECT DISTINCT px, py FROM chl) q) AS patches, size_x, size_y, size_z FROM world")
@@ -113,24 +124,3 @@ def agg_stats_table(t):
 def snk_stats_copy(t):
     totals = t.tiles.agg(F.sum("n_points").cast("string").alias("points"), F.count("*").cast("string").alias("tiles"))
     return totals.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c(n).alias("value")) for n in ("points", "tiles")])).alias("s")).select("s.*")
-
-
-@query("agg_bench", "SELECT event_type, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
-def agg_bench(t):
-    found = aggregate.summary(t.read("events"), ["event_type"], "value", "user_id")
-    return found.select("event_type", "least", "most", F.round("mean", 6).alias("mean"))
-
-
-@query("agg_bench_best", "SELECT event_type, arg_min(event_id, (value, event_id)) AS fastest FROM events GROUP BY event_type")
-def agg_bench_best(t):
-    return t.read("events").groupBy("event_type").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("fastest"))
-
-
-@query("agg_bench_median", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY event_type")
-def agg_bench_median(t):
-    return t.read("events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"))
-
-
-@query("agg_mem_total", "SELECT p_brand AS label, CAST(sum(p_size) AS BIGINT) AS bytes FROM part GROUP BY p_brand")
-def agg_mem_total(t):
-    return t.read("part").groupBy(c("p_brand").alias("label")).agg(F.sum("p_size").alias("bytes"))

@@ -12,36 +12,11 @@ from geolode.plans.geometry import mean_filter
 from geolode.plans.joins import _CONTEXT, _SIZES, chunk_sizes, contexts
 from geolode.plans.registry import query
 from geolode.plans.scans import TILE, files
-from geolode.plans.views import CAMERA
 from geolode.sources import las, sinks
 
 c = F.col
 
 
-_TABLE = "tb AS (SELECT tile_id, k AS chunk_idx, 26 + 7 * (k % 5) AS byte_size FROM (SELECT tile_id, unnest(range(0, (n_points + 9) // 10)) AS k FROM tiles) q)"
-
-
-def tables(t):
-    """The chunk tables of compressed files, whose integers are coded by models of their bits and bytes."""
-    return las.chunk_tables_of(files(t, compressed=True)).select(TILE(), "chunk_idx", "byte_size")
-
-
-@query("src_arith", _TABLE + ";; SELECT tile_id, CAST(count(*) AS BIGINT) AS value FROM tb GROUP BY tile_id")
-def src_arith(t):
-    return tables(t).groupBy("tile_id").agg(F.count("*").alias("value"))
-
-
-@query("src_arith_model", _TABLE + ";; SELECT byte_size AS value, count(*) AS n FROM tb GROUP BY byte_size")
-def src_arith_model(t):
-    return tables(t).groupBy(c("byte_size").alias("value")).agg(F.count("*").alias("n"))
-
-
-@query("src_intcomp", _TABLE + ";; SELECT tile_id, chunk_idx, CAST(byte_size - coalesce(lag(byte_size) OVER (PARTITION BY tile_id ORDER BY chunk_idx), 0) AS BIGINT) AS value FROM tb")
-def src_intcomp(t):
-    before = F.lag("byte_size").over(Window.partitionBy("tile_id").orderBy("chunk_idx"))
-    return tables(t).select("tile_id", "chunk_idx", (c("byte_size") - F.coalesce(before, F.lit(0))).cast("long").alias("value"))
-
-
 @query("win_delta_pred", _SIZES + ";; SELECT tile_id, chunk_idx, CAST(byte_size - coalesce(lag(byte_size) OVER (PARTITION BY tile_id ORDER BY chunk_idx), 0) AS BIGINT) AS value FROM sizes")
 def win_delta_pred(t):
     before = F.lag("byte_size").over(Window.partitionBy("tile_id").orderBy("chunk_idx"))
@@ -68,27 +43,11 @@ def prj_shade(t):
     return t.points.filter(C.drawn(c("zi") % 256)).select("tile_id", "point_idx", *[C.shaded(c(a)).alias(a) for a in "rgb"])
 
 
-@query("prj_perspective")
-def prj_perspective(t):
-    return t.spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(CAMERA.matrix)], "row int, x double, y double, z double, w double")
-
-
 @query("st_tween", "SELECT event_id, greatest(0e0, least(1e0, (value - 10e0) / 50e0)) AS u FROM events")
 def st_tween(t):
     return t.read("events").select("event_id", C.animation(c("value"), 10.0, 50.0).alias("u"))
 
 
-@query("srt_alloc", "SELECT p_brand AS label, CAST(sum(p_size) AS BIGINT) AS bytes, CAST(row_number() OVER (ORDER BY sum(p_size) DESC, p_brand) AS INT) AS place FROM part GROUP BY p_brand")
-def srt_alloc(t):
-    totals = t.read("part").groupBy(c("p_brand").alias("label")).agg(F.sum("p_size").alias("bytes"))  # a row for each label
-    return totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("bytes"), "label")))
-
-
-@query("lim_upload", "SELECT event_id FROM events ORDER BY event_id LIMIT 100")
-def lim_upload(t):
-    return t.read("events").orderBy("event_id").limit(100).select("event_id")
-
-
 _READY = f"{_CONTEXT};; SELECT px, py, 9216 AS heights, 27648 AS colours FROM ctx GROUP BY px, py HAVING count(*) >= 25"
 
 

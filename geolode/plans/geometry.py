@@ -11,12 +11,6 @@ from geolode.plans.registry import number, query
 c = F.col
 
 
-@query("geo_grid", "SELECT i, j, -0.5e0 + i * (1e0 / 96e0) AS x, -0.5e0 + j * (1e0 / 96e0) AS y FROM (SELECT unnest(range(96)) AS i) a CROSS JOIN (SELECT unnest(range(96)) AS j) b")
-def geo_grid(t):
-    cells = t.spark.range(96 * 96).select((c("id") % 96).alias("i"), F.floor(c("id") / 96).alias("j"))
-    return cells.select("i", "j", *[(-0.5 + c(k) * (1.0 / 96.0)).alias(a) for a, k in (("x", "i"), ("y", "j"))])
-
-
 _DISTINCT = "SELECT px, py, count(*) AS n FROM (SELECT DISTINCT px, py, lx, ly FROM ctx) q GROUP BY px, py"
 
 

@@ -44,15 +44,15 @@ def jn_chunk_tile(t):
     return chunks.join(t.tiles.select("tile_id", "n_points"), "tile_id").select("tile_id", "chunk_idx", "n", "n_points")
 
 
-def tile_cells(t, beyond=False):
+def tile_cells(t, beyond=False, closed=False):
     at = t.tiles.join(F.broadcast(t.world)).select("tile_id", *[(c(f"{n}_{a}") - c(f"origin_{a}")).alias(f"{n}_{a}") for n in ("min", "max") for a in "xy"])
-    return grid.covered_cells(at, c("min_x"), c("min_y"), c("max_x"), c("max_y"), beyond=beyond)
+    return grid.covered_cells(at, c("min_x"), c("min_y"), c("max_x"), c("max_y"), beyond=beyond, closed=closed)
 
 
 @query("jn_bbox_overlap", _PATCHES + """;; SELECT px, py, tile_id FROM patches JOIN (SELECT tile_id, min_x - origin_x AS ax, max_x - origin_x AS bx, min_y - origin_y AS ay, max_y - origin_y AS b_y FROM tiles CROSS JOIN world) q
-  ON ax < (px + 1) * 640e0 AND px * 640e0 <= bx AND ay < (py + 1) * 640e0 AND py * 640e0 <= b_y""")
+  ON ax <= (px + 1) * 640e0 AND px * 640e0 <= bx AND ay <= (py + 1) * 640e0 AND py * 640e0 <= b_y""")
 def jn_bbox_overlap(t):
-    return tile_cells(t).join(patches(t).select("px", "py"), ["px", "py"]).select("px", "py", "tile_id")
+    return tile_cells(t, closed=True).join(patches(t).select("px", "py"), ["px", "py"]).select("px", "py", "tile_id")
 
 
 @query("jn_tile_patches", """SELECT DISTINCT px, py FROM (SELECT px, unnest(range(CAST(floor(ay / 640e0) AS INT), CAST(ceil(b_y / 640e0) AS INT) + 1))::INT AS py FROM (
@@ -74,6 +74,11 @@ _CONTEXT = _PATCHES + """, ctx AS (SELECT p.px, p.py, lx, ly, lz, zi, tile_id, p
   ON lx >= p.px * 640e0 - 161e0 AND lx <= (p.px + 1) * 640e0 + 161e0 AND ly >= p.py * 640e0 - 161e0 AND ly <= (p.py + 1) * 640e0 + 161e0)"""
 
 
+def chunk_state(tile, chunk):
+    """A state by chunk, for the queries that look at loading."""
+    return (tile * 7 + chunk) % 4
+
+
 def contexts(t):
     at = t.placed(t.chunk_points)
     return grid.context(at, at.select("px", "py").distinct())
@@ -124,11 +129,11 @@ def jn_ball(t):
     return grid.within(at, grid_points(t), 60.0).groupBy("px", "py", "i", "j").agg(F.count("*").alias("n"))
 
 
-_TEX = "tx AS (SELECT CAST(floor((lx + 5e0) / 10e0) AS INT) AS gx, CAST(floor((ly + 5e0) / 10e0) AS INT) AS gy, CAST(floor(sum(r) / count(*)) AS INT) AS r FROM loc WHERE point_idx % 10 <> 0 GROUP BY 1, 2)"
+_TEX = "tx AS (SELECT CAST(floor((lx + 5e0) / 10e0) AS INT) AS gx, CAST(floor((ly + 5e0) / 10e0) AS INT) AS gy, CAST(floor(sum(r) / count(*)) AS INT) AS r FROM loc GROUP BY 1, 2)"
 
 
 def texels(t):
-    at = t.placed(t.points).filter("point_idx % 10 <> 0")
+    at = t.placed(t.points)
     return at.groupBy(C.texel(c("lx")).alias("gx"), C.texel(c("ly")).alias("gy")).agg(F.floor(F.sum("r") / F.count("*")).cast("int").alias("r"))
 
 

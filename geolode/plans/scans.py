@@ -100,9 +100,11 @@ def src_point_decode(t):
     return las.points_of(files(t)).select(TILE(), "point_idx", *"xyzrgb", "a")
 
 
-@query("src_las_range", "SELECT tile_id, point_idx, x, y, z FROM pts WHERE point_idx >= 20 AND point_idx < 45")
+@query("src_las_range", f"SELECT tile_id, point_idx, {', '.join(f'greatest(0e0, least(size_{a}, {a} - origin_{a})) AS l{a}' for a in 'xyz')} FROM pts CROSS JOIN world WHERE point_idx >= 20 AND point_idx < 45")
 def src_las_range(t):
-    return las.points_of(files(t), 20, 25).select(TILE(), "point_idx", *"xyz")
+    """Records 20 to 44 of each file, moved to the world's origin and held inside its bounds."""
+    at = las.points_of(files(t), 20, 25).join(F.broadcast(t.world))  # one row
+    return at.select(TILE(), "point_idx", *[C.local(c(a), c(f"origin_{a}"), c(f"size_{a}")).alias(f"l{a}") for a in "xyz"])
 
 
 @query("src_las_py", "SELECT tile_id, count(*) AS n, CAST(sum(xi) AS BIGINT) AS sx FROM pts GROUP BY tile_id")

@@ -6,7 +6,7 @@ from geolode.functions import columns as C
 from geolode.functions.camera import Camera
 from geolode.operators import aggregate, lod, raster
 from geolode.plans import storage
-from geolode.plans.joins import _PATCHES, patches
+from geolode.plans.joins import _PATCHES, chunk_state, patches
 from geolode.plans.registry import number as n
 from geolode.plans.registry import query
 
@@ -93,17 +93,6 @@ def srt_tasks(t):
     return storage.placed_in_order(weighed, F.desc("weight"), "px", "py").select("px", "py", c("place").cast("int").alias("place"))
 
 
-@query("prj_frustum_ray")
-def prj_frustum_ray(t):
-    rays = [tuple(float(v) for v in r) for r in CAMERA.corner_rays()]
-    return t.spark.createDataFrame([(k, *r) for k, r in enumerate(rays)], "corner int, dx double, dy double, dz double")
-
-
-@query("prj_orbit")
-def prj_orbit(t):
-    return t.spark.createDataFrame([tuple(float(v) for v in CAMERA.position)], "x double, y double, z double")
-
-
 @query("prj_tri_screen", f"SELECT tile_id, {', '.join(f'round({e}, 3) AS {k}{v}' for v in range(2) for e, k in zip(screen_sql(*[(LOW, HIGH)[v][d] for d in range(3)]), 'xyw'))} FROM tiles")
 def prj_tri_screen(t):
     return t.tiles.select("tile_id", *[F.round(e, 3).alias(f"{k}{v}") for v, box in enumerate(low_high()) for e, k in zip(CAMERA.screen(*box), "xyw", strict=True)])
@@ -233,17 +222,6 @@ def agg_tri_raster_old(t):
     return aggregate.depth_buffer(raster.triangle_fragments(triangles(t), CAMERA.width, CAMERA.height).withColumn("colour", c("id") % 255))
 
 
-@query("agg_plane_raster", "SELECT ix, iy, 1e0 AS depth, (ix + iy) % 2 AS colour FROM (SELECT unnest(range(50)) AS ix) a CROSS JOIN (SELECT unnest(range(50)) AS iy) b")
-def agg_plane_raster(t):
-    pixels = t.spark.range(2500).select((c("id") % 50).alias("ix"), F.floor(c("id") / 50).alias("iy"), F.lit(1.0).alias("depth"))
-    return aggregate.depth_buffer(pixels.withColumn("colour", (c("ix") + c("iy")) % 2))
-
-
-@query("geo_mesh_grid", "SELECT gx, gy, CAST(2 AS BIGINT) AS n FROM (SELECT unnest(range(64))::INT AS gx) a CROSS JOIN (SELECT unnest(range(64))::INT AS gy) b")
-def geo_mesh_grid(t):
-    return raster.grid_mesh(t.spark.range(1).select(F.lit(0).alias("px"))).groupBy("gx", "gy").agg(F.count("*").alias("n"))
-
-
 _RT = [f"({p} * 640e0 - 150e0)" for p in ("px", "py")], [f"((({p} + 1) * 640e0) + 150e0)" for p in ("px", "py")]
 
 
@@ -253,14 +231,14 @@ def lod_route(t):
     return lod.routes(ready, CAMERA).select("px", "py", "n", "as_points", "as_triangles")
 
 
-_CHUNKS = _TILES + ", cs AS (SELECT tile_id, k AS chunk_idx, (tile_id * 7 + k) % 4 AS state, visible, weight FROM (SELECT tile_id, visible, weight, unnest(range(0, (n_points + 9) // 10)) AS k FROM wt) q)"
+_CHUNKS = _TILES + ", cs AS (SELECT tile_id, n_points, k AS chunk_idx, (tile_id * 7 + k) % 4 AS state, visible, weight FROM (SELECT tile_id, n_points, visible, weight, unnest(range(0, (n_points + 9) // 10)) AS k FROM wt) q)"
 _NEXT = "CASE WHEN state = 0 AND visible THEN 1 WHEN state = 1 THEN 2 WHEN state = 2 AND NOT visible THEN 3 WHEN state = 3 THEN 0 ELSE state END"
 
 
 def chunk_states(t):
     tiles = lod.weigh_tiles(t.tiles, CAMERA).select("tile_id", "n_points", "visible", "weight")
     chunks = tiles.withColumn("chunk_idx", F.explode(F.sequence(F.lit(0).cast("long"), C.chunk_count(c("n_points"), 10) - 1)))
-    return chunks.withColumn("state", (c("tile_id") * 7 + c("chunk_idx")) % 4)
+    return chunks.withColumn("state", chunk_state(c("tile_id"), c("chunk_idx")))
 
 
 @query("st_chunk_fsm", f"{_CHUNKS};; SELECT tile_id, chunk_idx, state, {_NEXT} AS next_state FROM cs")
@@ -279,6 +257,8 @@ def lim_load(t):
     return lod.load_list(chunk_states(t)).select("tile_id", "chunk_idx")
 
 
-@query("agg_visible_stats", f"{_CHUNKS};; SELECT count(*) AS chunks, count(DISTINCT tile_id) AS tiles FROM cs WHERE state = 2 AND visible")
+@query("agg_visible_stats", f"{_CHUNKS};; SELECT count(*) AS chunks, CAST(sum(least(10, n_points - 10 * chunk_idx)) AS BIGINT) AS points FROM cs WHERE state = 2")
 def agg_visible_stats(t):
-    return chunk_states(t).filter((c("state") == lod.LOADED) & c("visible")).agg(F.count("*").alias("chunks"), F.count_distinct("tile_id").alias("tiles"))
+    """Loaded chunks, which are those that are drawn, and their points."""
+    points = F.least(F.lit(10), c("n_points") - 10 * c("chunk_idx"))
+    return chunk_states(t).filter(c("state") == lod.LOADED).agg(F.count("*").alias("chunks"), F.sum(points).cast("long").alias("points"))

@@ -5,7 +5,8 @@ import pytest
 from oracle import spark_rows
 from pyspark.sql import functions as F
 
-from geolode.operators import aggregate, grid, heightmap
+from geolode.functions import columns as C
+from geolode.operators import aggregate, grid, heightmap, raster
 from geolode.plans import registry, storage
 from geolode.plans.scans import files
 from geolode.plans.tables import LasTables, Tables
@@ -72,12 +73,51 @@ def test_depths_beyond_the_bound_raise(spark):
         aggregate.depth_buffer(far).collect()
 
 
-def test_a_patch_holds_its_capacity(spark, monkeypatch):
-    monkeypatch.setattr(heightmap, "CAPACITY", 40)
+def test_a_dense_patch_keeps_all_its_samples(spark):
     rng = np.random.default_rng(2)
-    rows = [(0, 0, float(x), float(y), 1.0, 1, 2, 3) for x, y in rng.uniform(0, 640, (100, 2))]
-    maps = heightmap.heightmaps(spark.createDataFrame(rows, "px int, py int, lx double, ly double, lz double, r int, g int, b int"), 8, 8)
-    assert maps.first().n == 40
+    places = rng.uniform(-160, 800, (3000, 2)).round(2)
+    rows = [(0, 0, float(x), float(y), float(x), 1, 2, 3) for x, y in places]
+    maps = heightmap.heightmaps(spark.createDataFrame(rows, "px int, py int, lx double, ly double, lz double, r int, g int, b int"), 96, 64)
+    row = maps.first()
+    height = np.array(row.height).reshape(64, 64)
+    # z = x over the whole window, so a column's height is its place, to the right edge
+    step = C.RADIUS / C.STRETCH / 96
+    want = 320 + (np.arange(16, 80) - 48) * step
+    assert row.n == 3000 and np.allclose(height.mean(0), want, atol=1.0) and 600 < height[:, -1].mean() < 680
+    # nearest of all samples, against brute force
+    near = np.array(heightmap.heightmaps(spark.createDataFrame(rows, "px int, py int, lx double, ly double, lz double, r int, g int, b int"), 96, 64, "nearest").first().height).reshape(64, 64)
+    xy = (places - 320) / C.RADIUS * C.STRETCH
+    at = -0.5 + np.arange(16, 80) / 96
+    for j, i in rng.integers(0, 64, (60, 2)):
+        k = ((xy - [at[i], at[j]]) ** 2).sum(1).argmin()
+        assert near[j, i] == pytest.approx(places[k, 0])
+
+
+def test_nearest_in_blocks_is_nearest(monkeypatch):
+    points = np.random.default_rng(5).uniform(-0.5, 0.5, (700, 2)).round(2)
+    whole = heightmap.nearest(points, 1.0, 40)
+    monkeypatch.setattr(heightmap, "DISTANCES", 2000)
+    assert (heightmap.nearest(points, 1.0, 40) == whole).all()
+
+
+def test_weighted_median_counts_values_several_times(spark):
+    df = spark.createDataFrame([(1.0, 5), (2.0, 1), (9.0, 3)], "v double, n long")
+    assert aggregate.upper_median(df, "v", F.col("n")).first()[0] == 1.0
+    assert aggregate.upper_median(spark.createDataFrame([(-1.7e308,), (1.7e308,), (0.0,)], "v double"), "v").first()[0] == 0.0
+
+
+def test_tiles_touching_a_patch_overlap_it(spark):
+    box = spark.createDataFrame([(640.0, 0.0, 700.0, 640.0)], "ax double, ay double, bx double, b_y double")
+    cells = grid.covered_cells(box, *[F.col(n) for n in ("ax", "ay", "bx", "b_y")], closed=True)
+    assert {(r.px, r.py) for r in cells.collect()} == {(x, y) for x in (0, 1) for y in (-1, 0, 1)}
+
+
+def test_splat_of_one_sample_is_its_height(spark):
+    out = raster.splat(spark.createDataFrame([(0, 50, 40, 7.0)], "k int, ix int, iy int, h double"), ["k"], 96).collect()
+    assert len(out) == 305 and {r.h for r in out} == {7.0} and all((r.ix - 50) ** 2 + (r.iy - 40) ** 2 < 100 for r in out)
+    two = raster.splat(spark.createDataFrame([(0, 0, 0, 0.0), (0, 4, 0, 8.0)], "k int, ix int, iy int, h double"), ["k"], 96)
+    w = lambda d: 1 - np.exp(-(1 - d / 10) / 10.1)
+    assert two.filter("ix = 1 AND iy = 0").first().h == pytest.approx(8 * w(3) / (w(1) + w(3)), abs=1e-6)
 
 
 @pytest.fixture(scope="module")
