@@ -1,9 +1,11 @@
-"""Streams: events play the points, users the files."""
+"""Streams: folders of LAS files play the points, their headers and chunk tables; events play what has a time."""
 
 from pyspark.sql import functions as F
 
+from geolode.plans.joins import _PATCHES
 from geolode.plans.registry import query
-from geolode.plans.storage import folder
+from geolode.plans.scans import files as tile_files
+from geolode.plans.storage import folder, kept
 from geolode.streaming import ingest
 
 c = F.col
@@ -14,37 +16,63 @@ def stream(t):
     return ingest.read_stream(t.spark, f"{t.sf_dir}/[e]vents.parquet", t.read("events").schema)
 
 
-@query("st_source", "SELECT event_id, user_id, value FROM events")
-def st_source(t):
-    return ingest.finish(stream(t).select("event_id", "user_id", "value"), folder(t.spark, "source")).drop("batch")
+def las_folder(t, **options):
+    """The tiles as LAS files in a folder, and the number of files for a batch so that there are some four batches."""
+    from geolode.sources import las
+
+    path = folder(t.spark, "las")
+    las.register(t.spark)
+    tile_files(t, **options).write.format("files").mode("append").option("path", path).save()
+    return path, -(-t.tiles.count() // 4)
 
 
-_FILES = "files AS (SELECT user_id AS id, count(*) AS expected FROM events GROUP BY user_id)"
+def las_stream(t, path, what, some):
+    rows = ingest.read_las_stream(t.spark, path, what, folder(t.spark, "log"), some, chunk=10)
+    return rows.withColumn("tile_id", F.regexp_extract("path", r"tile_(\d+)[.]la[sz]$", 1).cast("long"))
 
 
-def files(t):
-    return t.read("events").groupBy("user_id").agg(F.count("*").alias("expected"))
+@query("st_source", "SELECT tile_id, point_idx, xi, yi, zi FROM ch")
+def st_source(t):
+    """The chunk points of a folder, some files a batch."""
+    rows = las_stream(t, *(lambda f: (f[0], "chunk_points", f[1]))(las_folder(t)))
+    return ingest.finish(rows.select("tile_id", "point_idx", "xi", "yi", "zi"), folder(t.spark, "source"), in_batches=True).drop("batch")
 
 
-@query("st_headers_once", f"{_FILES};; SELECT event_id, user_id, expected FROM events JOIN files ON user_id = id")
+@query("st_headers_once", "SELECT tile_id, point_idx, n_points, x BETWEEN min_x AND max_x AS inside FROM ch JOIN tiles USING (tile_id)")
 def st_headers_once(t):
-    return ingest.finish(ingest.with_files(stream(t), files(t), "user_id").select("event_id", "user_id", "expected"), folder(t.spark, "headers")).drop("batch")
+    """Headers come as a stream of their own; chunk points are joined with the table that they left."""
+    path, some = las_folder(t)
+    headers = ingest.finish(las_stream(t, path, "headers", some), folder(t.spark, "headers"), in_batches=True).select("tile_id", "n_points", "min_x", "max_x")
+    rows = ingest.with_files(las_stream(t, path, "chunk_points", some), headers, "tile_id")
+    near = (c("x") >= c("min_x") - 1e-6) & (c("x") <= c("max_x") + 1e-6)
+    return ingest.finish(rows.select("tile_id", "point_idx", "n_points", near.alias("inside")), folder(t.spark, "points"), in_batches=True).drop("batch")
 
 
-@query("st_tables", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@query("st_tables", "SELECT tile_id, count(*) AS chunks, CAST(sum(26 + 7 * (k % 5)) AS BIGINT) AS bytes FROM (SELECT tile_id, unnest(range(0, (n_points + 9) // 10)) AS k FROM tiles) q GROUP BY tile_id")
 def st_tables(t):
-    return ingest.finish(stream(t).groupBy("event_type").agg(F.count("*").alias("n")), folder(t.spark, "tables"), "complete").drop("batch")
+    """Chunk tables of compressed files, as they come, by file."""
+    path, some = las_folder(t, compressed=True)
+    sizes = las_stream(t, path, "chunks", some).groupBy("tile_id").agg(F.count("*").alias("chunks"), F.sum("byte_size").alias("bytes"))
+    return ingest.finish(sizes, folder(t.spark, "tables"), "complete", in_batches=True).drop("batch")
+
+
+def placed_stream(t):
+    """Chunk points with their patches, from a table of several files, a file a batch."""
+    table = kept(t.placed(t.chunk_points).select("px", "py", "tile_id", "point_idx", "zi").repartition(4, "tile_id"))
+    return table, ingest.read_stream(t.spark, table.inputFiles()[0].rsplit("/", 1)[0], table.schema)
 
 
-@query("st_patch_state", "SELECT user_id % 50 AS patch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total, min(event_id) AS low, max(event_id) AS high FROM events GROUP BY 1")
+@query("st_patch_state", "SELECT px, py, count(*) AS n, CAST(sum(zi) AS BIGINT) AS total, min(zi) AS low, max(zi) AS high FROM chl GROUP BY px, py")
 def st_patch_state(t):
-    points = stream(t).select((c("user_id") % 50).alias("patch"), "event_id")
-    return ingest.finish(ingest.accumulate(points, ["patch"], "event_id"), folder(t.spark, "patches"), "complete").drop("batch")
+    return ingest.finish(ingest.accumulate(placed_stream(t)[1], ["px", "py"], "zi"), folder(t.spark, "patches"), "complete").drop("batch")
 
 
-@query("st_complete", f"{_FILES};; SELECT id AS user_id, expected AS n, expected FROM files")
+@query("st_complete", f"{_PATCHES};; SELECT a.px, a.py, CAST(sum(b.n) AS BIGINT) AS n FROM patches a JOIN patches b ON abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1 GROUP BY a.px, a.py")
 def st_complete(t):
-    return ingest.finish(ingest.complete(stream(t), files(t), "user_id"), folder(t.spark, "complete"), "complete").drop("batch")
+    """Patches whose own points and those of the eight around them have all come."""
+    table, points = placed_stream(t)
+    expected = table.groupBy("px", "py").agg(F.count("*").alias("expected"))
+    return ingest.finish(ingest.completed(points, expected), folder(t.spark, "complete")).drop("batch")
 
 
 @query("st_early_buffer", "SELECT user_id, event_id AS id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'click')")

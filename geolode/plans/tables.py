@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
-from geolode.sources import las
+from geolode.plans import storage
+from geolode.sources import catalogue
 
 #: Points of a chunk here; small tables would hardly have chunks of 50,000.
 CHUNK = 10
@@ -64,35 +65,43 @@ class Tables:
 
 
 class LasTables(Tables):
-    """The same tables of a folder of LAS files: tiles and world come from the headers, so no point is read for them.
+    """The same tables of a folder of LAS files: tiles and world come from a catalogue of their headers, which tasks make once, so no point is read for them.
 
-    options are those of the ``las`` source, as box, which leaves out files outside. A tile's id is the number in its file's name, or else a hash of its path.
+    box (x0,y0,x1,y1) leaves out files outside by the catalogue and points outside in the others; chunk is the size of chunks of files that have none; to is
+    where the catalogue is kept (else in the shared folder). A tile's id is the number in its file's name, or else a hash of its path.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, **options: str):
+    def __init__(self, spark: SparkSession, folder: str, box: str | None = None, chunk: str = "0", to: str | None = None):
         super().__init__(spark, folder)
-        self.options = options
-        las.register(spark)
+        self.box = None if box is None else tuple(float(v) for v in box.split(","))
+        self.chunk, self.to = int(chunk), to
 
     def read(self, name: str) -> DataFrame:
         raise ValueError(f"a folder of LAS files has no table {name}")
 
-    def _from(self, what: str) -> DataFrame:
-        number = F.regexp_extract("path", r"(\d+)[.][lL][aA][sSzZ]$", 1)
-        found = self.spark.read.format("las").options(**self.options).option("what", what).load(self.sf_dir)
-        return found.withColumn("tile_id", F.when(number != "", F.expr("try_cast(regexp_extract(path, '([0-9]+)[.][^.]*$', 1) AS BIGINT)")).otherwise(F.xxhash64("path")))
+    @cached_property
+    def catalogue(self) -> DataFrame:
+        found = catalogue.written(self.spark, self.sf_dir, self.to or storage.folder(self.spark, "catalogue"))
+        return found if self.box is None else catalogue.inside(found, self.box)
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        number = F.expr("try_cast(regexp_extract(path, '([0-9]+)[.][lL][aA][sSzZ]$', 1) AS BIGINT)")
+        return rows.withColumn("tile_id", F.coalesce(number, F.xxhash64("path")))
+
+    def _rows(self, what: str) -> DataFrame:
+        return self._numbered(catalogue.rows(self.catalogue, what, self.box, self.chunk)).drop("path", "a")
 
     @cached_property
     def points(self) -> DataFrame:
-        return self._from("points").drop("path", "a")
+        return self._rows("points")
 
     @cached_property
     def chunk_points(self) -> DataFrame:
-        return self._from("chunk_points").drop("path", "a")
+        return self._rows("chunk_points")
 
     @cached_property
     def tiles(self) -> DataFrame:
-        return self._from("headers").select("tile_id", "n_points", *[f"{n}_{a}" for n in ("min", "max") for a in "xyz"])
+        return self._numbered(self.catalogue).select("tile_id", "n_points", *[f"{n}_{a}" for n in ("min", "max") for a in "xyz"])
 
 
 #: The same tables in SQL.

@@ -7,18 +7,21 @@ Compressed chunks beyond their first record need a codec that isn't here; asking
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from geolode.sources.arithmetic import decode_sizes, encode_sizes
 
@@ -234,8 +237,28 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = False, patter
     return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).load(folder).select("path", "length")
 
 
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there; Hadoop's client serves the schemes that Arrow has none for."""
+    if "://" not in path and not path.startswith("file:"):
+        return pa.fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return pa.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    try:
+        return pa.fs.FileSystem.from_uri(path)
+    except pa.ArrowInvalid:
+        top, rest = re.match("([^:]+://[^/]*)(.*)", path).groups()
+        return pa.fs.HadoopFileSystem(top), rest or "/"
+
+
+def opened(path: str) -> tuple[pa.NativeFile, Fetch, int]:
+    """A file for reading by ranges: the file, what fetches a range, and its size."""
+    system, at = file_system(path)
+    file = system.open_input_file(at)
+    return file, (lambda start, n: file.read_at(n, start)), file.size()
+
+
 def byte_ranges(ranges: DataFrame) -> DataFrame:
-    """path, start, n and the bytes of ranges (path, start, n) of files that every task can open; a task opens a file once for its ranges that follow each other."""
+    """path, start, n and the bytes of ranges (path, start, n) of files; a task opens a file once for its ranges that follow each other."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, file = None, None
@@ -245,9 +268,8 @@ def byte_ranges(ranges: DataFrame) -> DataFrame:
                 if path != name:
                     if file is not None:
                         file.close()
-                    name, file = path, open(re.sub("^file:(//)?", "", path), "rb")
-                file.seek(start)
-                found.append(file.read(n))
+                    name, (file, fetch, _) = path, opened(path)
+                found.append(fetch(start, n))
             yield part[["path", "start", "n"]].assign(bytes=found)
         if file is not None:
             file.close()
@@ -255,76 +277,133 @@ def byte_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.select("path", "start", "n").mapInPandas(run, "path string, start bigint, n bigint, bytes binary")
 
 
+def schema_of(what: str) -> str:
+    return {"headers": HEADERS, "chunks": TABLE}.get(what, POINTS)
+
+
+def read_file(path: str, what: str, chunk: int = 0, share: int = 0, of: int = 1, box: list[float] | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of a file (or the share-th part of its points), READ points at a time; chunk is the size of chunks of a file that isn't compressed, box what points must lie in."""
+    file, fetch, size = opened(path)
+    schema = arrow_schema(schema_of(what))
+    with file:
+        header = read_header(fetch, size)
+        if chunk and not header.compressed:
+            header = replace(header, chunk_size=chunk)
+        for rows in _rows(path, what, fetch, size, header, share, of, box):
+            if box and "x" in rows:
+                rows = rows[rows["x"].between(box[0], box[2]) & rows["y"].between(box[1], box[3])]
+            yield from pa.Table.from_pandas(rows, schema, preserve_index=False).to_batches(max_chunksize=READ)
+
+
+def _rows(path: str, what: str, fetch: Fetch, size: int, header: Header, share: int, of: int, box: list[float] | None) -> Iterator[pd.DataFrame]:
+    if what == "headers":
+        yield pd.DataFrame([header_row(path, size, header)], columns=[c.split()[0] for c in HEADERS.split(", ")])
+    elif what == "chunks":
+        sizes = read_chunk_sizes(fetch, size, header) if header.compressed else [min(header.chunk_size, header.n_points - k) * header.record_length for k in range(0, header.n_points, header.chunk_size)]
+        yield pd.DataFrame({"path": path, "chunk_idx": np.arange(len(sizes)), "byte_size": np.array(sizes, np.int64)})
+    elif box and not all(header.low[k] <= box[k + 2] and header.high[k] >= box[k] for k in range(2)):
+        return
+    elif what == "chunk_points":
+        yield pd.DataFrame({"path": path, **read_chunk_points(fetch, size, header)})
+    else:
+        end = header.n_points * (share + 1) // of
+        for first in range(header.n_points * share // of, end, READ):
+            yield pd.DataFrame({"path": path, **read_points(fetch, header, first, min(READ, end - first))})
+
+
+def point_files(path: str, recursive: bool = True) -> list[tuple[str, int]]:
+    """Path and size of the LAS and LAZ files of a folder, or of one file; hidden ones, which may not be whole yet, are left out."""
+    system, at = file_system(path)
+    found = system.get_file_info(at)
+    if found.type == pa.fs.FileType.Directory:
+        infos = system.get_file_info(pa.fs.FileSelector(at, recursive=recursive))
+    else:
+        infos = [found]
+    top = "" if system.type_name == "local" else path[: len(path) - len(at)] if path.endswith(at) else ""
+    whole = [(top + i.path, i.size) for i in infos if i.type == pa.fs.FileType.File and i.base_name.lower().endswith((".las", ".laz")) and i.base_name[0] not in "._"]
+    return sorted(whole)
+
+
 @dataclass
 class Part(InputPartition):
     path: str
-    first: int = 0
-    n: int = -1
+    share: int = 0
+    of: int = 1
 
 
 class LasReader(DataSourceReader):
-    """what: headers, chunks, chunk_points or points; files of more than points_per_task points are read by several tasks.
+    """what: headers, chunks, chunk_points or points; points of files of more than bytes_per_task bytes are read by several tasks.
 
-    chunk is the number of points of a chunk of uncompressed files. box (x0,y0,x1,y1) leaves out files whose header's bounds lie outside, before any task starts, and points outside in the others.
+    The driver lists the folder and opens no file. chunk is the number of points of a chunk of uncompressed files. box (x0,y0,x1,y1) leaves out points
+    outside; a file whose header lies outside costs its task that header. Over many files, ``catalogue`` leaves such files out before any task.
     """
 
     def __init__(self, options: dict[str, str]):
         self.what = options.get("what", "points")
-        self.step = int(options.get("points_per_task", 5_000_000))
+        self.step = int(options.get("bytes_per_task", 128 << 20))
         self.chunk = int(options.get("chunk", 0))
         self.box = [float(v) for v in options["box"].split(",")] if "box" in options else None
-        self.paths = self._paths(options["path"], options.get("recursive", "true") == "true")
+        self.path, self.recursive = options["path"], options.get("recursive", "true") == "true"
 
-    @staticmethod
-    def _paths(path: str, recursive: bool) -> list[str]:
-        if os.path.isfile(path):
-            return [path]
-        found = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if recursive or d == path]
-        return sorted(f for f in found if f.lower().endswith((".las", ".laz")))
+    def parts(self, files: list[tuple[str, int]]) -> list[Part]:
+        if self.what != "points":
+            return [Part(p) for p, _ in files]
+        return [Part(p, k, of) for p, size in files for of in [max(1, -(-size // self.step))] for k in range(of)]
 
     def partitions(self) -> list[Part]:
-        if self.what != "points" and self.box is None:
-            return [Part(p) for p in self.paths]
-        parts = []
-        for p in self.paths:  # a header is 4 KB; the driver reads one per file to cut the large ones and to leave out those outside
-            with open(p, "rb") as f:
-                header = read_header(lambda at, k: (f.seek(at), f.read(k))[1], os.path.getsize(p))  # noqa: B023
-            if self.box and not all(header.low[k] <= self.box[k + 2] and header.high[k] >= self.box[k] for k in range(2)):
-                continue
-            step = self.step if self.what == "points" else max(header.n_points, 1)
-            parts += [Part(p, first, step) for first in range(0, max(header.n_points, 1), step)]
-        return parts
-
-    def _batches(self, fetch: Fetch, size: int, header: Header, part: Part) -> Iterator[pd.DataFrame]:
-        """Points of a part, READ at a time."""
-        if self.what == "chunk_points":
-            yield pd.DataFrame({"path": part.path, **read_chunk_points(fetch, size, header)})
-            return
-        end = part.first + part.n if part.n >= 0 else header.n_points
-        for first in range(part.first, min(end, header.n_points), READ):
-            yield pd.DataFrame({"path": part.path, **read_points(fetch, header, first, min(READ, end - first))})
+        return self.parts(point_files(self.path, self.recursive))
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        size = os.path.getsize(part.path)
-        with open(part.path, "rb") as f:
-
-            def fetch(at: int, n: int) -> bytes:
-                f.seek(at)
-                return f.read(n)
-
-            header = read_header(fetch, size)
-            if self.chunk and not header.compressed:
-                header = replace(header, chunk_size=self.chunk)
-            if self.what == "headers":
-                rows = pd.DataFrame([header_row(part.path, size, header)], columns=[c.split()[0] for c in HEADERS.split(", ")])
-            elif self.what == "chunks":
-                sizes = read_chunk_sizes(fetch, size, header) if header.compressed else [min(header.chunk_size, header.n_points - k) * header.record_length for k in range(0, header.n_points, header.chunk_size)]
-                rows = pd.DataFrame({"path": part.path, "chunk_idx": np.arange(len(sizes)), "byte_size": np.array(sizes, np.int64)})
-            schema = arrow_schema({"headers": HEADERS, "chunks": TABLE}.get(self.what, POINTS))
-            for rows in [rows] if self.what in ("headers", "chunks") else self._batches(fetch, size, header, part):
-                if self.box and "x" in rows:
-                    rows = rows[rows["x"].between(self.box[0], self.box[2]) & rows["y"].between(self.box[1], self.box[3])]
-                yield from pa.Table.from_pandas(rows, schema, preserve_index=False).to_batches(max_chunksize=READ)
+        return read_file(part.path, self.what, self.chunk, part.share, part.of, self.box)
+
+
+class LasStreamReader(LasReader, DataSourceStreamReader):
+    """A stream over a growing folder: every batch admits up to files_per_batch new files, in order of their names, and an offset is a number of batches.
+
+    Which files a batch admitted is written to the option log, a folder of the stream's own, before the batch is handed out; so batches are the same after a
+    restart, and every file comes once. A file must appear whole, by a rename from a hidden name or another folder. A file that is replaced under its name does not come again.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        if "log" not in options:
+            raise ValueError("a stream of files needs the option log, a folder of its own")
+        self.most = int(options.get("files_per_batch", 1000))
+        self.system, self.log = file_system(options["log"])
+        self.system.create_dir(self.log, recursive=True)
+        self.admitted: list[list[tuple[str, int]]] = []
+        self.known: set[str] = set()
+
+    def _entry(self, number: int) -> str:
+        return f"{self.log}/{number:012d}.json"
+
+    def _load(self) -> None:
+        while self.system.get_file_info(self._entry(len(self.admitted))).type == pa.fs.FileType.File:
+            with self.system.open_input_stream(self._entry(len(self.admitted))) as f:
+                files = [tuple(x) for x in json.loads(f.read())]
+            self.admitted.append(files)
+            self.known.update(p for p, _ in files)
+
+    def initialOffset(self) -> dict:
+        return {"batches": 0}
+
+    def latestOffset(self) -> dict:
+        self._load()
+        new = [f for f in point_files(self.path, self.recursive) if f[0] not in self.known][: self.most]
+        if new:
+            waiting = f"{self.log}/.{uuid.uuid4()}"
+            with self.system.open_output_stream(waiting) as f:
+                f.write(json.dumps(new).encode())
+            self.system.move(waiting, self._entry(len(self.admitted)))
+            self._load()
+        return {"batches": len(self.admitted)}
+
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        self._load()
+        return self.parts([f for files in self.admitted[start["batches"] : end["batches"]] for f in files])
+
+    def commit(self, end: dict) -> None:
+        """Nothing to forget: the log says what has come."""
 
 
 @dataclass
@@ -359,18 +438,21 @@ class FilesWriter(DataSourceWriter):
 
 
 class LasSource(DataSource):
-    """``spark.read.format("las").option("what", ...).load(path)``: LAS and LAZ files of a folder that every task can open."""
+    """``spark.read.format("las").option("what", ...).load(path)``: LAS and LAZ files of a folder; ``readStream`` follows a growing one."""
 
     @classmethod
     def name(cls) -> str:
         return "las"
 
     def schema(self) -> str:
-        return {"headers": HEADERS, "chunks": TABLE}.get(self.options.get("what", "points"), POINTS)
+        return schema_of(self.options.get("what", "points"))
 
     def reader(self, schema) -> LasReader:
         return LasReader(self.options)
 
+    def streamReader(self, schema) -> LasStreamReader:
+        return LasStreamReader(self.options)
+
 
 class FilesSink(DataSource):
     """``df.write.format("files").option("path", folder)``: rows of path and content become files."""

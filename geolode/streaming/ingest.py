@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from geolode.operators import grid
 from geolode.operators.lod import LOADS
+from geolode.sources import las
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_a_batch: int = 1) -> DataFrame:
@@ -20,18 +22,31 @@ def read_stream(spark: SparkSession, path: str, schema, files_a_batch: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def finish(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def read_las_stream(spark: SparkSession, path: str, what: str, log: str, files_a_batch: int = 1000, **options: object) -> DataFrame:
+    """A stream of headers, chunks, chunk_points or points of the LAS files of a growing folder; log is a folder of the stream's own."""
+    las.register(spark)
+    return spark.readStream.format("las").options(what=what, log=log, files_per_batch=str(files_a_batch), **{k: str(v) for k, v in options.items()}).load(path)
+
+
+def finish(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None, in_batches: bool = False) -> DataFrame:
     """Runs a stream over what is there now and returns the table that it leaves.
 
-    append and update write each batch to a folder of its own, so a batch that runs twice replaces itself; complete replaces the whole.
+    in_batches is for sources in Python, which Spark would else ask for one batch only. append and update write each batch to a folder of its own, so a batch that runs twice replaces itself; complete replaces the whole.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         out = each(batch, number) if each else batch
         out.write.mode("overwrite").parquet(f"{folder}/table/batch={0 if mode == 'complete' else number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put)
+    if in_batches:
+        query = writer.start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.parquet(f"{folder}/table")
 
 
@@ -95,3 +110,43 @@ def running_top(stream: DataFrame, folder: str, weight: str, order: list[str], m
 def windowed(events: DataFrame, time: str, late: str, size: str, *keys: str) -> DataFrame:
     """Counts by event-time window, with late rows up to a delay. An extension: the point data has no event time."""
     return events.withWatermark(time, late).groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n"))
+
+
+def arrivals(points: DataFrame) -> DataFrame:
+    """px, py, n: how many of the points (px, py) count for each patch, which are its own and those of the eight around it; summed up by task, as patches need no single point."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            own = part.groupby(["px", "py"]).size()
+            sent = [own.reset_index(name="n").assign(px=lambda d, dx=dx: d["px"] + dx, py=lambda d, dy=dy: d["py"] + dy) for dx, dy in grid.AROUND]
+            yield pd.concat(sent).groupby(["px", "py"], as_index=False)["n"].sum()
+
+    return points.select("px", "py").mapInPandas(run, "px int, py int, n bigint")
+
+
+def around(expected: DataFrame) -> DataFrame:
+    """expected (px, py, expected) as sums over each patch and the eight around it, for the patches that it has."""
+    sent = grid.with_neighbours(expected).select(F.col("to_px").alias("px"), F.col("to_py").alias("py"), "expected")
+    return expected.select("px", "py").join(sent.groupBy("px", "py").agg(F.sum("expected").alias("expected")), ["px", "py"])
+
+
+def completed(points: DataFrame, expected: DataFrame) -> DataFrame:
+    """Patches (px, py, n) of a stream of points, each once: in the batch in which the last point of its own or of a patch around it comes.
+
+    expected (px, py, expected) says how many points each patch will get. The state of a patch is a number.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        if n < 0:  # it has been said
+            return
+        for part in parts:
+            n += int(part["n"].sum())
+            wanted = int(part["expected"].iloc[0])
+        if n >= wanted:
+            yield pd.DataFrame({"px": [key[0]], "py": [key[1]], "n": [n]})
+            n = -1
+        state.update((n,))
+
+    known = arrivals(points).join(around(expected), ["px", "py"])
+    return known.groupBy("px", "py").applyInPandasWithState(step, "px int, py int, n bigint", "n bigint", "append", GroupStateTimeout.NoTimeout)

@@ -1,6 +1,7 @@
 """Tables from files, orders over many tasks, streams over several batches and restarts, bounds."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from oracle import spark_rows
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from geolode.operators import aggregate, grid, heightmap, raster
 from geolode.plans import registry, storage
 from geolode.plans.scans import files
 from geolode.plans.tables import LasTables, Tables
-from geolode.sources import las
+from geolode.sources import catalogue, las
 from geolode.streaming import ingest
 
 
@@ -39,9 +40,77 @@ def test_box_leaves_out_files_and_points(spark, folder):
     box = f"{tile.min_x},{tile.min_y},{(tile.min_x + tile.max_x) / 2},{tile.max_y}"
     x0, y0, x1, y1 = map(float, box.split(","))
     some = LasTables(spark, folder, box=box)
-    assert spark_rows(some.points) == spark_rows(every.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1)))
-    reader = las.LasReader({"path": folder, "what": "points", "box": box})
-    assert 0 < len(reader.partitions()) < len(reader.paths)
+    inside = every.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+    assert spark_rows(some.points) == spark_rows(inside)
+    assert 0 < some.catalogue.count() < LasTables(spark, folder).catalogue.count()
+    plan = some.points._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "LessThanOrEqual(min_x" in plan
+    # the source by itself gives the same rows
+    las.register(spark)
+    source = spark.read.format("las").option("box", box).load(folder)
+    assert source.count() == inside.count()
+
+
+def test_a_catalogue_reads_new_files_only(spark, tmp_path):
+    las.register(spark)
+    put = lambda name, n: spark.createDataFrame([(name, bytearray(las.write_las(pts(n))))], "path string, content binary").write.format("files").option("path", str(tmp_path / "f")).mode("append").save()
+    put("a.las", 10)
+    put("deep/b.LAS", 2500)
+    to = str(tmp_path / "catalogue")
+    first = catalogue.written(spark, str(tmp_path / "f"), to)
+    assert {r.path.rsplit("/", 1)[1]: r.n_points for r in first.collect()} == {"a.las": 10, "b.LAS": 2500}
+    put("c.las", 7)
+    assert catalogue.written(spark, str(tmp_path / "f"), to).count() == 3  # a.las and b.LAS once
+    whole = catalogue.rows(spark.read.parquet(to), points_per_range=999)
+    assert whole.count() == 2517 and whole.filter("path LIKE '%b.LAS'").agg(F.count_distinct("point_idx")).first()[0] == 2500
+    (tmp_path / "f/a.las").unlink()
+    assert catalogue.present(spark.read.parquet(to), str(tmp_path / "f")).count() == 2
+    boxes = spark.createDataFrame([(-1e9, -1e9, 1e9, 1e9), (5e8, 5e8, 6e8, 6e8)], "x0 double, y0 double, x1 double, y1 double")
+    assert catalogue.near(spark.read.parquet(to), boxes.filter("x0 > 0"), 1e8).count() == 0
+    assert catalogue.near(spark.read.parquet(to), boxes, 1e8).count() == 3
+    (tmp_path / "f/bad.las").write_bytes(b"nothing")
+    with pytest.raises(Exception, match="bad.las"):
+        catalogue.written(spark, str(tmp_path / "f"), to)
+
+
+def pts(n, seed=1):
+    rng = np.random.default_rng(seed)
+    return pd.DataFrame({"point_idx": np.arange(n), **{f"{a}i": rng.integers(-(10**6), 10**6, n) for a in "xyz"}, **{f"{c}16": rng.integers(0, 65536, n) for c in "rgb"}})
+
+
+def test_a_stream_over_a_growing_folder_gives_every_file_once(spark, tmp_path):
+    las.register(spark)
+    top, log, out = (str(tmp_path / n) for n in ("f", "log", "out"))
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/.half.las").write_bytes(b"not whole yet")
+
+    def put(name, n):
+        (tmp_path / f"f/{name}.part").write_bytes(las.write_las(pts(n, n)))
+        (tmp_path / f"f/{name}.part").rename(tmp_path / f"f/{name}")
+
+    def play():
+        rows = spark.readStream.format("las").options(what="points", log=log, files_per_batch="2").load(top)
+        query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).start()
+        return query
+
+    for k in range(5):
+        put(f"{k}.las", 100 + k)
+    query = play()
+    query.processAllAvailable()
+    put("late.las", 50)
+    query.processAllAvailable()
+    batches = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    query.stop()
+    assert len(batches) == 4  # two files a batch, then the late one
+    put("0a.las", 60)  # sorts before files that have come
+    query = play()
+    query.processAllAvailable()
+    query.processAllAvailable()
+    query.stop()
+    streamed, batch = spark.read.parquet(out), spark.read.format("las").load(top)
+    assert spark_rows(streamed) == spark_rows(batch) and streamed.count() == sum(100 + k for k in range(5)) + 110
+    with pytest.raises(Exception, match="option log"):
+        spark.readStream.format("las").load(top).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "s2")).start().processAllAvailable()
 
 
 def test_byte_ranges_of_files(spark, tmp_path):
@@ -161,3 +230,21 @@ def test_numbers_of_keys_do_not_hang_on_partitions(spark):
     df = spark.range(200)
     a, b = (sorted(d.select("id", grid.uniform(F.col("id"), 3).alias("u")).collect()) for d in (df, df.repartition(9)))
     assert a == b and all(0 <= r.u < 1 for r in a) and 0.4 < np.mean([r.u for r in a]) < 0.6
+
+
+def test_a_patch_is_complete_once_in_the_batch_of_its_last_neighbour(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(int(x), int(y), k) for k, (x, y) in enumerate(rng.integers(0, 5, (60, 2)))] + [(9, 9, 60)]
+    spark.createDataFrame(rows, "px int, py int, id long").repartition(6, "id").write.parquet(str(tmp_path / "points"))
+    table = spark.read.parquet(str(tmp_path / "points"))
+    points = ingest.read_stream(spark, str(tmp_path / "points"), table.schema)
+    came = {r.id: (r.batch, r.px, r.py) for r in ingest.finish(points, str(tmp_path / "came")).collect()}
+    expected = table.groupBy("px", "py").agg(F.count("*").alias("expected"))
+    for _ in range(2):  # the second run finds nothing new
+        done = ingest.finish(ingest.completed(points, expected), str(tmp_path / "done")).collect()
+        want = {}
+        for px, py in {(x, y) for x, y, _ in rows}:
+            near = [b for b, x, y in came.values() if abs(x - px) <= 1 and abs(y - py) <= 1]
+            want[px, py] = (max(near), len(near))
+        assert {(r.px, r.py): (r.batch, r.n) for r in done} == want and len(done) == len(want)
+    assert len({b for b, _ in want.values()}) > 1

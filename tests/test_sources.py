@@ -83,7 +83,7 @@ def test_las_source_reads_a_folder(spark, tmp_path):
     heads = {r.path.rsplit("/", 1)[1]: r for r in load(what="headers").collect()}
     assert {k: r.n_points for k, r in heads.items()} == {"a.las": 1000, "B.LAS": 55, "d.laz": 200}
     assert load(what="headers", recursive="false").count() == 1
-    got = spark.read.format("las").option("points_per_task", "300").load(str(tmp_path / "a.las"))
+    got = spark.read.format("las").option("bytes_per_task", "7000").load(str(tmp_path / "a.las"))
     assert got.rdd.getNumPartitions() == 4 and got.count() == 1000
     assert got.agg(F.sum("xi")).first()[0] == files["a.las"]["xi"].sum()
     chunks = las.read_chunk_point_files(spark, str(tmp_path))
