@@ -1,11 +1,12 @@
 """Line dedup by a log-template tree, with built-in expressions only.
 
 A line falls through a tree of fixed depth: number of tokens, then the leading tokens. Tokens with a digit are fields and
-count as ``<*>`` everywhere. A leaf holds several templates, which ``LEVELS`` more levels of the tree tell apart. In a group of a leaf's
+count as ``<*>`` everywhere. A leaf holds several templates, which further levels of the tree tell apart. In a group of a leaf's
 distinct lines, a position behind the leading tokens is constant if one token stands there in more than half of them. If enough of these positions
 are constant, that is a template, and the lines that have all its constants belong to it; the rest of the group goes on to the next level. Otherwise the
-group is split at the position whose frequent tokens, which at least a ``SHARE``-th of the group has there, have the
-largest sum of squared counts: each such token begins a group of the next level, and lines with other tokens form one more. Lines that no template has taken in the end are templates of their own. A template that
+group is split at two neighbouring positions (without constants, if there are such), those whose pairs of tokens have the largest sum of squared counts: each pair that several lines have begins a group of the next level,
+however few they are beside the group, and the lines whose pair is their own form one more. Pairs tell templates apart where single tokens of a varying field repeat by chance. Levels go on until
+nothing is left to split, ``LEVELS`` at most. Lines that no template has taken in the end are templates of their own. A template that
 occurs in ``LEAST_DOCS`` or more different texts is recurring; its lines stay in the text that has it first (by doc_id, and
 in exact copies of that text) and are dropped elsewhere.
 
@@ -29,8 +30,8 @@ from geolode.llm.common import saved, small_side
 DEPTH, LEAST_DOCS, LEAST_TOKENS = 3, 3, 3
 #: Constant tokens behind the leading ones that make a template: at least so many, and so many tenths of the tokens there.
 CONSTANT, CONSTANT_TENTHS = 2, 6
-#: Levels of the tree below the leading tokens; a token that a group may be split by stands in this share of its lines.
-LEVELS, SHARE = 4, 16
+#: Levels of the tree below the leading tokens at most; the tests' tables end after two.
+LEVELS = 8
 FIELD = "<*>"
 
 
@@ -47,33 +48,44 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"leaf": F.xxhash64("n", _masked(F.substring_index("line", " ", DEPTH))), "full": F.xxhash64(_masked(F.col("line")))})
 
 
+def _pairs() -> Column:
+    """Hashes of the pairs of neighbouring tokens of w."""
+    return F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.col("w")[i], F.col("w")[i + 1]))
+
+
 def _level(lines: DataFrame, level: int) -> DataFrame:
-    """lines (grp, full, w) with template (null: none yet) and next, their group of the next level (null: they leave the tree)."""
-    total = lines.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.size("w")).alias("m")).filter("n > 1")
+    """lines (grp, full, w: hashes of tokens) with template (null: none yet) and next, their group of the next level (null: they leave the tree)."""
+    total = saved(lines.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.size("w")).alias("m")).filter("n > 1"))
+    total = small_side(total, total.count(), 24)
     words = lines.select("grp", F.posexplode("w").alias("at", "word")).groupBy("grp", "at", "word").agg(F.count("*").alias("c")).filter("c > 1")
-    often = words.join(total, "grp").filter(SHARE * F.col("c") >= F.col("n"))
-    # at most SHARE tokens a position
-    places = often.groupBy("grp", "at").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum(F.col("c") * F.col("c")).alias("weight"), F.max(F.struct("c", "word")).alias("top"), F.collect_list("word").alias("words"))
-    fixed = 2 * F.col("top.c") > F.col("n")
-    shape = places.groupBy("grp").agg(
-        F.first("m").alias("m"),
-        F.collect_list(F.when(fixed, F.struct("at", F.col("top.word").alias("word")))).alias("constants"),
-        F.max(F.when(~fixed, F.struct("weight", (-F.col("at")).alias("before"), "words"))).alias("split"),
-    )
-    size = F.size("constants")
-    shape = saved(shape.withColumn("general", (size >= CONSTANT) & (10 * size >= CONSTANT_TENTHS * F.col("m"))))
-    weight = shape.agg(F.count("*"), F.sum(F.size("constants") + F.coalesce(F.size("split.words"), F.lit(0)))).first()
-    joined = lines.join(small_side(shape, 60 * weight[0] + 40 * (weight[1] or 0), 1), "grp", "left")
-    own = F.col("w")[-F.col("split.before")]
+    constants = words.join(total, "grp").filter(2 * F.col("c") > F.col("n")).groupBy("grp").agg(F.first("m").alias("m"), F.collect_list(F.struct("at", "word")).alias("constants"))
+    pairs = lines.filter(F.size("w") > 1).select("grp", F.posexplode(_pairs()).alias("at", "pair"))
+    pairs = saved(pairs.groupBy("grp", "at", "pair").agg(F.count("*").alias("c")).filter("c > 1"))
+    places = pairs.groupBy("grp", "at").agg(F.sum(F.col("c") * F.col("c")).alias("weight"), F.max("c").alias("top")).join(total, "grp").filter(2 * F.col("top") <= F.col("n"))
+    # pairs beside a constant say no more than one token, so they come last
+    held = lambda at: F.exists(F.coalesce("constants", F.array()), lambda x: x["at"] == at)
+    free = ~held(F.col("at")) & ~held(F.col("at") + 1)
+    places = places.select("grp", "at", "weight").join(constants, "grp", "full_outer").withColumn("free", free)
+    best = F.max(F.when(F.col("at").isNotNull(), F.struct("free", "weight", (-F.col("at")).alias("before"))))
+    shape = places.groupBy("grp").agg(F.first("m", True).alias("m"), F.first("constants", True).alias("constants"), (-best["before"]).alias("split"))
+    size = F.coalesce(F.size("constants"), F.lit(0))
+    shape = shape.withColumn("general", (size >= CONSTANT) & (10 * size >= CONSTANT_TENTHS * F.col("m")))
+    shape = saved(shape.select("grp", "constants", "split", F.coalesce("general", F.lit(False)).alias("general")))
+    weight = shape.agg(F.count("*"), F.sum(F.size("constants"))).first()
+    joined = lines.join(small_side(shape, 60 * weight[0] + 24 * (weight[1] or 0), 1), "grp", "left").withColumn("pair", F.when(~F.col("general") & F.col("split").isNotNull(), F.xxhash64(F.col("w")[F.col("split")], F.col("w")[F.col("split") + 1])))
+    # pairs of several lines, at the places where their groups are split
+    shared = saved(pairs.join(small_side(shape.filter("NOT general AND split IS NOT NULL").select("grp", F.col("split").alias("at")), weight[0], 20), ["grp", "at"]).select("grp", "pair", F.lit(True).alias("shared")))
+    joined = joined.join(small_side(shared, shared.count(), 24), ["grp", "pair"], "left")
     rest = F.xxhash64("grp", F.lit("rest"), F.lit(level))
-    following = F.when(F.col("general"), rest).when(F.array_contains("split.words", own), F.xxhash64("grp", F.col("split.before"), own)).when(F.col("split").isNotNull(), rest)
+    following = F.when(F.col("general"), rest).when(F.col("shared"), F.xxhash64("grp", "split", "pair")).when(F.col("split").isNotNull(), rest)
     belongs = F.col("general") & F.forall("constants", lambda x: F.col("w")[x["at"]] == x["word"])
     return joined.select("full", "w", F.when(belongs, F.xxhash64("grp", F.lit("template"))).alias("template"), following.alias("next"))
 
 
 def templates(distinct: DataFrame) -> DataFrame:
     """full and template (a hash) of distinct masked lines (leaf, full, line)."""
-    at = distinct.select(F.col("leaf").alias("grp"), "full", F.slice(F.split("line", " "), DEPTH + 1, 1 << 30).alias("w"))
+    tokens = F.slice(F.split("line", " "), DEPTH + 1, 1 << 30)
+    at = distinct.select(F.col("leaf").alias("grp"), "full", F.transform(tokens, lambda w: F.xxhash64(w)).alias("w"))
     found = at.filter(F.size("w") == 0).select("full", F.col("full").alias("template"))
     at = at.filter(F.size("w") > 0)
     for level in range(LEVELS):
@@ -81,6 +93,8 @@ def templates(distinct: DataFrame) -> DataFrame:
         last = F.lit(level == LEVELS - 1) | F.col("next").isNull() | F.col("template").isNotNull()
         found = found.unionByName(done.filter(last).select("full", F.coalesce("template", "full").alias("template")))
         at = done.filter(~last).select(F.col("next").alias("grp"), "full", "w")
+        if at.isEmpty():
+            break
     return found
 
 
@@ -127,19 +141,21 @@ def summary(docs: DataFrame) -> DataFrame:
 def _level_sql(k: int) -> str:
     """Level k of the tree, from l{k} (grp, leaf, line, w) to r{k} with template and next."""
     return rf"""
-n{k} AS (SELECT grp, count(*) AS n, max(len(w)) AS m FROM l{k} GROUP BY grp HAVING count(*) > 1),
-c{k} AS (SELECT grp, pos, w[pos] AS word, count(*) AS c FROM (SELECT grp, w, unnest(range(1, len(w) + 1)) AS pos FROM l{k}) q GROUP BY 1, 2, 3 HAVING count(*) > 1),
-o{k} AS (SELECT c.*, n, m FROM c{k} c JOIN n{k} n ON c.grp = n.grp WHERE {SHARE} * c >= n),
-p{k} AS (SELECT grp, pos, any_value(n) AS n, any_value(m) AS m, sum(c * c) AS weight, max(c) AS top, arg_max(word, c) AS word, list(word) AS words FROM o{k} GROUP BY grp, pos),
-g{k} AS (SELECT grp, count(*) AS size FROM p{k} WHERE 2 * top > n GROUP BY grp HAVING count(*) >= {CONSTANT} AND 10 * count(*) >= {CONSTANT_TENTHS} * any_value(m)),
-s{k} AS (SELECT grp, pos, words FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY weight DESC, pos) AS rank FROM p{k} WHERE 2 * top <= n) q WHERE rank = 1),
-b{k} AS (SELECT l.grp, l.leaf, l.line FROM l{k} l JOIN g{k} g ON l.grp = g.grp JOIN p{k} p ON l.grp = p.grp AND 2 * p.top > p.n
-         GROUP BY l.grp, l.leaf, l.line HAVING bool_and(l.w[p.pos] = p.word)),
-r{k} AS (
+n{k} AS MATERIALIZED (SELECT grp, count(*) AS n, max(len(w)) AS m FROM l{k} GROUP BY grp HAVING count(*) > 1),
+c{k} AS MATERIALIZED (SELECT q.grp, pos, w[pos] AS word FROM (SELECT grp, w, unnest(range(1, len(w) + 1)) AS pos FROM l{k}) q JOIN n{k} n ON q.grp = n.grp GROUP BY 1, 2, 3, n HAVING 2 * count(*) > n),
+g{k} AS MATERIALIZED (SELECT c.grp FROM c{k} c JOIN n{k} n ON c.grp = n.grp GROUP BY c.grp HAVING count(*) >= {CONSTANT} AND 10 * count(*) >= {CONSTANT_TENTHS} * max(m)),
+p{k} AS MATERIALIZED (SELECT grp, pos, w[pos] AS a, w[pos + 1] AS b, count(*) AS c FROM (SELECT grp, w, unnest(range(1, len(w))) AS pos FROM l{k}) q GROUP BY 1, 2, 3, 4 HAVING count(*) > 1),
+s{k} AS MATERIALIZED (
+  SELECT grp, pos FROM (SELECT o.grp, pos, row_number() OVER (PARTITION BY o.grp ORDER BY coalesce(list_contains(fixed, pos) OR list_contains(fixed, pos + 1), false), weight DESC, pos) AS rank
+    FROM (SELECT grp, pos, sum(c * c) AS weight, max(c) AS top FROM p{k} GROUP BY grp, pos) o JOIN n{k} n ON o.grp = n.grp
+    LEFT JOIN (SELECT grp, list(pos) AS fixed FROM c{k} GROUP BY grp) f ON o.grp = f.grp WHERE 2 * top <= n) q WHERE rank = 1),
+b{k} AS MATERIALIZED (SELECT l.grp, l.leaf, l.line FROM l{k} l JOIN g{k} g ON l.grp = g.grp JOIN c{k} c ON l.grp = c.grp GROUP BY l.grp, l.leaf, l.line HAVING bool_and(l.w[c.pos] = c.word)),
+r{k} AS MATERIALIZED (
   SELECT l.leaf, l.line, l.w, CASE WHEN b.line IS NOT NULL THEN 'template ' || l.grp END AS template,
-         CASE WHEN g.grp IS NOT NULL THEN l.grp || ' rest' WHEN list_contains(s.words, l.w[s.pos]) THEN l.grp || ' ' || s.pos || '=' || l.w[s.pos] WHEN s.grp IS NOT NULL THEN l.grp || ' rest' END AS next
-  FROM l{k} l LEFT JOIN g{k} g ON l.grp = g.grp LEFT JOIN s{k} s ON l.grp = s.grp LEFT JOIN b{k} b ON l.grp = b.grp AND l.line = b.line),
-l{k + 1} AS (SELECT next AS grp, leaf, line, w FROM r{k} WHERE template IS NULL AND next IS NOT NULL)"""
+         CASE WHEN g.grp IS NOT NULL THEN l.grp || ' rest' WHEN p.grp IS NOT NULL THEN l.grp || ' ' || p.pos || '=' || p.a || ' ' || p.b WHEN s.grp IS NOT NULL THEN l.grp || ' rest' END AS next
+  FROM l{k} l LEFT JOIN g{k} g ON l.grp = g.grp LEFT JOIN s{k} s ON l.grp = s.grp LEFT JOIN p{k} p ON l.grp = p.grp AND p.pos = s.pos AND l.w[s.pos] = p.a AND l.w[s.pos + 1] = p.b
+  LEFT JOIN b{k} b ON l.grp = b.grp AND l.line = b.line),
+l{k + 1} AS MATERIALIZED (SELECT next AS grp, leaf, line, w FROM r{k} WHERE template IS NULL AND next IS NOT NULL)"""
 
 
 _LEVELS_SQL = ",".join(_level_sql(k) for k in range(LEVELS))

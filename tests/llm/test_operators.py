@@ -155,6 +155,16 @@ def test_a_leaf_holds_several_templates(spark, a, b, c):
     assert not any(dropped[k] for k in range(n, len(texts)))
 
 
+@pytest.mark.parametrize("n,days", [(17, 0), (40, 0), (1000, 0), (60, 7)])
+def test_templates_are_found_whatever_the_size_of_their_leaf(spark, n, days):
+    """n templates of ten lines in one leaf, each with a field of its own and, where days is set, one of so many values."""
+    day = lambda k: f"day{'abcdefghij'[k % days]}" if days else "today"
+    word = lambda k: "".join("abcdefghij"[int(d)] for d in str(k))
+    rows = [(10 * t + k, f"own {word(10 * t + k)}\nthe big system reports module{word(t)} part{word(t)} value {word(31 * t + 7 * k + k * k)}v on {day(k + t)} from unit{word(t)} again{word(t)}") for t in range(n) for k in range(10)]
+    dropped = recurring(spark, rows)
+    assert sum(dropped.values()) == 9 * n and all(dropped[10 * t] == 0 for t in range(n))
+
+
 def test_lines_of_long_and_repeated_texts(spark):
     long = "\n".join(["Read more of this here today", *(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} only once here" for k in range(20_000))])
     rows = [(1, long)] * 3 + [(2, "Read more of this here today\nown line of two"), (3, "Read more of this here today"), (4, "Read more of this here today\nanother own line")]
