@@ -217,8 +217,11 @@ def _leads(records: DataFrame) -> DataFrame:
     links = beside.select(F.col("record_id").alias("child"), named.alias("parent")).union(main.select(named.alias("child"), F.col("record_id").alias("parent"))).distinct()
     over = links.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
     anchor = F.coalesce("above", "parent")
-    # rows of one child fold before the shuffle; a chain that comes back to its own record says nothing
-    return links.join(over, "parent", "left").select("child", anchor.alias("anchor")).filter(F.col("anchor") != F.col("child")).groupBy("child").agg(F.min("anchor").alias("anchor"))
+    led = links.join(over, "parent", "left").select("child", anchor.alias("anchor")).filter(F.col("anchor") != F.col("child"))
+    # a response before anything else that a chain may end at
+    sure = main.select(F.col("record_id").alias("anchor"), F.lit(False).alias("loose")).distinct()
+    best = F.min(F.struct(F.coalesce("loose", F.lit(True)).alias("loose"), "anchor"))
+    return led.join(sure, "anchor", "left").groupBy("child").agg(best["anchor"].alias("anchor"))
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -43,6 +43,15 @@ def test_secrets_equal_plain_scan(spark, sf_dir, texts):
         assert r.base_sha256 == hashlib.sha256(",".join(f[2] for f in sorted(found)).encode()).hexdigest()
 
 
+def test_all_kinds_of_secrets_equal_plain_patterns(spark, sf_dir, texts):
+    from geolode.llm.secret_scan import RULES
+
+    rows = {r.doc_id: r.spans for r in QUERIES["op5_secret_scan"](spark, sf_dir).collect()}
+    for doc_id, text in texts.items():
+        found = [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for order, (kind, (pattern, group, least)) in enumerate(RULES.items()) for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
+        assert rows[doc_id] == ",".join(f[2] for f in sorted(found))
+
+
 def test_media_round_trip(spark, sf_dir, texts):
     rows = {r.doc_id: r for r in QUERIES["op6_progressive_jpeg"](spark, sf_dir).collect()}
     assert rows.keys() == texts.keys()

@@ -94,6 +94,19 @@ def test_stages_keep_columns_and_take_odd_rows(spark, sf_dir, k):
     assert stage(spark, odd.limit(0), sf_dir).collect() == []
 
 
+def test_stages_keep_columns_of_any_name_and_fold_rows_without_an_id(spark, sf_dir):
+    near = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, near, "en", "s", 1), (None, near, "en", "s", 1), (None, near + " more", "en", "s", 1), (None, "", "en", "s", 0), (None, None, "en", "s", 0), (5, near + " end", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("keep") for c in ("__first", "__lines", "__dropped", "__key", "__Own", "___first")})
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality classifier", "line dedup", "n-gram Jaccard join", "secret scans"):
+        out = stages[name](spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert all(r["__first"] == r["__lines"] == r["__dropped"] == r["__key"] == "keep" for r in out.collect())
+    left = stages["n-gram Jaccard join"](spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id is not None, r.text or "") for r in left) == [(False, ""), (False, ""), (True, near + " end")]
+
+
 def test_pipeline_keeps_what_each_stage_should(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     quality, lines, near, secrets, packed = (f for _, f in corpus_pipeline.STAGES)

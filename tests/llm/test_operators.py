@@ -323,3 +323,12 @@ def test_classifier_sums_equal_one_pass(spark, monkeypatch):
 def test_shouts_count_on_the_text(spark):
     rows = quality_rules.counts(spark.createDataFrame([("a! !b ok",), ("a!! b",), (None,)], "text string").withColumns({"__w": F.lit(1), "__j": F.lit(2)})).collect()
     assert [r["n_shouts"] for r in rows] == [0, 1, 0] and [r["__w"] for r in rows] == [1, 1, 1]
+
+
+def test_secrets_in_long_runs_take_linear_time():
+    text = "eyJaaaaaaaa-" * 400_000
+    began = time.perf_counter()
+    assert secret_scan.find_spans(text) == []
+    assert time.perf_counter() - began < 5
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    assert [k for k, *_ in secret_scan.find_spans(f"a {token} b")] == ["web_token"] and secret_scan.find_spans(f"a-{token}") == []
