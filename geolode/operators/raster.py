@@ -64,26 +64,6 @@ def line_fragments(lines: DataFrame, camera: Camera, most: int = 400) -> DataFra
     return at.select(F.floor("fx").cast("int").alias("ix"), F.floor("fy").cast("int").alias("iy"), F.round("w", 3).alias("depth"), "colour")
 
 
-def triangle_fragments(triangles: DataFrame, width: int, height: int) -> DataFrame:
-    """Fragments of triangles on the picture (sx0, sy0, w0 to sx2, sy2, w2, colour): front faces in front of the camera.
-
-    A triangle becomes the pixels of its box, of which those inside stay; depth is the corners' mean by barycentric weight.
-    """
-    s = [F.col(f"s{a}{k}") for k in range(3) for a in "xy"]
-    turn = (s[2] - s[0]) * (s[5] - s[1]) - (s[3] - s[1]) * (s[4] - s[0])
-    front = triangles.filter((turn >= 0) & (F.least("w0", "w1", "w2") >= 0))
-    spans = {}
-    for axis, size, (a, b, c) in (("x", width, s[0::2]), ("y", height, s[1::2])):
-        spans[f"l{axis}"] = F.greatest(F.floor(F.least(a, b, c)), F.lit(0)).cast("int")
-        spans[f"h{axis}"] = F.least(F.ceil(F.greatest(a, b, c)), F.lit(size - 1)).cast("int")
-    boxes = front.withColumns(spans).filter("lx <= hx AND ly <= hy")
-    pixels = boxes.withColumn("ix", F.explode(F.sequence("lx", "hx"))).withColumn("iy", F.explode(F.sequence("ly", "hy")))
-    b0, b1, b2 = C.barycentric(F.col("ix") + 0.5, F.col("iy") + 0.5, *s)
-    weighed = pixels.withColumns({"b0": b0, "b1": b1, "b2": b2}).filter("b0 >= 0 AND b1 >= 0 AND b2 >= 0")
-    depth = F.col("b0") * F.col("w0") + F.col("b1") * F.col("w1") + F.col("b2") * F.col("w2")
-    return weighed.withColumn("depth", F.round(depth * 1.2 + 10.0, 3))
-
-
 def highest(points: DataFrame, size: float = 10.0) -> DataFrame:
     """Greatest z by pixel; heights below 0 count as 0."""
     return points.groupBy(C.cell(F.col("lx"), size).alias("ix"), C.cell(F.col("ly"), size).alias("iy")).agg(F.greatest(F.max("z"), F.lit(0.0)).alias("height"))

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
 from geolode.functions.camera import Camera
-from geolode.operators import aggregate, lod, raster
+from geolode.operators import aggregate, heightmap, lod, mesh_raster, raster
 from geolode.plans import storage
-from geolode.plans.joins import _PATCHES, chunk_state, patches
+from geolode.plans.aggregations import agg_texture
+from geolode.plans.joins import _PATCHES, chunk_state, contexts, patches
 from geolode.plans.registry import number as n
 from geolode.plans.registry import query
 
@@ -203,23 +204,44 @@ def flt_backface(t):
     return triangles(t).filter((turn >= 0) & (F.least("w0", "w1", "w2") >= 0)).select("id")
 
 
-_DEN = "((sy1 - sy2) * (sx0 - sx2) + (sx2 - sx1) * (sy0 - sy2) + 1e-5)"
-_TFRAG = f"""px_ AS (SELECT *, ix + 0.5e0 AS qx, iy + 0.5e0 AS qy FROM (SELECT *, unnest(range(lo_y, hi_y + 1))::INT AS iy FROM (SELECT *, unnest(range(lo_x, hi_x + 1))::INT AS ix FROM (SELECT *,
-   greatest(0, CAST(floor(least(sx0, sx1, sx2)) AS INT)) AS lo_x, least({CAMERA.width - 1}, CAST(ceil(greatest(sx0, sx1, sx2)) AS INT)) AS hi_x, greatest(0, CAST(floor(least(sy0, sy1, sy2)) AS INT)) AS lo_y,
-   least({CAMERA.height - 1}, CAST(ceil(greatest(sy0, sy1, sy2)) AS INT)) AS hi_y FROM tri WHERE {_TURN}) q) q) q),
- bc AS (SELECT *, ((sy1 - sy2) * (qx - sx2) + (sx2 - sx1) * (qy - sy2)) / {_DEN} AS b0, ((sy2 - sy0) * (qx - sx2) + (sx0 - sx2) * (qy - sy2)) / {_DEN} AS b1 FROM px_),
- tf AS (SELECT ix, iy, id * 12345 AS colour, round((b0 * w0 + b1 * w1 + (1e0 - b0 - b1) * w2) * 1.2e0 + 10e0, 3) AS depth FROM bc WHERE b0 >= 0 AND b1 >= 0 AND 1e0 - b0 - b1 >= 0)"""
+_MESH = f"""ready AS (SELECT px, py FROM patches WHERE n >= 25), hm AS (SELECT CAST(floor(lx / 10e0) AS INT) AS gx, CAST(floor(ly / 10e0) AS INT) AS gy, greatest(max(z), 0e0) AS h FROM loc GROUP BY 1, 2),
+ hr AS (SELECT hm.* FROM hm JOIN ready ON px = gx // 64 AND py = gy // 64),
+ sq AS (SELECT px, py, px * 64 + i AS gx, py * 64 + j AS gy FROM (SELECT px, py, i, unnest(range(64))::INT AS j FROM (SELECT px, py, unnest(range(64))::INT AS i FROM ready) q) q),
+ vt AS (SELECT v.gx, v.gy, v.gx * 10e0 AS x, v.gy * 10e0 AS y, coalesce(h, 0e0) AS z FROM (SELECT DISTINCT gx + dx AS gx, gy + dy AS gy FROM sq, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) d(dx, dy)) v LEFT JOIN hr ON hr.gx = v.gx AND hr.gy = v.gy),
+ sv AS (SELECT gx, gy, {', '.join(f'{e} AS {k}' for e, k in zip(screen_sql('x', 'y', 'z'), ('sx', 'sy', 'w')))} FROM vt),
+ tri AS (SELECT (px * 31 + py * 17) % 256 AS colour, {', '.join(f'{k}.{f} AS {f}{n}' for n, k in enumerate('abc') for f in ('sx', 'sy', 'w'))}
+   FROM sq, (VALUES (0, 0, 1, 0, 1, 1), (0, 0, 1, 1, 0, 1)) t(ax, ay, bx, b_y, cx, cy), sv a, sv b, sv c
+   WHERE a.gx = sq.gx + t.ax AND a.gy = sq.gy + t.ay AND b.gx = sq.gx + t.bx AND b.gy = sq.gy + t.b_y AND c.gx = sq.gx + t.cx AND c.gy = sq.gy + t.cy),
+ bx AS (SELECT *, CAST(floor(greatest(0, least({CAMERA.width}, least(sx0, sx1, sx2)))) AS INT) AS x0, CAST(ceil(greatest(0, least({CAMERA.width}, greatest(sx0, sx1, sx2)))) AS INT) AS x1,
+   CAST(floor(greatest(0, least({CAMERA.height}, least(sy0, sy1, sy2)))) AS INT) AS y0, CAST(ceil(greatest(0, least({CAMERA.height}, greatest(sy0, sy1, sy2)))) AS INT) AS y1
+   FROM tri WHERE w0 > 0 AND w1 > 0 AND w2 > 0 AND (sx1 - sx0) * (sy2 - sy0) - (sy1 - sy0) * (sx2 - sx0) > 0),
+ fr AS (SELECT *, (sx1 - sx0) * (sy2 - sy0) - (sy1 - sy0) * (sx2 - sx0) AS d FROM (SELECT *, unnest(range(y0, y1))::INT AS iy FROM (SELECT *, unnest(range(x0, x1))::INT AS ix FROM bx) q) q),
+ st AS (SELECT *, ((ix - sx0) * (sy2 - sy0) - (iy - sy0) * (sx2 - sx0)) / d AS s, ((sx1 - sx0) * (iy - sy0) - (sy1 - sy0) * (ix - sx0)) / d AS t FROM fr),
+ tf AS (SELECT ix, iy, colour * 65793 AS colour, round(((1e0 - (s + t)) * w0 + s * w1 + t * w2) * 1.2e0 + 10e0, 3) AS depth FROM st WHERE s >= 0 AND t >= 0 AND 1e0 - (s + t) >= 0)"""
 
 
-@query("agg_tri_raster", f"{_TRI}, {_TFRAG};; SELECT ix, iy, depth, colour FROM (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY depth, colour) AS k FROM tf) q WHERE k = 1")
-def agg_tri_raster(t):
-    return aggregate.depth_buffer(raster.triangle_fragments(triangles(t), CAMERA.width, CAMERA.height).withColumn("colour", c("id") * 12345))
+def highest_maps(t):
+    """Of each patch with enough chunk points its 64 x 64 greatest heights."""
+    at = raster.highest(t.placed(t.points)).select(*[e for a in "xy" for e in (F.floor(c(f"i{a}") / C.TEXELS).cast("int").alias(f"p{a}"), F.pmod(c(f"i{a}"), F.lit(C.TEXELS)).alias(f"t{a}"))], "height")
+    return patches(t).filter("n >= 25").select("px", "py").join(mesh_raster.as_maps(at, "height", "double"), ["px", "py"], "left")
 
 
-@query("agg_tri_raster_old", f"{_TRI}, {_TFRAG};; SELECT ix, iy, depth, colour FROM (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY depth, colour) AS k FROM (SELECT ix, iy, depth, CAST(floor(colour / 12345e0) AS BIGINT) % 255 AS colour FROM tf) q) q WHERE k = 1")
-def agg_tri_raster_old(t):
-    """The same rasteriser with a colour by vertex instead of by triangle."""
-    return aggregate.depth_buffer(raster.triangle_fragments(triangles(t), CAMERA.width, CAMERA.height).withColumn("colour", c("id") % 255))
+@query("agg_tri_raster", f"{_PATCHES}, {_MESH};; SELECT ix, iy, depth, CAST(colour AS BIGINT) AS colour FROM (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY depth, colour) AS k FROM tf) q WHERE k = 1")
+def agg_tri_raster(t):
+    """The triangles of the heightmaps of greatest heights, coloured by patch."""
+    own = F.transform(F.sequence(F.lit(1), F.lit(C.TEXELS * C.TEXELS)), lambda _: ((c("px") * 31 + c("py") * 17) % 256 * 65793).cast("bigint"))
+    maps = highest_maps(t).withColumn("colour", own)
+    # a patch's far edges have its own colour: no mixing with the next one's
+    return aggregate.depth_buffer(mesh_raster.fragments(maps, CAMERA, mixed=False))
+
+
+@query("agg_tri_texture")
+def agg_tri_texture(t):
+    """The triangles of the interpolated heightmaps, with the textures of the patches mixed by place."""
+    heights = heightmap.heightmaps(contexts(t)).filter("NOT blank").select("px", "py", "height")
+    at = agg_texture(t).select("px", "py", "tx", "ty", (c("r") + c("g") * 256 + c("b") * 65536).alias("colour"))
+    maps = heights.join(mesh_raster.as_maps(at, "colour", "bigint"), ["px", "py"], "left")
+    return aggregate.depth_buffer(mesh_raster.fragments(maps, CAMERA))
 
 
 _RT = [f"({p} * 640e0 - 150e0)" for p in ("px", "py")], [f"((({p} + 1) * 640e0) + 150e0)" for p in ("px", "py")]
