@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
-from geolode.operators import grid
+from geolode.operators import grid, neighbours
 from geolode.plans import storage
 from geolode.plans.registry import query
 
@@ -111,16 +111,17 @@ def identified(points):
 _DIST = "(lx - qx) * (lx - qx) + (ly - qy) * (ly - qy)"
 
 
-@query("jn_nn", _CONTEXT + ", " + _GRID + f""";; SELECT px, py, i, j, id, d2 FROM (SELECT g.px, g.py, i, j, tile_id * 1000000 + point_idx AS id, {_DIST} AS d2,
-  row_number() OVER (PARTITION BY g.px, g.py, i, j ORDER BY {_DIST}, tile_id * 1000000 + point_idx) AS k FROM g JOIN ctx USING (px, py)) q WHERE k = 1""")
+@query("jn_nn", f"{_PATCHES}, {_GRID};; SELECT px, py, i, j, id, d2 FROM (SELECT g.px, g.py, i, j, tile_id * 1000000 + point_idx AS id, {_DIST} AS d2, "
+       f"row_number() OVER (PARTITION BY g.px, g.py, i, j ORDER BY {_DIST}, tile_id * 1000000 + point_idx) AS k FROM g CROSS JOIN (SELECT lx, ly, tile_id, point_idx FROM chl) q) q WHERE k = 1")
 def jn_nn(t):
-    return grid.nearest(identified(contexts(t)), grid_points(t), ["px", "py"]).select("px", "py", "i", "j", "id", "d2")
+    """The nearest chunk point of all, for each point of a grid over the patches."""
+    return neighbours.nearest(identified(t.placed(t.chunk_points)), grid_points(t)).select("px", "py", "i", "j", "id", "d2")
 
 
-@query("jn_knn", _CONTEXT + ", " + _GRID + f""";; SELECT px, py, i, j, id, k FROM (SELECT g.px, g.py, i, j, tile_id * 1000000 + point_idx AS id,
-  CAST(row_number() OVER (PARTITION BY g.px, g.py, i, j ORDER BY {_DIST}, tile_id * 1000000 + point_idx) AS INT) AS k FROM g JOIN ctx USING (px, py)) q WHERE k <= 3""")
+@query("jn_knn", f"{_PATCHES}, {_GRID};; SELECT px, py, i, j, id, k FROM (SELECT g.px, g.py, i, j, tile_id * 1000000 + point_idx AS id, "
+       f"CAST(row_number() OVER (PARTITION BY g.px, g.py, i, j ORDER BY {_DIST}, tile_id * 1000000 + point_idx) AS INT) AS k FROM g CROSS JOIN (SELECT lx, ly, tile_id, point_idx FROM chl) q) q WHERE k <= 3")
 def jn_knn(t):
-    return grid.nearest(identified(contexts(t)), grid_points(t), ["px", "py"], k=3).select("px", "py", "i", "j", "id", c("rank").alias("k"))
+    return neighbours.nearest(identified(t.placed(t.chunk_points)), grid_points(t), k=3).select("px", "py", "i", "j", "id", c("rank").alias("k"))
 
 
 @query("jn_ball", f"{_PATCHES}, {_GRID};; SELECT px, py, i, j, count(*) AS n FROM g JOIN (SELECT lx, ly FROM chl) q ON {_DIST} <= 3600e0 GROUP BY px, py, i, j")
