@@ -30,8 +30,8 @@ from geolode.llm.common import saved, small_side
 DEPTH, LEAST_DOCS, LEAST_TOKENS = 3, 3, 3
 #: Constant tokens behind the leading ones that make a template: at least so many, and so many tenths of the tokens there.
 CONSTANT, CONSTANT_TENTHS = 2, 6
-#: Levels of the tree below the leading tokens at most; the tests' tables end after two.
-LEVELS = 8
+#: Levels of the tree below the leading tokens at most; two find templates that differ at two neighbouring constants.
+LEVELS = 5
 FIELD = "<*>"
 
 
@@ -48,33 +48,46 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns({"leaf": F.xxhash64("n", _masked(F.substring_index("line", " ", DEPTH))), "full": F.xxhash64(_masked(F.col("line")))})
 
 
-def _pairs() -> Column:
-    """Hashes of the pairs of neighbouring tokens of w."""
-    return F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.col("w")[i], F.col("w")[i + 1]))
+def _counts(lines: DataFrame) -> DataFrame:
+    """grp, kind, at, token, c: how many lines of a group have a token at a position (kind 0), a pair of neighbouring tokens there (1), or so many tokens (2, under token); tokens of one line are left out."""
+    cell = lambda kind, at, token: F.struct(F.lit(kind).alias("kind"), at.alias("at"), token.cast("long").alias("token"))
+    w, size = F.col("w"), F.size("w")
+    single = F.transform(w, lambda x, i: cell(0, i, x))
+    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), size - 2), lambda i: cell(1, i, F.xxhash64(w[i], w[i + 1])))).otherwise(F.slice(single, 1, 0))
+    cells = lines.select("grp", F.explode(F.concat(single, pairs, F.array(cell(2, F.lit(0), size)))).alias("x")).select("grp", "x.*")
+    return cells.groupBy("grp", "kind", "at", "token").agg(F.count("*").alias("c")).filter("c > 1 OR kind = 2")
+
+
+def _shapes(counts: DataFrame) -> DataFrame:
+    """grp, constants, split (position; null: none) and general of the groups of several lines."""
+    total = counts.filter("kind = 2").groupBy("grp").agg(F.sum("c").alias("n"), F.max("token").alias("m")).filter("n > 1")
+    places = counts.filter("kind < 2").groupBy("grp", "at").agg(
+        F.max(F.when(F.col("kind") == 0, F.struct("c", "token"))).alias("top"), F.max(F.when(F.col("kind") == 1, F.col("c"))).alias("pair"), F.sum(F.when(F.col("kind") == 1, F.col("c") * F.col("c"))).alias("weight")
+    )
+    places = places.join(total, "grp").groupBy("grp").agg(
+        F.first("m").alias("m"),
+        F.collect_list(F.when(2 * F.col("top.c") > F.col("n"), F.struct("at", F.col("top.token").alias("word")))).alias("constants"),
+        F.collect_list(F.when(2 * F.col("pair") <= F.col("n"), F.struct("weight", "at"))).alias("places"),
+    )
+    # pairs beside a constant say no more than one token, so they come last
+    held = lambda at: F.exists("constants", lambda x: x["at"] == at)
+    best = F.array_max(F.transform("places", lambda p: F.struct((~held(p["at"]) & ~held(p["at"] + 1)).alias("free"), p["weight"].alias("weight"), (-p["at"]).alias("before"))))
+    size = F.size("constants")
+    general = (size >= CONSTANT) & (10 * size >= CONSTANT_TENTHS * F.col("m"))
+    return places.select("grp", "constants", F.when(~general, -best["before"]).alias("split"), general.alias("general"))
 
 
 def _level(lines: DataFrame, level: int) -> DataFrame:
     """lines (grp, full, w: hashes of tokens) with template (null: none yet) and next, their group of the next level (null: they leave the tree)."""
-    total = saved(lines.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.size("w")).alias("m")).filter("n > 1"))
-    total = small_side(total, total.count(), 24)
-    words = lines.select("grp", F.posexplode("w").alias("at", "word")).groupBy("grp", "at", "word").agg(F.count("*").alias("c")).filter("c > 1")
-    constants = words.join(total, "grp").filter(2 * F.col("c") > F.col("n")).groupBy("grp").agg(F.first("m").alias("m"), F.collect_list(F.struct("at", "word")).alias("constants"))
-    pairs = lines.filter(F.size("w") > 1).select("grp", F.posexplode(_pairs()).alias("at", "pair"))
-    pairs = saved(pairs.groupBy("grp", "at", "pair").agg(F.count("*").alias("c")).filter("c > 1"))
-    places = pairs.groupBy("grp", "at").agg(F.sum(F.col("c") * F.col("c")).alias("weight"), F.max("c").alias("top")).join(total, "grp").filter(2 * F.col("top") <= F.col("n"))
-    # pairs beside a constant say no more than one token, so they come last
-    held = lambda at: F.exists(F.coalesce("constants", F.array()), lambda x: x["at"] == at)
-    free = ~held(F.col("at")) & ~held(F.col("at") + 1)
-    places = places.select("grp", "at", "weight").join(constants, "grp", "full_outer").withColumn("free", free)
-    best = F.max(F.when(F.col("at").isNotNull(), F.struct("free", "weight", (-F.col("at")).alias("before"))))
-    shape = places.groupBy("grp").agg(F.first("m", True).alias("m"), F.first("constants", True).alias("constants"), (-best["before"]).alias("split"))
-    size = F.coalesce(F.size("constants"), F.lit(0))
-    shape = shape.withColumn("general", (size >= CONSTANT) & (10 * size >= CONSTANT_TENTHS * F.col("m")))
-    shape = saved(shape.select("grp", "constants", "split", F.coalesce("general", F.lit(False)).alias("general")))
-    weight = shape.agg(F.count("*"), F.sum(F.size("constants"))).first()
-    joined = lines.join(small_side(shape, 60 * weight[0] + 24 * (weight[1] or 0), 1), "grp", "left").withColumn("pair", F.when(~F.col("general") & F.col("split").isNotNull(), F.xxhash64(F.col("w")[F.col("split")], F.col("w")[F.col("split") + 1])))
+    counts = saved(_counts(lines))
+    shape = saved(_shapes(counts))
+    n, constants, splits = shape.agg(F.count("*"), F.sum(F.size("constants")), F.count("split")).first()
     # pairs of several lines, at the places where their groups are split
-    shared = saved(pairs.join(small_side(shape.filter("NOT general AND split IS NOT NULL").select("grp", F.col("split").alias("at")), weight[0], 20), ["grp", "at"]).select("grp", "pair", F.lit(True).alias("shared")))
+    at = small_side(shape.filter("split IS NOT NULL").select("grp", F.col("split").alias("at")), splits, 20)
+    shared = counts.filter("kind = 1").join(at, ["grp", "at"]).select("grp", F.col("token").alias("pair"), F.lit(True).alias("shared"))
+    shared = saved(shared)
+    pair = F.when(F.col("split").isNotNull(), F.xxhash64(F.col("w")[F.col("split")], F.col("w")[F.col("split") + 1]))
+    joined = lines.join(small_side(shape, 60 * n + 24 * (constants or 0), 1), "grp", "left").withColumn("pair", pair)
     joined = joined.join(small_side(shared, shared.count(), 24), ["grp", "pair"], "left")
     rest = F.xxhash64("grp", F.lit("rest"), F.lit(level))
     following = F.when(F.col("general"), rest).when(F.col("shared"), F.xxhash64("grp", "split", "pair")).when(F.col("split").isNotNull(), rest)
