@@ -67,7 +67,8 @@ def blocks(turns: DataFrame) -> DataFrame:
         many = keyed.join(small_side(crowded, n, 32), key).repartitionByRange(*order).sortWithinPartitions(*order)
         # the running number rises over the sorted tasks
         many = many.withColumn("cut", F.floor(F.monotonically_increasing_id() / BLOCK).cast("long"))
-        cut = cut.join(small_side(crowded, n, 32), key, "left_anti").unionByName(many)
+        # saved, as the numbers of a range that is dealt anew need not be the same
+        cut = cut.join(small_side(crowded, n, 32), key, "left_anti").unionByName(saved(many))
     turn = F.struct("turn", "role", "text")
     grouped = cut.withColumn("block", F.struct("number", "cut")).groupBy("conv", "none", "block").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     return grouped
