@@ -200,15 +200,18 @@ NAMES = [c.split()[0] for c in MAPS.split(", ")]
 
 
 def faces(context: DataFrame) -> DataFrame:
-    """px, py, face and its vertices v0, v1, v2: numbers of the patch's distinct samples in order of lx, ly; corners come last."""
+    """px, py, face and its vertices v0, v1, v2: numbers of the patch's distinct samples in order of lx, ly; corners come last. area is a face's, of the 4 that all faces of a patch cover."""
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         px, py = int(part["px"].iloc[0]), int(part["py"].iloc[0])
         xy = np.unique((part[["lx", "ly"]].to_numpy() - (np.array([px, py]) + 0.5) * C.PATCH) / C.RADIUS * C.STRETCH, axis=0)
-        found = triangulate(np.vstack([xy, CORNERS]))
-        return pd.DataFrame({"px": px, "py": py, "face": np.arange(len(found)), **{f"v{k}": found[:, k] for k in range(3)}, "padded": (found >= len(xy)).any(1)})
+        whole = np.vstack([xy, CORNERS])
+        found = triangulate(whole)
+        a, b, c = (whole[found[:, k]] for k in range(3))
+        area = ((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])) / 2
+        return pd.DataFrame({"px": px, "py": py, "face": np.arange(len(found)), **{f"v{k}": found[:, k] for k in range(3)}, "padded": (found >= len(xy)).any(1), "area": area})
 
-    return by_patch(context.select("px", "py", "lx", "ly")).applyInPandas(one, "px int, py int, face int, v0 int, v1 int, v2 int, padded boolean")
+    return by_patch(context.select("px", "py", "lx", "ly")).applyInPandas(one, "px int, py int, face int, v0 int, v1 int, v2 int, padded boolean, area double")
 
 
 def exploded(maps: DataFrame, size: int = C.TEXELS) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from geolode.functions import columns as C
 from geolode.operators import heightmap
 from geolode.plans import storage
-from geolode.plans.geometry import mean_filter
+from geolode.plans.geometry import _NEAR, _NEAREST, mean_filter
 from geolode.plans.joins import _CONTEXT, _SIZES, chunk_sizes, contexts
-from geolode.plans.registry import query
+from geolode.plans.registry import number, query
 from geolode.plans.scans import TILE, files
 from geolode.sources import las, sinks
 
@@ -48,13 +48,12 @@ def st_tween(t):
     return t.read("events").select("event_id", C.animation(c("value"), 10.0, 50.0).alias("u"))
 
 
-_READY = f"{_CONTEXT};; SELECT px, py, 9216 AS heights, 27648 AS colours FROM ctx GROUP BY px, py HAVING count(*) >= 25"
-
-
-@query("ml_dict", _READY)
+@query("ml_dict", f"{_CONTEXT}, {_NEAR}, {_NEAREST}, base AS (SELECT px, py, avg(lz) AS base FROM ctx GROUP BY px, py);; SELECT px, py, round((avg(lz) - max(base)) / {number(C.RADIUS)} * 10e0, 6) AS height, round(avg(r) / 256e0, 6) AS red, 64 AS heights, 192 AS colours FROM nr JOIN base USING (px, py) GROUP BY px, py")
 def ml_dict(t):
-    maps = heightmap.model_inputs(contexts(t))
-    return maps.select("px", "py", F.size("patch_hm_linear").alias("heights"), F.size("patch_rgb_nearest").alias("colours"))
+    """Mean normalised height and redness, and sizes, of the nearest maps that a model gets (8 x 8 here)."""
+    maps = heightmap.model_inputs(contexts(t), 8)
+    mean = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a), 6)
+    return maps.select("px", "py", mean(c("patch_hm_nearest")).alias("height"), mean(F.slice("patch_rgb_nearest", 1, 64)).alias("red"), F.size("patch_hm_linear").alias("heights"), F.size("patch_rgb_nearest").alias("colours"))
 
 
 def stacked(maps):

@@ -36,7 +36,7 @@ def geo_raster_faces(t):
     return heightmap.exploded(heightmap.heightmaps(contexts(t), 32, 32), 32).groupBy("px", "py").agg(F.count("*").alias("texels"), F.sum((c("mask") == 0).cast("int")).alias("inside"))
 
 
-_NEAR = f"""near AS (SELECT px, py, lz, (lx - (px + 0.5e0) * 640e0) / {number(C.RADIUS)} * {number(C.STRETCH)} AS nx, (ly - (py + 0.5e0) * 640e0) / {number(C.RADIUS)} * {number(C.STRETCH)} AS ny FROM ctx),
+_NEAR = f"""near AS (SELECT px, py, lz, r, (lx - (px + 0.5e0) * 640e0) / {number(C.RADIUS)} * {number(C.STRETCH)} AS nx, (ly - (py + 0.5e0) * 640e0) / {number(C.RADIUS)} * {number(C.STRETCH)} AS ny FROM ctx),
  big AS (SELECT px, py FROM near GROUP BY px, py HAVING count(*) >= 25), cells AS (SELECT * FROM big CROSS JOIN (SELECT unnest(range(8))::INT AS i) a CROSS JOIN (SELECT unnest(range(8))::INT AS j) b)"""
 
 
@@ -51,9 +51,17 @@ def geo_interp_linear(t):
     return heightmap.exploded(heightmap.heightmaps(contexts(t), 32, 32), 32).select("px", "py", "i", "j", F.round("height", 6).alias("height"))
 
 
-@query("geo_pts2hm", f"{_CONTEXT};; SELECT px, py, CAST(count(*) AS INT) AS n, count(*) < 25 AS blank, CASE WHEN count(*) >= 25 THEN 1024 END AS texels FROM ctx GROUP BY px, py")
+_NEAREST = """nr AS (SELECT px, py, lz, r, rank_k FROM (SELECT c.px, c.py, i, j, lz, r, row_number() OVER (PARTITION BY c.px, c.py, i, j
+  ORDER BY (-0.5e0 + i * 0.125e0 - nx) * (-0.5e0 + i * 0.125e0 - nx) + (-0.5e0 + j * 0.125e0 - ny) * (-0.5e0 + j * 0.125e0 - ny)) AS rank_k FROM cells c JOIN near USING (px, py)) q WHERE rank_k = 1)"""
+
+
+@query("geo_pts2hm", f"{_CONTEXT}, {_NEAR}, {_NEAREST};; SELECT p.px, p.py, p.n, p.n < 25 AS blank, q.total, q.low, q.high FROM (SELECT px, py, CAST(count(*) AS INT) AS n FROM ctx GROUP BY px, py) p "
+       "LEFT JOIN (SELECT px, py, round(sum(lz), 2) AS total, round(min(lz), 4) AS low, round(max(lz), 4) AS high FROM nr GROUP BY px, py) q ON p.px = q.px AND p.py = q.py")
 def geo_pts2hm(t):
-    return heightmap.heightmaps(contexts(t), 32, 32).select("px", "py", "n", "blank", F.when(c("height").isNotNull(), F.size("height")).alias("texels"))
+    """Sum, least and greatest height of each patch's map; blank patches have none."""
+    maps = heightmap.heightmaps(contexts(t), 8, 8, "nearest")
+    total = F.aggregate("height", F.lit(0.0), lambda a, x: a + x)
+    return maps.select("px", "py", "n", "blank", F.round(total, 2).alias("total"), F.round(F.array_min("height"), 4).alias("low"), F.round(F.array_max("height"), 4).alias("high"))
 
 
 @query("geo_linear_map")
@@ -103,9 +111,11 @@ def geo_voxel_mesh(t):
     return cubes.agg((F.count("*") / 2).cast("long").alias("faces"), F.count_distinct("vx", "vy", "vz").alias("voxels"))
 
 
-@query("geo_tri_mesh", f"{_CONTEXT};; SELECT count(DISTINCT (px, py)) AS patches FROM ctx")
+@query("geo_tri_mesh", f"{_CONTEXT};; SELECT px, py, 2 * n + 2 AS faces, 4e0 AS area, 0e0 AS least FROM ({_DISTINCT}) q")
 def geo_tri_mesh(t):
-    return heightmap.faces(contexts(t)).agg(F.count_distinct("px", "py").alias("patches"))
+    """The mesh of each patch covers its square once: the areas of its faces are positive and sum up to it."""
+    each = heightmap.faces(contexts(t)).groupBy("px", "py")
+    return each.agg(F.count("*").alias("faces"), F.round(F.sum("area"), 6).alias("area"), F.round(F.least(F.min("area"), F.lit(0.0)), 6).alias("least"))
 
 
 @query("jn_point_in_tri")

@@ -144,7 +144,7 @@ def mesh_files(context: DataFrame) -> DataFrame:
     from geolode.operators.heightmap import triangulate
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        p = part[["lx", "ly", "lz"]].drop_duplicates(["lx", "ly"]).sort_values(["lx", "ly"]).to_numpy()
+        p = part[["lx", "ly", "lz"]].sort_values(["lx", "ly", "lz"]).drop_duplicates(["lx", "ly"]).to_numpy()
         name = f"{part['px'].iloc[0]}_{part['py'].iloc[0]}.stl"
         centred = p[:, :2] - p[:, :2].mean(0)
         return pd.DataFrame([(name, stl(p, triangulate(centred / max(np.abs(centred).max(), 1e-9))))], columns=["path", "content"])
