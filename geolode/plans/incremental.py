@@ -1,12 +1,16 @@
 """Streams: folders of LAS files play the points, their headers and chunk tables; events play what has a time."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from geolode.plans.joins import _PATCHES
-from geolode.plans.registry import query
+from geolode.functions import columns as C
+from geolode.plans.joins import _PATCHES, chunk_state
+from geolode.plans.registry import number, query
 from geolode.plans.scans import files as tile_files
 from geolode.plans.storage import folder, kept
-from geolode.streaming import ingest
+from geolode.plans.views import CAMERA
+from geolode.streaming import frames, ingest
 
 c = F.col
 
@@ -75,6 +79,42 @@ def st_complete(t):
     return ingest.finish(ingest.completed(points, expected), folder(t.spark, "complete")).drop("batch")
 
 
+# a flight over the world, a frame for each nation
+_VIEW = {"yaw": (0.25, 0.1), "pitch": (-0.03, -0.4), "radius": (150.0, 900.0), "target_x": (350.0, 400.0), "target_y": (20.0, 300.0)}
+_FLIGHT = [(k, replace(CAMERA, yaw=v["yaw"], pitch=v["pitch"], radius=v["radius"], target=(v["target_x"], v["target_y"], 0.0)).planes.ravel().tolist()) for k in range(25) for v in [{n: a * k + b for n, (a, b) in _VIEW.items()}]]
+_SEEN = " AND ".join("(" + " + ".join(f"p[{4 * k + d + 1}] * CASE WHEN p[{4 * k + d + 1}] > 0 THEN max_{a} ELSE min_{a} END" for d, a in enumerate("xyz")) + f" + p[{4 * k + 4}] >= 0)" for k in range(6))
+
+
+def flight(t):
+    """The frames as a stream of cameras, some a batch."""
+    k = c("n_nationkey").cast("double")
+    views = t.read("nation").select(c("n_nationkey").cast("long").alias("frame"), *[(k * a + b).alias(n) for n, (a, b) in _VIEW.items()], F.lit(0.0).alias("target_z"))
+    path = folder(t.spark, "frames")
+    for low in range(0, 25, 7):  # a file for each run of frames, one after another
+        views.filter(c("frame").between(low, low + 6)).coalesce(1).write.mode("append").parquet(path)
+    return ingest.read_stream(t.spark, path, views.schema)
+
+
+@query("st_actions", f"""fl(frame, p) AS (VALUES {', '.join(f"({k}, [{', '.join(number(x) for x in p)}])" for k, p in _FLIGHT)}), vis AS (SELECT frame, tile_id, {_SEEN} AS visible FROM fl CROSS JOIN tiles);;
+  SELECT tile_id, CAST(frame AS BIGINT) AS frame, chunk_idx, CASE state WHEN 1 THEN 'READ' ELSE 'UNLOAD' END AS action FROM (
+    WITH RECURSIVE fs AS (
+      SELECT tile_id, k AS chunk_idx, -1 AS frame, CAST(-1 AS BIGINT) AS before, CAST((tile_id * 7 + k) % 4 AS BIGINT) AS state FROM (SELECT tile_id, unnest(range(0, (n_points + 9) // 10)) AS k FROM tiles) q
+      UNION ALL SELECT fs.tile_id, chunk_idx, vis.frame, state,
+        CASE WHEN state = 0 AND visible THEN 1 WHEN state = 1 THEN 2 WHEN state = 2 AND NOT visible THEN 3 WHEN state = 3 THEN 0 ELSE state END
+      FROM fs JOIN vis ON fs.tile_id = vis.tile_id AND vis.frame = fs.frame + 1)
+    SELECT * FROM fs WHERE frame >= 0 AND before <> state AND state IN (1, 3)) q""")
+def st_actions(t):
+    """What every frame of a flight has to read and to unload; chunks keep their states between batches of frames."""
+    first = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda k: chunk_state(c("tile_id"), k).cast("int"))
+    tiles = t.tiles.withColumn("n_chunks", C.chunk_count(c("n_points"), 10))
+    store = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    frames.with_store(t.spark)
+    try:
+        return ingest.finish(frames.actions(flight(t), tiles, CAMERA, first), folder(t.spark, "actions")).drop("batch")
+    finally:
+        t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", store) if store else t.spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 @query("st_early_buffer", "SELECT user_id, event_id AS id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'click')")
 def st_early_buffer(t):
     rows = stream(t).select("user_id", c("event_id").alias("id"), c("event_type").alias("kind"))

@@ -268,12 +268,6 @@ def st_chunk_fsm(t):
     return chunk_states(t).select("tile_id", "chunk_idx", "state", lod.next_state(c("state"), c("visible")).cast("long").alias("next_state"))
 
 
-@query("st_actions", f"{_CHUNKS};; SELECT tile_id, chunk_idx, CASE WHEN nxt = 1 THEN 'READ' ELSE 'UNLOAD' END AS action FROM (SELECT *, {_NEXT} AS nxt FROM cs) q WHERE (state <> 1 AND nxt = 1) OR (state <> 3 AND nxt = 3)")
-def st_actions(t):
-    act = lod.actions(c("state"), lod.next_state(c("state"), c("visible")))
-    return chunk_states(t).select("tile_id", "chunk_idx", act.alias("action")).filter("action IS NOT NULL")
-
-
 @query("lim_load", f"{_CHUNKS};; SELECT tile_id, chunk_idx FROM cs WHERE state = 0 AND visible ORDER BY weight DESC, tile_id, chunk_idx LIMIT 100")
 def lim_load(t):
     return lod.load_list(chunk_states(t)).select("tile_id", "chunk_idx")

@@ -248,3 +248,38 @@ def test_a_patch_is_complete_once_in_the_batch_of_its_last_neighbour(spark, tmp_
             want[px, py] = (max(near), len(near))
         assert {(r.px, r.py): (r.batch, r.n) for r in done} == want and len(done) == len(want)
     assert len({b for b, _ in want.values()}) > 1
+
+
+def test_chunk_states_over_frames_batches_and_a_restart(spark, tmp_path):
+    from geolode.functions.camera import Camera
+    from geolode.streaming import frames
+
+    rng = np.random.default_rng(8)
+    tiles = [(k, 1000.0 * (k % 5), 1000.0 * (k // 5), 0.0, 1000.0 * (k % 5) + 900, 1000.0 * (k // 5) + 900, 50.0, int(rng.integers(1, 5))) for k in range(20)]
+    table = spark.createDataFrame(tiles, "tile_id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, n_chunks int")
+    views = [(f, float(rng.uniform(0, 6)), float(rng.uniform(-1.4, -0.3)), float(rng.uniform(300, 2500)), float(rng.uniform(0, 5000)), float(rng.uniform(0, 4000)), 0.0) for f in range(24)]
+    schema = "frame long, yaw double, pitch double, radius double, target_x double, target_y double, target_z double"
+    camera = Camera(width=640, height=360)
+    first = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda k: ((F.col("tile_id") + k) % 4).cast("int"))
+    want, states = set(), {t[0]: np.array([(t[0] + k) % 4 for k in range(t[7])], np.int32) for t in tiles}
+    for f, yaw, pitch, radius, *target in views:
+        planes = Camera(yaw, pitch, radius, tuple(target), 640, 360).planes
+        for t in tiles:
+            low, high = np.array(t[1:4]), np.array(t[4:7])
+            seen = all((p[:3] * np.where(p[:3] > 0, high, low)).sum() + p[3] >= 0 for p in planes)
+            before, after = states[t[0]], states[t[0]].copy()
+            for c, s in enumerate(before):
+                after[c] = {0: 1 if seen else 0, 1: 2, 2: 2 if seen else 3, 3: 0}[s]
+                want |= {(t[0], f, c, a) for a, k in (("READ", 1), ("UNLOAD", 3)) if s != k and after[c] == k}
+            states[t[0]] = after
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", frames.STORE)
+    try:
+        got = []
+        for some in (views[:10], views[10:15], views[8:]):  # the last one repeats frames
+            spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "frames"))
+            stream = ingest.read_stream(spark, str(tmp_path / "frames"), spark.read.parquet(str(tmp_path / "frames")).schema)
+            out = ingest.finish(frames.actions(stream, table, camera, first), str(tmp_path / "out"))
+            got = [(r.tile_id, r.frame, r.chunk_idx, r.action) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert len(got) == len(set(got)) and set(got) == want and len({a for *_, a in want}) == 2
