@@ -5,12 +5,13 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
+from geolode.plans.aggregations import _TEXELS
 from geolode.plans.joins import _PATCHES, chunk_state
 from geolode.plans.registry import number, query
 from geolode.plans.scans import files as tile_files
 from geolode.plans.storage import folder, kept
 from geolode.plans.views import CAMERA
-from geolode.streaming import frames, ingest
+from geolode.streaming import frames, ingest, textures
 
 c = F.col
 
@@ -79,6 +80,17 @@ def st_complete(t):
     return ingest.finish(ingest.completed(points, expected), folder(t.spark, "complete")).drop("batch")
 
 
+@query("st_texture", f"SELECT px, py, tx, ty, {', '.join(f'CAST(floor(sum({a}) / count(*)) AS INT) AS {a}' for a in 'rgb')}, 255 AS a, count(*) AS n FROM (SELECT r, g, b, {_TEXELS} FROM chl) q GROUP BY px, py, tx, ty HAVING count(*) > 0")
+def st_texture(t):
+    """Textures that chunk points are added to, some a batch."""
+    at = t.placed(t.chunk_points).drop("px", "py").withColumns({f"g{a}": C.texel(c(f"l{a}")) for a in "xy"})
+    cells = [e for a in "xy" for e in (F.floor(c(f"g{a}") / C.TEXELS).cast("int").alias(f"p{a}"), F.pmod(c(f"g{a}"), F.lit(C.TEXELS)).alias(f"t{a}"))]
+    table = kept(at.select(*cells, *"rgb", "tile_id").repartition(4, "tile_id"))
+    path = folder(t.spark, "textures")
+    textures.load(ingest.read_stream(t.spark, table.inputFiles()[0].rsplit("/", 1)[0], table.schema), path)
+    return textures.textures(t.spark, path, 0)
+
+
 # a flight over the world, a frame for each nation
 _VIEW = {"yaw": (0.25, 0.1), "pitch": (-0.03, -0.4), "radius": (150.0, 900.0), "target_x": (350.0, 400.0), "target_y": (20.0, 300.0)}
 _FLIGHT = [(k, replace(CAMERA, yaw=v["yaw"], pitch=v["pitch"], radius=v["radius"], target=(v["target_x"], v["target_y"], 0.0)).planes.ravel().tolist()) for k in range(25) for v in [{n: a * k + b for n, (a, b) in _VIEW.items()}]]

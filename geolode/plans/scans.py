@@ -5,7 +5,6 @@ the binaryFile source gives for small files, and then read by the same functions
 """
 
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C

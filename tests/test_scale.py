@@ -283,3 +283,23 @@ def test_chunk_states_over_frames_batches_and_a_restart(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert len(got) == len(set(got)) and set(got) == want and len({a for *_, a in want}) == 2
+
+
+def test_textures_over_any_split_of_the_points(spark, tmp_path, monkeypatch):
+    from geolode.streaming import textures
+
+    monkeypatch.setattr(textures, "EVERY", 3)
+    rng = np.random.default_rng(11)
+    rows = [tuple(int(v) for v in (*rng.integers(0, 2, 2), *rng.integers(0, 3, 2), *rng.integers(0, 256, 4))) for _ in range(300)]
+    table = spark.createDataFrame(rows, "px int, py int, tx int, ty int, r int, g int, b int, a int")
+    want = {}
+    for *key, r, g, b, a in rows:
+        s = want.setdefault(tuple(key), [0] * 5)
+        want[tuple(key)] = [x + y for x, y in zip(s, (r, g, b, a, 1))]
+    want = {(*k, *[v // s[4] for v in s[:4]], s[4]) for k, s in want.items() if s[4] > 2}
+    assert textures.textures(spark, str(tmp_path / "none")).collect() == []
+    for low, high, parts in ((0, 90, 1), (90, 100, 2), (100, 300, 5)):
+        spark.createDataFrame(rows[low:high], table.schema).repartition(parts).write.mode("append").parquet(str(tmp_path / "points"))
+        n = textures.load(ingest.read_stream(spark, str(tmp_path / "points"), table.schema), str(tmp_path / "t"))
+    assert n == 7  # eight batches, two bases
+    assert {tuple(r) for r in textures.textures(spark, str(tmp_path / "t")).collect()} == want
