@@ -73,3 +73,41 @@ def test_models_see_both_maps(spark):
 
     row = H.heightmaps(frame(spark, 90), model=flat).first()
     assert len(row.height) == 64 * 64 and len(set(row.height)) == 1
+
+
+def test_sets_in_step_have_the_faces_of_each_alone():
+    sets = [np.vstack([cloud(n, n), H.CORNERS]) for n in (30, 1, 90, 0, 54)] + [np.random.default_rng(3).integers(-5, 6, (60, 2)) / 10]
+    owners, faces = H.triangulate_all(np.concatenate(sets), [len(s) for s in sets])
+    for k, s in enumerate(sets):
+        assert faces[owners == k].tolist() == H.triangulate(s).tolist() and len(faces[owners == k])
+
+
+def test_windows_and_blocks_are_parts_of_the_whole():
+    p = cloud(60)
+    values = np.column_stack([p[:, 0], p[:, 1]])
+    whole = H.interpolate(p, values, 96)
+    some = H.interpolate(p, values, 96, 1.0, 16, 64, near=False)
+    assert all((H.crop(whole[k].reshape(96 * 96, -1), 96, 64) == some[k].reshape(64 * 64, -1)).all() for k in ("linear", "mask"))
+    at = H.grid_points(1.0, 96)
+    assert (H.nearest(p, 1.0, 96) == H.nearest_at(p, at[:, 0], at[:, 1])).all() and "nearest" not in some
+
+
+def test_only_asked_maps_leave_the_tasks(spark):
+    rows = frame(spark, 90)
+    whole, height = H.heightmaps(rows, 32, 32).first(), H.heightmaps(rows, 32, 32, fields=("height",))
+    assert height.columns == ["px", "py", "n", "blank", "height"] and height.first().height == whole.height
+    made = H.infer(rows.unionByName(frame(spark, 90, 2)), lambda maps: maps["patch_hm_linear"][:, :, 16:80, 16:80], 2)
+    assert made.columns == ["px", "py", "height"] and made.count() == 2
+
+
+def test_patches_over_many_batches_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(H, "TOGETHER", 2)
+    rows = frame(spark, 90)
+    for k in range(1, 7):
+        rows = rows.unionByName(frame(spark, 30 + k, k))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "7")
+    try:
+        assert sorted((r.px, r.n) for r in H.heightmaps(rows, 16, 16).collect()) == [(0, 90), *[(k, 30 + k) for k in range(1, 7)]]
+    finally:
+        spark.conf.unset(size)
