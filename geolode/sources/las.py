@@ -30,8 +30,8 @@ Fetch = Callable[[int, int], bytes]
 FIRST, LASZIP, VLR_HEAD = 4096, 22204, 54
 COLOUR_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 CHUNK = 50_000
-#: Points that a task reads at once.
-READ = 100_000
+#: Points that a task reads at once; what opening a file costs a task, in bytes; rows of small results that leave it at once.
+READ, OPEN, GIVEN = 100_000, 1 << 20, 10_000
 
 
 @dataclass(frozen=True)
@@ -164,29 +164,58 @@ def header_row(path: str, size: int, h: Header) -> tuple:
     return (path, h.version, h.point_format, h.compressed, h.record_length, h.data_offset, h.n_points, *h.scale, *h.offset, *h.low, *h.high, h.chunk_size, h.n_chunks, size)
 
 
-def _from_bytes(content: bytes) -> Fetch:
-    return lambda at, n: content[at : at + n]
+def _from_bytes(content: bytes | memoryview) -> Fetch:
+    return lambda at, n: bytes(content[at : at + n])
 
 
-def _each(files: DataFrame, make: Callable[[str, bytes], pd.DataFrame], schema: str) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, content in zip(part["path"], part["content"], strict=True):
-                yield make(path, content)
+def _each(files: DataFrame, make: Callable[[str, memoryview], dict[str, object]], schema: str) -> DataFrame:
+    """Rows of each file (path, content), whose bytes stay where Arrow has them; make gives columns, path aside."""
+    kinds = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                paths, contents = batch.columns
+                for path, content in zip(paths, contents, strict=True):
+                    yield as_batch(path.as_py(), make(path.as_py(), memoryview(content.as_buffer())), kinds)
+
+        return together(each(), GIVEN)
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
 
-    return files.select("path", "content").mapInPandas(run, schema)
+def as_batch(path: str, columns: dict[str, object], kinds: pa.Schema) -> pa.RecordBatch:
+    """Columns of equal length, by name, and the path beside them."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array([path]).take(pa.array(np.zeros(n, np.int64))) if f.name == "path" else pa.array(columns[f.name], f.type) for f in kinds], schema=kinds)
+
+
+def together(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Small batches as fewer of at least so many rows, but the last."""
+    kept, n = [], 0
+    for batch in batches:
+        kept.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield pa.concat_batches(kept)
+            kept, n = [], 0
+    if n:
+        yield pa.concat_batches(kept)
 
 
 def headers_of(files: DataFrame) -> DataFrame:
     """Headers of files (path, content), as the binaryFile source reads small ones."""
-    names = [c.split()[0] for c in HEADERS.split(", ")]
-    return _each(files, lambda p, b: pd.DataFrame([header_row(p, len(b), read_header(_from_bytes(b), len(b)))], columns=names), HEADERS)
+    return _each(files, lambda p, b: _header_columns(p, len(b), read_header(_from_bytes(b), len(b))), HEADERS)
+
+
+def _header_columns(path: str, size: int, header: Header) -> dict[str, object]:
+    return {c.split()[0]: [v] for c, v in zip(HEADERS.split(", "), header_row(path, size, header), strict=True)}
 
 
 def chunk_tables_of(files: DataFrame) -> DataFrame:
-    def one(path: str, b: bytes) -> pd.DataFrame:
+    def one(path: str, b: memoryview) -> dict[str, object]:
         sizes = read_chunk_sizes(_from_bytes(b), len(b), read_header(_from_bytes(b), len(b)))
-        return pd.DataFrame({"path": path, "chunk_idx": np.arange(len(sizes)), "byte_size": sizes})
+        return {"chunk_idx": np.arange(len(sizes)), "byte_size": sizes}
 
     return _each(files, one, TABLE)
 
@@ -194,16 +223,16 @@ def chunk_tables_of(files: DataFrame) -> DataFrame:
 def chunk_points_of(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The first point of every chunk; files that aren't compressed have no chunks of their own and get some of this size."""
 
-    def one(path: str, b: bytes) -> pd.DataFrame:
+    def one(path: str, b: memoryview) -> dict[str, object]:
         header = read_header(_from_bytes(b), len(b))
         header = header if header.compressed else replace(header, chunk_size=chunk)
-        return pd.DataFrame({"path": path, **read_chunk_points(_from_bytes(b), len(b), header)})
+        return read_chunk_points(_from_bytes(b), len(b), header)
 
     return _each(files, one, POINTS)
 
 
 def points_of(files: DataFrame, first: int = 0, n: int = 1 << 62) -> DataFrame:
-    return _each(files, lambda p, b: pd.DataFrame({"path": p, **read_points(_from_bytes(b), read_header(_from_bytes(b), len(b)), first, n)}), POINTS)
+    return _each(files, lambda p, b: read_points(_from_bytes(b), read_header(_from_bytes(b), len(b)), first, n), POINTS)
 
 
 def chunk_offsets(sizes: DataFrame, key: list[str], data_offset: Column) -> DataFrame:
@@ -291,24 +320,26 @@ def read_file(path: str, what: str, chunk: int = 0, share: int = 0, of: int = 1,
             header = replace(header, chunk_size=chunk)
         for rows in _rows(path, what, fetch, size, header, share, of, box):
             if box and "x" in rows:
-                rows = rows[rows["x"].between(box[0], box[2]) & rows["y"].between(box[1], box[3])]
-            yield from pa.Table.from_pandas(rows, schema, preserve_index=False).to_batches(max_chunksize=READ)
+                inside = (rows["x"] >= box[0]) & (rows["x"] <= box[2]) & (rows["y"] >= box[1]) & (rows["y"] <= box[3])
+                rows = {n: v[inside] for n, v in rows.items()}
+            whole = as_batch(path, rows, schema)
+            yield from (whole.slice(k, READ) for k in range(0, whole.num_rows, READ))
 
 
-def _rows(path: str, what: str, fetch: Fetch, size: int, header: Header, share: int, of: int, box: list[float] | None) -> Iterator[pd.DataFrame]:
+def _rows(path: str, what: str, fetch: Fetch, size: int, header: Header, share: int, of: int, box: list[float] | None) -> Iterator[dict[str, object]]:
     if what == "headers":
-        yield pd.DataFrame([header_row(path, size, header)], columns=[c.split()[0] for c in HEADERS.split(", ")])
+        yield _header_columns(path, size, header)
     elif what == "chunks":
         sizes = read_chunk_sizes(fetch, size, header) if header.compressed else [min(header.chunk_size, header.n_points - k) * header.record_length for k in range(0, header.n_points, header.chunk_size)]
-        yield pd.DataFrame({"path": path, "chunk_idx": np.arange(len(sizes)), "byte_size": np.array(sizes, np.int64)})
+        yield {"chunk_idx": np.arange(len(sizes)), "byte_size": np.array(sizes, np.int64)}
     elif box and not all(header.low[k] <= box[k + 2] and header.high[k] >= box[k] for k in range(2)):
         return
     elif what == "chunk_points":
-        yield pd.DataFrame({"path": path, **read_chunk_points(fetch, size, header)})
+        yield read_chunk_points(fetch, size, header)
     else:
         end = header.n_points * (share + 1) // of
         for first in range(header.n_points * share // of, end, READ):
-            yield pd.DataFrame({"path": path, **read_points(fetch, header, first, min(READ, end - first))})
+            yield read_points(fetch, header, first, min(READ, end - first))
 
 
 def point_files(path: str, recursive: bool = True) -> list[tuple[str, int]]:
@@ -326,7 +357,9 @@ def point_files(path: str, recursive: bool = True) -> list[tuple[str, int]]:
 
 @dataclass
 class Part(InputPartition):
-    path: str
+    """Whole files, or a share of one large file's points."""
+
+    paths: list[str]
     share: int = 0
     of: int = 1
 
@@ -346,15 +379,26 @@ class LasReader(DataSourceReader):
         self.path, self.recursive = options["path"], options.get("recursive", "true") == "true"
 
     def parts(self, files: list[tuple[str, int]]) -> list[Part]:
-        if self.what != "points":
-            return [Part(p) for p, _ in files]
-        return [Part(p, k, of) for p, size in files for of in [max(1, -(-size // self.step))] for k in range(of)]
+        """Small files go together, up to bytes_per_task of them and of what opening them costs, as tasks cost more than files."""
+        found, some, held = [], [], 0
+        for path, size in files:
+            read = size if self.what == "points" else 0
+            if read > self.step:
+                of = -(-size // self.step)
+                found += [Part([path], k, of) for k in range(of)]
+                continue
+            if some and held + read + OPEN > self.step:
+                found.append(Part(some))
+                some, held = [], 0
+            some.append(path)
+            held += read + OPEN
+        return found + ([Part(some)] if some else [])
 
     def partitions(self) -> list[Part]:
         return self.parts(point_files(self.path, self.recursive))
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        return read_file(part.path, self.what, self.chunk, part.share, part.of, self.box)
+        return together((b for path in part.paths for b in read_file(path, self.what, self.chunk, part.share, part.of, self.box)), GIVEN)
 
 
 class LasStreamReader(LasReader, DataSourceStreamReader):

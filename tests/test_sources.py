@@ -111,3 +111,18 @@ def test_written_forms():
     assert len(b) == 84 + 50 and struct.unpack_from("<I", b, 80)[0] == 1 and struct.unpack_from("<3f", b, 84) == (0, 0, 1)
     assert sinks.off(v, f).splitlines() == ["OFF", "3 1 0", "0 0 0", "1 0 0", "0 1 0", "3 0 1 2"]
     assert sinks.png(np.zeros((2, 3, 3))).startswith(b"\x89PNG")
+
+
+def test_small_files_share_a_task_and_large_ones_are_cut():
+    small = [(f"{k:04d}.las", 20_000) for k in range(1000)]
+    for what in ("points", "chunk_points", "headers", "chunks"):
+        parts = las.LasReader({"path": "/", "what": what}).parts(small)
+        assert len(parts) < 20 and [p for part in parts for p in part.paths] == [p for p, _ in small]
+    parts = las.LasReader({"path": "/", "bytes_per_task": str(4 << 20)}).parts([("a.las", 9 << 20), ("b.las", 10), ("c.las", 10)])
+    assert [(p.paths, p.share, p.of) for p in parts] == [*[(["a.las"], k, 3) for k in range(3)], (["b.las", "c.las"], 0, 1)]
+
+
+def test_rows_of_small_files_leave_together():
+    some = [las.as_batch(f"{k}", {"chunk_idx": np.arange(k), "byte_size": np.arange(k)}, las.arrow_schema(las.TABLE)) for k in range(20)]
+    got = list(las.together(iter(some), 50))
+    assert len(got) == 4 and sum(b.num_rows for b in got) == 190 and [p.as_py() for p in got[0].column(0)][:3] == ["1", "2", "2"]
