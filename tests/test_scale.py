@@ -303,3 +303,23 @@ def test_textures_over_any_split_of_the_points(spark, tmp_path, monkeypatch):
         n = textures.load(ingest.read_stream(spark, str(tmp_path / "points"), table.schema), str(tmp_path / "t"))
     assert n == 7  # eight batches, two bases
     assert {tuple(r) for r in textures.textures(spark, str(tmp_path / "t")).collect()} == want
+
+
+def test_splat_shuffles_samples_and_not_their_offsets(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(int(k), int(x), int(y), float(h)) for k, x, y, h in zip(rng.integers(0, 4, 200), rng.integers(0, 30, 200), rng.integers(0, 30, 200), rng.uniform(0, 9, 200))]
+    df = spark.createDataFrame(rows, "k int, ix int, iy int, h double").repartition(5)
+    plan = raster.splat(df, ["k"], 30)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    monkeypatch.setattr(raster, "PAIRS", 1000)
+    want = {}
+    for k, x, y, h in rows:
+        for dx in range(-10, 11):
+            for dy in range(-10, 11):
+                d = 1 - (dx * dx + dy * dy) ** 0.5 / 10
+                if d > 0 and 0 <= x + dx < 30 and 0 <= y + dy < 30:
+                    w = 1 - np.exp(-d / 10.1)
+                    s = want.setdefault((k, x + dx, y + dy), [0.0, 0.0, 0])
+                    want[k, x + dx, y + dy] = [s[0] + h * w, s[1] + w, s[2] + 1]
+    got = {(r.k, r.ix, r.iy): (r.h, r.n) for r in raster.splat(df, ["k"], 30).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == s[2] and got[k][0] == pytest.approx(s[0] / s[1], abs=1e-6) for k, s in want.items())
