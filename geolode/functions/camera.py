@@ -93,6 +93,11 @@ class Camera:
             tests.append(reduce(lambda a, b: a + b, terms) + float(plane[3]) >= 0)
         return reduce(lambda a, b: a & b, tests)
 
+    def may_show_box(self, low: list[Column], high: list[Column]) -> Column:
+        """Whether anything of a box may lie on the picture: false only if all of it is beyond one of the four sides, however far or near."""
+        tests = [reduce(lambda a, b: a + b, [float(p[k]) * (high if p[k] > 0 else low)[k] for k in range(3)]) + float(p[3]) >= 0 for p in self.planes[:4]]
+        return reduce(lambda a, b: a & b, tests)
+
     def in_picture(self, px: Column, py: Column, w: Column, border: int = 2) -> Column:
         return (w > 0) & (px >= border) & (px <= self.width - border - 1) & (py >= border) & (py <= self.height - border - 1)
 

@@ -220,10 +220,18 @@ _MESH = f"""ready AS (SELECT px, py FROM patches WHERE n >= 25), hm AS (SELECT C
  tf AS (SELECT ix, iy, colour * 65793 AS colour, round(((1e0 - (s + t)) * w0 + s * w1 + t * w2) * 1.2e0 + 10e0, 3) AS depth FROM st WHERE s >= 0 AND t >= 0 AND 1e0 - (s + t) >= 0)"""
 
 
+def in_view(t, df):
+    """df (px, py and others) without the patches that give no pixel: neither they nor one beside them may lie on the picture, at any height of the world. The ones beside are kept for their edges."""
+    top = F.greatest(c("origin_z") + c("size_z"), c("size_z")) + 1.0
+    low, high = ([C.patch_edge(c("px"), at), C.patch_edge(c("py"), at), z] for at, z in ((-1.0, F.lit(-1.0)), (2.0, top)))
+    return df.join(F.broadcast(t.world)).filter(CAMERA.may_show_box(low, high)).select(*df.columns)  # one row
+
+
 def highest_maps(t):
-    """Of each patch with enough chunk points its 64 x 64 greatest heights."""
+    """Of each patch with enough chunk points, if it may be in view, its 64 x 64 greatest heights."""
     at = raster.highest(t.placed(t.points)).select(*[e for a in "xy" for e in (F.floor(c(f"i{a}") / C.TEXELS).cast("int").alias(f"p{a}"), F.pmod(c(f"i{a}"), F.lit(C.TEXELS)).alias(f"t{a}"))], "height")
-    return patches(t).filter("n >= 25").select("px", "py").join(mesh_raster.as_maps(at, "height", "double"), ["px", "py"], "left")
+    at = in_view(t, at)
+    return in_view(t, patches(t).filter("n >= 25").select("px", "py")).join(mesh_raster.as_maps(at, "height", "double"), ["px", "py"], "left")
 
 
 @query("agg_tri_raster", f"{_PATCHES}, {_MESH};; SELECT ix, iy, depth, CAST(colour AS BIGINT) AS colour FROM (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY depth, colour) AS k FROM tf) q WHERE k = 1")
@@ -232,16 +240,17 @@ def agg_tri_raster(t):
     own = F.transform(F.sequence(F.lit(1), F.lit(C.TEXELS * C.TEXELS)), lambda _: ((c("px") * 31 + c("py") * 17) % 256 * 65793).cast("bigint"))
     maps = highest_maps(t).withColumn("colour", own)
     # a patch's far edges have its own colour: no mixing with the next one's
-    return aggregate.depth_buffer(mesh_raster.fragments(maps, CAMERA, mixed=False))
+    return aggregate.depth_buffer(mesh_raster.fragments(storage.kept(maps), CAMERA, mixed=False))
 
 
 @query("agg_tri_texture")
 def agg_tri_texture(t):
     """The triangles of the interpolated heightmaps, with the textures of the patches mixed by place."""
-    heights = heightmap.heightmaps(contexts(t)).filter("NOT blank").select("px", "py", "height")
-    at = agg_texture(t).select("px", "py", "tx", "ty", (c("r") + c("g") * 256 + c("b") * 65536).alias("colour"))
+    heights = heightmap.heightmaps(in_view(t, contexts(t)), fields=("height",)).filter("NOT blank").select("px", "py", "height")
+    at = in_view(t, agg_texture(t)).select("px", "py", "tx", "ty", (c("r") + c("g") * 256 + c("b") * 65536).alias("colour"))
     maps = heights.join(mesh_raster.as_maps(at, "colour", "bigint"), ["px", "py"], "left")
-    return aggregate.depth_buffer(mesh_raster.fragments(maps, CAMERA))
+    # a picture's patches are few, and each is asked for by those before it too: made once
+    return aggregate.depth_buffer(mesh_raster.fragments(storage.kept(maps), CAMERA))
 
 
 _RT = [f"({p} * 640e0 - 150e0)" for p in ("px", "py")], [f"((({p} + 1) * 640e0) + 150e0)" for p in ("px", "py")]

@@ -78,3 +78,23 @@ def test_texels_become_maps(spark):
     cells = spark.createDataFrame([(0, 0, 1, 0, 5), (0, 0, 3, 2, 7)], "px int, py int, tx int, ty int, v int")
     row = mesh_raster.as_maps(cells, "v", "bigint", SIDE).first()
     assert len(row.v) == 16 and row.v[1] == 5 and row.v[11] == 7 and sum(x is not None for x in row.v) == 2
+
+
+def test_patches_out_of_view_are_left_out_before_any_map(spark, sf_dir):
+    from geolode.plans import views
+    from geolode.plans.tables import Tables
+
+    t = Tables(spark, sf_dir)
+    every = spark.range(-5, 1000).crossJoin(spark.range(-3, 17).withColumnRenamed("id", "px")).selectExpr("cast(px as int) px", "cast(id as int) py")
+    kept = {(r.px, r.py) for r in views.in_view(t, every).collect()}
+    top = t.world.first()
+    heights = np.linspace(0, max(top.size_z, top.origin_z + top.size_z), 5)
+    m, camera = views.CAMERA.matrix, views.CAMERA
+    for px in range(-3, 17):
+        for py in range(-5, 200):
+            v = np.array([m @ [x, y, z, 1.0] for x in np.linspace(px * 640, px * 640 + 640, 9) for y in np.linspace(py * 640, py * 640 + 640, 9) for z in heights])
+            v = v[v[:, 3] > 0]
+            shown = ((abs(v[:, :2]) <= v[:, 3:]).all(1)).any() if len(v) else False
+            if shown:  # and what its far edges need
+                assert {(px + dx, py + dy) for dx in (0, 1) for dy in (0, 1)} & {(x, y) for x in range(-3, 17) for y in range(-5, 1000)} <= kept
+    assert 10 < len(kept) < 2000 and camera.width == 640
