@@ -222,9 +222,10 @@ _MESH = f"""ready AS (SELECT px, py FROM patches WHERE n >= 25), hm AS (SELECT C
 
 def in_view(t, df):
     """df (px, py and others) without the patches that give no pixel: neither they nor one beside them may lie on the picture, at any height of the world. The ones beside are kept for their edges."""
-    top = F.greatest(c("origin_z") + c("size_z"), c("size_z")) + 1.0
-    low, high = ([C.patch_edge(c("px"), at), C.patch_edge(c("py"), at), z] for at, z in ((-1.0, F.lit(-1.0)), (2.0, top)))
-    return df.join(F.broadcast(t.world)).filter(CAMERA.may_show_box(low, high)).select(*df.columns)  # one row
+    name = f"{storage.without_clash(df)}top"
+    top = t.world.select((F.greatest(c("origin_z") + c("size_z"), c("size_z")) + 1.0).alias(name))
+    low, high = ([C.patch_edge(c("px"), at), C.patch_edge(c("py"), at), z] for at, z in ((-1.0, F.lit(-1.0)), (2.0, c(name))))
+    return df.join(F.broadcast(top)).filter(CAMERA.may_show_box(low, high)).select(*df.columns)  # one row
 
 
 def highest_maps(t):

@@ -98,3 +98,13 @@ def test_patches_out_of_view_are_left_out_before_any_map(spark, sf_dir):
             if shown:  # and what its far edges need
                 assert {(px + dx, py + dy) for dx in (0, 1) for dy in (0, 1)} & {(x, y) for x in range(-3, 17) for y in range(-5, 1000)} <= kept
     assert 10 < len(kept) < 2000 and camera.width == 640
+
+
+def test_rows_in_view_may_have_columns_of_the_world(spark, sf_dir):
+    from geolode.plans import views
+    from geolode.plans.joins import contexts
+    from geolode.plans.tables import Tables
+
+    t = Tables(spark, sf_dir)
+    rows = contexts(t)
+    assert "origin_z" in rows.columns and views.in_view(t, rows).columns == rows.columns
