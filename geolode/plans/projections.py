@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
-from geolode.operators import grid
+from geolode.operators import grid, raster
 from geolode.plans.registry import number, query
 
 c = F.col
@@ -132,13 +132,9 @@ def raster20(t):
   SELECT a.ix, a.iy, e.h - w.h AS dx, n.h - s.h AS dy FROM rast a JOIN rast e ON e.ix = a.ix + 1 AND e.iy = a.iy JOIN rast w ON w.ix = a.ix - 1 AND w.iy = a.iy
   JOIN rast n ON n.ix = a.ix AND n.iy = a.iy + 1 JOIN rast s ON s.ix = a.ix AND s.iy = a.iy - 1) q) q""")
 def prj_normal(t):
-    # each height goes to its four neighbours; a cell that hears from all has a normal
-    rast = raster20(t)
-    sides = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (dx, dy) in enumerate([(-1, 0), (1, 0), (0, -1), (0, 1), (0, 0)])])
-    sent = rast.withColumn("s", F.explode(sides)).select((c("ix") + c("s.dx")).alias("ix"), (c("iy") + c("s.dy")).alias("iy"), c("s.k").alias("k"), "h")
-    got = sent.groupBy("ix", "iy").agg(*[F.max(F.when(c("k") == k, c("h"))).alias(f"h{k}") for k in range(5)]).dropna()
-    df = got.withColumns({"dx": c("h0") - c("h1"), "dy": c("h2") - c("h3")}).withColumn("l", F.sqrt(c("dx") * c("dx") + c("dy") * c("dy") + 1600.0))
-    return df.select("ix", "iy", F.round(-c("dx") / c("l"), 6).alias("nx"), F.round(-c("dy") / c("l"), 6).alias("ny"), F.round(F.lit(40.0) / c("l"), 6).alias("nz"))
+    df = raster.steps(raster20(t)).withColumn("l", F.sqrt(c("dx") * c("dx") + c("dy") * c("dy") + 1600.0))
+    # negated after rounding, which drops the sign of zero: a level side gives -0.0, as in SQL
+    return df.select("ix", "iy", *[(-F.round(c(f"d{a}") / c("l"), 6)).alias(f"n{a}") for a in "xy"], F.round(F.lit(40.0) / c("l"), 6).alias("nz"))
 
 
 _WHOLE = "((0e0 - 1000e0) * (0e0 - 0e0) + (0e0 - 1000e0) * (0e0 - 1000e0) + 1e-5)"

@@ -3,12 +3,12 @@
 import numpy as np
 import pandas as pd
 import pytest
-from oracle import spark_rows
+from oracle import spark_rows, sql_rows
 from pyspark.sql import functions as F
 
 from geolode.functions import columns as C
 from geolode.operators import aggregate, grid, heightmap, raster
-from geolode.plans import registry, storage
+from geolode.plans import projections, registry, storage
 from geolode.plans.scans import files
 from geolode.plans.tables import LasTables, Tables
 from geolode.sources import catalogue, las
@@ -323,3 +323,45 @@ def test_splat_shuffles_samples_and_not_their_offsets(spark, monkeypatch):
                     want[k, x + dx, y + dy] = [s[0] + h * w, s[1] + w, s[2] + 1]
     got = {(r.k, r.ix, r.iy): (r.h, r.n) for r in raster.splat(df, ["k"], 30).collect()}
     assert got.keys() == want.keys() and all(got[k][1] == s[2] and got[k][0] == pytest.approx(s[0] / s[1], abs=1e-6) for k, s in want.items())
+
+
+def shuffled_rows(df):
+    """Rows that the shuffles of a frame wrote."""
+    df.collect()
+
+    def rows(node):
+        stage, children = node.nodeName(), node.children()
+        inner = [node.executedPlan()] if stage == "AdaptiveSparkPlan" else [node.plan()] if stage.endswith("QueryStage") else [children.apply(k) for k in range(children.size())]
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if stage == "Exchange" else 0
+        return own + sum(map(rows, inner))
+
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+def test_normals_shuffle_a_cell_once_and_not_to_each_side(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    h = {(x, y): float(v) for (x, y), v in zip(((x, y) for x in range(-70, 130) for y in range(-70, 130)), rng.integers(0, 50, 40000), strict=True) if rng.random() < 0.97}
+    cells = spark.createDataFrame([(*k, v) for k, v in h.items()], "ix int, iy int, h double").repartition(32, "ix", "iy")
+    monkeypatch.setattr(projections, "raster20", lambda t: cells)
+    found = projections.prj_normal(None)
+    want = {}
+    for x, y in h:
+        if all(k in h for k in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1))):
+            n = np.array([h[x - 1, y] - h[x + 1, y], h[x, y - 1] - h[x, y + 1], 40.0])
+            want[x, y] = n / np.sqrt(n @ n)
+    rows = found.collect()
+    got = {(r.ix, r.iy): (r.nx, r.ny, r.nz) for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert all(np.allclose(got[k], n, atol=6e-7) for k, n in want.items())
+    assert shuffled_rows(found) < 2.2 * len(h)  # the one shuffle here, and the one of the cells before
+
+
+def test_normals_beside_cells_without_a_height_are_those_of_sql(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    n = 30000
+    at = pd.DataFrame({"l_orderkey": rng.integers(0, 10**6, n), "l_partkey": rng.integers(0, 10**6, n), "l_suppkey": rng.choice([1, 2, 11], n), "l_linenumber": rng.integers(1, 8, n).astype("int32"), "l_quantity": rng.integers(1, 51, n).astype(float), "l_extendedprice": 1.0})
+    at["l_shipdate"] = pd.Timestamp("2020-01-01")
+    spark.createDataFrame(at).withColumn("l_quantity", F.when(F.rand(5) < 0.3, F.col("l_quantity"))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    names, rows = spark_rows(registry.queries()["prj_normal"](spark, str(tmp_path)))
+    assert any("None" in r for r in rows) and any("None" not in r for r in rows)
+    assert (names, rows) == sql_rows(registry.oracle_sql()["prj_normal"], str(tmp_path))
