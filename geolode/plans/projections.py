@@ -92,7 +92,7 @@ _MASK = "tex AS (SELECT DISTINCT px, py, ((xi + yi) % 64) AS tx, ((xi * 7 + yi *
 
 
 def masked(t):
-    tex = t.placed(t.chunk_points).select("px", "py", F.pmod(c("xi") + c("yi"), F.lit(64)).alias("tx"), F.pmod(c("xi") * 7 + c("yi") * 3, F.lit(64)).alias("ty")).distinct()
+    tex = t.placed(t.chunk_points).select("px", "py", F.pmod(c("xi") + c("yi"), F.lit(64)).cast("int").alias("tx"), F.pmod(c("xi") * 7 + c("yi") * 3, F.lit(64)).cast("int").alias("ty")).distinct()
     return tex.withColumn("m", F.when((c("tx") * 5 + c("ty") * 3 + c("px")) % 7 == 0, -1).otherwise(1))
 
 

@@ -30,6 +30,7 @@ Fetch = Callable[[int, int], bytes]
 FIRST, LASZIP, VLR_HEAD = 4096, 22204, 54
 COLOUR_AT = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 CHUNK = 50_000
+RAW = np.iinfo(np.int32)
 #: Points that a task reads at once; what opening a file costs a task, in bytes; rows of small results that leave it at once.
 READ, OPEN, GIVEN = 100_000, 1 << 20, 10_000
 
@@ -120,7 +121,10 @@ def read_points(fetch: Fetch, header: Header, first: int, n: int) -> dict[str, n
 
 
 def write_las(points: pd.DataFrame, scale: float = 0.01, version: int = 2, point_format: int = 2, chunk: int = CHUNK, compressed: bool = False, sizes: list[int] | None = None) -> bytes:
-    """A file of points (xi, yi, zi, r16, g16, b16). A compressed one has a chunk table and each chunk's first record; the rest of a chunk is left blank."""
+    """A file of points (xi, yi, zi, r16, g16, b16). A compressed one has a chunk table and each chunk's first record; the rest of a chunk is left blank.
+
+    Records hold 32 bits an axis; where integers go beyond, they are kept from the file's least one on, which becomes the header's offset.
+    """
     colour = COLOUR_AT.get(point_format)
     length = {0: 20, 2: 26, 3: 34, 5: 63, 7: 36, 8: 38, 10: 67}[point_format]
     header_size, n = (375 if version >= 4 else 227), len(points)
@@ -133,11 +137,14 @@ def write_las(points: pd.DataFrame, scale: float = 0.01, version: int = 2, point
     struct.pack_into("<I", h, 107, 0 if version >= 4 else n)
     if version >= 4:
         struct.pack_into("<Q", h, 247, n)
-    struct.pack_into("<6d", h, 131, *[scale] * 3, 0, 0, 0)
     raw = np.ascontiguousarray(points[["xi", "yi", "zi"]].to_numpy())
+    base = np.where((raw.max(0) > RAW.max) | (raw.min(0) < RAW.min), raw.min(0), 0) if n else np.zeros(3, int)
+    struct.pack_into("<6d", h, 131, *[scale] * 3, *[float(v) * scale for v in base])
     struct.pack_into("<6d", h, 179, *[float(v) * scale for k in range(3) for v in ((raw[:, k].max(), raw[:, k].min()) if n else (0, 0))])
     records = np.zeros((n, length), np.uint8)
-    records[:, :12] = np.ascontiguousarray(raw.astype("<i4")).view(np.uint8).reshape(n, 12)
+    if n and ((raw - base).max(0) > RAW.max).any():
+        raise ValueError("a file's points lie further apart than 32 bits of its scale")
+    records[:, :12] = np.ascontiguousarray((raw - base).astype("<i4")).view(np.uint8).reshape(n, 12)
     if colour is not None:
         records[:, colour : colour + 6] = np.ascontiguousarray(points[["r16", "g16", "b16"]].to_numpy().astype("<u2")).view(np.uint8).reshape(n, 6)
     if not compressed:
@@ -462,13 +469,17 @@ class FilesWriter(DataSourceWriter):
         self.folder = options["path"]
 
     def write(self, rows) -> Written:
-        done = []
+        done, made = [], set()
+        system, top = file_system(self.folder)
         for row in rows:
-            target = os.path.join(self.folder, row.path)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(f"{target}.part", "wb") as f:  # a task that runs twice replaces its file as a whole
+            target = os.path.join(top, row.path)
+            above = os.path.dirname(target)
+            if above not in made:
+                system.create_dir(above, recursive=True)
+                made.add(above)
+            with system.open_output_stream(f"{target}.part") as f:  # a task that runs twice replaces its file as a whole
                 f.write(row.content)
-            os.replace(f"{target}.part", target)
+            system.move(f"{target}.part", target)
             done.append(target)
         return Written(done)
 
@@ -476,9 +487,10 @@ class FilesWriter(DataSourceWriter):
         pass
 
     def abort(self, messages) -> None:
+        system = file_system(self.folder)[0]
         for path in (p for m in messages if m is not None for p in m.paths):
-            if os.path.exists(path):
-                os.remove(path)
+            if system.get_file_info(path).type == pa.fs.FileType.File:
+                system.delete_file(path)
 
 
 class LasSource(DataSource):

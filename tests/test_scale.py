@@ -365,3 +365,30 @@ def test_normals_beside_cells_without_a_height_are_those_of_sql(spark, tmp_path)
     names, rows = spark_rows(registry.queries()["prj_normal"](spark, str(tmp_path)))
     assert any("None" in r for r in rows) and any("None" not in r for r in rows)
     assert (names, rows) == sql_rows(registry.oracle_sql()["prj_normal"], str(tmp_path))
+
+
+@pytest.mark.parametrize("name", ["st_tables", "st_complete", "st_actions", "agg_splat", "snk_off", "snk_stl", "jn_nn", "jn_knn"])
+def test_tiles_whose_coordinates_pass_32_bits(spark, sf_dir, tmp_path, name):
+    far = 300_000  # tiles; yi is some 3 thousand millions there
+    for table in ("lineitem", "nation"):
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        (df.withColumn("l_suppkey", F.col("l_suppkey") + far) if table == "lineitem" else df).write.parquet(str(tmp_path / f"{table}.parquet"))
+    t = Tables(spark, str(tmp_path))
+    assert t.points.agg(F.min("yi")).first()[0] > 2**31 and t.world.first()["origin_y"] > 2**31 * 0.01
+    # moved to the world's origin the tiles are the same ones, but for the last bits of their places
+    rows = registry.queries()[name](spark, str(tmp_path)).count()
+    if name != "st_actions":  # its views are of the world as it is
+        assert rows == registry.queries()[name](spark, sf_dir).count()
+
+
+def test_files_of_far_tiles_have_an_offset_and_give_their_places(spark, tmp_path):
+    p = pts(50).assign(yi=lambda d: d["yi"] + 3 * 10**9, xi=lambda d: d["xi"] - 3 * 10**9)
+    made = spark.createDataFrame([("tile_1.las", bytearray(las.write_las(p)))], "path string, content binary")
+    las.register(spark)
+    made.write.format("files").option("path", f"file://{tmp_path}/out").mode("append").save()  # a URI, as spark.checkpoint.dir often is
+    got = spark.read.format("las").load(f"{tmp_path}/out").orderBy("point_idx").toPandas()
+    assert len(got) == 50 and all(np.allclose(got[a], p[f"{a}i"] * 0.01, atol=1e-6) for a in "xyz")
+    head = spark.read.format("las").option("what", "headers").load(f"{tmp_path}/out").first()
+    assert head.offset_z == 0 and head.offset_y == pytest.approx(p["yi"].min() * 0.01) == head.min_y
+    with pytest.raises(ValueError, match="32 bits"):
+        las.write_las(p.assign(yi=np.arange(50) * 10**8))
