@@ -52,3 +52,19 @@ def test_trees_equal_sorting():
         for q in range(60):
             want = sorted((float(((points[i] - queries[q]) ** 2).sum()), i) for i in range(n))[:k]
             assert [(pytest.approx(a), b) for a, b in want] == [(a, b) for a, b in zip(d2[q], ids[q]) if np.isfinite(a)]
+
+
+def test_a_query_looks_at_its_own_cell_first(spark, monkeypatch):
+    asked, keep = [], neighbours.kept
+
+    def counted(df):
+        table = keep(df)
+        if "trees" in table.columns:
+            asked.append(table.count())
+        return table
+
+    monkeypatch.setattr(neighbours, "kept", counted)
+    rng = np.random.default_rng(4)
+    points, queries = rng.uniform(0, 100, (9000, 2)), rng.uniform(0, 100, (200, 2))
+    assert found(spark, points, queries, 3) == brute(points, queries, 3)
+    assert asked[0] == 200 and sum(asked) < 300  # and not nine cells each
