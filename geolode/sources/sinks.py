@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Meshes of a batch of results, and types of their columns.
+MESHES, ARROW = 32, {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
 
 def point_line(decimals: int = 1, alpha: int = 255) -> Column:
     """x, y, z, r, g, b, alpha as text."""
@@ -139,14 +145,44 @@ def off(vertices: np.ndarray, faces: np.ndarray) -> str:
     return "\n".join(lines) + "\n"
 
 
+def _meshes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """px, py, distinct samples in order of lx, ly (the lowest of equal places) and their faces, of rows sorted by patch; the patches of a batch are triangulated in step."""
+    from geolode.operators.heightmap import triangulate_all, whole_patches
+
+    for rows, begin in whole_patches(batches):
+        part = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        order = np.lexsort((rows["lz"], rows["ly"], rows["lx"], part))
+        p = np.column_stack([rows[f"l{a}"][order] for a in "xyz"])
+        new = np.ones(len(p), bool)
+        new[1:] = (part[1:] != part[:-1]) | (p[1:, :2] != p[:-1, :2]).any(1)
+        p, ends = p[new], np.searchsorted(part[new], np.arange(len(begin)))
+        each = [p[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        centred = [q[:, :2] - q[:, :2].mean(0) for q in each]
+        owners, found = triangulate_all(np.concatenate([q / max(np.abs(q).max(), 1e-9) for q in centred]), [len(q) for q in each])
+        faces = np.split(found, np.searchsorted(owners, np.arange(1, len(each))))
+        yield from zip(rows["px"][begin[:-1]].tolist(), rows["py"][begin[:-1]].tolist(), each, faces, strict=True)
+
+
+def _of_meshes(context: DataFrame, make: Callable[[int, int, np.ndarray, np.ndarray], tuple], schema: str) -> DataFrame:
+    """A row for each patch of context (px, py, lx, ly, lz), made of its px, py, vertices and faces."""
+    from geolode.operators.heightmap import by_patch
+
+    context = context.select("px", "py", "lx", "ly", "lz")
+    kinds = pa.schema([(n, ARROW[t]) for n, t in (f.split() for f in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (make(*mesh) for mesh in _meshes(batches))
+        while some := list(islice(found, MESHES)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), kinds, strict=True)], schema=kinds)
+
+    return by_patch(context, ["lx", "ly", "lz"]).mapInArrow(run, schema)
+
+
 def mesh_files(context: DataFrame) -> DataFrame:
     """path and content of an STL for each patch of context (px, py, lx, ly, lz)."""
-    from geolode.operators.heightmap import triangulate
+    return _of_meshes(context, lambda px, py, p, faces: (f"{px}_{py}.stl", stl(p, faces)), "path string, content binary")
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        p = part[["lx", "ly", "lz"]].sort_values(["lx", "ly", "lz"]).drop_duplicates(["lx", "ly"]).to_numpy()
-        name = f"{part['px'].iloc[0]}_{part['py'].iloc[0]}.stl"
-        centred = p[:, :2] - p[:, :2].mean(0)
-        return pd.DataFrame([(name, stl(p, triangulate(centred / max(np.abs(centred).max(), 1e-9))))], columns=["path", "content"])
 
-    return context.select("px", "py", "lx", "ly", "lz").groupBy("px", "py").applyInPandas(one, "path string, content binary")
+def off_files(context: DataFrame) -> DataFrame:
+    """px, py and content of an OFF for each patch of context (px, py, lx, ly, lz)."""
+    return _of_meshes(context, lambda px, py, p, faces: (px, py, off(p, faces)), "px int, py int, content string")
