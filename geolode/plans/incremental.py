@@ -118,7 +118,7 @@ def flight(t):
 def st_actions(t):
     """What every frame of a flight has to read and to unload; chunks keep their states between batches of frames."""
     first = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda k: chunk_state(c("tile_id"), k).cast("int"))
-    tiles = t.tiles.withColumn("n_chunks", C.chunk_count(c("n_points"), 10))
+    tiles = kept(t.tiles.withColumn("n_chunks", C.chunk_count(c("n_points"), 10)))  # every batch looks at them
     store = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     frames.with_store(t.spark)
     try:
