@@ -392,3 +392,63 @@ def test_files_of_far_tiles_have_an_offset_and_give_their_places(spark, tmp_path
     assert head.offset_z == 0 and head.offset_y == pytest.approx(p["yi"].min() * 0.01) == head.min_y
     with pytest.raises(ValueError, match="32 bits"):
         las.write_las(p.assign(yi=np.arange(50) * 10**8))
+
+
+def test_meshes_of_a_task_are_made_together_and_are_those_of_each_patch(spark):
+    from geolode.sources import sinks
+
+    rng = np.random.default_rng(5)
+    rows = [(int(k % 5), 3, float(x), float(y), float(z)) for k, (x, y, z) in enumerate(rng.integers(0, 20, (300, 3)))] + [(7, 3, 1.0, 1.0, 5.0)]
+    at = spark.createDataFrame(rows, "px int, py int, lx double, ly double, lz double")
+    made = {"stl": sinks.mesh_files(at), "off": sinks.off_files(at)}
+    assert not any("InPandas" in m._jdf.queryExecution().executedPlan().toString() for m in made.values())  # a call for each patch
+    got = {k: {tuple(r)[:-1]: tuple(r)[-1] for r in m.collect()} for k, m in made.items()}
+    for px in (0, 1, 2, 3, 4, 7):
+        lowest = {(x, y): z for p, _, x, y, z in sorted(rows, reverse=True) if p == px}
+        p = np.array(sorted((x, y, z) for (x, y), z in lowest.items()))
+        centred = p[:, :2] - p[:, :2].mean(0)
+        faces = heightmap.triangulate(centred / max(np.abs(centred).max(), 1e-9))
+        assert got["off"][px, 3] == sinks.off(p, faces) and got["stl"][f"{px}_3.stl",] == sinks.stl(p, faces)
+
+
+def test_tiles_of_a_block_share_a_call(spark):
+    from geolode.streaming import frames
+
+    class Handle:
+        kept = None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    states, handle = frames.ChunkStates(), Handle()
+    states.init(handle)
+    rows = lambda frame: pd.DataFrame({"tile_id": [9, 4], "frame": frame, "first": [[0, 2], [2]], "visible": [True, False]})
+    given = [list(states.handleInputRows((0,), iter([rows(f)]), None)) for f in (0, 1, 1)]
+    assert [sorted(map(tuple, pd.concat(g).to_numpy().tolist())) for g in given] == [[(4, 0, 0, "UNLOAD"), (9, 0, 0, "READ")], [], []]
+
+
+def test_patches_are_completed_a_block_at_a_time(spark, tmp_path):
+    table = spark.createDataFrame([(x, -x, 0) for x in range(-40, 40)], "px int, py int, id long")
+    table.write.parquet(str(tmp_path / "points"))
+    found = ingest.completed(ingest.read_stream(spark, str(tmp_path / "points"), table.schema, 100), table.groupBy("px", "py").agg(F.count("*").alias("expected")))
+    assert "FlatMapGroupsInPandasWithState" in found._jdf.queryExecution().analyzed().toString() and "bx#" in found._jdf.queryExecution().analyzed().toString()
+    done = ingest.finish(found, str(tmp_path / "done")).collect()
+    assert {(r.px, r.py): r.n for r in done} == {(x, -x): 2 if x in (-40, 39) else 3 for x in range(-40, 40)} and len(done) == 80
+
+
+def test_splatted_heights_are_rounded_in_the_task(spark):
+    samples = spark.createDataFrame([(1, 3, 4, 2.5), (1, 4, 4, 1.1234567)], "k int, ix int, iy int, h double")
+    found = raster.splat(samples, ["k"], 16)
+    assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.h == round(r.h, 6) for r in found.collect())
+    values = np.array([-1.0000005, 2.4999999, 0.1234564999, 1e9 + 0.25, 0.0])
+    assert raster._rounded(values).tolist() == [-1.000001, 2.5, 0.123456, 1e9 + 0.25, 0.0]
