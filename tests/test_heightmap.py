@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geolode.functions import columns as C
+from geolode.operators import heightmap
 from geolode.operators import heightmap as H
 
 
@@ -111,3 +113,48 @@ def test_patches_over_many_batches_stay_whole(spark, monkeypatch):
         assert sorted((r.px, r.n) for r in H.heightmaps(rows, 16, 16).collect()) == [(0, 90), *[(k, 30 + k) for k in range(1, 7)]]
     finally:
         spark.conf.unset(size)
+
+
+def test_geo_crop_is_the_middle_of_whole_rasters(spark, sf_dir):
+    from geolode.plans import registry
+
+    found = registry.queries()["geo_crop"](spark, sf_dir).groupBy("px", "py").count().collect()
+    assert found and {r["count"] for r in found} == {64 * 64}
+    maps = spark.createDataFrame([(0, 0, False, [float(v) for v in range(36)])], "px int, py int, blank boolean, height array<double>")
+    assert heightmap.cropped(maps, 6, 2).first().height == [14.0, 15.0, 20.0, 21.0]
+
+
+def test_geo_interp_linear_has_all_texels_and_their_colours(spark, sf_dir):
+    from geolode.plans import joins, registry
+    from geolode.plans.tables import Tables
+
+    found = registry.queries()["geo_interp_linear"](spark, sf_dir)
+    some = found.first()
+    mine = {(r.i, r.j): r for r in found.filter((F.col("px") == some.px) & (F.col("py") == some.py)).collect()}
+    assert len(mine) == 96 * 96
+    rows = joins.contexts(Tables(spark, sf_dir)).filter((F.col("px") == some.px) & (F.col("py") == some.py)).toPandas()
+    s = heightmap.Samples({n: rows[n].to_numpy() for n in ("px", "py", "lx", "ly", "lz", *"rgb")}, np.array([0, len(rows)]))
+    want = heightmap.interpolate(s.xy, s.values, 96)["linear"]
+    for (i, j), r in mine.items():
+        got = (r.height - s.base[0]) / C.RADIUS * 10, r.red, r.green, r.blue
+        assert np.allclose(got, want[j * 96 + i], atol=2e-6)
+
+
+def test_geo_gen_rgb_asks_the_model_and_masks_colours(spark, sf_dir):
+    from geolode.plans import geometry, joins
+    from geolode.plans.tables import Tables
+
+    mask = np.zeros((5, 5), int)
+    mask[0, 4] = heightmap.OUTSIDE
+    made = heightmap.masked_colours(np.full((25, 3), 0.5), mask.ravel(), 5)[:, 0].reshape(5, 5)
+    assert (made[:2, 3:] == 0).all() and made.sum() == 127.0 * 21
+    t = Tables(spark, sf_dir)
+    found = {(r.px, r.py): r for r in geometry.geo_gen_rgb(t).filter("NOT blank").collect()}
+    px, py = min(found)
+    rows = joins.contexts(t).filter((F.col("px") == px) & (F.col("py") == py)).toPandas()
+    s = heightmap.Samples({n: rows[n].to_numpy() for n in ("px", "py", "lx", "ly", "lz", *"rgb")}, np.array([0, len(rows)]))
+    rasters = heightmap.interpolate(s.xy, s.values, 96)
+    picture = geometry.mean_filter_rgb(heightmap.model_input(rasters, 96)).reshape(4, -1).T
+    colours = heightmap.masked_colours(picture[:, 1:], heightmap.crop(rasters["mask"][:, None], 96, 64)[:, 0], 64).mean(0)
+    got, want = found[px, py], (picture[:, 0].mean() / 10 * C.RADIUS_OUT + s.base[0], *colours)
+    assert np.allclose((got.height, got.red, got.green, got.blue), want, atol=1e-4) and colours.max() > 1

@@ -451,4 +451,4 @@ def test_splatted_heights_are_rounded_in_the_task(spark):
     assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert all(r.h == round(r.h, 6) for r in found.collect())
     values = np.array([-1.0000005, 2.4999999, 0.1234564999, 1e9 + 0.25, 0.0])
-    assert raster._rounded(values).tolist() == [-1.000001, 2.5, 0.123456, 1e9 + 0.25, 0.0]
+    assert raster.rounded(values).tolist() == [-1.000001, 2.5, 0.123456, 1e9 + 0.25, 0.0]
