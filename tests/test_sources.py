@@ -126,3 +126,10 @@ def test_rows_of_small_files_leave_together():
     some = [las.as_batch(f"{k}", {"chunk_idx": np.arange(k), "byte_size": np.arange(k)}, las.arrow_schema(las.TABLE)) for k in range(20)]
     got = list(las.together(iter(some), 50))
     assert len(got) == 4 and sum(b.num_rows for b in got) == 190 and [p.as_py() for p in got[0].column(0)][:3] == ["1", "2", "2"]
+
+
+def test_small_chunk_tables_make_few_models():
+    coder, corrector = Encoder(), Corrector()
+    for before, size in ((0, 26), (26, 33), (33, 40)):
+        corrector.encode(coder, before, size, 1)
+    assert len(corrector.values) == 2 and decode_sizes(coder.done(), 3) == [26, 33, 40]
