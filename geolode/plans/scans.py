snk_heightmap: height files are made and read through Arrow, without a data frame a block

Symptom: snk_heightmap spent most of its time in Python, some 10 ms a block of 64 x 64 pixels, and its reader handed over all 4096 pixels of a block, of which a filter then kept some 230.
Evidence: On sf0.1 (three executors of two cores, counted as 0.01 GB) Python took 987 to 1032 CPU seconds a GB of 1415 in all, JVM 303 to 356, GC 7 to 8; shuffle was 33 MB. The two stages with pandas groups took 7 of some 15 task seconds each. Ten copies with shifted keys (77 MB, 6 cores): Python 238 to 256 s, JVM 82 to 87 s, GC 3.3 to 3.7 s, shuffle 342 to 347 MB, 0 to 14 MB spilled. Sixty copies (460 MB): Python 1548 s, JVM 564 s, GC 23.8 s, shuffle 2128 MB, 353 s in all. Four copies with a fifth of the rows in one tile: Python 55.9 s, JVM 24.6 s, GC 1.5 s, shuffle 113 MB.
Fix: Cells are shuffled as ix, iy and height alone, sorted by one number, and made into files in Arrow batches of 8 blocks; files are read in Arrow groups, and the reader leaves out pixels at or below a height it is given. Files and pixels are the same, also for missing heights and cells below 0.
Effect: at 1 GB of input CPU 2272 -> 896 s, shuffle 2.15 -> 1.65 GB, spill 0.00 -> 0.00 GB, read 0.98 -> 0.98 GB, longest task 79 -> 24 s, most memory of a task 504 -> 504 MB; at 6 GB of input CPU 13603 -> 3284 s, shuffle 13.58 -> 10.45 GB, spill 0.00 -> 0.00 GB, read 7.42 -> 7.42 GB, longest task 105 -> 24 s, most memory of a task 605 -> 605 MB; with hot keys, at 1 GB of input CPU 2620 -> 845 s, shuffle 1.76 -> 1.36 GB, spill 0.00 -> 0.00 GB, read 0.94 -> 0.94 GB, longest task 91 -> 23 s, most memory of a task 504 -> 504 MB.

@@ -189,7 +189,7 @@ def snk_simlod(t):
  ;; SELECT ix, iy, height, CAST(trunc(height * CAST(10 AS FLOAT)) AS INT) AS grey FROM h WHERE height > 0""")
 def snk_heightmap(t):
     """The files' pixels above 0, read back: heights and greys."""
-    return sinks.read_height_files(sinks.height_files(raster.highest(t.placed(t.points)))).filter("height > 0")
+    return sinks.read_height_files(sinks.height_files(raster.highest(t.placed(t.points))), above=0.0)
 
 
 @query("snk_debug_patch", "SELECT px, py, count(*) AS lines, md5(string_agg(concat_ws(',', x, y, z, r, g, b), chr(10) ORDER BY tile_id, point_idx)) AS content FROM chl GROUP BY px, py")

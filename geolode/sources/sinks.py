@@ -13,8 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Meshes of a batch of results, and types of their columns.
+from geolode.functions import columns as C
+
+#: Meshes of a batch of results, and types of their columns; blocks of heights of a batch of files.
 MESHES, ARROW = 32, {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+BLOCKS = 8
 
 
 def point_line(decimals: int = 1, alpha: int = 255) -> Column:
@@ -57,36 +60,52 @@ def read_xyzrgba(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "path string, n bigint, x float, y float, z float, r int, g int, b int, a int")
 
 
-def _picture(heights: pd.DataFrame, size: int) -> np.ndarray:
-    out = np.zeros((size, size), np.float32)
-    out[heights["iy"] % size, heights["ix"] % size] = heights["height"]
-    return out
-
-
 def height_files(heights: DataFrame, size: int = 64) -> DataFrame:
-    """path and content of a 16-bit PPM and a float raster for each size x size block of a height raster (ix, iy, height)."""
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        bx, by = int(part["bx"].iloc[0]), int(part["by"].iloc[0])
-        h = _picture(part, size)
-        grey = np.repeat(np.clip(h * 10, 0, 65535).astype(">u2")[..., None], 3, 2)
-        return pd.DataFrame([(f"{bx}_{by}.ppm", b"P6 %d %d 65535\n" % (size, size) + grey.tobytes()), (f"{bx}_{by}.heightmap", h.tobytes())], columns=["path", "content"])
-
-    blocks = heights.withColumns({"bx": F.floor(F.col("ix") / size), "by": F.floor(F.col("iy") / size)})
-    return blocks.groupBy("bx", "by").applyInPandas(one, "path string, content binary")
+    """path and content of a 16-bit PPM and a float raster for each size x size block of a height raster (ix, iy, height).
 
+    Cells are dealt over all shuffle partitions: coalesced by size, a task would sort more of them, as their rows are short. They are sorted by one number, which needs no rows compared.
+    """
+    from geolode.operators.heightmap import whole_patches
 
-def read_height_files(files: DataFrame, size: int = 64) -> DataFrame:
-    """ix, iy, height and grey of the files that height_files() makes, both of a block together."""
+    head, kinds = b"P6 %d %d 65535\n" % (size, size), pa.schema([("path", pa.string()), ("content", pa.binary())])
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        content = dict(zip(part["path"].str.rsplit(".", n=1).str[1], part["content"], strict=True))
-        bx, by = map(int, part["block"].iloc[0].split("_"))
-        grey = np.frombuffer(content["ppm"][-6 * size * size :], ">u2")[::3]
-        y, x = np.divmod(np.arange(size * size), size)
-        return pd.DataFrame({"ix": x + bx * size, "iy": y + by * size, "height": np.frombuffer(content["heightmap"], "<f4"), "grey": grey.astype(np.int32)})
+    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ix, iy, height = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (ix // size, iy // size, iy % size * size + ix % size, height)], ["px", "py", "texel", "height"])
 
-    return files.withColumn("block", F.substring_index("path", ".", 1)).groupBy("block").applyInPandas(one, "ix int, iy int, height float, grey int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begin in whole_patches(map(placed, batches)):
+            for low in range(0, len(begin) - 1, BLOCKS):
+                cuts = begin[low : low + BLOCKS + 1]
+                part = slice(cuts[0], cuts[-1])
+                h = np.zeros((len(cuts) - 1, size * size), np.float32)
+                h[np.repeat(np.arange(len(h)), np.diff(cuts)), rows["texel"][part]] = rows["height"][part]
+                grey = np.repeat(np.clip(h * 10, 0, 65535).astype(">u2"), 3, 1)
+                paths = [f"{int(rows['px'][k])}_{int(rows['py'][k])}.{kind}" for k in cuts[:-1] for kind in ("ppm", "heightmap")]
+                contents = [content for g, f in zip(grey, h, strict=True) for content in (head + g.tobytes(), f.tobytes())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip((paths, contents), kinds, strict=True)], schema=kinds)
+
+    px, py = (C.cell(F.col(f"i{a}"), float(size)) for a in "xy")
+    parts = int(heights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = heights.select("ix", "iy", "height").repartition(parts, px, py).sortWithinPartitions(px * F.lit(C.U32) + py)
+    return dealt.mapInArrow(run, "path string, content binary")
+
+
+def read_height_files(files: DataFrame, size: int = 64, above: float | None = None) -> DataFrame:
+    """ix, iy, height and grey of the files that height_files() makes, both of a block together; with above, of the higher pixels only."""
+
+    def one(part: pa.Table) -> pa.Table:
+        paths = part["path"].to_pylist()
+        content = dict(zip([p.rsplit(".", 1)[1] for p in paths], part["content"].to_pylist(), strict=True))
+        bx, by = map(int, paths[0].split(".", 1)[0].split("_"))
+        height, grey = np.frombuffer(content["heightmap"], "<f4"), np.frombuffer(content["ppm"][-6 * size * size :], ">u2")[::3]
+        at = np.arange(size * size) if above is None else np.flatnonzero(height > above)
+        y, x = np.divmod(at, size)
+        ix, iy, grey = (v.astype(np.int32) for v in (x + bx * size, y + by * size, grey[at]))
+        return pa.Table.from_arrays([pa.array(ix), pa.array(iy), pa.array(height[at], from_pandas=True), pa.array(grey)], ["ix", "iy", "height", "grey"])
+
+    block = F.substring_index("path", ".", 1)
+    return files.select("path", "content").groupBy(block).applyInArrow(one, "ix int, iy int, height float, grey int")
 
 
 def pictures(pixels: DataFrame, width: int, height: int) -> DataFrame:
